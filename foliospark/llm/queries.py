@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from foliospark.llm import line_dedup, quality_rules, url_filter
+from foliospark.llm import chat_format, exact_dedup, line_dedup, quality_rules, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_chat_format": chat_format.op1_chat_format,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op6_url_filter": url_filter.op6_url_filter,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_chat_format": chat_format.SQL,
         "op2_line_dedup": line_dedup.SQL,
         "op6_url_filter": url_filter.SQL,
         "op8_quality_rules": quality_rules.SQL,
+        "op9_exact_dedup": exact_dedup.SQL,
     }
