@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import chat_format, exact_dedup, line_dedup, quality_rules, url_filter
+from foliospark.llm import chat_format, exact_dedup, line_dedup, quality_rules, sentencepiece_sampling, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_url_filter": url_filter.op6_url_filter,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_sentencepiece": sentencepiece_sampling.op10_sentencepiece,
     }
 
 
