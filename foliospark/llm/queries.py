@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from foliospark.llm import chat_format, exact_dedup, line_dedup, quality_rules, sentencepiece_sampling, url_filter
+from foliospark.llm import chat_format, exact_dedup, language_id, line_dedup, quality_rules, sentencepiece_sampling, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat_format.op1_chat_format,
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op5_language_id": language_id.op5_language_id,
         "op6_url_filter": url_filter.op6_url_filter,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,

@@ -60,12 +60,16 @@ def sliced(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTE
             at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of each row, and the rows' offsets into them."""
+#: What stands between terms: every ASCII character but letters, digits and the apostrophe.
+_NO_TERM = np.array([not (chr(c).isalnum() or c == 39 or c >= 128) for c in range(256)])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes not in outside of each row, and the rows' offsets into them."""
     n = len(data)
     full = np.ones(n + 2, bool)
     full[0] = full[-1] = False
-    full[1:-1] = ~_SPACE[data]
+    full[1:-1] = ~outside[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     starts = np.flatnonzero(full[1:-1] & (~full[:-2] | cut[:-1]))
@@ -107,3 +111,25 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
         else:
             out.append(np.zeros(0, U64))
     return out
+
+
+def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the terms of each row (letters, digits, apostrophes; A-Z lower-cased), and the rows' offsets."""
+    low = lowered(data)
+    starts, ends, at = words(low, offsets, _NO_TERM)
+    return span_hashes(low, starts, ends), at
+
+
+def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of the values of each row; zero for rows without any."""
+    out = np.zeros((len(offsets) - 1, *values.shape[1:]), values.dtype)
+    full = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values, offsets[:-1][full], axis=0)
+    return out
+
+
+def packed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a bounded list of texts, and the texts' offsets into them."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).astype(np.int64)
