@@ -57,8 +57,8 @@ def reply_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
     counts as 0). A parent that is null, absent or not smaller than its child makes the child a root, so
     cycles can't arise. Paths rank by mean score, then length, then smallest leaf.
 
-    Self-joins double the distance to the ancestor each node knows, so a path of n nodes takes log2 n joins
-    of as many rows as there are messages. Only leaves are ranked, with the sums they have by then; the
+    Self-joins double the distance to the ancestor each node knows, so a path of n nodes takes log2 n joins,
+    each of the messages that have not met their root yet. Only leaves are ranked, with the sums they have by then; the
     chosen ones walk the same jumps back, which gives each node of a path once.
     """
     nodes = written(messages.select("tree", "node", F.when(F.col("parent") < F.col("node"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).alias("score")), "messages")
@@ -69,10 +69,10 @@ def reply_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
     levels = [written(level, "jumps")]
     while not levels[-1].where("up IS NOT NULL").isEmpty():
         above = levels[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("n").alias("m"), F.col("total").alias("more"))
-        level = levels[-1].join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("far").alias("up"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")
+        further = levels[-1].where("up IS NOT NULL").join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("far").alias("up"), (F.col("n") + F.col("m")).alias("n"), (F.col("total") + F.col("more")).alias("total")
         )
-        levels.append(written(level, "jumps"))
+        levels.append(written(levels[-1].where("up IS NULL").unionByName(further), "jumps"))
     whole = levels.pop()
     parents = levels[0].where("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct() if levels else whole.limit(0).select("tree", "node")
     best = [(F.col("total") / F.col("n")).desc(), F.col("n").desc(), F.col("node")]
