@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import chat_format, exact_dedup, language_id, line_dedup, quality_rules, sentencepiece_sampling, url_filter
+from foliospark.llm import chat_format, exact_dedup, language_id, line_dedup, quality_rules, sentencepiece_sampling, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op5_language_id": language_id.op5_language_id,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_sentencepiece": sentencepiece_sampling.op10_sentencepiece,
