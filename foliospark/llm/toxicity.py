@@ -30,7 +30,7 @@ def _rows(hashes: np.ndarray, at: np.ndarray, vocabulary: np.ndarray) -> tuple[n
 
 def choose_terms(hashes: np.ndarray, at: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     """The terms whose presence goes with the label, at most most of them: of m terms those with a likelihood
-    ratio G of 2 ln m or more, which chance gives to about one."""
+    ratio G of 1.5 ln m or more, which chance gives to few (fewer still, as counts are whole numbers)."""
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     term, where = np.unique(hashes, return_inverse=True)
     pair = np.unique(row * len(term) + where)
@@ -44,7 +44,7 @@ def choose_terms(hashes: np.ndarray, at: np.ndarray, y: np.ndarray, most: int) -
 
     b, c, d = both - a, n1 - a, n - n1 - (both - a)
     g = 2 * (part(a, both * n1 / n) + part(b, both * (n - n1) / n) + part(c, (n - both) * n1 / n) + part(d, (n - both) * (n - n1) / n))
-    good = np.flatnonzero(g >= 2 * np.log(max(len(term), 2)))
+    good = np.flatnonzero(g >= 1.5 * np.log(max(len(term), 2)))
     return np.sort(term[good[np.lexsort((term[good], -g[good]))][:most]])
 
 
