@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.textkernel import U64, mix, sliced
+from foliospark.llm.textkernel import U64, mix, power_tables, sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
@@ -36,6 +36,7 @@ class Vocabulary:
     joined: np.ndarray  # code points (below 0x110001) that occur in pieces of two or more
     pieces: list[bytes | int]
     seen: np.ndarray  # which leading 20 bits some key has
+    begins: np.ndarray  # which leading 24 bits the proper prefixes of pieces have
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -58,7 +59,14 @@ class Vocabulary:
             raise ValueError(f"{path} has no piece for some byte; decoding would not be lossless")
         if any(chr(SPACE) in p.lstrip(chr(SPACE)) for p, _, _ in normal):
             raise ValueError(f"{path} has pieces with a space inside")
-        hashes = np.array([_hash_of(p) for p, _, _ in normal], U64)
+        sizes, begins = np.array([len(p) for p, _, _ in normal]), np.zeros(1 << 24, bool)
+        letters = np.zeros((len(normal), sizes.max()), np.uint32)
+        letters[np.arange(sizes.max()) < sizes[:, None]] = np.frombuffer("".join(p for p, _, _ in normal).encode("utf-32-le"), np.uint32)
+        hashes = np.zeros(len(normal), U64)
+        for i in range(sizes.max()):
+            k = np.flatnonzero(sizes > i)
+            hashes[k] = mix(hashes[k] * U64(_B) + letters[k, i])
+            begins[(hashes[sizes > i + 1] >> U64(40)).astype(np.int64)] = True
         order = np.argsort(hashes)
         joined = np.zeros(0x110002, bool)
         for p, _, _ in normal:
@@ -66,7 +74,7 @@ class Vocabulary:
                 joined[[ord(c) for c in p]] = True
         seen = np.zeros(1 << 20, bool)
         seen[(hashes >> U64(44)).astype(np.int64)] = True
-        return cls(hashes[order], np.array([i for _, i, _ in normal], np.int32)[order], np.array([s for _, _, s in normal])[order], byte_ids, max(len(p) for p, _, _ in normal), joined, pieces, seen)
+        return cls(hashes[order], np.array([i for _, i, _ in normal], np.int32)[order], np.array([s for _, _, s in normal])[order], byte_ids, int(sizes.max()), joined, pieces, seen, begins)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are keys, and their positions among these."""
@@ -76,14 +84,6 @@ class Vocabulary:
         return maybe[true], at[true]
 
 
-def _hash_of(piece: str) -> int:
-    h = U64(0)
-    with np.errstate(over="ignore"):
-        for c in piece:
-            h = mix(np.array([h * U64(_B) + U64(ord(c))], U64))[0]
-    return h
-
-
 _loaded: dict[str, Vocabulary] = {}
 
 
@@ -119,15 +119,13 @@ def sample(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: Vocabular
     lengths = np.diff(np.append(starts, n))
     in_row = np.searchsorted(starts, at)
     # equal chunks have equal lattices: filter forward once for each
-    h = lengths.astype(U64)
-    order = np.argsort(-lengths, kind="stable")
-    many = -lengths[order]
-    for i in range(int(lengths.max())):
-        k = order[: np.searchsorted(many, -i, "left")]
-        h[k] = mix(h[k] * U64(_B) + points[starts[k] + i])
-    distinct, first, kind = np.unique(h, return_index=True, return_inverse=True)
+    up, down = power_tables(n + 1)
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(mix(points.astype(U64)) * up[:n], out=sums[1:])
+    h = mix((sums[starts + lengths] - sums[starts]) * down[starts] + lengths.astype(U64) * U64(_B))
+    distinct, first, kind, often = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
     cache = _caches.setdefault((id(v), alpha), _Cache(v, alpha))
-    base, piece, reached = cache.nodes(distinct, points, starts[first], lengths[first])
+    base, piece, reached = cache.nodes(distinct, often > 1, points, starts[first], lengths[first])
     # sample backward, a draw for each piece, all chunks together
     low = base[kind]
     node = low + lengths
@@ -171,43 +169,56 @@ def sample(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: Vocabular
 
 
 class _Cache:
-    """Lattices of chunks by their hash; emptied when they pass LIMIT nodes, which bounds a worker's memory."""
+    """Lattices of chunks by their hash. Those that a slice has twice are kept, up to LIMIT nodes, which bounds a
+    worker's memory; those met once stand behind them until the next slice."""
 
-    LIMIT = 600_000
+    LIMIT = 400_000
 
     def __init__(self, v: Vocabulary, alpha: float):
         self.v, self.alpha = v, alpha
+        self.piece, self.reached = np.zeros((0, v.longest), np.int32), np.zeros((0, v.longest), np.float32)
+        self.wide = 1
         self.clear()
 
     def clear(self) -> None:
         self.hashes, self.bases, self.used = np.zeros(0, U64), np.zeros(0, np.int64), 0
-        self.piece, self.reached = np.zeros((0, self.v.longest), np.int32), np.zeros((0, self.v.longest), np.float32)
 
-    def nodes(self, hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _append(self, at: int, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, int]:
+        base, piece, reached = _filter_forward(points, starts, lengths, self.v, self.alpha)
+        end, wide = at + len(piece), piece.shape[1]
+        self.wide = max(self.wide, wide)
+        if end > len(self.piece):
+            for name in ("piece", "reached"):
+                old = getattr(self, name)
+                more = np.ones((end + end // 4, old.shape[1]), old.dtype)
+                more[:at] = old[:at]
+                setattr(self, name, more)
+        self.piece[at:end, :wide] = piece
+        self.reached[at:end, :wide] = reached
+        self.reached[at:end, wide:] = 1
+        return at + base, end
+
+    def nodes(self, hashes: np.ndarray, often: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The first node of each chunk (hashes ascending), and the arrays of _filter_forward() of all nodes."""
-        if self.used + int((lengths + 1).sum()) > self.LIMIT:
+        if self.used > self.LIMIT:
             self.clear()
         at = np.searchsorted(self.hashes, hashes)
-        new = np.flatnonzero(np.append(self.hashes, U64(0))[at] != hashes) if len(self.hashes) else np.arange(len(hashes))
-        new = new[np.argsort(-lengths[new], kind="stable")]
-        if len(new):
-            base, piece, reached = _filter_forward(points, starts[new], lengths[new], self.v, self.alpha)
-            room, wide = self.used + len(piece), piece.shape[1]
-            if room > len(self.piece):
-                grown = max(room, 2 * len(self.piece))
-                for name in ("piece", "reached"):
-                    old = getattr(self, name)
-                    more = np.ones((grown, old.shape[1]), old.dtype)
-                    more[: self.used] = old[: self.used]
-                    setattr(self, name, more)
-            self.piece[self.used : room, :wide] = piece
-            self.reached[self.used : room, :wide] = reached
-            order = np.argsort(hashes[new])
-            to = np.searchsorted(self.hashes, hashes[new][order])
-            self.hashes = np.insert(self.hashes, to, hashes[new][order])
-            self.bases = np.insert(self.bases, to, self.used + base[order])
-            self.used = room
-        return self.bases[np.searchsorted(self.hashes, hashes)], self.piece, self.reached
+        known = np.append(self.hashes, U64(0))[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        out = np.zeros(len(hashes), np.int64)
+        out[known] = self.bases[at[known]]
+        end = self.used
+        for keep in (True, False):
+            new = np.flatnonzero(~known & (often == keep))
+            if not len(new):
+                continue
+            new = new[np.argsort(-lengths[new], kind="stable")]
+            out[new], end = self._append(end, points, starts[new], lengths[new])
+            if keep:
+                new = np.sort(new)
+                self.hashes = np.insert(self.hashes, at[new], hashes[new])
+                self.bases = np.insert(self.bases, at[new], out[new])
+                self.used = end
+        return out, self.piece[:, : self.wide], self.reached[:, : self.wide]
 
 
 _caches: dict[tuple[int, float], _Cache] = {}
@@ -221,22 +232,26 @@ def _filter_forward(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     chance that the last piece is of this size or smaller. Chunks come longest first."""
     base = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     total, most = int((lengths + 1).sum()), min(v.longest, int(lengths[0]))
-    piece = np.full((total, most), NONE, np.int32)
-    weight = np.full((total, most), -np.inf, np.float32)
     owner = np.repeat(np.arange(len(starts)), lengths)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     where, left, node = starts[owner] + inner, lengths[owner] - inner, base[owner] + inner
-    h = np.zeros(len(where), U64)
+    h, found, ends = np.zeros(len(where), U64), [], node + 1
     for size in range(1, most + 1):
-        if size > 1:
-            k = left >= size
-            where, left, node, h = where[k], left[k], node[k], h[k]
         h = mix(h * U64(_B) + points[where + (size - 1)])
-        k, found = v.find(h)
-        piece[node[k] + size, size - 1] = v.ids[found]
-        weight[node[k] + size, size - 1] = alpha * v.scores[found]
-    bare = piece[node_ends := np.repeat(base, lengths) + inner + 1, 0] == NONE
-    piece[node_ends[bare], 0], weight[node_ends[bare], 0] = SPELLED, 0.0
+        k, key = v.find(h)
+        if len(k):
+            found.append((size, node[k] + size, key))
+        k = np.flatnonzero(v.begins[(h >> U64(40)).astype(np.int64)] & (left > size))  # some piece goes on like this
+        if not len(k):
+            break
+        where, left, node, h = where[k], left[k], node[k], h[k]
+    most = max((size for size, _, _ in found), default=1)
+    piece = np.full((total, most), NONE, np.int32)
+    weight = np.full((total, most), -np.inf, np.float32)
+    for size, to, key in found:
+        piece[to, size - 1], weight[to, size - 1] = v.ids[key], alpha * v.scores[key]
+    bare = ends[piece[ends, 0] == NONE]
+    piece[bare, 0], weight[bare, 0] = SPELLED, 0.0
     mass = np.zeros(total)
     reached = np.ones((total, most), np.float32)
     for d in range(1, int(lengths[0]) + 1):

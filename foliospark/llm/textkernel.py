@@ -39,7 +39,8 @@ def _geometric(base: int, n: int) -> np.ndarray:
     return out
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
+    """At least n powers of an odd base modulo 2**64, and of its inverse."""
     if len(_powers[0]) < n:
         n = 1 << (n - 1).bit_length()
         _powers[:] = [_geometric(_BASE, n), _geometric(_INVERSE, n)]
@@ -84,7 +85,7 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans, equal for equal bytes wherever they stand."""
-    up, down = _power_tables(len(data) + 1)
+    up, down = power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
@@ -104,10 +105,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
         if b - a >= k:
             out.append(np.unique(with_k[a : b - k + 1]))
         elif b > a:
-            whole = U64(b - a)
+            whole = np.array([b - a], U64)
             for h in hashes[a:b]:
-                whole = mix(np.array([whole * U64(3) + h], U64))[0]
-            out.append(np.array([whole], U64))
+                whole = mix(whole * U64(3) + h)
+            out.append(whole)
         else:
             out.append(np.zeros(0, U64))
     return out
