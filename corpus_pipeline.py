@@ -1,13 +1,57 @@
-"""The corpus pipeline: quality rules, line dedup, near duplicates, mixing, SentencePiece."""
+"""The corpus pipeline: quality rules, line dedup, near duplicates, mixing, SentencePiece encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what each returns
+to the shared folder and reads it again. The last stage returns the columns of documents but text, and the pieces.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliospark.llm import line_dedup, mixing, ngram_join, quality_rules, sentencepiece_sampling
+from foliospark.llm.common import fresh, row_key, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep_good(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of ten documents or more go; n_chars follows the text."""
+    cleaned = line_dedup.dedup_lines(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that 5-gram similarities of 0.8 or more join, that with the smallest doc_id stays."""
+    (k1,) = fresh(docs, "_k1")
+    found = ngram_join.near_duplicates(docs)
+    gone = written(found.where("component_id <> doc_id").select(F.col("k1").alias(k1)).distinct(), "near-duplicates")
+    return docs.withColumn(k1, row_key(F.col("doc_id"), F.col("text"))[0]).join(gone, k1, "left_anti").drop(k1)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its rate says, so that expected domain tokens meet the targets."""
+    labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.mix(docs, mixing.train_domains(docs, labels), mixing.TARGETS)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled SentencePiece ids instead of the text."""
+    return sentencepiece_sampling.encode_sampled(docs)
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("mixing", mixture), ("sentencepiece", pieces)]
+#: The Jaccard join's components, the fitted rates and the sampled pieces have no SQL; tests/llm has brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

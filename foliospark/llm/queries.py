@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from foliospark.llm import chat_format, exact_dedup, language_id, line_dedup, ngram_join, quality_rules, sentencepiece_sampling, toxicity, url_filter
+from foliospark.llm import chat_format, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, sentencepiece_sampling, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat_format.op1_chat_format,
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op3_mixing": mixing.op3_mixing,
         "op4_ngram_join": ngram_join.op4_ngram_join,
         "op5_language_id": language_id.op5_language_id,
         "op6_url_filter": url_filter.op6_url_filter,

@@ -134,3 +134,17 @@ def packed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a bounded list of texts, and the texts' offsets into them."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).astype(np.int64)
+
+
+def terms_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """terms() of a bounded list of texts, a slice at a time."""
+    found, counts, held, size = [np.zeros(0, U64)], [np.zeros(1, np.int64)], [], 0
+    for i, t in enumerate(texts):
+        held.append(t)
+        size += len(t or "")
+        if size >= SLICE_BYTES or i == len(texts) - 1:
+            h, at = terms(*packed(held))
+            found.append(h)
+            counts.append(np.diff(at))
+            held, size = [], 0
+    return np.concatenate(found), np.cumsum(np.concatenate(counts))

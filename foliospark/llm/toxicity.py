@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.examples import fold, sampled
-from foliospark.llm.textkernel import U64, packed, sliced, terms
+from foliospark.llm.textkernel import U64, sliced, terms, terms_of
 
 BLOCK = 64
 MEMO = 50_000
 
 
-def _rows(hashes: np.ndarray, at: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def known_terms(hashes: np.ndarray, at: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, term and count of the known terms of each row, by row and term. vocabulary is sorted."""
     if not len(vocabulary):
         return (np.zeros(0, np.int64),) * 3
@@ -151,7 +151,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text: str = "t
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, rows = np.zeros(len(vocabulary), np.int64), 0
         for part, data, offsets in sliced(batches, 0):
-            sums += np.bincount(_rows(*terms(data, offsets), vocabulary)[1], minlength=len(vocabulary))
+            sums += np.bincount(known_terms(*terms(data, offsets), vocabulary)[1], minlength=len(vocabulary))
             rows += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(vocabulary)), -1)), pa.array(np.append(sums, rows))], names=["term", "n"])
 
@@ -161,7 +161,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text: str = "t
 
 def train_toxicity(
     docs: DataFrame, labels: DataFrame, corpus: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text",
-    per_class: int = 3000, most_terms: int = 2048, k: int = 25,
+    per_class: int = 2000, most_terms: int = 2048, k: int = 25,
 ) -> NearestExamples:
     """Examples from about per_class labelled rows of each class (at most twice that) with whole texts.
 
@@ -173,11 +173,11 @@ def train_toxicity(
     sizes = {c: max(1, int((y == c).sum())) for c in (0, 1)}
     weight = np.array([counts.get(int(c), 0) / sizes[int(c)] for c in y]) if len(y) else np.zeros(0)
     base = float((weight @ y) / weight.sum()) if len(y) else 0.0
-    hashes, at = terms(*packed(rows[text].tolist()))
+    hashes, at = terms_of(rows[text].tolist())
     vocabulary = choose_terms(hashes, at, y, most_terms) if len(y) and 0 < y.sum() < len(y) else np.zeros(0, U64)
     df, n = document_frequencies(corpus, vocabulary, text) if len(vocabulary) else (np.zeros(0), 0)
     idf = np.log((1 + n) / (1 + df)) + 1e-3
-    row, term, count = _rows(hashes, at, vocabulary)
+    row, term, count = known_terms(hashes, at, vocabulary)
     value = (1 + np.log(count)) * idf[term]
     norm = np.sqrt(np.bincount(row, value * value, len(y)))
     index = BlockMaxIndex.build(len(y), len(vocabulary), row, term, value / norm[row]) if len(y) else BlockMaxIndex(0, [], [], np.zeros((0, 0)))
@@ -205,7 +205,7 @@ def score_toxicity(docs: DataFrame, model: NearestExamples, text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in sliced(batches, n):
-            row, term, count = _rows(*terms(data, offsets), model.vocabulary)
+            row, term, count = known_terms(*terms(data, offsets), model.vocabulary)
             score, evidence = np.full(part.num_rows, model.none), [[]] * part.num_rows
             cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
             for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
