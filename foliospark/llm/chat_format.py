@@ -66,13 +66,13 @@ def reply_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
     level = nodes.join(there, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("n"), F.col("score").alias("total")
     )
-    levels = [written(level, "jumps")]
+    levels = [written(level, "jumps", small=True)]
     while not levels[-1].where("up IS NOT NULL").isEmpty():
         above = levels[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("n").alias("m"), F.col("total").alias("more"))
         further = levels[-1].where("up IS NOT NULL").join(above, ["tree", "up"]).select(
             "tree", "node", F.col("far").alias("up"), (F.col("n") + F.col("m")).alias("n"), (F.col("total") + F.col("more")).alias("total")
         )
-        levels.append(written(levels[-1].where("up IS NULL").unionByName(further), "jumps"))
+        levels.append(written(levels[-1].where("up IS NULL").unionByName(further), "jumps", small=True))
     whole = levels.pop()
     parents = levels[0].where("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct() if levels else whole.limit(0).select("tree", "node")
     best = [(F.col("total") / F.col("n")).desc(), F.col("n").desc(), F.col("node")]

@@ -107,10 +107,10 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", text: str = "text"
     )
     index = DigestIndex(spark, keep)
     index.insert(prints)
-    hits = written(index.compact().where("n > 1").select("digest", F.col("id").alias("keep"), "n"), "hits")
+    hits = written(index.compact().where("n > 1").select("digest", F.col("id").alias("keep"), "n"), "hits", small=True)
     hit_rows = prints.join(hits.select("digest"), "digest", "left_semi").select("k1", "k2", "digest").distinct()
     texts = docs.select(a.alias("k1"), b.alias("k2"), F.col(text).alias("t")).join(hit_rows.hint("shuffle_hash"), ["k1", "k2"]).select("digest", body_of("t").alias("body"))
-    false_hits = written(texts.groupBy("digest").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi").select("digest"), "false-hits")
+    false_hits = written(texts.groupBy("digest").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi").select("digest"), "false-hits", small=True)
     best = F.max if keep == "largest" else F.min
     by_digest = prints.select("id", "digest", "text_sha256")
     parts = [by_digest.join(hits, "digest", "left").select("id", "keep", "n", "text_sha256")]

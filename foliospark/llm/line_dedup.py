@@ -34,8 +34,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: s
         keyed.select(F.explode(F.array_distinct(F.filter("keys", long_enough))).alias("key"))
         .select(h1.alias("h1"), h2.alias("h2"))
         .groupBy("h1", "h2").count().where(F.col("count") >= min_docs).select("h1", "h2"),
-        "frequent-lines",
-    )
+        "frequent-lines", small=True)
     dropped = (
         keyed.select("k1", "k2", F.posexplode("keys").alias("pos", "key"))
         .where(long_enough(F.col("key")))

@@ -143,7 +143,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
 def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     """a, b: edges whose components hold every linked pair of sets. sets: node, n, bins, tokens, a row for each set."""
     postings = sets.select("node", "n", F.explode("tokens").alias("t"))
-    shared = written(postings.groupBy("t").agg(F.count("*").alias("m"), F.min("node").alias("lead")).where("m > 1"), "shared-ngrams")
+    shared = written(postings.groupBy("t").agg(F.count("*").alias("m"), F.min("node").alias("lead")).where("m > 1"), "shared-ngrams", small=True)
     met = postings.join(shared, "t")
     stars = met.where(F.col("m") > SHORT_LIST).select(F.col("lead").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     after = lambda x, i: F.filter(F.slice("s", i + 2, F.lit(SHORT_LIST)), lambda y: 100 * x["n"] >= percent * y["n"])
@@ -220,7 +220,7 @@ def _linked(nodes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent
 
 def _links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: edges that join what the links between the sets of each cluster join, from whole texts."""
-    sized = clusters.join(written(clusters.groupBy("root").count(), "cluster-sizes"), "root")
+    sized = clusters.join(written(clusters.groupBy("root").count(), "cluster-sizes", small=True), "root")
     cut = F.ceil(F.col("count") / BLOCK_ROWS)
     active = written(sized.select("node", "root", cut.cast("int").alias("cut")).join(sets.select("node", "k1"), "node"), "active")
 
@@ -280,10 +280,10 @@ def near_duplicates(docs: DataFrame, words_per_gram: int = 5, percent: int = 80,
     sets = written(
         prints.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("k1").alias("k1"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("tokens").alias("tokens")), "sets"
     )
-    clusters = written(components(_candidates(sets, percent)), "clusters")
+    clusters = written(components(_candidates(sets, percent)), "clusters", small=True)
     linked = components(_links(rows, sets, clusters, words_per_gram, percent))
-    named = written(linked.join(sets.select("node", "rep"), "node"), "linked")
-    ids = written(named.groupBy("root").agg(F.min("rep").alias("component_id")), "component-ids")
+    named = written(linked.join(sets.select("node", "rep"), "node"), "linked", small=True)
+    ids = written(named.groupBy("root").agg(F.min("rep").alias("component_id")), "component-ids", small=True)
     placed = named.select("node", "root").join(ids, "root").select("node", "component_id")
     all_ids = written(sets.select("node", "rep").join(placed, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")), "set-ids")
     return prints.select("doc_id", "k1", "node", F.col("n").alias("n_shingles")).join(all_ids, "node", "left").select(

@@ -75,8 +75,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     hosts = written(
         counted.where("host IS NOT NULL").groupBy("host").agg(
             F.count("*").alias("n"), *[F.sum(F.expr(rule).cast("long")).alias(f"f_{name}") for name, rule in RULES.items()]
-        ), "host-failures",
-    )
+        ), "host-failures", small=True)
     moments = hosts.agg(
         F.count("*").alias("hosts"), F.avg(F.lit(1) / F.col("n")).alias("inv"),
         *[F.expr(f"try_divide(sum(f_{r}), sum(n)) AS m_{r}") for r in RULES],
@@ -104,7 +103,7 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
     k1, k2 = fresh(docs, "_k1", "_k2")
     a, b = row_key(F.col(doc_id), F.col(text))
-    rejected = written(judge(docs, **options).where("NOT kept").select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct(), "rejected")
+    rejected = written(judge(docs, **options).where("NOT kept").select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct(), "rejected", small=True)
     return docs.withColumns({k1: a, k2: b}).join(rejected, [k1, k2], "left_anti").drop(k1, k2)
 
 
