@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "AGG5"
-MODULES: tuple[str, ...] = ("relational", "sequences")
+FLAGSHIP = "TXT8"
+MODULES: tuple[str, ...] = ("relational", "sequences", "texts")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
