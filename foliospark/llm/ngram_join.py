@@ -25,7 +25,8 @@ from foliospark.llm.textkernel import U64, lowered, mix, sliced, span_hashes, wo
 GRAM_BITS, WORD_BITS, SEGMENT = 21, 18, 1 << 14
 SHORT_LIST = 64  # postings up to here make pairs; longer ones a star, whose pairs are multiplied in blocks
 BLOCK_ROWS, BLOCK_COLUMNS = 1024, 4096
-BINS = 64
+FEW_BINS, MANY_BINS, LONG_SET = 64, 1024, 800  # a set of more than LONG_SET n-grams has MANY_BINS
+FILTER_BITS = 24
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +130,8 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
                 size = len(distinct)
                 n.append(size)
                 node.append(set_hash(distinct) if size else None)
-                bins.append(np.minimum(np.bincount((distinct >> U64(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+                top, number = (10, MANY_BINS) if size > LONG_SET else (6, FEW_BINS)
+                bins.append(np.minimum(np.bincount((distinct >> U64(64 - top)).astype(np.int64), minlength=number), 255).astype(np.uint8).tobytes())
                 take = size + (percent * size) // -100 + 1 if size else 0
                 tokens.append(distinct[np.lexsort((distinct, key))[:take]].view(np.int64))
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
@@ -140,26 +142,36 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
     return docs.select("doc_id", "k1", "text").mapInArrow(run, f"doc_id {kind}, k1 long, node long, n long, bins binary, tokens array<long>")
 
 
-def _candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: edges whose components hold every linked pair of sets. sets: node, n, bins, tokens, a row for each set."""
-    postings = sets.select("node", "n", F.explode("tokens").alias("t"))
-    shared = written(postings.groupBy("t").agg(F.count("*").alias("m"), F.min("node").alias("lead")).where("m > 1"), "shared-ngrams", small=True)
+def _candidates(prints: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges whose components hold every linked pair of sets. prints: node, n, tokens, for each row; sets: node, n, bins, for each set."""
+    postings = prints.select("node", "n", F.explode("tokens").alias("t"))
+    shared = written(postings.groupBy("t").agg(F.count("*").alias("m"), F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("t", "m", "lead"), "shared-ngrams", small=True)
     met = postings.join(shared, "t")
     stars = met.where(F.col("m") > SHORT_LIST).select(F.col("lead").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     after = lambda x, i: F.filter(F.slice("s", i + 2, F.lit(SHORT_LIST)), lambda y: 100 * x["n"] >= percent * y["n"])
     both = lambda x, i: F.transform(after(x, i), lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")))
     pairs = (
-        met.where(F.col("m") <= SHORT_LIST).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("s"))
+        met.where(F.col("m") <= SHORT_LIST).groupBy("t").agg(F.sort_array(F.collect_set(F.struct("n", "node"))).alias("s"))
         .select(F.explode(F.flatten(F.transform("s", both))).alias("p")).groupBy("p.a", "p.b").count()
     )
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets differ in as many n-grams as the counts of their bins do, or more."""
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int32) for i in (4, 5))
             n, m = (batch.column(i).to_numpy() for i in (2, 3))
-            need = -((-percent * (n + m)) // (100 + percent))
-            yield batch.filter(pa.array(np.abs(x - y).sum(1) <= n + m - 2 * need)).select([0, 1])
+            most = n + m + 2 * ((-percent * (n + m)) // (100 + percent))
+            raw = [batch.column(i).to_pylist() for i in (4, 5)]
+            wide = [np.array([len(x) == MANY_BINS for x in r], bool) for r in raw]
+            near = np.zeros(len(n), bool)
+            for both in ((False, False), (False, True), (True, False), (True, True)):
+                k = np.flatnonzero((wide[0] == both[0]) & (wide[1] == both[1]))
+                if len(k):
+                    x, y = (np.frombuffer(b"".join([r[i] for i in k]), np.uint8).reshape(len(k), -1).astype(np.int32) for r in raw)
+                    full = (x.max(1) == 255) | (y.max(1) == 255)
+                    if x.shape != y.shape:
+                        x, y = (v.reshape(len(k), FEW_BINS, -1).sum(2) for v in (x, y))
+                    near[k] = full | (np.abs(x - y).sum(1) <= most[k])
+            yield batch.filter(pa.array(near)).select([0, 1])
 
     few = sets.select("node", "n", "bins")
     a = few.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("bins").alias("x"))
@@ -218,21 +230,56 @@ def _linked(nodes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent
     return nodes[moved], nodes[label[moved]]
 
 
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """One bit for each hash of the keys (k1), on 2**FILTER_BITS of them: 2 MB for any number of keys."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            bits[_bit(batch.column(0))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([np.packbits(bits).tobytes()])], names=["task", "bits"])
+
+    def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        for blob in table.column("bits"):
+            total |= np.frombuffer(blob.as_py(), np.uint8)
+        return pa.table({"task": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([total.tobytes()])})
+
+    schema = "task long, bits binary"
+    parts, tasks = keys.mapInArrow(mark, schema), keys.rdd.getNumPartitions()
+    while tasks > 16:
+        parts = parts.withColumn("task", F.floor(F.col("task") / 16)).groupBy("task").applyInArrow(join, schema)
+        tasks = -(-tasks // 16)
+    total = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in parts.toLocalIterator():
+        total |= np.frombuffer(r.bits, np.uint8)
+    return np.unpackbits(total).astype(bool)
+
+
+def _bit(k1: pa.Array) -> np.ndarray:
+    return (mix(k1.to_numpy(zero_copy_only=False).astype(np.int64).view(U64)) >> U64(64 - FILTER_BITS)).astype(np.int64)
+
+
 def _links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b: edges that join what the links between the sets of each cluster join, from whole texts."""
+    """a, b: edges that join what the links between the sets of each cluster join, from whole texts.
+
+    A text whose key the filter lacks is in no cluster; the others' sets, not their texts, are shuffled.
+    """
     sized = clusters.join(written(clusters.groupBy("root").count(), "cluster-sizes", small=True), "root")
     cut = F.ceil(F.col("count") / BLOCK_ROWS)
-    active = written(sized.select("node", "root", cut.cast("int").alias("cut")).join(sets.select("node", "k1"), "node"), "active")
+    active = written(sized.select("node", "root", cut.cast("int").alias("cut")).join(sets.select("node", "k1"), "node"), "active", small=True)
+    held = docs.sparkSession.sparkContext.broadcast(_filter_of(active.select("k1")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in sliced(batches, 0):
-            found = [s for s, _ in _sets(data, offsets, k)]
-            same = [set_hash(s) == node if len(s) else False for s, node in zip(found, part.column(1).to_pylist(), strict=True)]
-            raw = pa.array([s.tobytes() for s in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], raw], names=["node", "root", "cut", "grams"]).filter(pa.array(same))
-
-    rows = docs.select("k1", "text").join(active.hint("shuffle_hash"), "k1").select("text", "node", "root", "cut")
-    rows = rows.mapInArrow(read, "node long, root long, cut int, grams binary")
+        maybe = held.value
+        for batch in batches:
+            some = batch.filter(pa.array(maybe[_bit(batch.column(1))]))
+            for part, data, offsets in sliced(iter([some]), 0):
+                found = [s for s, _ in _sets(data, offsets, k)]
+                node = pa.array([set_hash(s) if len(s) else None for s in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(1), node, pa.array([s.tobytes() for s in found], pa.binary())], names=["k1", "node", "grams"])
+
+    rows = docs.select("text", "k1").mapInArrow(read, "k1 long, node long, grams binary").join(active, ["k1", "node"])
     own = F.pmod(F.xxhash64("node"), F.col("cut")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), (own > j).cast("int").alias("side")))
     blocks = rows.select("root", "node", "grams", F.explode(met).alias("b")).select("root", "b.i", "b.j", "b.side", "node", "grams")
@@ -278,9 +325,9 @@ def near_duplicates(docs: DataFrame, words_per_gram: int = 5, percent: int = 80,
     sketch = _sketch(rows, words_per_gram)
     prints = written(_prefixes(rows, words_per_gram, percent, sketch), "prefixes")
     sets = written(
-        prints.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("k1").alias("k1"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("tokens").alias("tokens")), "sets"
+        prints.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("k1").alias("k1"), F.first("n").alias("n"), F.first("bins").alias("bins")), "sets", small=True
     )
-    clusters = written(components(_candidates(sets, percent)), "clusters", small=True)
+    clusters = written(components(_candidates(prints, sets, percent)), "clusters", small=True)
     linked = components(_links(rows, sets, clusters, words_per_gram, percent))
     named = written(linked.join(sets.select("node", "rep"), "node"), "linked", small=True)
     ids = written(named.groupBy("root").agg(F.min("rep").alias("component_id")), "component-ids", small=True)
