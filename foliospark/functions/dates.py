@@ -27,7 +27,7 @@ def parse_date(c: Column | str) -> Column:
     c = col(c)
     part = lambda pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
     iso, dmy = r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b"
-    long, month = rf"(?iu)\b(\d{{1,2}}) de ({_MONTH}) (?:de|del) (\d{{4}})\b", rf"(?iu)\b({_MONTH}) (?:de|del) (\d{{4}})\b"
+    long, month = rf"(?iu)\b(\d{{1,2}}) de ({_MONTH}) (?:de|del) (\d{{4}})\b", rf"(?iu)(?<!\d de )\b({_MONTH}) (?:de|del) (\d{{4}})\b"
     return F.coalesce(
         _date(part(iso, 1), part(iso, 2), part(iso, 3)), _date(part(dmy, 3), part(dmy, 2), part(dmy, 1)),
         _date(part(long, 3), _number(MONTHS, part(long, 2)), part(long, 1)), _date(part(month, 2), _number(MONTHS, part(month, 1)), F.lit("1")),
@@ -50,7 +50,7 @@ def repaired_year(day: Column | str) -> Column:
     y = F.year(d)
     late = F.regexp_replace(y.cast("string"), "^([^8]*)8", "$10").cast("int")
     year = F.when(y.between(1940, 1955), y + 70).when(y >= 2100, late).otherwise(y)
-    return F.try_make_date(year, F.month(d), F.day(d)) if hasattr(F, "try_make_date") else F.make_date(year, F.month(d), F.least(F.day(d), F.lit(28)))
+    return F.add_months(d, 12 * (year - y))
 
 
 def date_class(context: Column | str) -> Column:

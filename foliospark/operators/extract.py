@@ -43,37 +43,26 @@ def letter_numbers(text: Column | str) -> Column:
 def spans(pages: DataFrame, patterns: dict[str, str], around: int = 100, keep: tuple[str, ...] = ("page_id",), text: str = "text") -> DataFrame:
     """keep, kind, match, position (from 0), context: a row for each match of each pattern.
 
-    A pattern's matches cut the text into pieces, whose lengths give the positions, so no Python is needed.
+    Marks around the matches cut the text into pieces, whose lengths give the positions: one pass per pattern, in
+    the JVM. The marks are two control characters, for which a text that has them gets blanks.
     """
-    parts = []
-    for kind, p in patterns.items():
-        # a match and the text before it, one element for each match
-        found = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(.*?)({_inner(p)})"), F.lit(1))
-        match = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(.*?)({_inner(p)})"), F.lit(2))
-        parts.append(F.transform(F.arrays_zip(found.alias("b"), match.alias("m")), lambda x, k=kind: F.struct(F.lit(k).alias("kind"), x["b"].alias("b"), x["m"].alias("m"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,m:string,at:int>>").alias("all"))
-
-    def place(a: Column, x: Column) -> Column:
-        at = a["at"] + F.length(x["b"])
-        return F.struct((at + F.length(x["m"])).alias("at"), F.concat(a["all"], F.array(F.struct(x["kind"].alias("kind"), x["m"].alias("m"), at.alias("at")))).alias("all"))
-
-    placed = F.flatten(F.array(*[F.aggregate(p, zero, place, lambda a: a["all"]) for p in parts]))
+    body = F.translate(text, "\x01\x02", "  ")
+    placed = F.flatten(F.array(*[_placed(body, kind, p) for kind, p in patterns.items()]))
     rows = pages.select(*keep, text, F.inline(placed))
     lo = F.greatest(F.col("at") - around, F.lit(0))
     return rows.select(*keep, "kind", F.col("m").alias("match"), F.col("at").alias("position"), F.substring(F.col(text), lo + 1, F.col("at") + F.length("m") + around - lo).alias("context"))
 
 
-def _inner(pattern: str) -> str:
-    """The pattern with its groups not captured, so that the numbers of outer groups hold."""
-    out, i = [], 0
-    while i < len(pattern):
-        if pattern[i] == "\\":
-            out.append(pattern[i : i + 2])
-            i += 2
-            continue
-        out.append("(?:" if pattern[i] == "(" and pattern[i + 1 : i + 2] != "?" else pattern[i])
-        i += 1
-    return "".join(out)
+def _placed(body: Column, kind: str, pattern: str) -> Column:
+    """array<struct<kind, m, at>> of the matches."""
+    pieces = F.split(F.regexp_replace(body, pattern, "\x01$0\x02"), "\x01", -1)
+    zero = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast("array<struct<kind:string,m:string,at:int>>").alias("all"))
+
+    def place(a: Column, x: Column) -> Column:
+        found = F.struct(F.lit(kind).alias("kind"), F.substring_index(x, "\x02", 1).alias("m"), a["at"].alias("at"))
+        return F.struct((a["at"] + F.length(x) - 1).alias("at"), F.concat(a["all"], F.array(found)).alias("all"))
+
+    return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), zero, place, lambda a: a["all"])
 
 
 def dated(pages: DataFrame, now: str, **options) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "TXT8"
-MODULES: tuple[str, ...] = ("relational", "sequences", "texts")
+MODULES: tuple[str, ...] = ("relational", "sequences", "texts", "entities", "listings")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
