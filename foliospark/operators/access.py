@@ -36,7 +36,7 @@ def at_least(level: Column, wanted: str) -> Column:
 
 def without_empty(grants: DataFrame, flags: list[str]) -> DataFrame:
     """Grants that grant something."""
-    return grants.where(F.greatest(*[F.coalesce(F.col(f), F.lit(False)).cast("int") for f in flags]) > 0)
+    return grants.where(F.exists(F.array(*[F.coalesce(F.col(f), F.lit(False)) for f in flags]), lambda x: x))
 
 
 def granted_by_any(keys: list[DataFrame], on: str) -> DataFrame:
