@@ -72,10 +72,22 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     k1, k2 = row_key(F.col(doc_id), F.col(text))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
     counted = written(with_counts(own).drop("text"), "quality-counts")
+    failed = F.expr(BASE_FAILED)
+    return (
+        counted.join(host_rates(counted, min_hosts), F.col("host") == F.col("h"), "left")
+        .drop("h")
+        .withColumn("base_failed", failed)
+        .withColumn("kept", ~failed & (F.coalesce("host_rate", F.lit(0.0)) <= max_host_rate))
+    )
+
+
+def host_rates(counted: DataFrame, min_hosts: int = 2) -> DataFrame:
+    """h, host_rate: the largest of the shrunk failure rates of each host. counted: host and the counts."""
     hosts = written(
         counted.where("host IS NOT NULL").groupBy("host").agg(
             F.count("*").alias("n"), *[F.sum(F.expr(rule).cast("long")).alias(f"f_{name}") for name, rule in RULES.items()]
-        ), "host-failures", small=True)
+        ), "host-failures", small=True,
+    )
     moments = hosts.agg(
         F.count("*").alias("hosts"), F.avg(F.lit(1) / F.col("n")).alias("inv"),
         *[F.expr(f"try_divide(sum(f_{r}), sum(n)) AS m_{r}") for r in RULES],
@@ -88,23 +100,19 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
         strength = 0.0 if moments["hosts"] < min_hosts else 1e6 if spread <= 0 else max(0.0, min(1e6, m * (1 - m) / spread - 1))
         return (F.col(f"f_{rule}") + m * strength) / (F.col("n") + strength)
 
-    verdicts = hosts.select(F.col("host").alias("h"), F.greatest(*[shrunk(r) for r in RULES]).alias("host_rate"))
-    failed = F.expr(BASE_FAILED)
-    return (
-        counted.join(verdicts, F.col("host") == F.col("h"), "left")
-        .drop("h")
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (F.coalesce("host_rate", F.lit(0.0)) <= max_host_rate))
-    )
+    return hosts.select(F.col("host").alias("h"), F.greatest(*[shrunk(r) for r in RULES]).alias("host_rate"))
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that judge() keeps, with the columns of docs."""
-    doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
-    k1, k2 = fresh(docs, "_k1", "_k2")
-    a, b = row_key(F.col(doc_id), F.col(text))
-    rejected = written(judge(docs, **options).where("NOT kept").select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct(), "rejected", small=True)
-    return docs.withColumns({k1: a, k2: b}).join(rejected, [k1, k2], "left_anti").drop(k1, k2)
+def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = 0.75, min_hosts: int = 2) -> DataFrame:
+    """The rows of docs that judge() keeps, with the columns of docs.
+
+    The counts are made twice, for the hosts and for the rows, so that no text is shuffled.
+    """
+    rows = with_counts(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"), F.col(host).alias("host")))
+    judged = rows.join(host_rates(rows, min_hosts), F.col("host") == F.col("h"), "left")
+    good = F.expr(f"NOT ({BASE_FAILED})") & (F.coalesce("host_rate", F.lit(0.0)) <= max_host_rate)
+    # a filter would be pushed down and make the counts once for each of its terms, and again inside lambdas
+    return judged.select(F.explode(F.when(good, F.array("row")).otherwise(F.slice(F.array("row"), 1, 0))).alias("row")).select("row.*")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
