@@ -75,19 +75,21 @@ class BlockMaxIndex:
         bound = weight @ self.top[query]
         blocks = np.argsort(-bound, kind="stable")
         blocks = blocks[bound[blocks] > 0]
-        ids, sims, kth, at, width = np.zeros(0, np.int64), np.zeros(0), -1.0, 0, 4
+        post = np.concatenate([self.posts[t] for t in query])
+        part = np.concatenate([w * self.weights[t] for t, w in zip(query, weight, strict=True)])
+        of = post // BLOCK
+        ids, sims, kth, at, width = np.zeros(0, np.int64), np.zeros(0), -1.0, 0, 16
         while at < len(blocks) and bound[blocks[at]] + 1e-9 >= kth:
-            chosen = np.sort(blocks[at : at + width])
+            chosen = np.zeros(self.top.shape[1], bool)
+            chosen[blocks[at : at + width]] = True
             at, width = at + width, width * 2
-            slot = np.full(self.top.shape[1], -1)
-            slot[chosen] = np.arange(len(chosen))
-            sums = np.zeros(len(chosen) * BLOCK)
-            for t, w in zip(query, weight, strict=True):
-                s = slot[self.posts[t] // BLOCK]
-                np.add.at(sums, s[s >= 0] * BLOCK + self.posts[t][s >= 0] % BLOCK, w * self.weights[t][s >= 0])
-            found = np.flatnonzero(sums > 0)
-            ids = np.concatenate([ids, chosen[found // BLOCK] * BLOCK + found % BLOCK])
-            sims = np.concatenate([sims, sums[found]])
+            here = chosen[of]
+            sums = np.bincount(post[here], part[here], self.n)
+            found = np.flatnonzero(sums > max(0.0, kth - 1e-9))
+            ids, sims = np.concatenate([ids, found]), np.concatenate([sims, sums[found]])
+            if len(ids) > 4 * k:  # only those that can be among the k, ties with the k-th included
+                likely = sims >= np.partition(sims, len(sims) - k)[len(sims) - k] - 1e-9
+                ids, sims = ids[likely], sims[likely]
             best = np.lexsort((ids, -np.round(sims, 12)))[:k]
             ids, sims = ids[best], sims[best]
             kth = sims[-1] if len(ids) == k else -1.0
