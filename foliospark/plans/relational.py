@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import dates
@@ -336,7 +335,7 @@ def agg5(spark, d):
 @register("AGG6", f"SELECT folder, count(*) AS n_pages, sum(length(text))::BIGINT AS n_chars, (SELECT count(*) FROM documents) AS total FROM {P} GROUP BY folder")
 def agg6(spark, d):
     g = pages(spark, d).groupBy("folder").agg(F.count("*").alias("n_pages"), F.sum(F.length("text")).alias("n_chars"))
-    return g.withColumn("total", F.sum("n_pages").over(Window.partitionBy()))
+    return g.withColumn("total", g.agg(F.sum("n_pages")).scalar())
 
 
 @register("AGG7", "SELECT text_hash, count FROM (SELECT md5(text) AS text_hash, count(*) AS count FROM documents GROUP BY 1) WHERE count > 1")
@@ -384,7 +383,7 @@ def agg13(spark, d):
 @register("AGG14", f"SELECT engine, count(*) AS n, sum(confidence) AS total, round(avg(confidence), 4) AS mean, avg(confidence) = max(avg(confidence)) OVER () AS best FROM {P} GROUP BY engine")
 def agg14(spark, d):
     g = pages(spark, d).groupBy("engine").agg(F.count("*").alias("n"), F.sum("confidence").alias("total"), F.avg("confidence").alias("m"))
-    return g.select("engine", "n", "total", F.round("m", 4).alias("mean"), (F.col("m") == F.max("m").over(Window.partitionBy())).alias("best"))
+    return g.select("engine", "n", "total", F.round("m", 4).alias("mean"), (F.col("m") == g.agg(F.max("m")).scalar()).alias("best"))
 
 
 @register("AGG15", f"SELECT engine, sum(length(text))::BIGINT AS chars, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))::BIGINT AS words FROM {P} GROUP BY engine")
