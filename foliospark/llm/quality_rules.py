@@ -12,6 +12,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 BASE = {"short": "n_words < 50", "repetitive": "100 * n_repeat_words > 50 * n_words"}
 RULES = BASE | {"symbols": "10 * n_symbols > word_chars", "dup_lines": "10 * n_dup_lines > 3 * n_lines"}
 BASE_FAILED = " OR ".join(f"({rule})" for rule in BASE.values())
+#: Over host_rates(): the document fails a rule that its host fails often.
+HOST_FAILED = " OR ".join(f"(({rule}) AND coalesce(often_{name}, false))" for name, rule in RULES.items() if name not in BASE)
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -60,13 +62,15 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_host_rate: float = 0.75, min_hosts: int = 2) -> DataFrame:
-    """One row per row of docs: its id, the row key k1, k2, the counts, base_failed, host_rate and kept.
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_host_rate: float = 0.75, min_hosts: int = 2, by_document: bool = True) -> DataFrame:
+    """One row per row of docs: its id, the row key k1, k2, the counts, base_failed, host_rate, host_failed and kept.
 
     A document that fails a base rule is rejected. The failures of each rule are summed by host, and the
     rate of each host is shrunk towards the mean over hosts by a beta prior whose strength is fitted to the
     spread between hosts (method of moments). Where the shrunk rate of some rule is over max_host_rate, the
-    host is rejected with all its documents. A null host has no verdict of its own; with fewer than
+    host is rejected with all its documents. Where the shrunk rate of a rule is over the mean of the rules'
+    prior means, the host's documents that fail this rule are rejected (host_failed), and its others stay;
+    by_document=False leaves that out of kept. A null host has no verdict of its own; with fewer than
     min_hosts hosts there is no spread to fit, and rates stay raw. Repeated rows count each.
     """
     k1, k2 = row_key(F.col(doc_id), F.col(text))
@@ -75,14 +79,15 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     failed = F.expr(BASE_FAILED)
     return (
         counted.join(host_rates(counted, min_hosts), F.col("host") == F.col("h"), "left")
-        .drop("h")
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (F.coalesce("host_rate", F.lit(0.0)) <= max_host_rate))
+        .withColumns({"base_failed": failed, "host_failed": F.expr(HOST_FAILED)})
+        .drop("h", *[f"often_{name}" for name in RULES])
+        .withColumn("kept", ~failed & ~(F.col("host_failed") & F.lit(by_document)) & (F.coalesce("host_rate", F.lit(0.0)) <= max_host_rate))
     )
 
 
 def host_rates(counted: DataFrame, min_hosts: int = 2) -> DataFrame:
-    """h, host_rate: the largest of the shrunk failure rates of each host. counted: host and the counts."""
+    """h, host_rate: the largest of the shrunk failure rates of each host; often_ and each rule: its rate is over
+    the mean of the rules' prior means. counted: host and the counts."""
     hosts = written(
         counted.where("host IS NOT NULL").groupBy("host").agg(
             F.count("*").alias("n"), *[F.sum(F.expr(rule).cast("long")).alias(f"f_{name}") for name, rule in RULES.items()]
@@ -100,7 +105,9 @@ def host_rates(counted: DataFrame, min_hosts: int = 2) -> DataFrame:
         strength = 0.0 if moments["hosts"] < min_hosts else 1e6 if spread <= 0 else max(0.0, min(1e6, m * (1 - m) / spread - 1))
         return (F.col(f"f_{rule}") + m * strength) / (F.col("n") + strength)
 
-    return hosts.select(F.col("host").alias("h"), F.greatest(*[shrunk(r) for r in RULES]).alias("host_rate"))
+    level = sum(moments[f"m_{r}"] or 0.0 for r in RULES) / len(RULES)
+    often = [(shrunk(r) > level).alias(f"often_{r}") for r in RULES]
+    return hosts.select(F.col("host").alias("h"), F.greatest(*[shrunk(r) for r in RULES]).alias("host_rate"), *often)
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = 0.75, min_hosts: int = 2) -> DataFrame:
@@ -110,14 +117,15 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_hos
     """
     rows = with_counts(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"), F.col(host).alias("host")))
     judged = rows.join(host_rates(rows, min_hosts), F.col("host") == F.col("h"), "left")
-    good = F.expr(f"NOT ({BASE_FAILED})") & (F.coalesce("host_rate", F.lit(0.0)) <= max_host_rate)
+    good = F.expr(f"NOT ({BASE_FAILED}) AND NOT ({HOST_FAILED})") & (F.coalesce("host_rate", F.lit(0.0)) <= max_host_rate)
     # a filter would be pushed down and make the counts once for each of its terms, and again inside lambdas
     return judged.select(F.explode(F.when(good, F.array("row")).otherwise(F.slice(F.array("row"), 1, 0))).alias("row")).select("row.*")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """kept as SQL has it, where only whole hosts are rejected; the pipeline goes by the document too."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return judge(docs).select("doc_id", *COUNTS, "base_failed", "kept")
+    return judge(docs, by_document=False).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 #: The strength of the prior and the shrunk rates as in judge(), for DuckDB.

@@ -47,6 +47,24 @@ def test_hosts_are_shrunk_and_rejected(spark):
     assert not got[2000] and got[2001] and all(got[i] for i in range(200))
 
 
+def test_hosts_reject_documents_of_frequent_failures(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    junk = good + " " + "# " * 30
+    rows = [(i, good, f"h{i % 4}") for i in range(400)] + [(1000 + i, junk if i < 40 else good, "junk") for i in range(100)]
+    rows += [(2000 + i, junk if i < 1 else good, "mixed") for i in range(100)] + [(3000, junk, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r[0] for r in rows} - set(range(1000, 1040))
+    assert {r.doc_id for r in quality_rules.judge(docs).where("kept").collect()} == want
+    assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == want
+
+
+def test_even_hosts_reject_failing_documents(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, good + " " + "# " * 30 if i % 15 == 0 else good, f"h{i % 4}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {i for i in range(600) if i % 15}
+
+
 def test_lines(docs, none):
     out = line_dedup.dedup_lines(docs, min_docs=3)
     assert out.count() == len(ROWS)
