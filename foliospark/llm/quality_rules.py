@@ -20,26 +20,21 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     r"""docs and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (all long).
 
     Null counts as empty: no words, one line without words. Columns so named are replaced.
-    Repeats in a text of n words: each 3-word window becomes one long, its hash above its position (which
-    takes as few bits as n needs), the longs are sorted as primitives, and neighbours with equal hashes
-    give the positions that are covered. So a long text takes n log n steps in one row and no shuffle.
+    Repeats in a text of n words: each 3-word window becomes its 64-bit hash and its position, these are sorted,
+    and neighbours with equal hashes give the positions that are covered. So a long text takes n log n steps in
+    one row and no shuffle.
     """
-    body, words, hashes, bits, wins, again, lines = fresh(docs, "_t", "_w", "_h", "_b", "_s", "_r", "_l")
+    body, words, hashes, wins, again, lines = fresh(docs, "_t", "_w", "_h", "_s", "_r", "_l")
     c = F.col
 
-    def packed(h: Column, i: Column) -> Column:
-        mixed = F.xxhash64(h, F.get(c(hashes), i + 1), F.get(c(hashes), i + 2))
-        return F.call_function("shiftleft", mixed, c(bits)).bitwiseOR(i.cast("long"))
-
-    def position(x: Column) -> Column:
-        return x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), c(bits)) - 1).cast("int")
+    def window(h: Column, i: Column) -> Column:
+        return F.struct(F.xxhash64(h, F.get(c(hashes), i + 1), F.get(c(hashes), i + 2)).alias("h"), i.alias("i"))
 
     def shared(x: Column, i: Column) -> Column:
-        h = F.call_function("shiftright", x, c(bits))
-        near = lambda j: F.coalesce(F.call_function("shiftright", F.get(c(wins), j), c(bits)) == h, F.lit(False))
+        near = lambda j: F.coalesce(F.get(c(wins), j)["h"] == x["h"], F.lit(False))
         return near(i - 1) | near(i + 1)
 
-    covered = F.array_distinct(F.flatten(F.transform(c(again), lambda x: F.array(position(x), position(x) + 1, position(x) + 2))))
+    covered = F.array_distinct(F.flatten(F.transform(c(again), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(WS))
     own = [x for x in docs.columns if x not in (*COUNTS, "n_lines")]
     return (
@@ -48,8 +43,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn(words, F.when(c(body) == "", F.array().cast("array<string>")).otherwise(F.split(body, WS_CLASS + "+", -1)))
         .withColumn(lines, F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
         .withColumns({hashes: F.transform(words, lambda w: F.xxhash64(w)), "n_words": F.size(words).cast("long"), "word_chars": F.length(F.array_join(words, "")).cast("long")})
-        .withColumn(bits, F.ceil(F.log2(F.col("n_words") + 1)).cast("int"))
-        .withColumn(wins, F.sort_array(F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 2, F.lit(0))), packed)))
+        .withColumn(wins, F.sort_array(F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 2, F.lit(0))), window)))
         .withColumn(again, F.filter(wins, shared))
         .withColumn("_worded", F.filter(lines, lambda x: F.btrim(x, F.lit(WS)) != ""))
         .select(

@@ -40,6 +40,13 @@ def test_repeats_of_long_texts(spark):
     assert {r.doc_id: r.n_repeat_words for r in quality_rules.with_counts(df).collect()} == {1: 6, 2: 5000, 3: 0}
 
 
+def test_windows_of_long_texts_keep_their_whole_hashes(spark):
+    """The two windows' hashes differ only in the top 17 bits."""
+    text = " ".join(["p4911286 x y", *(f"f{i}" for i in range(70_000)), "p15094159 x y"])
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert quality_rules.with_counts(df).first().n_repeat_words == 0
+
+
 def test_hosts_are_shrunk_and_rejected(spark):
     good, bad = " ".join(f"w{i}" for i in range(60)), "few words"
     rows = [(i, good, f"h{i % 4}") for i in range(200)] + [(1000 + i, bad, "bad") for i in range(99)] + [(2000, good, "bad"), (2001, good, "lone"), (2002, bad, "lone2")]
