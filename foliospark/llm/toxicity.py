@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,6 +15,8 @@ from foliospark.llm.examples import fold, sampled
 from foliospark.llm.textkernel import U64, sliced, terms, terms_of
 
 BLOCK = 64
+#: The weight of a term that does not go with the label, to one that does.
+LEAST = 0.01
 MEMO = 50_000
 
 
@@ -28,9 +31,9 @@ def known_terms(hashes: np.ndarray, at: np.ndarray, vocabulary: np.ndarray) -> t
     return pair // len(vocabulary), pair % len(vocabulary), count
 
 
-def choose_terms(hashes: np.ndarray, at: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """The terms whose presence goes with the label, at most most of them: of m terms those with a likelihood
-    ratio G of 1.5 ln m or more, which chance gives to few (fewer still, as counts are whole numbers)."""
+def likelihood_ratios(hashes: np.ndarray, at: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All terms, and of each the likelihood ratio G of its presence and the label as a share of 1.5 ln m for m
+    terms, which chance gives to few (fewer still, as counts are whole numbers)."""
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     term, where = np.unique(hashes, return_inverse=True)
     pair = np.unique(row * len(term) + where)
@@ -44,47 +47,62 @@ def choose_terms(hashes: np.ndarray, at: np.ndarray, y: np.ndarray, most: int) -
 
     b, c, d = both - a, n1 - a, n - n1 - (both - a)
     g = 2 * (part(a, both * n1 / n) + part(b, both * (n - n1) / n) + part(c, (n - both) * n1 / n) + part(d, (n - both) * (n - n1) / n))
-    good = np.flatnonzero(g >= 1.5 * np.log(max(len(term), 2)))
+    return term, g / (1.5 * np.log(max(len(term), 2)))
+
+
+def choose_terms(hashes: np.ndarray, at: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """The terms whose presence goes with the label (likelihood_ratios() of 1 or more), at most most of them."""
+    term, g = likelihood_ratios(hashes, at, y)
+    good = np.flatnonzero(g >= 1)
     return np.sort(term[good[np.lexsort((term[good], -g[good]))][:most]])
 
 
+def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The whole numbers of all ranges from starts to ends, one range after the other."""
+    size = ends - starts
+    return np.repeat(ends - np.cumsum(size), size) + np.arange(size.sum())
+
+
 @dataclass
 class BlockMaxIndex:
-    """Postings of unit TF-IDF vectors by term, and the greatest weight of each term in each block of examples."""
+    """Postings of unit TF-IDF vectors by term and block of examples, with the greatest weight of each such list."""
 
     n: int
-    posts: list[np.ndarray]
-    weights: list[np.ndarray]
+    row: np.ndarray
+    value: np.ndarray
+    at: np.ndarray  # where the list of each term and block starts among the postings, and the end
+    block: np.ndarray
     top: np.ndarray
+    cuts: np.ndarray  # where the lists of each term start, and the end
 
     @classmethod
     def build(cls, n: int, n_terms: int, row: np.ndarray, term: np.ndarray, value: np.ndarray) -> BlockMaxIndex:
         order = np.lexsort((row, term))
         row, term, value = row[order], term[order], value[order]
-        cuts = np.searchsorted(term, np.arange(n_terms + 1))
-        top = np.zeros((n_terms, -(-n // BLOCK)), np.float64)
-        np.maximum.at(top, (term, row // BLOCK), value)
-        pieces = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return cls(n, [row[p] for p in pieces], [value[p] for p in pieces], top)
+        key = term * (n // BLOCK + 1) + row // BLOCK
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        top = np.maximum.reduceat(value, starts) if len(starts) else np.zeros(0)
+        return cls(n, row.astype(np.int32), value, np.append(starts, len(row)), row[starts] // BLOCK, top, np.searchsorted(term[starts], np.arange(n_terms + 1)))
 
     def nearest(self, query: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine above 0 (ties: the first examples) and their cosines, exactly.
 
         Blocks come by falling upper bound; the search ends when no block left can reach the k-th cosine.
         """
-        bound = weight @ self.top[query]
+        lists = spans(self.cuts[query], self.cuts[query + 1])
+        w, of = np.repeat(weight, self.cuts[query + 1] - self.cuts[query]), self.block[lists]
+        bound = np.bincount(of, w * self.top[lists], self.n // BLOCK + 1)
         blocks = np.argsort(-bound, kind="stable")
         blocks = blocks[bound[blocks] > 0]
-        post = np.concatenate([self.posts[t] for t in query])
-        part = np.concatenate([w * self.weights[t] for t, w in zip(query, weight, strict=True)])
-        of = post // BLOCK
         ids, sims, kth, at, width = np.zeros(0, np.int64), np.zeros(0), -1.0, 0, 16
         while at < len(blocks) and bound[blocks[at]] + 1e-9 >= kth:
-            chosen = np.zeros(self.top.shape[1], bool)
+            chosen = np.zeros(len(bound), bool)
             chosen[blocks[at : at + width]] = True
             at, width = at + width, width * 2
             here = chosen[of]
-            sums = np.bincount(post[here], part[here], self.n)
+            a, b = self.at[lists[here]], self.at[lists[here] + 1]
+            post = spans(a, b)
+            sums = np.bincount(self.row[post], np.repeat(w[here], b - a) * self.value[post], self.n)
             found = np.flatnonzero(sums > max(0.0, kth - 1e-9))
             ids, sims = np.concatenate([ids, found]), np.concatenate([sims, sums[found]])
             if len(ids) > 4 * k:  # only those that can be among the k, ties with the k-th included
@@ -101,7 +119,7 @@ class NearestExamples:
     """Examples with labels, their index, and the calibration of votes."""
 
     vocabulary: np.ndarray
-    idf: np.ndarray
+    idf: np.ndarray  # times the weight by label of the term
     index: BlockMaxIndex
     keys: np.ndarray
     y: np.ndarray
@@ -155,7 +173,8 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text: str = "t
         for part, data, offsets in sliced(batches, 0):
             sums += np.bincount(known_terms(*terms(data, offsets), vocabulary)[1], minlength=len(vocabulary))
             rows += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(vocabulary)), -1)), pa.array(np.append(sums, rows))], names=["term", "n"])
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(sums[some], rows))], names=["term", "n"])
 
     got = docs.select(text).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas().set_index("term").n
     return got.reindex(np.arange(len(vocabulary)), fill_value=0).to_numpy(), int(got.get(-1, 0))
@@ -163,12 +182,13 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text: str = "t
 
 def train_toxicity(
     docs: DataFrame, labels: DataFrame, corpus: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text",
-    per_class: int = 2000, most_terms: int = 2048, k: int = 25,
+    per_class: int = 2000, k: int = 25,
 ) -> NearestExamples:
     """Examples from about per_class labelled rows of each class (at most twice that) with whole texts.
 
     docs and labels: rows that may be learned from; labels of 0 and 1, others are left out, a document with two
-    labels is two examples. corpus: the texts whose document frequencies give the idf, all of them.
+    labels is two examples. corpus: the texts whose document frequencies give the idf, all of them. All terms of
+    the examples are indexed; their idf is multiplied by likelihood_ratios(), from LEAST to 1.
     """
     rows, counts = sampled(docs, labels.where(F.col(label).isin(0, 1)), label, per_class, key, text)
     y = rows[label].to_numpy(float)
@@ -176,13 +196,13 @@ def train_toxicity(
     weight = np.array([counts.get(int(c), 0) / sizes[int(c)] for c in y]) if len(y) else np.zeros(0)
     base = float((weight @ y) / weight.sum()) if len(y) else 0.0
     hashes, at = terms_of(rows[text].tolist())
-    vocabulary = choose_terms(hashes, at, y, most_terms) if len(y) and 0 < y.sum() < len(y) else np.zeros(0, U64)
+    vocabulary, ratio = likelihood_ratios(hashes, at, y) if len(y) else (np.zeros(0, U64), np.zeros(0))
     df, n = document_frequencies(corpus, vocabulary, text) if len(vocabulary) else (np.zeros(0), 0)
-    idf = np.log((1 + n) / (1 + df)) + 1e-3
+    idf = (np.log((1 + n) / (1 + df)) + 1e-3) * np.clip(ratio, LEAST, 1.0)
     row, term, count = known_terms(hashes, at, vocabulary)
     value = (1 + np.log(count)) * idf[term]
     norm = np.sqrt(np.bincount(row, value * value, len(y)))
-    index = BlockMaxIndex.build(len(y), len(vocabulary), row, term, value / norm[row]) if len(y) else BlockMaxIndex(0, [], [], np.zeros((0, 0)))
+    index = BlockMaxIndex.build(len(y), len(vocabulary), row, term, value / norm[row])
     bare = norm == 0
     none = float((weight[bare] @ y[bare] + base) / (weight[bare].sum() + 1)) if bare.any() else base
     model = NearestExamples(vocabulary, idf, index, rows[key].fillna(-1).to_numpy(np.int64), y, weight, none, base, k)
@@ -197,7 +217,7 @@ def train_toxicity(
 def score_toxicity(docs: DataFrame, model: NearestExamples, text: str = "text") -> DataFrame:
     """docs without text, and score, predicted, evidence (key and cosine of up to three examples); columns so named go.
 
-    A text without a known term, an empty and a null one too, gets the rate of label 1 among such examples
+    A text that shares no term with any example, an empty and a null one too, gets the rate of label 1 among such examples
     and no evidence. Whole texts are read. The model is bounded by its numbers of examples and terms.
     """
     own = [c for c in docs.columns if c not in (text, "score", "predicted", "evidence")]
@@ -212,7 +232,7 @@ def score_toxicity(docs: DataFrame, model: NearestExamples, text: str = "text")
             cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
             for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
                 t, c = term[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]]
-                same = t.tobytes() + c.tobytes()
+                same = hashlib.blake2b(t.tobytes() + c.tobytes(), digest_size=16).digest()
                 if same not in model.memo:
                     if len(model.memo) >= MEMO:
                         model.memo.clear()

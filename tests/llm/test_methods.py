@@ -108,6 +108,15 @@ def test_held_out_toxicity(spark):
     assert found.get((0, 1), 0) <= 0.05 * found[(0, 0)] and found[(1, 1)] >= found.get((1, 0), 0)
 
 
+def test_texts_without_telling_terms_are_searched(spark):
+    rows = [(i, f"idiot a{i} b{i}" if i % 2 else f"c{i} d{i}") for i in range(200)] + [(200, "zork quux c2 c4"), (201, "Zork, quux"), (202, "nowhere"), (203, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(200, 1)], "doc_id long, toxic int")
+    model = toxicity.train_toxicity(docs, labels, docs)
+    got = {r.doc_id: [e.key for e in r.evidence] for r in toxicity.score_toxicity(docs.where("doc_id > 200"), model).collect()}
+    assert got == {201: [200], 202: [], 203: []}
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(5)
     x = rng.random((500, 40)) * (rng.random((500, 40)) < 0.15)
