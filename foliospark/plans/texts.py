@@ -232,7 +232,7 @@ _each("STR14", None, lambda: T.changed_words("text", F.regexp_replace("text", "i
 _each("STR15", "md5(text) AS md5, sha256(text) AS sha", lambda: F.md5("text").alias("md5"), lambda: F.sha2("text", 256).alias("sha"))
 _each("STR16", "regexp_replace(regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+', '') AS file_name", lambda: T.safe_name(F.substring("text", 1, 40)).alias("file_name"))
 _each("STR18", "folder || ' / ' || engine || ': ' || (confidence::BIGINT) AS title", lambda: F.format_string("%s / %s: %d", F.col("folder"), F.col("engine"), F.col("confidence").cast("long")).alias("title"))
-_each("STR20", None, lambda: T.masked_number("text").alias("masked"), lambda: T.initials(F.substring("text", 1, 40)).alias("initials"))
+_each("STR20", None, lambda: T.masked_number("text").alias("masked"), lambda: T.initials(F.col("text")).alias("initials"))
 
 
 @register("STR17", "SELECT * FROM (VALUES ('uno', 1), ('Quince', 15), ('treinta y uno', 31), ('cien', NULL)) v(word, day)")

@@ -136,3 +136,10 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.replace_groups(both, str(tmp_path / "out"), "g")
     sinks.replace_groups(both.where("g = 2").withColumn("v", F.lit("c")), str(tmp_path / "out"), "g")
     assert values(spark.read.parquet(str(tmp_path / "out")), "g", "v") == [(1, "a"), (2, "c")]
+
+
+def test_initials_of_whole_texts(spark, tmp_path):
+    from foliospark.plans import registry
+
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(1).withColumn("text", F.lit("ann " * 20 + "Zoe Yu")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.queries()["STR20"](spark, str(tmp_path)).first().initials.endswith("Z.Y.")
