@@ -27,11 +27,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that 5-gram similarities of 0.8 or more join, that with the smallest doc_id stays."""
+    """Of the documents that 5-gram similarities of 0.8 or more join, that with the smallest doc_id stays, once.
+
+    Null ids come last, equal ones go by their row key. A repeated row is one of the group; texts without words all stay.
+    """
     (k1,) = fresh(docs, "_k1")
-    found = ngram_join.near_duplicates(docs)
-    gone = written(found.where("component_id <> doc_id").select(F.col("k1").alias(k1)).distinct(), "near-duplicates")
-    return docs.withColumn(k1, row_key(F.col("doc_id"), F.col("text"))[0]).join(gone, k1, "left_anti").drop(k1)
+    found = written(ngram_join.near_duplicates(docs).where("component IS NOT NULL").select("component", "doc_id", "k1"), "near-duplicates")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1")
+    best = written(found.groupBy("component").agg(F.count("*").alias("n"), F.min(rank)["k1"].alias("best")).where("n > 1"), "groups", small=True)
+    gone = written(found.join(best, "component").where("k1 <> best").select(F.col("k1").alias(k1)).distinct(), "gone")
+    again = written(found.groupBy("k1").count().where("count > 1").select(F.col("k1").alias(k1)), "repeated", small=True)
+    left = docs.withColumn(k1, row_key(F.col("doc_id"), F.col("text"))[0]).join(gone, k1, "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = left.join(again, k1, "left_semi").groupBy(k1).agg(F.first(whole).alias("row")).select("row.*")
+    return left.join(again, k1, "left_anti").drop(k1).unionByName(once)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -309,13 +309,14 @@ def _links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: int, percen
 
 
 def near_duplicates(docs: DataFrame, words_per_gram: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, k1: one row per row of docs.
+    """doc_id, n_shingles, component_id, k1, component: one row per row of docs.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. The set of a text: its distinct n-grams of
     words_per_gram words, or all its words as one when they are fewer. Texts link when 100 * overlap >=
     percent * union. component_id is the smallest doc_id that links reach, its own included. A null, empty or
     wordless text links with nothing and stands alone, with its own id (also where ids repeat); equal sets
     count as linked; a null id is ignored among others. k1 is row_key(doc_id, text)[0].
+    component tells components apart, also those of one component_id; null where a text has no words.
 
     n-grams and sets are told apart by 64-bit hashes. Equal sets are one row from the start. The candidates'
     components are cut into blocks of BLOCK_ROWS sets; a component of c sets takes (c / BLOCK_ROWS)**2 / 2
@@ -331,13 +332,13 @@ def near_duplicates(docs: DataFrame, words_per_gram: int = 5, percent: int = 80,
     linked = components(_links(rows, sets, clusters, words_per_gram, percent))
     named = written(linked.join(sets.select("node", "rep"), "node"), "linked", small=True)
     ids = written(named.groupBy("root").agg(F.min("rep").alias("component_id")), "component-ids", small=True)
-    placed = named.select("node", "root").join(ids, "root").select("node", "component_id")
-    all_ids = written(sets.select("node", "rep").join(placed, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")), "set-ids")
+    placed = named.select("node", "root").join(ids, "root").select("node", "component_id", "root")
+    all_ids = written(sets.select("node", "rep").join(placed, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("root", "node").alias("component")), "set-ids")
     return prints.select("doc_id", "k1", "node", F.col("n").alias("n_shingles")).join(all_ids, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "k1"
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "k1", "component"
     )
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs, words_per_gram=3, percent=90).drop("k1")
+    return near_duplicates(docs, words_per_gram=3, percent=90).drop("k1", "component")

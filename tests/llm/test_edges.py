@@ -72,6 +72,15 @@ def test_even_hosts_reject_failing_documents(spark):
     assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {i for i in range(600) if i % 15}
 
 
+def test_one_row_of_each_near_duplicate_group_stays(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, a), (1, a + " tail"), (None, a), (2, a), (None, b), (None, b), (1, "other words"), (7, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert len([g for g in got if g[0] == 1 and (g[1] or "").startswith("a0")]) == 1
+    assert sorted(map(str, got)) == sorted(map(str, [*[g for g in got if g[0] == 1 and g[1].startswith("a0")], (None, b), (1, "other words"), (7, None), (7, None)]))
+
+
 def test_lines(docs, none):
     out = line_dedup.dedup_lines(docs, min_docs=3)
     assert out.count() == len(ROWS)
