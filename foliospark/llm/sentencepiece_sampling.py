@@ -8,6 +8,7 @@ All chunks of a slice move in lockstep, as arrays.
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +23,7 @@ from foliospark.llm.textkernel import U64, mix, power_tables, sliced
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
 _B = 0x9E3779B97F4A7C15
+BEGIN_BITS = 22
 
 
 @dataclass
@@ -34,9 +36,11 @@ class Vocabulary:
     bytes_: np.ndarray
     longest: int
     joined: np.ndarray  # code points (below 0x110001) that occur in pieces of two or more
-    pieces: list[bytes | int]
+    pieces: list[bytes]
     seen: np.ndarray  # which leading 20 bits some key has
-    begins: np.ndarray  # which leading 24 bits the proper prefixes of pieces have
+    begins: np.ndarray  # which leading BEGIN_BITS the proper prefixes of pieces have
+    spelled: np.ndarray  # the bytes of all pieces, and where those of each start
+    spelled_at: np.ndarray
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -59,14 +63,14 @@ class Vocabulary:
             raise ValueError(f"{path} has no piece for some byte; decoding would not be lossless")
         if any(chr(SPACE) in p.lstrip(chr(SPACE)) for p, _, _ in normal):
             raise ValueError(f"{path} has pieces with a space inside")
-        sizes, begins = np.array([len(p) for p, _, _ in normal]), np.zeros(1 << 24, bool)
+        sizes, begins = np.array([len(p) for p, _, _ in normal]), np.zeros(1 << BEGIN_BITS, bool)
         letters = np.zeros((len(normal), sizes.max()), np.uint32)
         letters[np.arange(sizes.max()) < sizes[:, None]] = np.frombuffer("".join(p for p, _, _ in normal).encode("utf-32-le"), np.uint32)
         hashes = np.zeros(len(normal), U64)
         for i in range(sizes.max()):
             k = np.flatnonzero(sizes > i)
             hashes[k] = mix(hashes[k] * U64(_B) + letters[k, i])
-            begins[(hashes[sizes > i + 1] >> U64(40)).astype(np.int64)] = True
+            begins[(hashes[sizes > i + 1] >> U64(64 - BEGIN_BITS)).astype(np.int64)] = True
         order = np.argsort(hashes)
         joined = np.zeros(0x110002, bool)
         for p, _, _ in normal:
@@ -74,7 +78,12 @@ class Vocabulary:
                 joined[[ord(c) for c in p]] = True
         seen = np.zeros(1 << 20, bool)
         seen[(hashes >> U64(44)).astype(np.int64)] = True
-        return cls(hashes[order], np.array([i for _, i, _ in normal], np.int32)[order], np.array([s for _, _, s in normal])[order], byte_ids, int(sizes.max()), joined, pieces, seen, begins)
+        raw = [bytes([p]) if isinstance(p, int) else p for p in pieces]
+        spelled_at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        return cls(
+            hashes[order], np.array([i for _, i, _ in normal], np.int32)[order], np.array([s for _, _, s in normal])[order], byte_ids, int(sizes.max()), joined, raw, seen, begins,
+            np.frombuffer(b"".join(raw), np.uint8), spelled_at,
+        )
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are keys, and their positions among these."""
@@ -123,30 +132,21 @@ def sample(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: Vocabular
     sums = np.zeros(n + 1, U64)
     np.cumsum(mix(points.astype(U64)) * up[:n], out=sums[1:])
     h = mix((sums[starts + lengths] - sums[starts]) * down[starts] + lengths.astype(U64) * U64(_B))
-    distinct, first, kind, often = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    cache = _caches.setdefault((id(v), alpha), _Cache(v, alpha))
-    base, piece, reached = cache.nodes(distinct, often > 1, points, starts[first], lengths[first])
+    _, first, kind = np.unique(h, return_index=True, return_inverse=True)
+    longest_first = np.argsort(-lengths[first], kind="stable")
+    lane = np.empty(len(first), np.int64)
+    lane[longest_first] = np.arange(len(first))
+    lane = lane[kind]
+    lattice = Lattice.filtered(points, starts[first[longest_first]], lengths[first[longest_first]], v, alpha)
     # sample backward, a draw for each piece, all chunks together
-    low = base[kind]
-    node = low + lengths
     rank = np.arange(len(starts)) - np.repeat(in_row[:-1], np.diff(in_row))
-    draw_key = mix(mix(np.repeat(keys, np.diff(in_row)) + U64(seed)) + rank.astype(U64))
-    live, taken, step = np.arange(len(starts)), [], 0
-    count = np.zeros(len(starts), np.int64)
-    while len(live):
-        u = (mix(draw_key[live] + U64(step + 1)) >> U64(40)).astype(np.float32) * np.float32(2.0**-24)
-        where = node[live]
-        size = (reached[where] <= u[:, None]).sum(1)
-        taken.append((live, piece[where, size], where - size - 1 - low[live]))
-        node[live] = where - size - 1
-        count[live] += 1
-        live = live[node[live] > low[live]]
-        step += 1
+    draws = mix(mix(np.repeat(keys, np.diff(in_row)) + U64(seed)) + rank.astype(U64))
+    chunk, piece, where, step = lattice.sampled(lane, lengths, draws)
+    count = np.bincount(chunk, minlength=len(starts))
     end = np.cumsum(count)
     ids, inner = np.empty(end[-1], np.int32), np.empty(end[-1], np.int64)
-    for i, (chunks, pieces, offset) in enumerate(taken):
-        to = end[chunks] - 1 - i
-        ids[to], inner[to] = pieces, offset
+    to = end[chunk] - 1 - step
+    ids[to], inner[to] = piece, where
     pieces_to = np.concatenate([[0], end])[in_row]
     spelled = np.flatnonzero(ids == SPELLED)
     if not len(spelled):
@@ -168,101 +168,122 @@ def sample(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, v: Vocabular
     return out, moved[pieces_to]
 
 
-class _Cache:
-    """Lattices of chunks by their hash. Those that a slice has twice are kept, up to LIMIT nodes, which bounds a
-    worker's memory; those met once stand behind them until the next slice."""
-
-    LIMIT = 400_000
-
-    def __init__(self, v: Vocabulary, alpha: float):
-        self.v, self.alpha = v, alpha
-        self.piece, self.reached = np.zeros((0, v.longest), np.int32), np.zeros((0, v.longest), np.float32)
-        self.wide = 1
-        self.clear()
-
-    def clear(self) -> None:
-        self.hashes, self.bases, self.used = np.zeros(0, U64), np.zeros(0, np.int64), 0
-
-    def _append(self, at: int, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, int]:
-        base, piece, reached = _filter_forward(points, starts, lengths, self.v, self.alpha)
-        end, wide = at + len(piece), piece.shape[1]
-        self.wide = max(self.wide, wide)
-        if end > len(self.piece):
-            for name in ("piece", "reached"):
-                old = getattr(self, name)
-                more = np.ones((end + end // 4, old.shape[1]), old.dtype)
-                more[:at] = old[:at]
-                setattr(self, name, more)
-        self.piece[at:end, :wide] = piece
-        self.reached[at:end, :wide] = reached
-        self.reached[at:end, wide:] = 1
-        return at + base, end
-
-    def nodes(self, hashes: np.ndarray, often: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The first node of each chunk (hashes ascending), and the arrays of _filter_forward() of all nodes."""
-        if self.used > self.LIMIT:
-            self.clear()
-        at = np.searchsorted(self.hashes, hashes)
-        known = np.append(self.hashes, U64(0))[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
-        out = np.zeros(len(hashes), np.int64)
-        out[known] = self.bases[at[known]]
-        end = self.used
-        for keep in (True, False):
-            new = np.flatnonzero(~known & (often == keep))
-            if not len(new):
-                continue
-            new = new[np.argsort(-lengths[new], kind="stable")]
-            out[new], end = self._append(end, points, starts[new], lengths[new])
-            if keep:
-                new = np.sort(new)
-                self.hashes = np.insert(self.hashes, at[new], hashes[new])
-                self.bases = np.insert(self.bases, at[new], out[new])
-                self.used = end
-        return out, self.piece[:, : self.wide], self.reached[:, : self.wide]
-
-
-_caches: dict[tuple[int, float], _Cache] = {}
-
-#: Stand for a character that is spelled in bytes, and for no piece.
-SPELLED, NONE = -1, -2
-
-
-def _filter_forward(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, v: Vocabulary, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first node of each chunk; of each node, by the size of the piece that ends there, the piece and the
-    chance that the last piece is of this size or smaller. Chunks come longest first."""
-    base = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    total, most = int((lengths + 1).sum()), min(v.longest, int(lengths[0]))
-    owner = np.repeat(np.arange(len(starts)), lengths)
-    inner = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    where, left, node = starts[owner] + inner, lengths[owner] - inner, base[owner] + inner
-    h, found, ends = np.zeros(len(where), U64), [], node + 1
-    for size in range(1, most + 1):
-        h = mix(h * U64(_B) + points[where + (size - 1)])
-        k, key = v.find(h)
-        if len(k):
-            found.append((size, node[k] + size, key))
-        k = np.flatnonzero(v.begins[(h >> U64(40)).astype(np.int64)] & (left > size))  # some piece goes on like this
-        if not len(k):
-            break
-        where, left, node, h = where[k], left[k], node[k], h[k]
-    most = max((size for size, _, _ in found), default=1)
-    piece = np.full((total, most), NONE, np.int32)
-    weight = np.full((total, most), -np.inf, np.float32)
-    for size, to, key in found:
-        piece[to, size - 1], weight[to, size - 1] = v.ids[key], alpha * v.scores[key]
-    bare = ends[piece[ends, 0] == NONE]
-    piece[bare, 0], weight[bare, 0] = SPELLED, 0.0
-    mass = np.zeros(total)
-    reached = np.ones((total, most), np.float32)
-    for d in range(1, int(lengths[0]) + 1):
-        nodes = base[: np.searchsorted(-lengths, -d, "right")] + d
-        sizes = np.arange(1, min(d, most) + 1)
-        x = weight[nodes, : len(sizes)] + mass[nodes[:, None] - sizes]
-        top = x.max(1)
-        y = np.cumsum(np.exp(x - top[:, None]), 1)
-        mass[nodes] = top + np.log(y[:, -1])
-        reached[nodes, : len(sizes)] = y / y[:, -1:]
-    return base, piece, reached
+#: Stands for a character that is spelled in bytes.
+SPELLED = -1
+#: Levels and steps with fewer lanes than this go one lane at a time, since arrays would be too short to pay.
+FEW = 6
+
+
+def _uniform(keys: np.ndarray, step: np.ndarray | int) -> np.ndarray:
+    return (mix(keys + (np.asarray(step) + 1).astype(U64)) >> U64(40)).astype(np.float64) * 2.0**-24
+
+
+@dataclass
+class Lattice:
+    """The piece lattices of distinct chunks, longest first (their lanes). A node is a lane and a depth; nodes are
+    numbered by depth, then lane. The edges that end at a node lie together, shortest piece first; key is the
+    node's number and the chance that the last piece is this or a shorter one, so that one search draws it."""
+
+    level: np.ndarray  # the first node of each depth, and the end
+    key: np.ndarray
+    size: np.ndarray
+    piece: np.ndarray
+
+    @classmethod
+    def filtered(cls, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, v: Vocabulary, alpha: float) -> Lattice:
+        deep, many = int(lengths[0]), len(lengths)
+        level = np.concatenate([[0], np.cumsum(np.concatenate([[many], np.searchsorted(-lengths, -np.arange(1, deep + 1), "right")]))])
+        lane = np.repeat(np.arange(many), lengths)
+        depth = np.arange(len(lane)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        begin, left = starts[lane] + depth, lengths[lane] - depth
+        h, found = np.zeros(len(lane), U64), []
+        bare = np.ones(level[-1], bool)
+        for size in range(1, min(v.longest, deep) + 1):
+            h = mix(h * U64(_B) + points[begin + (size - 1)])
+            k, known = v.find(h)
+            if len(k):
+                ends = level[depth[k] + size] + lane[k]
+                found.append((ends, np.full(len(k), size, np.uint8), v.ids[known], alpha * v.scores[known]))
+                if size == 1:
+                    bare[ends] = False
+            k = np.flatnonzero(v.begins[(h >> U64(64 - BEGIN_BITS)).astype(np.int64)] & (left > size))  # some piece goes on like this
+            if not len(k):
+                break
+            begin, lane, depth, left, h = begin[k], lane[k], depth[k], left[k], h[k]
+        bare[:many] = False
+        ends = np.flatnonzero(bare)
+        found.insert(0, (ends, np.ones(len(ends), np.uint8), np.full(len(ends), SPELLED, np.int32), np.zeros(len(ends))))
+        ends, size, piece, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(ends, kind="stable")
+        ends, size, piece, weight = ends[order], size[order], piece[order], weight[order]
+        depth = np.searchsorted(level, ends, "right") - 1
+        comes = level[depth - size] + ends - level[depth]
+        edge = np.searchsorted(ends, np.arange(level[-1] + 1))
+        mass, key = np.zeros(level[-1]), ends.astype(float)
+        lanes = np.diff(level)
+        few = int(np.searchsorted(-lanes, -FEW, "right"))
+        for d in range(1, min(few, deep + 1)):
+            a, b = level[d], level[d + 1]
+            e, f = edge[a], edge[b]
+            cuts = edge[a:b] - e
+            fan = np.diff(np.append(cuts, f - e))
+            x = weight[e:f] + mass[comes[e:f]]
+            top = np.maximum.reduceat(x, cuts)
+            y = np.cumsum(np.exp(x - np.repeat(top, fan)))
+            before = np.concatenate([[0.0], y])[cuts]
+            total = y[cuts + fan - 1] - before
+            mass[a:b] = top + np.log(total)
+            key[e:f] += (y - np.repeat(before, fan)) / np.repeat(total, fan)
+        if few <= deep:
+            cls._one_by_one(level[max(1, few)], level[-1], edge, comes, weight, mass, key)
+        key[edge[many + 1 :] - 1] = np.arange(many + 1, level[-1] + 1)  # the last edge's chance is 1, whatever was rounded
+        return cls(level, key, size, piece)
+
+    @staticmethod
+    def _one_by_one(a: int, b: int, edge: np.ndarray, comes: np.ndarray, weight: np.ndarray, mass: np.ndarray, key: np.ndarray) -> None:
+        for lo in range(a, b, 1 << 14):  # lists of bounded size
+            hi = min(b, lo + (1 << 14))
+            cuts, off = edge[lo : hi + 1].tolist(), int(edge[lo])
+            come, w, back = comes[cuts[0] : cuts[-1]].tolist(), weight[cuts[0] : cuts[-1]].tolist(), {}
+            shares: list[float] = []
+            for i in range(hi - lo):
+                x = []
+                for j in range(cuts[i] - off, cuts[i + 1] - off):
+                    c = come[j]
+                    x.append(w[j] + (back[c] if c in back else float(mass[c])))
+                top = max(x)
+                part, total = [], 0.0
+                for t in x:
+                    total += math.exp(t - top)
+                    part.append(total)
+                back[lo + i] = top + math.log(total)
+                shares += [p / total for p in part]
+            mass[lo:hi] = [back[i] for i in range(lo, hi)]
+            key[cuts[0] : cuts[-1]] += shares
+
+    def sampled(self, lane: np.ndarray, lengths: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Chunk, piece, where it starts in its chunk, and which from the end it is, of all pieces of the chunks."""
+        live, depth, step, taken = np.arange(len(lane)), lengths.copy(), 0, []
+        while len(live) >= FEW or (len(live) and step < 64):
+            e = self.key.searchsorted(self.level[depth[live]] + lane[live] + _uniform(draws[live], step), "right")
+            depth[live] -= self.size[e]
+            taken.append((live, self.piece[e], depth[live], np.full(len(live), step)))
+            live = live[depth[live] > 0]
+            step += 1
+        for i in live.tolist():
+            edges, d, at, level = [], int(depth[i]), step, self.level
+            u: list[float] = []
+            while d > 0:
+                if at - step >= len(u):
+                    u += _uniform(draws[i : i + 1], np.arange(at, at + 4096)).tolist()
+                e = int(self.key.searchsorted(int(level[d]) + int(lane[i]) + u[at - step], "right"))
+                edges.append(e)
+                d -= int(self.size[e])
+                at += 1
+            e = np.array(edges)
+            taken.append((np.full(len(e), i), self.piece[e], depth[i] - np.cumsum(self.size[e], dtype=np.int64), np.arange(step, at)))
+        chunk, piece, where, steps = (np.concatenate(x) for x in zip(*taken, strict=True))
+        return chunk, piece, where, steps
 
 
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
@@ -271,36 +292,45 @@ def decode(ids: np.ndarray, v: Vocabulary) -> str:
     return raw.decode("utf-8", "surrogatepass")[1:]
 
 
-def _encoder(model: str, alpha: float, seed: int, text_at: int, key_at: int, check: bool):
+def spelled_rows(ids: np.ndarray, to: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that the pieces of all rows spell, and the rows' offsets into them."""
+    size = v.spelled_at[ids + 1] - v.spelled_at[ids]
+    ends = np.cumsum(size)
+    where = np.repeat(v.spelled_at[ids + 1] - ends, size) + np.arange(ends[-1] if len(ends) else 0)
+    return v.spelled[where], np.concatenate([[0], ends])[to]
+
+
+def same_rows(ids: np.ndarray, to: np.ndarray, v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether the pieces of each row spell a space and its bytes; an empty row has no pieces."""
+    got, at = spelled_rows(ids, to, v)
+    full = np.diff(offsets) > 0
+    same = np.diff(at) == np.diff(offsets) + full
+    lead = at[:-1][full & same]
+    same[full & same] = got[lead] == 32
+    start, end = (at[:-1] + full)[same], at[1:][same]
+    size = end - start
+    row = np.repeat(np.flatnonzero(same), size)
+    inner = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    wrong = got[np.repeat(start, size) + inner] != data[np.repeat(offsets[:-1][same], size) + inner]
+    same[row[wrong]] = False
+    return same
+
+
+def _encoder(model: str, alpha: float, seed: int, n: int):
+    """Columns 0 to n - 1 are carried, n is the key, n + 1 the text."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for rows, data, offsets in sliced(batches, text_at):
-            keys = rows.column(key_at).to_numpy(zero_copy_only=False).astype(np.int64).astype(U64)
+        for rows, data, offsets in sliced(batches, n + 1):
+            keys = rows.column(n).to_numpy(zero_copy_only=False).astype(np.int64).astype(U64)
             ids, to = sample(data, offsets, keys, v, alpha, seed)
-            null = rows.column(text_at).is_null()
             pieces = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(ids, pa.int32()))
-            columns = [rows.column(i) for i in range(rows.num_columns) if i not in (text_at, key_at)]
-            counts = pa.array(np.diff(to), pa.int64())
-            lossless = []
-            if check:
-                table = _spelled(v)
-                for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                    raw = b"".join([table[j] for j in ids[to[i] : to[i + 1]].tolist()])
-                    lossless.append(raw[1:] == data[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([*columns, pieces, counts, null, *([pa.array(lossless)] if check else [])], names=[*map(str, range(len(columns))), "pieces", "n_pieces", "null", *["ok"] * check])
+            out = [*rows.columns[:n], pieces, pa.array(np.diff(to), pa.int64()), rows.column(n + 1).is_null(), pa.array(same_rows(ids, to, v, data, offsets))]
+            yield pa.RecordBatch.from_arrays(out, names=[*(f"_c{i}" for i in range(n)), "pieces", "n_pieces", "gone", "lossless"])
 
     return encode
 
 
-_tables: dict[int, list[bytes]] = {}
-
-
-def _spelled(v: Vocabulary) -> list[bytes]:
-    if id(v) not in _tables:
-        _tables[id(v)] = [bytes([p]) if isinstance(p, int) else p for p in v.pieces]
-    return _tables[id(v)]
-
-
 def encode_sampled(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str = MODEL, alpha: float = 1e-3, seed: int = 0) -> DataFrame:
     """docs without text, and pieces array<int>, n_pieces long, lossless boolean; columns so named go.
 
@@ -314,18 +344,10 @@ def encode_sampled(docs: DataFrame, text: str = "text", key: str = "doc_id", mod
     rows = docs.select(*[f"`{c}`" for c in own], F.xxhash64(key).alias("_key"), F.col(text).alias("_text"))
     kinds = [docs.schema[c] for c in own]
     schema = ", ".join(f"_c{i} {f.dataType.simpleString()}" for i, f in enumerate(kinds))
-    out = rows.mapInArrow(_named(_encoder(os.fspath(model), alpha, seed, len(own) + 1, len(own), True), len(own)), f"{schema + ', ' if own else ''}pieces array<int>, n_pieces long, gone boolean, lossless boolean")
+    out = rows.mapInArrow(_encoder(os.fspath(model), alpha, seed, len(own)), f"{schema + ', ' if own else ''}pieces array<int>, n_pieces long, gone boolean, lossless boolean")
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(own)], F.when(~F.col("gone"), F.col("pieces")).alias("pieces"), F.when(~F.col("gone"), F.col("n_pieces")).alias("n_pieces"), "lossless")
 
 
-def _named(encode, n: int):
-    def run(batches):
-        for b in encode(batches):
-            yield b.rename_columns([*(f"_c{i}" for i in range(n)), "pieces", "n_pieces", "gone", "lossless"])
-
-    return run
-
-
 def decode_pieces(encoded: DataFrame, model: str = MODEL, pieces: str = "pieces", text: str = "text") -> DataFrame:
     """encoded with a column text decoded from pieces; null pieces give null."""
     from pyspark.sql.functions import pandas_udf

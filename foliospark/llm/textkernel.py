@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+KEPT_POWERS = 1 << 20  # longer tables are made for the slice that needs them
 U64 = np.uint64
 _BASE = pow(0x9E3779B97F4A7C15, 1, 1 << 64) | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -43,7 +44,10 @@ def power_tables(n: int) -> list[np.ndarray]:
     """At least n powers of an odd base modulo 2**64, and of its inverse."""
     if len(_powers[0]) < n:
         n = 1 << (n - 1).bit_length()
-        _powers[:] = [_geometric(_BASE, n), _geometric(_INVERSE, n)]
+        made = [_geometric(_BASE, n), _geometric(_INVERSE, n)]
+        if n > KEPT_POWERS:
+            return made
+        _powers[:] = made
     return _powers
 
 
@@ -91,29 +95,6 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each row the sorted distinct hashes of its k-word shingles; of all words as one when there are fewer."""
-    low = lowered(data)
-    starts, ends, at = words(low, offsets)
-    hashes = span_hashes(low, starts, ends)
-    with_k = np.zeros(max(0, len(hashes) - k + 1), U64)
-    for i in range(k):
-        with_k = with_k * U64(0x9E3779B97F4A7C15) + hashes[i : i + len(with_k)]
-    with_k = mix(with_k)
-    out = []
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if b - a >= k:
-            out.append(np.unique(with_k[a : b - k + 1]))
-        elif b > a:
-            whole = np.array([b - a], U64)
-            for h in hashes[a:b]:
-                whole = mix(whole * U64(3) + h)
-            out.append(whole)
-        else:
-            out.append(np.zeros(0, U64))
-    return out
-
-
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the terms of each row (letters, digits, apostrophes; A-Z lower-cased), and the rows' offsets."""
     low = lowered(data)

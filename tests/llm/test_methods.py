@@ -157,7 +157,7 @@ def test_sampled_pieces_have_their_chances():
     known = {}
     for i, key in enumerate(v.pieces):
         if isinstance(key, bytes) and key:
-            known[key.decode().replace(" ", "▁")] = i
+            known[key.decode(errors="replace").replace(" ", "▁")] = i
     score = {int(i): s for i, s in zip(v.ids, v.scores, strict=True)}
     alpha, n, word = 3e-4, 20_000, "there"
 
@@ -202,3 +202,72 @@ def test_pipeline_against_brute_force(spark):
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.select("doc_id").collect()} <= set(got)
     pieces = stages["sentencepiece"](spark, mixed, SMALL)
     assert pieces.where("NOT lossless").count() == 0 and pieces.count() == mixed.count()
+
+
+def lattice_ways(v, text, alpha):
+    """Every segmentation of the text (its space first), as piece ids, with its chance."""
+    ids = {p: i for i, p in enumerate(v.pieces) if p and i not in set(v.bytes_.tolist())}
+    score = dict(zip(v.ids.tolist(), v.scores.tolist(), strict=True))
+    letters = [" ", *text]
+
+    def ways(at):
+        if at == len(letters):
+            yield (), 0.0
+        for to in range(at + 1, len(letters) + 1):
+            part = letters[at:to]
+            key = "".join(part).encode()
+            plain = "\u2581" not in part  # a literal one is no space
+            if plain and key in ids:
+                for rest, w in ways(to):
+                    yield (ids[key], *rest), alpha * score[ids[key]] + w
+            elif to == at + 1:
+                for rest, w in ways(to):
+                    yield (*v.bytes_[list(key)].tolist(), *rest), w
+
+    found = dict(ways(0))
+    top = max(found.values())
+    total = sum(math.exp(x - top) for x in found.values())
+    return {w: math.exp(x - top) / total for w, x in found.items()}
+
+
+@pytest.mark.parametrize("text", ["a\u2581b c", "ñ😀x  yes", "\x00\nab"])
+def test_lattices_with_bytes_against_brute_force(text):
+    v = sentencepiece_sampling.vocabulary(sentencepiece_sampling.MODEL)
+    want, n = lattice_ways(v, text, 1e-3), 8000
+    data, offsets = textkernel.packed([text] * n)
+    ids, to = sentencepiece_sampling.sample(data, offsets, np.arange(n).astype(np.uint64), v, 1e-3, 3)
+    got = Counter(tuple(ids[a:b].tolist()) for a, b in itertools.pairwise(to))
+    assert set(got) <= set(want)
+    for w, p in want.items():
+        assert abs(got[w] / n - p) <= 5 * math.sqrt(p * (1 - p) / n) + 1e-3
+    assert sentencepiece_sampling.same_rows(ids, to, v, data, offsets).all()
+
+
+def test_single_lanes_draw_as_many_lanes_do(monkeypatch):
+    v = sentencepiece_sampling.vocabulary(sentencepiece_sampling.MODEL)
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdehilnorst ñ"), 300)) for _ in range(20)] + ["", None, "x" * 5000]
+    data, offsets = textkernel.packed(texts)
+    keys = np.arange(len(texts)).astype(np.uint64)
+    many = sentencepiece_sampling.sample(data, offsets, keys, v, 1e-3, 0)
+    monkeypatch.setattr(sentencepiece_sampling, "FEW", 1 << 30)
+    one = sentencepiece_sampling.sample(data, offsets, keys, v, 1e-3, 0)
+    assert (many[0] == one[0]).all() and (many[1] == one[1]).all()
+
+
+def test_unbroken_text_of_a_million_characters():
+    v = sentencepiece_sampling.vocabulary(sentencepiece_sampling.MODEL)
+    text = "".join(np.random.default_rng(1).choice(list("abcdefghij"), 1_000_000))
+    data, offsets = textkernel.packed([text])
+    ids, to = sentencepiece_sampling.sample(data, offsets, np.zeros(1, np.uint64), v, 1e-3, 0)
+    assert sentencepiece_sampling.decode(ids, v) == text
+
+
+def test_wrong_pieces_are_told():
+    v = sentencepiece_sampling.vocabulary(sentencepiece_sampling.MODEL)
+    data, offsets = textkernel.packed(["one two", "", "three", "four"])
+    ids, to = sentencepiece_sampling.sample(data, offsets, np.arange(4).astype(np.uint64), v, 1e-3, 0)
+    ids = ids.copy()
+    ids[to[2]] = ids[to[0]]
+    assert sentencepiece_sampling.same_rows(ids, to, v, data, offsets).tolist()[::2] == [True, False]
+    assert sentencepiece_sampling.same_rows(ids, to, v, data, offsets)[[1, 3]].all()
