@@ -115,8 +115,10 @@ def predict_language(docs: DataFrame, model: EcocModel, text: str = "text") -> D
     own = [c for c in docs.columns if c not in (text, "lang_pred", "score", "ambiguous")]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)], F.col(text).alias("_text"))
     n = len(own)
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
         names = np.array([*model.labels, UNKNOWN], object)
         for part, data, offsets in sliced(batches, n, 1 << 18):
             low = lowered(data)
@@ -133,7 +135,10 @@ def predict_language(docs: DataFrame, model: EcocModel, text: str = "text") -> D
 
 
 def train_language(docs: DataFrame, per_language: int = 300, lang: str = "lang", key: str = "doc_id", text: str = "text", **options) -> EcocModel:
-    """A model of the languages of docs, from about per_language whole texts of each (at most twice that)."""
+    """A model of the languages of docs, from about per_language whole texts of each (at most twice that), as sampled() bounds them.
+
+    Rows with a null key, language or text teach nothing.
+    """
     rows, _ = sampled(docs, docs.where(F.col(text).isNotNull()).select(key, lang), lang, per_language, key, text)
     return EcocModel.fit(rows[text].tolist(), rows[lang].tolist(), **options)
 

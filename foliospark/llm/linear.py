@@ -9,7 +9,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, steps: int = 300
     """Coefficients and bias of independent logistic regressions, one per column of y (0 or 1), by accelerated gradient."""
     w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     share = (weights / weights.sum()).astype(np.float32)[:, None]
-    rate = 4.0 / max(float((share[:, 0] * (x * x).sum(1)).sum()) + 1.0, 1e-9)
+    rate = 4.0 / max(float(share[:, 0] @ np.einsum("ij,ij->i", x, x)) + 1.0, 1e-9)
     at, at_b, before, before_b = w, b, w, b
     for i in range(steps):
         miss = (1 / (1 + np.exp(-np.clip(x @ at + at_b, -30, 30))) - y) * share

@@ -18,6 +18,7 @@ from foliospark.llm.textkernel import mix as mix_hash
 from foliospark.llm.toxicity import choose_terms, known_terms
 
 SHAPES = 5
+BUCKET_BITS, SHARE_SCALE = 10, 1.0  # all terms, hashed; the weight of their shares
 _SYMBOL = np.array([33 <= c < 127 and not chr(c).isalnum() and chr(c) not in ".,'" for c in range(256)])
 #: Shares of the expected tokens by domain, as quality and toxicity; what labels lack gets nothing.
 TARGETS = {"q1t0": 0.85, "q0t0": 0.11, "q1t1": 0.03, "q0t1": 0.01}
@@ -26,11 +27,12 @@ FOLDED = 16  # steps that one expression repeats before the rates are written
 
 @dataclass
 class DomainModel:
-    """Softmax over one-against-rest logistic models of chosen terms and a few shares of characters and words."""
+    """Softmax over one-against-rest logistic models of the shares of all terms (hashed), the presence of chosen
+    terms and a few shares of characters and words."""
 
     domains: list[str]
     vocabulary: np.ndarray
-    w: np.ndarray
+    w: np.ndarray  # buckets, then chosen terms, then shapes
     b: np.ndarray
 
     @staticmethod
@@ -43,22 +45,28 @@ class DomainModel:
         some = np.bincount(row[distinct].astype(np.int64), minlength=len(n)) / n
         return np.concatenate([row_sums(kinds, offsets) / size * 10, some[:, None] * 3, np.log(n)[:, None] / 3], 1).astype(np.float32)
 
+    @staticmethod
+    def buckets(hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> U64(64 - BUCKET_BITS)).astype(np.int64)
+
     @classmethod
     def fit(cls, texts: list[str], labels: list[str], counts: dict[str, int], most_terms: int = 1024) -> DomainModel:
-        domains = sorted(set(labels))
+        domains, many = sorted(set(labels)), 1 << BUCKET_BITS
         if not domains:
-            return cls([], np.zeros(0, U64), np.zeros((SHAPES, 0), np.float32), np.zeros(0, np.float32))
+            return cls([], np.zeros(0, U64), np.zeros((many + SHAPES, 0), np.float32), np.zeros(0, np.float32))
         y = np.array([domains.index(x) for x in labels])
         size = np.bincount(y)
         hashes, at = terms_of(texts)
         chosen = [choose_terms(hashes, at, (y == i).astype(float), most_terms // len(domains)) for i in range(len(domains)) if 0 < size[i] < len(y)]
         vocabulary = np.unique(np.concatenate([np.zeros(0, U64), *chosen]))
-        x = np.zeros((len(y), len(vocabulary) + SHAPES), np.float32)
-        row, term, _ = known_terms(hashes, at, vocabulary)
-        x[row, term] = 1
+        x = np.zeros((len(y), many + len(vocabulary) + SHAPES), np.float32)
         for i, t in enumerate(texts):
+            own = hashes[at[i] : at[i + 1]]
             data, offsets = packed([t])
-            x[i, len(vocabulary) :] = cls.shape(data, offsets, hashes[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]))[0]
+            x[i, :many] = np.bincount(cls.buckets(own), minlength=many) * (SHARE_SCALE / max(1, len(own)))
+            x[i, many + len(vocabulary) :] = cls.shape(data, offsets, own, np.array([0, len(own)]))[0]
+        row, term, _ = known_terms(hashes, at, vocabulary)
+        x[row, many + term] = 1
         share = np.array([counts[d] for d in domains], float)
         w, b = logistic(x, np.eye(len(domains), dtype=np.float32)[y], (share / size)[y], steps=400)
         return cls(domains, vocabulary, w, b)
@@ -66,15 +74,21 @@ class DomainModel:
     def posteriors(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         hashes, at = terms(data, offsets)
         row, term, _ = known_terms(hashes, at, self.vocabulary)
-        scores = row_sums(self.w[term], np.searchsorted(row, np.arange(len(offsets))))
-        scores = scores + self.shape(data, offsets, hashes, at) @ self.w[len(self.vocabulary) :] + self.b
+        many, chosen = 1 << BUCKET_BITS, len(self.vocabulary)
+        scores = row_sums(self.w[self.buckets(hashes)], at) * (SHARE_SCALE / np.maximum(np.diff(at), 1)[:, None])
+        scores = scores + row_sums(self.w[many + term], np.searchsorted(row, np.arange(len(offsets))))
+        scores = scores + self.shape(data, offsets, hashes, at) @ self.w[many + chosen :] + self.b
         p = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
         return p / p.sum(1, keepdims=True)
 
 
 def train_domains(docs: DataFrame, labels: DataFrame, per_domain: int = 1000, key: str = "doc_id", text: str = "text", domain: str = "domain") -> DomainModel:
-    """A model of the domains of labels (key, domain), from about per_domain whole texts of each, at most twice that."""
-    rows, counts = sampled(docs, labels.where(F.col(domain).isNotNull()), domain, per_domain, key, text)
+    """A model of the domains of labels (key, domain), from about per_domain whole texts of each, at most twice that.
+
+    sampled() bounds what the driver gets; rows of labels with a null key or domain teach nothing. Without any
+    labelled text there are no domains, and mixed() leaves all rates at 1.
+    """
+    rows, counts = sampled(docs, labels, domain, per_domain, key, text)
     return DomainModel.fit(rows[text].tolist(), rows[domain].tolist(), counts)
 
 
@@ -84,7 +98,10 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 
 def _memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
         for part, data, offsets in sliced(batches, 3):
             p = model.posteriors(data, offsets)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel().astype(float)))
@@ -160,7 +177,7 @@ def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], doc_id:
     a, b = row_key(F.col(doc_id), F.col(text))
     counts = written(mixed(docs, model, targets, doc_id, text, seed).where("copies <> 1").select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("copies").alias(copies)).distinct(), "copies")
     times = F.coalesce(F.col(copies), F.lit(1)).cast("int")
-    return docs.withColumns({k1: a, k2: b}).join(counts.hint("shuffle_hash"), [k1, k2], "left").withColumn(copies, F.explode(F.array_repeat(F.lit(1), times))).drop(k1, k2, copies)
+    return docs.withColumns({k1: a, k2: b}).join(counts, [k1, k2], "left").withColumn(copies, F.explode(F.array_repeat(F.lit(1), times))).drop(k1, k2, copies)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

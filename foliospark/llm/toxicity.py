@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,8 @@ from foliospark.llm.textkernel import U64, sliced, terms, terms_of
 
 BLOCK = 64
 #: The weight of a term that does not go with the label, to one that does.
-LEAST = 0.01
-MEMO = 50_000
+LEAST = 0.1
+MEMO = 4096  # votes on distinct texts that a task keeps for copies: some 2 MB
 
 
 def known_terms(hashes: np.ndarray, at: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,14 +121,13 @@ class NearestExamples:
     vocabulary: np.ndarray
     idf: np.ndarray  # times the weight by label of the term
     index: BlockMaxIndex
-    keys: np.ndarray
+    keys: list[str]
     y: np.ndarray
     weight: np.ndarray  # how many rows of the population an example stands for
     none: float  # the rate of label 1 among examples without a known term
     base: float
     k: int
     slope: tuple[float, float] = (1.0, 0.0)
-    memo: dict = field(default_factory=dict)
 
     def unit(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         v = (1 + np.log(count)) * self.idf[term]
@@ -141,7 +140,7 @@ class NearestExamples:
             ids, sims = ids[ids != without][: self.k], sims[ids != without][: self.k]
         w = self.weight[ids] / (1.05 - np.minimum(sims, 1.0))
         prior = self.weight.mean()
-        return float((w @ self.y[ids] + prior * self.base) / (w.sum() + prior)), [(int(self.keys[i]), float(s)) for i, s in zip(ids[:3], sims[:3], strict=True)]
+        return float((w @ self.y[ids] + prior * self.base) / (w.sum() + prior)), [(self.keys[i], float(s)) for i, s in zip(ids[:3], sims[:3], strict=True)]
 
     def score(self, p: float) -> float:
         a, b = self.slope
@@ -154,7 +153,7 @@ class NearestExamples:
         target = np.where(y == 1, 1 - 1e-3, 1e-3)
         w = weight / weight.sum()
         for _ in range(50):
-            p = 1 / (1 + np.exp(-(a * x + b)))
+            p = 1 / (1 + np.exp(-np.clip(a * x + b, -60, 60)))
             g = np.array([(w * (p - target) * x).sum() + 1e-3 * (a - 1), (w * (p - target)).sum()])
             q = w * np.maximum(p * (1 - p), 1e-9)
             h = np.array([[(q * x * x).sum() + 1e-3, (q * x).sum()], [(q * x).sum(), q.sum() + 1e-9]])
@@ -168,7 +167,10 @@ class NearestExamples:
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") -> tuple[np.ndarray, int]:
     """In how many rows of docs, all of them, each known term stands; and the number of rows."""
 
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = held.value
         sums, rows = np.zeros(len(vocabulary), np.int64), 0
         for part, data, offsets in sliced(batches, 0):
             sums += np.bincount(known_terms(*terms(data, offsets), vocabulary)[1], minlength=len(vocabulary))
@@ -184,14 +186,14 @@ def train_toxicity(
     docs: DataFrame, labels: DataFrame, corpus: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text",
     per_class: int = 2000, k: int = 25,
 ) -> NearestExamples:
-    """Examples from about per_class labelled rows of each class (at most twice that) with whole texts.
+    """Examples from about per_class labelled rows of each class (at most twice that) with whole texts, as sampled() bounds them.
 
     docs and labels: rows that may be learned from; labels of 0 and 1, others are left out, a document with two
     labels is two examples. corpus: the texts whose document frequencies give the idf, all of them. All terms of
     the examples are indexed; their idf is multiplied by likelihood_ratios(), from LEAST to 1.
     """
     rows, counts = sampled(docs, labels.where(F.col(label).isin(0, 1)), label, per_class, key, text)
-    y = rows[label].to_numpy(float)
+    y = rows[label].to_numpy(float) if len(rows) else np.zeros(0)
     sizes = {c: max(1, int((y == c).sum())) for c in (0, 1)}
     weight = np.array([counts.get(int(c), 0) / sizes[int(c)] for c in y]) if len(y) else np.zeros(0)
     base = float((weight @ y) / weight.sum()) if len(y) else 0.0
@@ -205,7 +207,7 @@ def train_toxicity(
     index = BlockMaxIndex.build(len(y), len(vocabulary), row, term, value / norm[row])
     bare = norm == 0
     none = float((weight[bare] @ y[bare] + base) / (weight[bare].sum() + 1)) if bare.any() else base
-    model = NearestExamples(vocabulary, idf, index, rows[key].fillna(-1).to_numpy(np.int64), y, weight, none, base, k)
+    model = NearestExamples(vocabulary, idf, index, rows[key].tolist(), y, weight, none, base, k)
     known = np.flatnonzero(~bare)
     if len(known):
         cuts = np.searchsorted(row, np.arange(len(y) + 1))
@@ -215,17 +217,20 @@ def train_toxicity(
 
 
 def score_toxicity(docs: DataFrame, model: NearestExamples, text: str = "text") -> DataFrame:
-    """docs without text, and score, predicted, evidence (key and cosine of up to three examples); columns so named go.
+    """docs without text, and score, predicted, evidence (key as text, and cosine, of up to three examples); columns so named go.
 
     A text that shares no term with any example, an empty and a null one too, gets the rate of label 1 among such examples
-    and no evidence. Whole texts are read. The model is bounded by its numbers of examples and terms.
+    and no evidence. Whole texts are read. The model is bounded by its numbers of examples and terms, and is broadcast.
+    Repeated rows and texts get the same score. Ids are of any kind; rows keep theirs, null ones too.
     """
     own = [c for c in docs.columns if c not in (text, "score", "predicted", "evidence")]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)], F.col(text).alias("_text"))
     n = len(own)
-    kind = pa.list_(pa.struct([("key", pa.int64()), ("cosine", pa.float64())]))
+    kind = pa.list_(pa.struct([("key", pa.string()), ("cosine", pa.float64())]))
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = held.value, {}
         for part, data, offsets in sliced(batches, n):
             row, term, count = known_terms(*terms(data, offsets), model.vocabulary)
             score, evidence = np.full(part.num_rows, model.none), [[]] * part.num_rows
@@ -233,19 +238,19 @@ def score_toxicity(docs: DataFrame, model: NearestExamples, text: str = "text")
             for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
                 t, c = term[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]]
                 same = hashlib.blake2b(t.tobytes() + c.tobytes(), digest_size=16).digest()
-                if same not in model.memo:
-                    if len(model.memo) >= MEMO:
-                        model.memo.clear()
+                if same not in known:
+                    if len(known) >= MEMO:
+                        known.clear()
                     p, near = model.vote(t, c)
-                    model.memo[same] = model.score(p), [{"key": k, "cosine": s} for k, s in near]
-                score[i], evidence[i] = model.memo[same]
+                    known[same] = model.score(p), [{"key": k, "cosine": s} for k, s in near]
+                score[i], evidence[i] = known[same]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:n], pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(evidence, kind)],
                 names=[*(f"_c{i}" for i in range(n)), "score", "predicted", "evidence"],
             )
 
     kinds = ", ".join(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(own))
-    out = rows.mapInArrow(run, f"{kinds}{', ' if own else ''}score double, predicted int, evidence array<struct<key: bigint, cosine: double>>")
+    out = rows.mapInArrow(run, f"{kinds}{', ' if own else ''}score double, predicted int, evidence array<struct<key: string, cosine: double>>")
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(own)], "score", "predicted", "evidence")
 
 
