@@ -39,12 +39,12 @@ def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
 
     It cuts the lineage, survives the loss of executors, and gives the planner a true size, so that a
     join with it is broadcast only when that size is under spark.sql.autoBroadcastJoinThreshold.
-    The table goes when the driver's JVM ends. small: it holds a small part of what it was made from, so an
-    eighth of the shuffle's tasks write it, and as many files fewer.
+    The table goes when the driver's JVM ends. small: it holds a small part of what it was made from, so its rows
+    are dealt to an eighth of the shuffle's tasks, and as many files fewer; what makes them keeps all its tasks.
     """
     spark = df.sparkSession
     if small:
-        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        df = df.repartition(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/foliospark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -4,11 +4,12 @@ Two sets of sizes a and b link when 100 * overlap >= percent * union, so their o
 percent * (a + b) / (100 + percent). Hence, with the n-grams of each set in one order for all sets, linked
 sets share one of the first a - ceil(percent * a / 100) + 1 of them. Only those columns of the incidence
 matrix are multiplied first; the order puts n-grams last that many documents share. What is left is
-multiplied whole, in blocks of rows and columns that bound a task's memory.
+multiplied whole, within bands of sizes that can link, in blocks whose rows and n-grams bound a task's memory.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,18 @@ from foliospark.llm.common import row_key, written
 from foliospark.llm.components import components
 from foliospark.llm.textkernel import U64, lowered, mix, sliced, span_hashes, words
 
-#: Counters of n-grams and of words; they are fixed, so what is broadcast is 10 MB for any corpus.
-GRAM_BITS, WORD_BITS, SEGMENT = 21, 18, 1 << 14
+#: Counters of words, and the least and most bits of the counters of n-grams, of which there are 8 for a row: 1 to 32 MB.
+WORD_BITS, GRAM_BITS, SEGMENT = 18, (18, 23), 1 << 14
 SHORT_LIST = 64  # postings up to here make pairs; longer ones a star, whose pairs are multiplied in blocks
-BLOCK_ROWS, BLOCK_COLUMNS = 1024, 4096
+BLOCK_ROWS, BLOCK_GRAMS, BLOCK_COLUMNS = 512, 1 << 19, 4096
 FEW_BINS, MANY_BINS, LONG_SET = 64, 1024, 800  # a set of more than LONG_SET n-grams has MANY_BINS
-FILTER_BITS = 24
+FILTER_BITS = (16, 28)  # the least and most bits of a filter of row keys, of which there are 16 for a key: up to 32 MB
+NODE_BITS = 64  # of the hashes that stand for sets; sets that share them all are told apart by as many others
+
+
+def _bits(n: int, each: int, bounds: tuple[int, int]) -> int:
+    """Bits of a table with `each` places for each of n things, within bounds."""
+    return max(bounds[0], min(bounds[1], (max(1, n) * each - 1).bit_length()))
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,25 +56,36 @@ def _whole(w: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """How often n-grams and words occur in all texts, by hash, on 2**GRAM_BITS + 2**WORD_BITS counters."""
-    grams, every = 1 << GRAM_BITS, (1 << GRAM_BITS) + (1 << WORD_BITS)
+    """How often n-grams and words occur in all texts, by hash. It only orders n-grams: results don't depend on it."""
+    bits = _bits(docs.count(), 8, GRAM_BITS)
+    grams, every = 1 << bits, (1 << bits) + (1 << WORD_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(every, np.float32)
+        sums, held, size = np.zeros(every, np.float32), [], 0
+
+        def add(held: list[np.ndarray]) -> None:
+            place, times = np.unique(np.concatenate(held), return_counts=True)
+            sums[place] += times
+
         for _, data, offsets in sliced(batches, 0):
             w, g, at = _grams(data, offsets, k)
             inside = np.ones(len(g), bool)
             for back in range(1, k):
                 last = at[1:] - back
                 inside[last[(last >= at[:-1]) & (last < len(g))]] = False
-            sums[:grams] += np.bincount((g[inside] >> U64(64 - GRAM_BITS)).astype(np.int64), minlength=grams)
-            sums[grams:] += np.bincount((w >> U64(64 - WORD_BITS)).astype(np.int64), minlength=1 << WORD_BITS)
+            held += [(g[inside] >> U64(64 - bits)).astype(np.int32), (w >> U64(64 - WORD_BITS)).astype(np.int32) + np.int32(grams)]
+            size += len(held[-1]) * 2
+            if size > 1 << 20:
+                add(held)
+                held, size = [], 0
+        if held:
+            add(held)
         task = TaskContext.get().partitionId()
         for i in range(0, every, SEGMENT):
             if (part := sums[i : i + SEGMENT]).any():
                 yield pa.RecordBatch.from_arrays([pa.array([i // SEGMENT]), pa.array([task], pa.int64()), pa.array([part.tobytes()])], names=["segment", "task", "counts"])
 
-    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = np.zeros(SEGMENT, np.float32)
         for blob in table.column("counts"):
             total += np.frombuffer(blob.as_py(), np.float32)
@@ -77,7 +95,7 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     texts = docs.select("text")
     parts, tasks = texts.mapInArrow(count, schema), texts.rdd.getNumPartitions()
     while tasks > 1:  # a tree of sums, each of 64 at most
-        parts = parts.withColumn("task", F.floor(F.col("task") / 64)).groupBy("segment", "task").applyInArrow(add, schema)
+        parts = parts.withColumn("task", F.floor(F.col("task") / 64)).groupBy("segment", "task").applyInArrow(add_up, schema)
         tasks = -(-tasks // 64)
     out = np.zeros(every, np.float32)
     for r in parts.toLocalIterator():
@@ -99,20 +117,22 @@ def _sets(data: np.ndarray, offsets: np.ndarray, k: int, order: np.ndarray | Non
             yield np.zeros(0, U64), np.zeros(0)
 
 
-def set_hash(distinct: np.ndarray) -> int:
+def set_hash(distinct: np.ndarray, seed: int = 0x5851F42D4C957F2D) -> int:
     """One hash for the set, as a signed long."""
     with np.errstate(over="ignore"):
-        total = mix(distinct ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64) + U64(len(distinct)) * U64(0xD6E8FEB86659FD93)
+        total = mix(distinct ^ U64(seed)).sum(dtype=U64) + U64(len(distinct)) * U64(0xD6E8FEB86659FD93)
     return int(mix(np.array([total], U64)).view(np.int64)[0])
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """doc_id, k1, node (hash of the set), n, bins, tokens (the columns that are multiplied first)."""
+    """doc_id, k1, k2, node and other (hashes of the set), n, bins, tokens (the columns that are multiplied first)."""
+    shift = 64 - NODE_BITS
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held.value
-        grams, common = counts[: 1 << GRAM_BITS], np.log2(1 + counts[1 << GRAM_BITS :])
+        many = len(counts) - (1 << WORD_BITS)
+        grams, common, drop = counts[:many], np.log2(1 + counts[many:]), U64(65 - many.bit_length())
         usual = float(grams.mean())
         heavy = usual + 4 * usual**0.5 + 8
 
@@ -121,25 +141,44 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
             key = np.zeros(len(g), np.float32)
             for i in range(k):
                 key += word[i : i + len(g)]
-            seen = grams[(g >> U64(64 - GRAM_BITS)).astype(np.int64)]
+            seen = grams[(g >> drop).astype(np.int64)]
             return np.where(seen > heavy, 1e4 + seen, key)
 
-        for part, data, offsets in sliced(batches, 2):
-            node, n, bins, tokens = [], [], [], []
+        for part, data, offsets in sliced(batches, 3):
+            node, other, n, bins, tokens = [], [], [], [], []
             for distinct, key in _sets(data, offsets, k, order):
                 size = len(distinct)
                 n.append(size)
-                node.append(set_hash(distinct) if size else None)
+                node.append(set_hash(distinct) >> shift if size else None)
+                other.append(set_hash(distinct, 0x2545F4914F6CDD1D) if size else None)
                 top, number = (10, MANY_BINS) if size > LONG_SET else (6, FEW_BINS)
                 bins.append(np.minimum(np.bincount((distinct >> U64(64 - top)).astype(np.int64), minlength=number), 255).astype(np.uint8).tobytes())
                 take = size + (percent * size) // -100 + 1 if size else 0
                 tokens.append(distinct[np.lexsort((distinct, key))[:take]].view(np.int64))
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tokens])]), pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(bins, pa.binary()), lists], names=["doc_id", "k1", "node", "n", "bins", "tokens"])
+            columns = [*part.columns[:3], pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.array(n, pa.int64()), pa.array(bins, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "node", "other", "n", "bins", "tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "k1", "text").mapInArrow(run, f"doc_id {kind}, k1 long, node long, n long, bins binary, tokens array<long>")
+    return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, node long, other long, n long, bins binary, tokens array<long>")
+
+
+def _distinct_sets(prints: DataFrame) -> DataFrame:
+    """node, rep (its least id), k1 and k2 of one of its rows, n, bins, and the least and greatest other hash, of each set."""
+    row = F.min(F.struct("k1", "k2")).alias("row")
+    sets = prints.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), row, F.first("n").alias("n"), F.first("bins").alias("bins"), F.min("other").alias("lo"), F.max("other").alias("hi"))
+    return written(sets.select("node", "rep", "row.k1", "row.k2", "n", "bins", "lo", "hi"), "sets", small=True)
+
+
+def _told_apart(prints: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """prints and sets where sets of one node but other hashes have nodes of their own. At 64 bits hardly a corpus has such sets."""
+    mixed = written(sets.where("lo <> hi").select("node", "lo"), "mixed-sets", small=True)
+    if mixed.isEmpty():
+        return prints, sets
+    own = F.when(F.col("other") != F.col("lo"), F.xxhash64("node", "other")).otherwise(F.col("node"))
+    prints = written(prints.join(mixed, "node", "left").withColumn("node", own).drop("lo"), "prefixes")
+    return prints, _distinct_sets(prints)
 
 
 def _candidates(prints: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -231,16 +270,17 @@ def _linked(nodes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent
 
 
 def _filter_of(keys: DataFrame) -> np.ndarray:
-    """One bit for each hash of the keys (k1), on 2**FILTER_BITS of them: 2 MB for any number of keys."""
+    """One bit for each hash of the keys (k1), packed: 32 MB at most for any number of keys."""
+    size = 1 << _bits(keys.count(), 16, FILTER_BITS)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros(size, bool)
         for batch in batches:
-            bits[_bit(batch.column(0))] = True
+            bits[_bit(batch.column(0), size)] = True
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([np.packbits(bits).tobytes()])], names=["task", "bits"])
 
     def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        total = np.zeros(size // 8, np.uint8)
         for blob in table.column("bits"):
             total |= np.frombuffer(blob.as_py(), np.uint8)
         return pa.table({"task": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([total.tobytes()])})
@@ -250,39 +290,66 @@ def _filter_of(keys: DataFrame) -> np.ndarray:
     while tasks > 16:
         parts = parts.withColumn("task", F.floor(F.col("task") / 16)).groupBy("task").applyInArrow(join, schema)
         tasks = -(-tasks // 16)
-    total = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    total = np.zeros(size // 8, np.uint8)
     for r in parts.toLocalIterator():
         total |= np.frombuffer(r.bits, np.uint8)
-    return np.unpackbits(total).astype(bool)
+    return total
 
 
-def _bit(k1: pa.Array) -> np.ndarray:
-    return (mix(k1.to_numpy(zero_copy_only=False).astype(np.int64).view(U64)) >> U64(64 - FILTER_BITS)).astype(np.int64)
+def _bit(k1: pa.Array, size: int) -> np.ndarray:
+    return (mix(k1.to_numpy(zero_copy_only=False).astype(np.int64).view(U64)) >> U64(65 - size.bit_length())).astype(np.int64)
+
+
+def _set_bits(k1: pa.Array, bits: np.ndarray) -> pa.Array:
+    at = _bit(k1, len(bits) * 8)
+    return pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+
+def _placed(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """node, root, k1, k2 of the sets of each cluster, with their band and how many blocks it and its neighbours have.
+
+    A cluster of one block has one band. In others a band holds sizes within a ratio of 100 / percent, so that sets
+    link within a band or with the next one only.
+    """
+    wide = math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-3
+    own = clusters.join(sets.select("node", "n", "k1", "k2"), "node").withColumn("band", F.floor(F.log("n") / wide).cast("int"))
+    own = written(own, "sized", small=True)
+    bands = written(own.groupBy("root", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("grams")), "bands", small=True)
+    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    whole = bands.groupBy("root").agg(F.sum("sets").alias("sets"), F.sum("grams").alias("grams")).where(blocks == 1).select("root", F.lit(True).alias("one"))
+    cuts = written(bands.select("root", "band", blocks.alias("cut")).join(whole, "root", "left_anti"), "cuts", small=True)
+    near = lambda by, name: cuts.select("root", (F.col("band") - by).alias("band"), F.col("cut").alias(name))
+    out = own.join(near(0, "cut"), ["root", "band"], "left").join(near(1, "above"), ["root", "band"], "left").join(near(-1, "below"), ["root", "band"], "left")
+    some = lambda c, least: F.coalesce(c, F.lit(least)).alias(c)
+    return written(out.select("node", "root", "k1", "k2", F.when(F.col("cut").isNull(), 0).otherwise(F.col("band")).alias("band"), some("cut", 1), some("above", 0), some("below", 0)), "active", small=True)
 
 
 def _links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: edges that join what the links between the sets of each cluster join, from whole texts.
 
-    A text whose key the filter lacks is in no cluster; the others' sets, not their texts, are shuffled.
+    A text whose key the filter lacks is in no cluster; the others' sets, not their texts, are shuffled. A block
+    meets itself, the others of its band, and those of the band below.
     """
-    sized = clusters.join(written(clusters.groupBy("root").count(), "cluster-sizes", small=True), "root")
-    cut = F.ceil(F.col("count") / BLOCK_ROWS)
-    active = written(sized.select("node", "root", cut.cast("int").alias("cut")).join(sets.select("node", "k1"), "node"), "active", small=True)
+    active = _placed(sets, clusters, percent)
     held = docs.sparkSession.sparkContext.broadcast(_filter_of(active.select("k1")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = held.value
+        bits = held.value
         for batch in batches:
-            some = batch.filter(pa.array(maybe[_bit(batch.column(1))]))
+            some = batch.filter(_set_bits(batch.column(1), bits))
             for part, data, offsets in sliced(iter([some]), 0):
-                found = [s for s, _ in _sets(data, offsets, k)]
-                node = pa.array([set_hash(s) if len(s) else None for s in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(1), node, pa.array([s.tobytes() for s in found], pa.binary())], names=["k1", "node", "grams"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.tobytes() for s, _ in _sets(data, offsets, k)], pa.binary())], names=["k1", "k2", "grams"])
 
-    rows = docs.select("text", "k1").mapInArrow(read, "k1 long, node long, grams binary").join(active, ["k1", "node"])
+    rows = docs.select("text", "k1", "k2").mapInArrow(read, "k1 long, k2 long, grams binary").join(active, ["k1", "k2"])
     own = F.pmod(F.xxhash64("node"), F.col("cut")).cast("int")
-    met = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), (own > j).cast("int").alias("side")))
-    blocks = rows.select("root", "node", "grams", F.explode(met).alias("b")).select("root", "b.i", "b.j", "b.side", "node", "grams")
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    place = lambda band, i, j, side: F.struct(band.alias("band"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    met = F.concat(
+        F.transform(upto("cut"), lambda j: place(F.col("band"), F.least(own, j), F.greatest(own, j), own > j)),
+        F.transform(upto("above"), lambda j: place(F.col("band") + 1, -1 - own, j, F.lit(0))),
+        F.transform(upto("below"), lambda i: place(F.col("band"), -1 - i, own, F.lit(1))),
+    )
+    blocks = rows.select("root", "node", "grams", F.explode(met).alias("b")).select("root", "b.band", "b.i", "b.j", "b.side", "node", "grams")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sides, sets_ = None, [], [], []
@@ -293,8 +360,8 @@ def _links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: int, percen
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            for new, side, node, raw in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
+            keys = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            for new, side, node, raw in zip(keys, batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6), strict=True):
                 if new != key:
                     if len(nodes) > 1:
                         yield done()
@@ -305,40 +372,39 @@ def _links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: int, percen
         if len(nodes) > 1:
             yield done()
 
-    return blocks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(multiply, "a long, b long")
+    return blocks.repartition("root", "band", "i", "j").sortWithinPartitions("root", "band", "i", "j").mapInArrow(multiply, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words_per_gram: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, k1, component: one row per row of docs.
+    """doc_id, n_shingles, component_id, k1, k2, component: one row per row of docs.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. The set of a text: its distinct n-grams of
     words_per_gram words, or all its words as one when they are fewer. Texts link when 100 * overlap >=
     percent * union. component_id is the smallest doc_id that links reach, its own included. A null, empty or
     wordless text links with nothing and stands alone, with its own id (also where ids repeat); equal sets
-    count as linked; a null id is ignored among others. k1 is row_key(doc_id, text)[0].
+    count as linked; a null id is ignored among others. k1, k2 are row_key(doc_id, text).
     component tells components apart, also those of one component_id; null where a text has no words.
 
-    n-grams and sets are told apart by 64-bit hashes. Equal sets are one row from the start. The candidates'
-    components are cut into blocks of BLOCK_ROWS sets; a component of c sets takes (c / BLOCK_ROWS)**2 / 2
-    products, none of which leaves a row behind but for a forest of its links.
+    n-grams are told apart by 64-bit hashes, sets by 128 bits. Equal sets are one row from the start. The candidates'
+    components are cut into bands of sizes that can link, and these into blocks of BLOCK_ROWS sets and BLOCK_GRAMS
+    n-grams; a band of c blocks takes c * c / 2 products, none of which leaves a row behind but for a forest of its links.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text))[0].alias("k1"), F.col(text).alias("text"))
+    a, b = row_key(F.col(doc_id), F.col(text))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), a.alias("k1"), b.alias("k2"), F.col(text).alias("text"))
     sketch = _sketch(rows, words_per_gram)
     prints = written(_prefixes(rows, words_per_gram, percent, sketch), "prefixes")
-    sets = written(
-        prints.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("k1").alias("k1"), F.first("n").alias("n"), F.first("bins").alias("bins")), "sets", small=True
-    )
+    prints, sets = _told_apart(prints, _distinct_sets(prints))
     clusters = written(components(_candidates(prints, sets, percent)), "clusters", small=True)
     linked = components(_links(rows, sets, clusters, words_per_gram, percent))
     named = written(linked.join(sets.select("node", "rep"), "node"), "linked", small=True)
     ids = written(named.groupBy("root").agg(F.min("rep").alias("component_id")), "component-ids", small=True)
     placed = named.select("node", "root").join(ids, "root").select("node", "component_id", "root")
-    all_ids = written(sets.select("node", "rep").join(placed, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("root", "node").alias("component")), "set-ids")
-    return prints.select("doc_id", "k1", "node", F.col("n").alias("n_shingles")).join(all_ids, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "k1", "component"
+    all_ids = written(sets.select("node", "rep").join(placed, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("root", "node").alias("component")), "set-ids", small=True)
+    return prints.select("doc_id", "k1", "k2", "node", F.col("n").alias("n_shingles")).join(all_ids, "node", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "k1", "k2", "component"
     )
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs, words_per_gram=3, percent=90).drop("k1", "component")
+    return near_duplicates(docs, words_per_gram=3, percent=90).drop("k1", "k2", "component")
