@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import ascii_lower, row_key, shared_dir, written
 
 MEMTABLE_ROWS = 200_000
+#: A broadcast table of slots has 2**SLOT_BITS rows of 8 bytes at most.
+SLOT_BITS = 20
 
 
 def _merged(parts: list[pa.Table], largest: bool) -> pa.Table:
@@ -38,50 +40,85 @@ def _memtable(largest: bool, rows: int):
 
 
 class DigestIndex:
-    """Runs of (digest, id, n), sorted by digest and with Parquet's Bloom filters, below one folder.
+    """Runs of (digest, id, n) by level, sorted by digest and with Parquet's Bloom filters, below one folder.
 
-    insert() lets each task fill a memtable and flush it as sorted runs of level 0; compact() merges all
-    runs into one of the next level that keeps, of each digest, the smallest id (or the largest) and the sum
-    of n. Both write new files only, so a lost executor's work is done again.
+    insert() lets each task fill a memtable and flush it as sorted pieces of one run of level 0. A level of FANOUT runs
+    is merged into one run of the next level; compact() merges all of them. A merge deals the runs by equal ranges of
+    digests, and keeps, of each digest, the smallest id (or the largest) and the sum of n; an id of null counts as
+    none. Files are only written anew, so a lost executor's work is done again; runs that were merged are deleted.
     """
 
+    FANOUT = 4
+
     def __init__(self, spark: SparkSession, keep: str = "smallest", path: str | None = None, memtable_rows: int = MEMTABLE_ROWS):
         if keep not in ("smallest", "largest"):
             raise ValueError("keep is smallest or largest")
         self.spark, self.largest, self.rows = spark, keep == "largest", memtable_rows
         self.path = path or f"{shared_dir(spark)}/foliospark/digests-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
+        self.levels: list[list[str]] = [[]]
+        self.made = 0
+
+    @property
+    def runs(self) -> list[str]:
+        return [run for level in self.levels for run in level]
+
+    def _folder(self, run: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(run)
+        return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _write(self, df: DataFrame, level: int) -> None:
-        self.runs.append(f"{self.path}/level{level}-{len(self.runs)}")
+        run = f"{self.path}/level{level}-{self.made}"
+        self.made += 1
         bloom = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(self.rows)}
-        df.write.options(**bloom).parquet(self.runs[-1])
-        jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(self.runs[-1])
-        target.getFileSystem(hadoop).deleteOnExit(target)
+        df.write.options(**bloom).parquet(run)
+        target, files = self._folder(run)
+        files.deleteOnExit(target)
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run)
 
     def insert(self, fingerprints: DataFrame) -> None:
         """fingerprints: digest binary, id."""
         rows = fingerprints.select("digest", "id")
         kind = rows.schema["id"].dataType.simpleString()
         self._write(rows.mapInArrow(_memtable(self.largest, self.rows), f"digest binary, id {kind}, n long"), 0)
+        level = 0
+        while len(self.levels[level]) >= self.FANOUT:
+            self._merge(self.levels[level], level + 1)
+            level += 1
+
+    def _merge(self, runs: list[str], level: int) -> None:
+        best = F.max if self.largest else F.min
+        span = F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("int")  # digests are spread evenly
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = self.spark.read.parquet(*runs).withColumn("span", F.floor(span * parts / F.lit(1 << 16)).cast("int"))
+        merged = dealt.repartition(parts, "span").groupBy("span", "digest").agg(best("id").alias("id"), F.sum("n").alias("n"))
+        old = list(runs)
+        self._write(merged.sortWithinPartitions("span", "digest").drop("span"), level)
+        for names in self.levels:
+            names[:] = [x for x in names if x not in old]
+        for run in old:
+            target, files = self._folder(run)
+            files.delete(target, True)
 
     def compact(self) -> DataFrame:
         """The index as one run: a row for each digest."""
-        best = F.max if self.largest else F.min
-        merged = self.table().groupBy("digest").agg(best("id").alias("id"), F.sum("n").alias("n"))
-        self._write(merged.sortWithinPartitions("digest"), 1)
-        self.runs = self.runs[-1:]
+        self._merge(self.runs, len(self.levels))
         return self.table()
 
     def table(self) -> DataFrame:
         return self.spark.read.parquet(*self.runs)
 
     def probe(self, digests: list[bytes]) -> DataFrame:
-        """Entries of a few digests; the filters spare the runs that have none of them."""
+        """Entries of a few digests; the filters spare the files that have none of them."""
         return self.table().where(F.col("digest").isin([bytearray(d) for d in digests]))
 
 
+def slot(digest: Column, bits: int) -> Column:
+    """The leading bits of a digest as a number; a shorter digest is padded with zeros."""
+    return F.shiftright(F.conv(F.rpad(F.hex(F.substring(digest, 1, 4)), 8, "0"), 16, 10).cast("long"), 32 - bits)
+
+
 def sha_digest(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
@@ -93,9 +130,11 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", text: str = "text"
     with the smallest (or largest) id stays. Rows that repeat both text and id share their verdict and count
     each in group_size; a null id stays only where all ids of its group are null.
 
-    Digests alone are shuffled. Those of more than one row are verified: the texts behind them are compared
-    byte by byte (least and greatest text of a digest, with map-side partial results, so that a hot group
-    sends one pair per task). Should different texts share a digest, these are grouped by the text itself.
+    Digests, ids and counts go through the index. Digests of more than one row are verified: the texts behind
+    them are compared byte by byte (least and greatest text of a digest, with map-side partial results, so that a hot
+    group sends one pair per task). Which texts may be behind them a broadcast table of digest slots tells, of
+    SLOT_BITS bits at most (2**SLOT_BITS rows): other texts stay where they are. Should different texts share a
+    digest, these are grouped by the text itself.
     """
     spark = docs.sparkSession
     body = ascii_lower(F.coalesce(F.col(text), F.lit("")))
@@ -108,9 +147,11 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", text: str = "text"
     index = DigestIndex(spark, keep)
     index.insert(prints)
     hits = written(index.compact().where("n > 1").select("digest", F.col("id").alias("keep"), "n"), "hits", small=True)
-    hit_rows = prints.join(hits.select("digest"), "digest", "left_semi").select("k1", "k2", "digest").distinct()
-    texts = docs.select(a.alias("k1"), b.alias("k2"), F.col(text).alias("t")).join(hit_rows.hint("shuffle_hash"), ["k1", "k2"]).select("digest", body_of("t").alias("body"))
-    false_hits = written(texts.groupBy("digest").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi").select("digest"), "false-hits", small=True)
+    bits = max(8, min(SLOT_BITS, (hits.count() * 16).bit_length()))
+    slots = hits.select(slot(F.col("digest"), bits).alias("slot")).distinct()
+    texts = docs.select(body.alias("body")).withColumn("digest", digest(F.col("body")))
+    maybe = texts.withColumn("slot", slot(F.col("digest"), bits)).join(F.broadcast(slots), "slot", "left_semi")
+    false_hits = written(maybe.groupBy("digest").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi").select("digest"), "false-hits", small=True)
     best = F.max if keep == "largest" else F.min
     by_digest = prints.select("id", "digest", "text_sha256")
     parts = [by_digest.join(hits, "digest", "left").select("id", "keep", "n", "text_sha256")]
