@@ -24,7 +24,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     and neighbours with equal hashes give the positions that are covered. So a long text takes n log n steps in
     one row and no shuffle.
     """
-    body, words, hashes, wins, again, lines = fresh(docs, "_t", "_w", "_h", "_s", "_r", "_l")
+    body, words, hashes, wins, again, lines, worded = fresh(docs, "_t", "_w", "_h", "_s", "_r", "_l", "_worded")
     c = F.col
 
     def window(h: Column, i: Column) -> Column:
@@ -45,26 +45,25 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumns({hashes: F.transform(words, lambda w: F.xxhash64(w)), "n_words": F.size(words).cast("long"), "word_chars": F.length(F.array_join(words, "")).cast("long")})
         .withColumn(wins, F.sort_array(F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 2, F.lit(0))), window)))
         .withColumn(again, F.filter(wins, shared))
-        .withColumn("_worded", F.filter(lines, lambda x: F.btrim(x, F.lit(WS)) != ""))
+        .withColumn(worded, F.filter(lines, lambda x: F.btrim(x, F.lit(WS)) != ""))
         .select(
             *[f"`{x}`" for x in own], "n_words", "word_chars",
             F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-            (F.size("_worded") - F.size(F.array_distinct("_worded"))).cast("long").alias("n_dup_lines"),
+            (F.size(worded) - F.size(F.array_distinct(worded))).cast("long").alias("n_dup_lines"),
             F.size(covered).cast("long").alias("n_repeat_words"),
             F.size(lines).cast("long").alias("n_lines"),
         )
     )
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_host_rate: float = 0.75, min_hosts: int = 2, by_document: bool = True) -> DataFrame:
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_host_rate: float = 0.75, min_hosts: int = 2) -> DataFrame:
     """One row per row of docs: its id, the row key k1, k2, the counts, base_failed, host_rate, host_failed and kept.
 
     A document that fails a base rule is rejected. The failures of each rule are summed by host, and the
     rate of each host is shrunk towards the mean over hosts by a beta prior whose strength is fitted to the
     spread between hosts (method of moments). Where the shrunk rate of some rule is over max_host_rate, the
     host is rejected with all its documents. Where the shrunk rate of a rule is over the mean of the rules'
-    prior means, the host's documents that fail this rule are rejected (host_failed), and its others stay;
-    by_document=False leaves that out of kept. A null host has no verdict of its own; with fewer than
+    prior means, the host's documents that fail this rule are rejected (host_failed), and its others stay. A null host has no verdict of its own; with fewer than
     min_hosts hosts there is no spread to fit, and rates stay raw. Repeated rows count each.
     """
     k1, k2 = row_key(F.col(doc_id), F.col(text))
@@ -75,7 +74,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
         counted.join(host_rates(counted, min_hosts), F.col("host") == F.col("h"), "left")
         .withColumns({"base_failed": failed, "host_failed": F.expr(HOST_FAILED)})
         .drop("h", *[f"often_{name}" for name in RULES])
-        .withColumn("kept", ~failed & ~(F.col("host_failed") & F.lit(by_document)) & (F.coalesce("host_rate", F.lit(0.0)) <= max_host_rate))
+        .withColumn("kept", ~failed & ~F.col("host_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= max_host_rate))
     )
 
 
@@ -107,19 +106,18 @@ def host_rates(counted: DataFrame, min_hosts: int = 2) -> DataFrame:
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = 0.75, min_hosts: int = 2) -> DataFrame:
     """The rows of docs that judge() keeps, with the columns of docs.
 
-    The counts are made twice, for the hosts and for the rows, so that no text is shuffled.
+    The rows are written once with their counts, so that the hosts and the verdicts read these instead of texts.
     """
-    rows = with_counts(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"), F.col(host).alias("host")))
-    judged = rows.join(host_rates(rows, min_hosts), F.col("host") == F.col("h"), "left")
-    good = F.expr(f"NOT ({BASE_FAILED}) AND NOT ({HOST_FAILED})") & (F.coalesce("host_rate", F.lit(0.0)) <= max_host_rate)
-    # a filter would be pushed down and make the counts once for each of its terms, and again inside lambdas
-    return judged.select(F.explode(F.when(good, F.array("row")).otherwise(F.slice(F.array("row"), 1, 0))).alias("row")).select("row.*")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = written(with_counts(docs.select(own, F.col(text).alias("text"), F.col(host).alias("host"))).drop("text"), "quality-rows")
+    judged = rows.where(F.expr(f"NOT ({BASE_FAILED})")).join(host_rates(rows, min_hosts), F.col("host") == F.col("h"), "left")
+    good = F.expr(f"NOT ({HOST_FAILED})") & (F.coalesce("host_rate", F.lit(0.0)) <= max_host_rate)
+    return judged.where(good).select("row.*")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """kept as SQL has it, where only whole hosts are rejected; the pipeline goes by the document too."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return judge(docs, by_document=False).select("doc_id", *COUNTS, "base_failed", "kept")
+    return judge(docs).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 #: The strength of the prior and the shrunk rates as in judge(), for DuckDB.
@@ -149,8 +147,11 @@ WITH w AS (
   SELECT r, count(*) AS hosts, sum(f) / sum(n) AS m, var_pop(f / n) - (sum(f) / sum(n)) * (1 - sum(f) / sum(n)) * avg(1 / n) AS spread FROM h GROUP BY r
 ), s AS (
   SELECT r, m, CASE WHEN hosts < 2 THEN 0 WHEN spread <= 0 THEN 1e6 ELSE greatest(0, least(1e6, m * (1 - m) / spread - 1)) END AS k FROM m
-), v AS (SELECT source, max((f + m * k) / (n + k)) AS rate FROM h JOIN s USING (r) GROUP BY source)
+), v AS (
+  SELECT source, max(rate) AS rate, bool_or(r = 3 AND rate > level) AS often_d, bool_or(r = 4 AND rate > level) AS often_e
+  FROM (SELECT source, r, (f + m * k) / (n + k) AS rate, (SELECT avg(m) FROM m) AS level FROM h JOIN s USING (r)) GROUP BY source
+)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (a + b > 0) AS base_failed,
-  a + b = 0 AND coalesce(rate, 0) <= 0.75 AS kept
+  a + b = 0 AND NOT (d = 1 AND coalesce(often_d, false)) AND NOT (e = 1 AND coalesce(often_e, false)) AND coalesce(rate, 0) <= 0.75 AS kept
 FROM f LEFT JOIN v USING (source)
 """
