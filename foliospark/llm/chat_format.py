@@ -50,29 +50,45 @@ class Template:
         return F.transform(spans, lambda s: self.unescape(F.substring(formatted, s["start"].cast("int") + 1, s["chars"].cast("int"))))
 
 
-def reply_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
-    """tree, leaf, node, depth, rank: the nodes of the best root-to-leaf paths of each tree.
-
-    messages: tree string (not null), node long (unique within its tree), parent long, score double (null
-    counts as 0). A parent that is null, absent or not smaller than its child makes the child a root, so
-    cycles can't arise. Paths rank by mean score, then length, then smallest leaf.
-
-    Self-joins double the distance to the ancestor each node knows, so a path of n nodes takes log2 n joins,
-    each of the messages that have not met their root yet. Only leaves are ranked, with the sums they have by then; the
-    chosen ones walk the same jumps back, which gives each node of a path once.
-    """
-    nodes = written(messages.select("tree", "node", F.when(F.col("parent") < F.col("node"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).alias("score")), "messages")
+def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """tree, node, up (an ancestor, null once the root is met), n and total (nodes and scores below up), by doubled
+    distance; and the nodes that meet no root, if there are any."""
     there = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     level = nodes.join(there, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("n"), F.col("score").alias("total")
     )
-    levels = [written(level, "jumps", small=True)]
+    levels, most = [written(level, "jumps")], None
     while not levels[-1].where("up IS NOT NULL").isEmpty():
+        most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] if most is None else most
+        if 2 ** (len(levels) - 1) >= most:
+            return levels, levels[-1].where("up IS NOT NULL")
         above = levels[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("n").alias("m"), F.col("total").alias("more"))
         further = levels[-1].where("up IS NOT NULL").join(above, ["tree", "up"]).select(
             "tree", "node", F.col("far").alias("up"), (F.col("n") + F.col("m")).alias("n"), (F.col("total") + F.col("more")).alias("total")
         )
-        levels.append(written(levels[-1].where("up IS NULL").unionByName(further), "jumps", small=True))
+        levels.append(written(levels[-1].where("up IS NULL").unionByName(further), "jumps"))
+    return levels, None
+
+
+def reply_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
+    """tree, leaf, node, depth, rank: the nodes of the best root-to-leaf paths of each tree.
+
+    messages: tree string (not null), node long (unique within its tree), parent long, score double (null
+    counts as 0). A parent that is null or absent makes the child a root; ids need not grow along replies. Nodes
+    that reach no root within as many steps as their largest tree has nodes are in a cycle or below one: of these,
+    parents that are not smaller than the child are cut, which leaves no cycle. Paths rank by mean score, then
+    length, then smallest leaf.
+
+    Self-joins double the distance to the ancestor each node knows, so a path of n nodes takes log2 n joins,
+    each of the messages that have not met their root yet. Only leaves are ranked, with the sums they have by then; the
+    chosen ones walk the same jumps back, which gives each node of a path once.
+    """
+    nodes = written(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "messages")
+    levels, lost = _jumps(nodes)
+    if lost is not None:
+        smaller = F.when(F.col("lost").isNull() | (F.col("parent") < F.col("node")), F.col("parent")).alias("parent")
+        marked = nodes.join(lost.select("tree", "node", F.lit(True).alias("lost")), ["tree", "node"], "left")
+        levels, _ = _jumps(written(marked.select("tree", "node", smaller, "score"), "messages"))
     whole = levels.pop()
     parents = levels[0].where("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct() if levels else whole.limit(0).select("tree", "node")
     best = [(F.col("total") / F.col("n")).desc(), F.col("n").desc(), F.col("node")]
@@ -144,7 +160,7 @@ def chains(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
 
 
 def op1_chat_format(spark, sf_dir: str) -> DataFrame:
-    extra = spark.createDataFrame([(-7, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS v(conv_id, turn, role, text)")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)
     t = Template()
     messages = written(chains(turns), "chains")

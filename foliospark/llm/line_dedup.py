@@ -22,7 +22,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: s
 
     Plan: distinct keys of each row are hashed to 128 bits and counted with map-side partial sums, so a hot
     line is one row per task. The frequent hashes are written; their measured size decides between a
-    broadcast and a shuffle join that may split a hot key. Only positions travel back to the documents.
+    broadcast and a shuffle join that may split a hot key. Only positions travel back to the documents; a task's
+    share of them is hashed, which is a small part of the share of texts that it meets (4 bytes for a dropped line).
     """
     k1, k2, lines, keys, gone = fresh(docs, "_k1", "_k2", "_lines", "_keys", "_gone")
     a, b = row_key(F.col(doc_id), F.col(text))
