@@ -119,14 +119,15 @@ def _stepped(rate: Column, steps: list[np.ndarray]) -> Column:
 
 
 def fit_rates(members: DataFrame, targets: np.ndarray, most_steps: int = 60, tolerance: float = 1e-6) -> DataFrame:
-    """members (with n_tokens and p) and rate: nonnegative, near 1, with the targets' shares of the expected tokens.
+    """members (with n_tokens and p), rate and missed. Rates are nonnegative, near 1, with the targets' shares of the expected tokens.
 
     Minimises half the squared distance between the domains' expected tokens, sum of rate * n_tokens * p, and
     targets times all tokens, from rates of 1 by projected gradients: in the metric that weighs a document by
     its tokens, preconditioned with the domains' Gram matrix over the documents whose rate is not held at 0. A
     step is one aggregate over all documents, with as many sums as pairs of domains; documents redo the steps
     so far from these few numbers, and are written each FOLDED steps. It ends when no domain is further than tolerance of all tokens from its target, or after
-    most_steps: then no rates meet the targets, and these are near the closest.
+    most_steps: then no rates meet the targets, and these are near the closest. missed is that distance as a share of all
+    tokens, the same in each row, 0 where there is nothing to meet.
     """
     d = len(targets)
     p = [F.get("p", F.lit(i)) for i in range(d)]
@@ -134,28 +135,29 @@ def fit_rates(members: DataFrame, targets: np.ndarray, most_steps: int = 60, tol
     rows = members.withColumn("rate", F.lit(1.0))
     total = rows.agg(F.sum(n)).first()[0] or 0.0
     if not total or not d:
-        return rows
+        return rows.withColumn("missed", F.lit(0.0))
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     free = F.when(F.col("rate") > 0, n).otherwise(F.lit(0.0))
     steps: list[np.ndarray] = []
-    for _ in range(most_steps):
+    for step in range(most_steps + 1):
         now = rows.select("n_tokens", "p", _stepped(F.col("rate"), steps).alias("rate"))
         got = now.agg(*[F.sum(n * F.col("rate") * p[i]).alias(f"s{i}") for i in range(d)], *[F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
         miss = np.array([got[f"s{i}"] for i in range(d)]) / total - targets
         gram = np.zeros((d, d))
         for i, j in pairs:
             gram[i, j] = gram[j, i] = got[f"g{i}_{j}"] / total
-        if np.abs(miss).max() <= tolerance:
+        missed = float(np.abs(miss).max())
+        if missed <= tolerance or step == most_steps:
             break
         steps.append(np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ miss)
         if len(steps) == FOLDED:
             rows = written(rows.withColumn("rate", _stepped(F.col("rate"), steps)), "rates")
             steps = []
-    return rows.withColumn("rate", _stepped(F.col("rate"), steps))
+    return rows.withColumns({"rate": _stepped(F.col("rate"), steps), "missed": F.lit(missed)})
 
 
 def mixed(docs: DataFrame, model: DomainModel, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, posteriors, rate, copies, and row_key(doc_id, text) as k1, k2.
+    """One row per row of docs: doc_id, n_tokens, posteriors, rate, missed (as in fit_rates()), copies, and row_key(doc_id, text) as k1, k2.
 
     n_tokens counts the words of the whole text, none for a null one. targets are shares by domain, scaled to
     sum to 1; domains without a target get 0, targets without a domain are left out. A rate becomes a
@@ -168,7 +170,7 @@ def mixed(docs: DataFrame, model: DomainModel, targets: dict[str, float], doc_id
     members = written(_memberships(rows, model), "memberships")
     rated = fit_rates(members, goal / goal.sum() if goal.sum() > 0 else goal)
     u = F.pmod(F.xxhash64("k1", "k2", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    return rated.select("doc_id", "n_tokens", F.col("p").alias("posteriors"), "rate", F.floor(F.col("rate") + u).cast("long").alias("copies"), "k1", "k2")
+    return rated.select("doc_id", "n_tokens", F.col("p").alias("posteriors"), "rate", "missed", F.floor(F.col("rate") + u).cast("long").alias("copies"), "k1", "k2")
 
 
 def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
