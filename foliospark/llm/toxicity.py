@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from foliospark.llm.examples import fold, sampled
 from foliospark.llm.textkernel import U64, sliced, terms, terms_of
 
-BLOCK = 64
+BLOCK, BATCH = 256, 128
+#: So many of the most frequent terms have whole rows of weights instead of postings.
+FREQUENT = 512
 #: The weight of a term that does not go with the label, to one that does.
 LEAST = 0.1
 MEMO = 4096  # votes on distinct texts that a task keeps for copies: some 2 MB
@@ -65,7 +68,11 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 @dataclass
 class BlockMaxIndex:
-    """Postings of unit TF-IDF vectors by term and block of examples, with the greatest weight of each such list."""
+    """Postings of unit TF-IDF vectors by term and block of examples, with the greatest weight of each such list.
+
+    The FREQUENT terms, whose lists would hold most of the examples, are rows of a matrix instead: a batch of
+    queries meets them in one product, whose greatest value in a block is part of the block's bound.
+    """
 
     n: int
     row: np.ndarray
@@ -74,27 +81,50 @@ class BlockMaxIndex:
     block: np.ndarray
     top: np.ndarray
     cuts: np.ndarray  # where the lists of each term start, and the end
+    place: np.ndarray  # the row of each frequent term, -1 of others
+    whole: np.ndarray
 
     @classmethod
-    def build(cls, n: int, n_terms: int, row: np.ndarray, term: np.ndarray, value: np.ndarray) -> BlockMaxIndex:
+    def build(cls, n: int, n_terms: int, row: np.ndarray, term: np.ndarray, value: np.ndarray, frequent: int = FREQUENT) -> BlockMaxIndex:
+        df = np.bincount(term, minlength=n_terms)
+        often = np.argsort(-df, kind="stable")[:frequent]
+        place = np.full(n_terms, -1, np.int32)
+        place[often] = np.arange(len(often))
+        whole = np.zeros((len(often), n))
+        dense = place[term] >= 0
+        whole[place[term[dense]], row[dense]] = value[dense]
+        row, term, value = row[~dense], term[~dense], value[~dense]
         order = np.lexsort((row, term))
         row, term, value = row[order], term[order], value[order]
-        key = term * (n // BLOCK + 1) + row // BLOCK
-        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        starts = np.flatnonzero(np.diff(term * (n // BLOCK + 1) + row // BLOCK, prepend=-1))
         top = np.maximum.reduceat(value, starts) if len(starts) else np.zeros(0)
-        return cls(n, row.astype(np.int32), value, np.append(starts, len(row)), row[starts] // BLOCK, top, np.searchsorted(term[starts], np.arange(n_terms + 1)))
+        return cls(n, row.astype(np.int32), value, np.append(starts, len(row)), row[starts] // BLOCK, top, np.searchsorted(term[starts], np.arange(n_terms + 1)), place, whole)
+
+    def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the frequent terms add to the cosines of each query (terms and weights) with all examples."""
+        q = np.zeros((len(queries), len(self.whole)))
+        for i, (term, weight) in enumerate(queries):
+            at = self.place[term]
+            q[i, at[at >= 0]] = weight[at >= 0]
+        return q @ self.whole
 
-    def nearest(self, query: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, query: np.ndarray, weight: np.ndarray, k: int, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine above 0 (ties: the first examples) and their cosines, exactly.
 
-        Blocks come by falling upper bound; the search ends when no block left can reach the k-th cosine.
+        Blocks come by falling upper bound; the search ends when no block left can reach the k-th cosine. part is
+        what frequent() has for the query.
         """
+        part = self.frequent([(query, weight)])[0] if part is None else part
+        rare = self.place[query] < 0
+        query, weight = query[rare], weight[rare]
         lists = spans(self.cuts[query], self.cuts[query + 1])
         w, of = np.repeat(weight, self.cuts[query + 1] - self.cuts[query]), self.block[lists]
-        bound = np.bincount(of, w * self.top[lists], self.n // BLOCK + 1)
+        bound = np.bincount(of, w * self.top[lists], self.n // BLOCK + 1).astype(float)
+        firsts = np.arange(0, self.n, BLOCK)
+        bound[: len(firsts)] += np.maximum.reduceat(part, firsts)
         blocks = np.argsort(-bound, kind="stable")
         blocks = blocks[bound[blocks] > 0]
-        ids, sims, kth, at, width = np.zeros(0, np.int64), np.zeros(0), -1.0, 0, 16
+        ids, sims, kth, at, width = np.zeros(0, np.int64), np.zeros(0), -1.0, 0, 8
         while at < len(blocks) and bound[blocks[at]] + 1e-9 >= kth:
             chosen = np.zeros(len(bound), bool)
             chosen[blocks[at : at + width]] = True
@@ -102,8 +132,8 @@ class BlockMaxIndex:
             here = chosen[of]
             a, b = self.at[lists[here]], self.at[lists[here] + 1]
             post = spans(a, b)
-            sums = np.bincount(self.row[post], np.repeat(w[here], b - a) * self.value[post], self.n)
-            found = np.flatnonzero(sums > max(0.0, kth - 1e-9))
+            sums = np.bincount(self.row[post], np.repeat(w[here], b - a) * self.value[post], self.n) + part
+            found = np.flatnonzero((sums > max(0.0, kth - 1e-9)) & np.repeat(chosen, BLOCK)[: self.n])
             ids, sims = np.concatenate([ids, found]), np.concatenate([sims, sums[found]])
             if len(ids) > 4 * k:  # only those that can be among the k, ties with the k-th included
                 likely = sims >= np.partition(sims, len(sims) - k)[len(sims) - k] - 1e-9
@@ -133,14 +163,19 @@ class NearestExamples:
         v = (1 + np.log(count)) * self.idf[term]
         return v / np.maximum(np.sqrt((v * v).sum()), 1e-12)
 
-    def vote(self, term: np.ndarray, count: np.ndarray, without: int = -1) -> tuple[float, list]:
-        """Distance-weighted share of label 1 among the k nearest, and these as (key, cosine)."""
-        ids, sims = self.index.nearest(term, self.unit(term, count), self.k + (without >= 0))
-        if without >= 0:
-            ids, sims = ids[ids != without][: self.k], sims[ids != without][: self.k]
-        w = self.weight[ids] / (1.05 - np.minimum(sims, 1.0))
-        prior = self.weight.mean()
-        return float((w @ self.y[ids] + prior * self.base) / (w.sum() + prior)), [(self.keys[i], float(s)) for i, s in zip(ids[:3], sims[:3], strict=True)]
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> Iterator[tuple[float, list]]:
+        """Of each text (terms and counts) the distance-weighted share of label 1 among the k nearest, and these as
+        (key, cosine). without: an example that each text is not to find."""
+        for at in range(0, len(texts), BATCH):
+            queries = [(term, self.unit(term, count)) for term, count in texts[at : at + BATCH]]
+            for i, (query, part) in enumerate(zip(queries, self.index.frequent(queries), strict=True)):
+                ids, sims = self.index.nearest(*query, self.k + (without is not None), part)
+                if without is not None:
+                    other = ids != without[at + i]
+                    ids, sims = ids[other][: self.k], sims[other][: self.k]
+                w = self.weight[ids] / (1.05 - np.minimum(sims, 1.0))
+                prior = self.weight.mean()
+                yield float((w @ self.y[ids] + prior * self.base) / (w.sum() + prior)), [(self.keys[i], float(s)) for i, s in zip(ids[:3], sims[:3], strict=True)]
 
     def score(self, p: float) -> float:
         a, b = self.slope
@@ -211,7 +246,7 @@ def train_toxicity(
     known = np.flatnonzero(~bare)
     if len(known):
         cuts = np.searchsorted(row, np.arange(len(y) + 1))
-        votes = np.array([model.vote(term[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]], i)[0] for i in known])
+        votes = np.array([p for p, _ in model.votes([(term[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]]) for i in known], known.tolist())])
         model.calibrate(np.log(np.maximum(votes, 1e-6) / np.maximum(1 - votes, 1e-6)), y[known], weight[known])
     return model
 
@@ -235,15 +270,21 @@ def score_toxicity(docs: DataFrame, model: NearestExamples, text: str = "text")
             row, term, count = known_terms(*terms(data, offsets), model.vocabulary)
             score, evidence = np.full(part.num_rows, model.none), [[]] * part.num_rows
             cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
+            new, rows_of = {}, {}
             for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
                 t, c = term[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]]
                 same = hashlib.blake2b(t.tobytes() + c.tobytes(), digest_size=16).digest()
+                rows_of.setdefault(same, []).append(i)
                 if same not in known:
-                    if len(known) >= MEMO:
-                        known.clear()
-                    p, near = model.vote(t, c)
-                    known[same] = model.score(p), [{"key": k, "cosine": s} for k, s in near]
-                score[i], evidence[i] = known[same]
+                    new[same] = t, c
+            found = {same: (model.score(p), [{"key": k, "cosine": s} for k, s in near]) for same, (p, near) in zip(new, model.votes(list(new.values())), strict=True)}
+            for same, at in rows_of.items():
+                got = found[same] if same in found else known[same]
+                for i in at:
+                    score[i], evidence[i] = got
+            if len(known) + len(found) > MEMO:
+                known.clear()
+            known.update(itertools.islice(found.items(), MEMO))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:n], pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(evidence, kind)],
                 names=[*(f"_c{i}" for i in range(n)), "score", "predicted", "evidence"],
