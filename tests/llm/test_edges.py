@@ -112,11 +112,24 @@ def test_index_runs_probe_and_compaction(spark):
     rows = lambda ids: spark.createDataFrame([(bytearray([i % 5]), i) for i in ids], "digest binary, id long")
     index.insert(rows(range(10, 20)))
     index.insert(rows(range(3, 12)))
-    assert len(index.runs) == 2
+    assert [len(level) for level in index.levels] == [2]
     assert {bytes(r.digest)[0]: (r.id, r.n) for r in index.compact().collect()} == {0: (5, 4), 1: (6, 4), 2: (7, 3), 3: (3, 4), 4: (4, 4)}
     assert len(index.runs) == 1 and index.probe([b"\x02"]).count() == 1
 
 
+def test_full_levels_are_merged_into_the_next(spark):
+    index = exact_dedup.DigestIndex(spark, "largest")
+    for i in range(9):
+        index.insert(spark.createDataFrame([(bytearray([i % 2, 7]), i), (bytearray([200, i]), None)], "digest binary, id long"))
+    assert [len(level) for level in index.levels] == [1, 2]
+    got = {bytes(r.digest): (r.id, r.n) for r in index.compact().collect()}
+    assert got[b"\x00\x07"] == (8, 5) and got[b"\x01\x07"] == (7, 4) and got[b"\xc8\x03"] == (None, 1) and len(got) == 11
+    merged = spark.read.parquet(index.runs[0])
+    files = [sorted(bytes(r.digest) for r in merged.where(F.input_file_name() == f[0]).collect()) for f in merged.select(F.input_file_name()).distinct().collect()]
+    files.sort()
+    assert all(x[-1] < y[0] for x, y in zip(files, files[1:], strict=False))  # each file is a range of digests
+
+
 def test_near(docs, none):
     out = ngram_join.near_duplicates(docs).collect()
     assert len(out) == len(ROWS)
@@ -206,6 +219,43 @@ def test_reply_tree_takes_the_best_branch(spark):
     assert {(r.leaf, r.rank) for r in two} == {(4, 1), (2, 2)}
 
 
+def test_ids_need_not_grow_and_cycles_are_cut(spark):
+    rows = [("t", 9, None, 0.0), ("t", 5, 9, 0.0), ("t", 7, 5, 0.0), ("t", 1, 7, 0.0)]  # 9 <- 5 <- 7 <- 1
+    rows += [("c", 1, 3, 0.0), ("c", 2, 1, 0.0), ("c", 3, 2, 0.0), ("c", 8, 3, 5.0), ("s", 4, 4, 0.0), ("r", 2, None, 0.0), ("r", 1, 2, 0.0)]
+    m = spark.createDataFrame(rows, "tree string, node long, parent long, score double")
+    got = {t: [r.node for r in chat_format.reply_paths(m).where(F.col("tree") == t).orderBy("depth").collect()] for t in "tcsr"}
+    assert got == {"t": [9, 5, 7, 1], "c": [1, 2, 3, 8], "s": [4], "r": [2, 1]}
+
+
+def test_ties_of_score_and_length_and_long_messages(spark):
+    rows = [("t", 0, None, 0.0, "user", "q"), ("t", 2, 0, 1.0, "assistant", "x" * 300_000), ("t", 1, 0, 1.0, "assistant", "y" * 300_000)]
+    m = spark.createDataFrame(rows, "tree string, node long, parent long, score double, role string, text string").withColumns({"n": F.lit(1), "leaf": F.lit(2), "rank": F.lit(3), "up": F.lit(4)})
+    row = chat_format.format_paths(m).first()
+    assert (row.leaf, row.n_turns) == (1, 2) and row.loss_spans[0].chars == 300_000
+    assert {(r.leaf, r.rank) for r in chat_format.format_paths(m, paths_per_tree=5).collect()} == {(1, 1), (2, 2)}
+
+
+def test_counts_leave_other_columns(spark):
+    df = spark.createDataFrame([(1, "a\na", 5, 6)], "doc_id long, text string, _worded int, _T int")
+    row = quality_rules.with_counts(df).first()
+    assert (row._worded, row._T, row.n_dup_lines) == (5, 6, 1)
+
+
+def test_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([("a", "you idiot"), ("b", "fine day"), ("b", "fine day"), (None, "idiot")], "doc_id string, text string")
+    labels = spark.createDataFrame([("a", 1), ("b", 0)], "doc_id string, toxic int")
+    got = toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels, docs)).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["None", "a", "b", "b"] and [r.evidence[0].key for r in got if r.doc_id is None] == ["a"]
+
+
+def test_long_urls_and_rules_of_equal_length(spark):
+    rules = url_filter.rules_table(spark, [("allow", "b.c", "/x"), ("block", "c", "/xyz"), ("allow", "d.c", "/x/"), ("block", "d.c", "/x/")])
+    deep = "http://" + "a." * 2000 + "c/xyz" + "/p" * 20_000
+    pages = spark.createDataFrame([(1, deep), (2, "http://b.c/xyz"), (3, "http://d.c/x/y"), (4, "http://b.c/xy")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert got == {1: ("c/xyz", "block"), 2: ("c/xyz", "block"), 3: ("d.c/x/", "block"), 4: ("b.c/x", "allow")}
+
+
 def test_long_chain(spark):
     turns = spark.range(300).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('m', id) AS text")
     out = chat_format.format_paths(chat_format.chains(turns)).first()

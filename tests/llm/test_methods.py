@@ -50,6 +50,8 @@ def near_copies(n=90, words=120, seed=3):
             text[j] = f"x{rng.integers(0, 9999)}"
         rows.append((i, " ".join(text)))
     rows += [(1000 + i, " ".join([*passage, *(f"y{x}" for x in rng.integers(0, 9999, 80))])) for i in range(80)]
+    graded = [f"g{i}" for i in rng.integers(0, 9000, 400)]
+    rows += [(3000 + i, " ".join(graded[: 100 + 4 * i])) for i in range(70)]
     rows += [(2000 + i, t) for i, t in enumerate(["a b", "A  b", "a", "", None, "a b c d e", "a b c d e f", "a b c d e f g h i j k l m n o p q r s t"])]
     return rows
 
@@ -57,12 +59,30 @@ def near_copies(n=90, words=120, seed=3):
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80), (2, 50)])
 def test_components_of_near_copies(spark, k, percent, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 4000)
     monkeypatch.setattr(ngram_join, "SHORT_LIST", 8)
     rows = near_copies()
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, k, percent)
 
 
+def test_sets_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "NODE_BITS", 5)
+    rows = near_copies(20) + [(9000, None), (9001, "a b")]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 3, 80)
+
+
+def test_blocks_are_bounded_in_rows_and_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 10_000)
+    sets = spark.range(3000).selectExpr("id AS node", "10 + id % 400 AS n", "id AS k1", "id AS k2")
+    clusters = sets.select("node", F.when(F.col("node") < 2900, 1).otherwise(F.col("node")).cast("long").alias("root"))
+    got = ngram_join._placed(sets, clusters, 90).join(sets.select("node", "n"), "node").cache()
+    assert got.where("node >= 2900").select("cut", "above", "below", "band").distinct().collect() == [(1, 0, 0, 0)]
+    big = got.where("node < 2900").groupBy("band").agg(F.first("cut").alias("cut"), F.sum("n").alias("n"), F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi")).collect()
+    assert all(r.n <= r.cut * 10_000 and r.c <= r.cut * ngram_join.BLOCK_ROWS and 100 * r.lo >= 89 * r.hi for r in big) and len(big) > 10
+
+
 def test_components_of_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
@@ -186,12 +206,13 @@ def test_texts_without_telling_terms_are_searched(spark):
     assert got == {201: ["200"], 202: [], 203: []}
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("frequent", [0, 5, 40])
+def test_block_max_search_is_exact(frequent):
     rng = np.random.default_rng(5)
     x = rng.random((500, 40)) * (rng.random((500, 40)) < 0.15)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     row, term = np.nonzero(x)
-    index = toxicity.BlockMaxIndex.build(500, 40, row, term, x[row, term])
+    index = toxicity.BlockMaxIndex.build(500, 40, row, term, x[row, term], frequent)
     for _ in range(50):
         q = np.sort(rng.choice(40, 4, replace=False))
         w = rng.random(4)
@@ -211,7 +232,23 @@ def test_rates_meet_targets(spark):
         got = sum(np.array(q) * w for w, q, _ in rates) / n.sum()
         assert np.allclose(got, goal, atol=1e-5) and min(r for _, _, r in rates) >= 0
     far = mixing.fit_rates(members.where("p[0] < 0.5"), np.array([1.0, 0.0, 0.0]), most_steps=20)
-    assert far.where("rate < 0 OR rate IS NULL").count() == 0
+    assert far.where("rate < 0 OR rate IS NULL OR missed < 0.01").count() == 0
+
+
+def test_mixing_query_against_brute_force(spark):
+    """The query's rates are those of the same projected steps over all documents as one array, and meet the targets."""
+    rows = mixing.op3_mixing(spark, MIDDLE).collect()
+    n, p, rate = np.array([r.n_tokens for r in rows], float), np.array([r.posteriors for r in rows]), np.array([r.rate for r in rows])
+    model = mixing.train_domains(spark.read.parquet(f"{MIDDLE}/documents.parquet"), mixing.label_domains(spark.read.parquet(f"{MIDDLE}/labels.parquet")))
+    goal = np.array([mixing.TARGETS[x] for x in model.domains])
+    goal = goal / goal.sum()
+    want = np.ones(len(n))
+    while np.abs(miss := (want * n) @ p / n.sum() - goal).max() > 1e-6:
+        free = n * (want > 0)
+        want = np.maximum(0, want - p @ (np.linalg.pinv((p * free[:, None]).T @ p / n.sum(), rcond=1e-9, hermitian=True) @ miss))
+    assert np.allclose(rate, want, atol=1e-5) and (rate >= 0).all()
+    assert np.allclose((rate * n) @ p / n.sum(), goal, atol=1e-5) and rows[0].missed < 1e-5
+    assert abs(sum(r.copies for r in rows) - rate.sum()) < 4 * len(rows) ** 0.5
 
 
 def test_copies_follow_rates(spark):
