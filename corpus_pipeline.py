@@ -16,12 +16,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null, empty and short texts too. Repeated rows share their verdict; columns stay."""
     return quality_rules.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of ten documents or more go; n_chars follows the text."""
+    """Lines of ten documents or more go; n_chars follows the text. Null texts become empty, rows that repeat count each."""
     cleaned = line_dedup.dedup_lines(docs)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -31,26 +31,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null ids come last, equal ones go by their row key. A repeated row is one of the group; texts without words all stay.
     """
-    (k1,) = fresh(docs, "_k1")
-    found = written(ngram_join.near_duplicates(docs).where("component IS NOT NULL").select("component", "doc_id", "k1"), "near-duplicates")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1")
-    best = written(found.groupBy("component").agg(F.count("*").alias("n"), F.min(rank)["k1"].alias("best")).where("n > 1"), "groups", small=True)
-    gone = written(found.join(best, "component").where("k1 <> best").select(F.col("k1").alias(k1)).distinct(), "gone")
-    again = written(found.groupBy("k1").count().where("count > 1").select(F.col("k1").alias(k1)), "repeated", small=True)
-    left = docs.withColumn(k1, row_key(F.col("doc_id"), F.col("text"))[0]).join(gone, k1, "left_anti")
+    keys = fresh(docs, "_k1", "_k2")
+    own = [F.col(a).alias(b) for a, b in zip(("k1", "k2"), keys, strict=True)]
+    found = written(ngram_join.near_duplicates(docs).where("component IS NOT NULL").select("component", "doc_id", "k1", "k2"), "near-duplicates")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
+    best = written(found.groupBy("component").agg(F.count("*").alias("n"), F.min(rank).alias("best")).where("n > 1").select("component", "best"), "groups", small=True)
+    stays = (F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))
+    gone = written(found.join(best, "component").where(~stays).select(*own).distinct(), "gone", small=True)
+    again = written(found.groupBy("k1", "k2").count().where("count > 1").select(*own), "repeated", small=True)
+    left = docs.withColumns(dict(zip(keys, row_key(F.col("doc_id"), F.col("text")), strict=True))).join(gone, keys, "left_anti")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = left.join(again, k1, "left_semi").groupBy(k1).agg(F.first(whole).alias("row")).select("row.*")
-    return left.join(again, k1, "left_anti").drop(k1).unionByName(once)
+    once = left.join(again, keys, "left_semi").groupBy(*keys).agg(F.first(whole).alias("row")).select("row.*")
+    return left.join(again, keys, "left_anti").drop(*keys).unionByName(once)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says, so that expected domain tokens meet the targets."""
+    """Each document as often as its rate says, so that expected domain tokens meet the targets. Without labels all stay once."""
     labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return mixing.mix(docs, mixing.train_domains(docs, labels), mixing.TARGETS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled SentencePiece ids instead of the text."""
+    """Sampled SentencePiece ids instead of the text; null pieces for a null text, none for an empty one."""
     return sentencepiece_sampling.encode_sampled(docs)
 
 
