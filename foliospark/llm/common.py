@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -34,25 +35,61 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_open: list[list[str]] = []  # what the calls of passing() that now run have written
+
+
+def drop_table(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if at_exit:
+        files.deleteOnExit(target)
+    else:
+        files.delete(target, True)
+
+
 def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder, read again.
 
     It cuts the lineage, survives the loss of executors, and gives the planner a true size, so that a
     join with it is broadcast only when that size is under spark.sql.autoBroadcastJoinThreshold.
-    The table goes when the driver's JVM ends. small: it holds a small part of what it was made from, so its rows
-    are dealt to an eighth of the shuffle's tasks, and as many files fewer; what makes them keeps all its tasks.
+    The table goes when the driver's JVM ends, or when passing() does. small: it holds a small part of what it was made from,
+    so its rows are dealt to an eighth of the shuffle's tasks, and as many files fewer; what makes them keeps all its tasks.
     """
     spark = df.sparkSession
     if small:
         df = df.repartition(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/foliospark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(hadoop).deleteOnExit(target)
+    drop_table(spark, path, at_exit=True)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def passing(name: str):
+    """The decorated function's result is written as a table of this name, and the tables it was made from are dropped."""
+
+    def around(make):
+        @functools.wraps(make)
+        def run(*args, **options) -> DataFrame:
+            _open.append([])
+            try:
+                out = make(*args, **options)
+                spark, paths = out.sparkSession, list(_open[-1])
+                done = written(out, name)
+            finally:
+                made = _open.pop()
+            for path in paths:
+                drop_table(spark, path)
+            if _open:
+                _open[-1] += [x for x in made if x not in paths]
+            return done
+
+        return run
+
+    return around
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Column names like the wanted ones that df does not have yet (in any letter case)."""
     taken, out = {c.lower() for c in df.columns}, []

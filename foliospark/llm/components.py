@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import written
+from foliospark.llm.common import passing, written
 
 
+@passing("components")
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node that has an edge to another one; nodes share a root when edges join them.
 

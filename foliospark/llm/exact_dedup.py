@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import ascii_lower, row_key, shared_dir, written
+from foliospark.llm.common import ascii_lower, drop_table, passing, row_key, shared_dir, written
 
 MEMTABLE_ROWS = 200_000
 #: A broadcast table of slots has 2**SLOT_BITS rows of 8 bytes at most.
@@ -62,17 +62,12 @@ class DigestIndex:
     def runs(self) -> list[str]:
         return [run for level in self.levels for run in level]
 
-    def _folder(self, run: str):
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(run)
-        return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def _write(self, df: DataFrame, level: int) -> None:
         run = f"{self.path}/level{level}-{self.made}"
         self.made += 1
         bloom = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(self.rows)}
         df.write.options(**bloom).parquet(run)
-        target, files = self._folder(run)
-        files.deleteOnExit(target)
+        drop_table(self.spark, run, at_exit=True)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
@@ -98,8 +93,7 @@ class DigestIndex:
         for names in self.levels:
             names[:] = [x for x in names if x not in old]
         for run in old:
-            target, files = self._folder(run)
-            files.delete(target, True)
+            drop_table(self.spark, run)
 
     def compact(self) -> DataFrame:
         """The index as one run: a row for each digest."""
@@ -123,6 +117,7 @@ def sha_digest(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
+@passing("exact")
 def exact_duplicates(docs: DataFrame, keep: str = "smallest", text: str = "text", doc_id: str = "doc_id", digest=sha_digest) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -147,6 +142,8 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", text: str = "text"
     index = DigestIndex(spark, keep)
     index.insert(prints)
     hits = written(index.compact().where("n > 1").select("digest", F.col("id").alias("keep"), "n"), "hits", small=True)
+    for run in index.runs:
+        drop_table(spark, run)
     bits = max(8, min(SLOT_BITS, (hits.count() * 16).bit_length()))
     slots = hits.select(slot(F.col("digest"), bits).alias("slot")).distinct()
     texts = docs.select(body.alias("body")).withColumn("digest", digest(F.col("body")))

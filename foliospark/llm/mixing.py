@@ -97,18 +97,22 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")).alias("domain"))
 
 
-def _memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
+def _memberships(docs: DataFrame, model: DomainModel, text: str) -> DataFrame:
+    """docs, and n_tokens and p; columns so named go."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    own = [c for c in docs.columns if c not in ("n_tokens", "p")]
+    at = own.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for part, data, offsets in sliced(batches, 3):
+        for part, data, offsets in sliced(batches, at):
             p = model.posteriors(data, offsets)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel().astype(float)))
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.diff(words(data, offsets)[2])), lists], names=["doc_id", "k1", "k2", "n_tokens", "p"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(words(data, offsets)[2])), lists], names=[*(f"_c{i}" for i in range(len(own))), "n_tokens", "p"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, n_tokens long, p array<double>")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)])
+    kinds = ", ".join(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(own))
+    return rows.mapInArrow(run, f"{kinds}, n_tokens long, p array<double>").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(own)], "n_tokens", "p")
 
 
 def _stepped(rate: Column, steps: list[np.ndarray]) -> Column:
@@ -118,42 +122,66 @@ def _stepped(rate: Column, steps: list[np.ndarray]) -> Column:
     return rate
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, most_steps: int = 60, tolerance: float = 1e-6) -> DataFrame:
-    """members (with n_tokens and p), rate and missed. Rates are nonnegative, near 1, with the targets' shares of the expected tokens.
+def rate_of(p: str, steps: list[np.ndarray]) -> Column:
+    """The rate of 1 after all steps, at 0 or above after each."""
+    if not steps:
+        return F.lit(1.0)
+    all_ = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in steps])
+    move = lambda step: F.aggregate(F.zip_with(p, step, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(all_, F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), rate - move(step)))
 
-    Minimises half the squared distance between the domains' expected tokens, sum of rate * n_tokens * p, and
-    targets times all tokens, from rates of 1 by projected gradients: in the metric that weighs a document by
-    its tokens, preconditioned with the domains' Gram matrix over the documents whose rate is not held at 0. A
-    step is one aggregate over all documents, with as many sums as pairs of domains; documents redo the steps
-    so far from these few numbers, and are written each FOLDED steps. It ends when no domain is further than tolerance of all tokens from its target, or after
-    most_steps: then no rates meet the targets, and these are near the closest. missed is that distance as a share of all
-    tokens, the same in each row, 0 where there is nothing to meet.
+
+def fit_steps(members: DataFrame, targets: np.ndarray, most_steps: int = 60, tolerance: float = 1e-6) -> tuple[list[np.ndarray], float]:
+    """Steps that take rates of 1 to rates with the targets' shares of the expected tokens, and how far these miss.
+
+    members: n_tokens and p. Minimises half the squared distance between the domains' expected tokens, sum of rate *
+    n_tokens * p, and targets times all tokens, by projected gradients over nonnegative rates: in the metric that weighs
+    a document by its tokens, preconditioned with the domains' Gram matrix over the documents whose rate is not
+    held at 0. A step is one aggregate over all documents, with as many sums as pairs of domains; documents redo the
+    steps so far from these few numbers, and their rates are written each FOLDED steps. It ends when no domain is
+    further than tolerance of all tokens from its target, or after most_steps: then no rates meet the
+    targets, and these are near the closest. The miss is that distance as a share of all tokens, 0 without any.
     """
     d = len(targets)
     p = [F.get("p", F.lit(i)) for i in range(d)]
     n = F.col("n_tokens").cast("double")
-    rows = members.withColumn("rate", F.lit(1.0))
+    rows = members.select("n_tokens", "p", F.lit(1.0).alias("rate"))
     total = rows.agg(F.sum(n)).first()[0] or 0.0
     if not total or not d:
-        return rows.withColumn("missed", F.lit(0.0))
+        return [], 0.0
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     free = F.when(F.col("rate") > 0, n).otherwise(F.lit(0.0))
+    done: list[np.ndarray] = []
     steps: list[np.ndarray] = []
-    for step in range(most_steps + 1):
+    while True:
         now = rows.select("n_tokens", "p", _stepped(F.col("rate"), steps).alias("rate"))
         got = now.agg(*[F.sum(n * F.col("rate") * p[i]).alias(f"s{i}") for i in range(d)], *[F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
         miss = np.array([got[f"s{i}"] for i in range(d)]) / total - targets
+        missed = float(np.abs(miss).max())
+        if missed <= tolerance or len(done) == most_steps:
+            return done, missed
         gram = np.zeros((d, d))
         for i, j in pairs:
             gram[i, j] = gram[j, i] = got[f"g{i}_{j}"] / total
-        missed = float(np.abs(miss).max())
-        if missed <= tolerance or step == most_steps:
-            break
         steps.append(np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ miss)
+        done.append(steps[-1])
         if len(steps) == FOLDED:
             rows = written(rows.withColumn("rate", _stepped(F.col("rate"), steps)), "rates")
             steps = []
-    return rows.withColumns({"rate": _stepped(F.col("rate"), steps), "missed": F.lit(missed)})
+
+
+def fit_rates(members: DataFrame, targets: np.ndarray, **options) -> DataFrame:
+    """members (with n_tokens and p), rate and missed of fit_steps(), missed the same in each row."""
+    steps, missed = fit_steps(members, targets, **options)
+    return members.withColumns({"rate": rate_of("p", steps), "missed": F.lit(missed)})
+
+
+def _rated(rows: DataFrame, model: DomainModel, targets: dict[str, float], text: str, seed: int, key: tuple[Column, Column], gone: tuple[str, ...] = ()) -> DataFrame:
+    """rows without the gone columns, with n_tokens, p, rate, missed and copies, written once with their memberships: no row is shuffled."""
+    goal = np.array([max(0.0, targets.get(x, 0.0)) for x in model.domains])
+    members = written(_memberships(rows, model, text).drop(*gone), "memberships")
+    u = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    return fit_rates(members, goal / goal.sum() if goal.sum() > 0 else goal).withColumn("copies", F.floor(F.col("rate") + u).cast("long"))
 
 
 def mixed(docs: DataFrame, model: DomainModel, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
@@ -166,20 +194,18 @@ def mixed(docs: DataFrame, model: DomainModel, targets: dict[str, float], doc_id
     """
     a, b = row_key(F.col(doc_id), F.col(text))
     rows = docs.select(F.col(doc_id).alias("doc_id"), a.alias("k1"), b.alias("k2"), F.col(text).alias("text"))
-    goal = np.array([max(0.0, targets.get(x, 0.0)) for x in model.domains])
-    members = written(_memberships(rows, model), "memberships")
-    rated = fit_rates(members, goal / goal.sum() if goal.sum() > 0 else goal)
-    u = F.pmod(F.xxhash64("k1", "k2", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    return rated.select("doc_id", "n_tokens", F.col("p").alias("posteriors"), "rate", "missed", F.floor(F.col("rate") + u).cast("long").alias("copies"), "k1", "k2")
+    rated = _rated(rows, model, targets, "text", seed, (F.col("k1"), F.col("k2")), ("text",))
+    return rated.select("doc_id", "n_tokens", F.col("p").alias("posteriors"), "rate", "missed", "copies", "k1", "k2")
 
 
 def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
-    """docs with each row as often as mixed() says."""
-    k1, k2, copies = fresh(docs, "_k1", "_k2", "_copies")
+    """docs with each row as often as mixed() says, in any order."""
+    own, k1, k2, body = fresh(docs, "_row", "_k1", "_k2", "_body")
     a, b = row_key(F.col(doc_id), F.col(text))
-    counts = written(mixed(docs, model, targets, doc_id, text, seed).where("copies <> 1").select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("copies").alias(copies)).distinct(), "copies")
-    times = F.coalesce(F.col(copies), F.lit(1)).cast("int")
-    return docs.withColumns({k1: a, k2: b}).join(counts, [k1, k2], "left").withColumn(copies, F.explode(F.array_repeat(F.lit(1), times))).drop(k1, k2, copies)
+    rows = docs.select(F.struct(*[F.when(F.lit(c != text), F.col(f"`{c}`")).alias(c) for c in docs.columns]).alias(own), a.alias(k1), b.alias(k2), F.col(text).alias(body))
+    rated = _rated(rows, model, targets, body, seed, (F.col(k1), F.col(k2)))
+    again = rated.where("copies > 0").select(own, body, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return again.select(*[(F.col(body) if c == text else F.col(own)[c]).alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -18,14 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import row_key, written
+from foliospark.llm.common import passing, row_key, written
 from foliospark.llm.components import components
 from foliospark.llm.textkernel import U64, lowered, mix, sliced, span_hashes, words
 
-#: Counters of words, and the least and most bits of the counters of n-grams, of which there are 8 for a row: 1 to 32 MB.
-WORD_BITS, GRAM_BITS, SEGMENT = 18, (18, 23), 1 << 14
+#: Counters of n-grams and of words. Their number is fixed, as each task sends its own: 9 MB for any share of a corpus.
+GRAM_BITS, WORD_BITS, SEGMENT = 21, 18, 1 << 14
 SHORT_LIST = 64  # postings up to here make pairs; longer ones a star, whose pairs are multiplied in blocks
-BLOCK_ROWS, BLOCK_GRAMS, BLOCK_COLUMNS = 512, 1 << 19, 4096
+BLOCK_ROWS, BLOCK_GRAMS, BLOCK_COLUMNS = 256, 1 << 19, 4096
 FEW_BINS, MANY_BINS, LONG_SET = 64, 1024, 800  # a set of more than LONG_SET n-grams has MANY_BINS
 FILTER_BITS = (16, 28)  # the least and most bits of a filter of row keys, of which there are 16 for a key: up to 32 MB
 NODE_BITS = 64  # of the hashes that stand for sets; sets that share them all are told apart by as many others
@@ -57,7 +57,7 @@ def _whole(w: np.ndarray) -> np.ndarray:
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     """How often n-grams and words occur in all texts, by hash. It only orders n-grams: results don't depend on it."""
-    bits = _bits(docs.count(), 8, GRAM_BITS)
+    bits = GRAM_BITS
     grams, every = 1 << bits, (1 << bits) + (1 << WORD_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,6 +375,7 @@ def _links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: int, percen
     return blocks.repartition("root", "band", "i", "j").sortWithinPartitions("root", "band", "i", "j").mapInArrow(multiply, "a long, b long")
 
 
+@passing("near")
 def near_duplicates(docs: DataFrame, words_per_gram: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, k1, k2, component: one row per row of docs.
 
@@ -394,7 +395,7 @@ def near_duplicates(docs: DataFrame, words_per_gram: int = 5, percent: int = 80,
     sketch = _sketch(rows, words_per_gram)
     prints = written(_prefixes(rows, words_per_gram, percent, sketch), "prefixes")
     prints, sets = _told_apart(prints, _distinct_sets(prints))
-    clusters = written(components(_candidates(prints, sets, percent)), "clusters", small=True)
+    clusters = components(_candidates(prints, sets, percent))
     linked = components(_links(rows, sets, clusters, words_per_gram, percent))
     named = written(linked.join(sets.select("node", "rep"), "node"), "linked", small=True)
     ids = written(named.groupBy("root").agg(F.min("rep").alias("component_id")), "component-ids", small=True)
