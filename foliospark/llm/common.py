@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,3 +110,16 @@ def ascii_lower(c: Column) -> Column:
 def row_key(*cols: Column) -> tuple[Column, Column]:
     """128 bits that stand for the values of a row; equal rows share them. Never null."""
     return F.xxhash64(*cols), F.xxhash64(F.lit(7), *cols)
+
+
+SLOT_BITS = 20
+
+
+def slots_of(keys: DataFrame, slot: Callable[[int], Column]) -> tuple[DataFrame, Column]:
+    """The slots that the keys fill, to be broadcast: 2**SLOT_BITS rows of 8 bytes at most, 16 for a key when these are fewer.
+
+    slot: the slot of a row in a table of that many bits. Rows whose slot none of the keys fills have none of the
+    keys, so that only the others need a shuffle to meet them.
+    """
+    bits = max(8, min(SLOT_BITS, (keys.count() * 16).bit_length()))
+    return F.broadcast(keys.select(slot(bits).alias("_slot")).distinct()), slot(bits)

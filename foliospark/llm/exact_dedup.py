@@ -9,11 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import ascii_lower, drop_table, passing, row_key, shared_dir, written
+from foliospark.llm.common import ascii_lower, drop_table, passing, row_key, shared_dir, slots_of, written
 
 MEMTABLE_ROWS = 200_000
-#: A broadcast table of slots has 2**SLOT_BITS rows of 8 bytes at most.
-SLOT_BITS = 20
 
 
 def _merged(parts: list[pa.Table], largest: bool) -> pa.Table:
@@ -127,8 +125,8 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", text: str = "text"
 
     Digests, ids and counts go through the index. Digests of more than one row are verified: the texts behind
     them are compared byte by byte (least and greatest text of a digest, with map-side partial results, so that a hot
-    group sends one pair per task). Which texts may be behind them a broadcast table of digest slots tells, of
-    SLOT_BITS bits at most (2**SLOT_BITS rows): other texts stay where they are. Should different texts share a
+    group sends one pair per task). Which texts may be behind them a broadcast table of digest slots tells
+    (slots_of()): other texts stay where they are. Should different texts share a
     digest, these are grouped by the text itself.
     """
     spark = docs.sparkSession
@@ -144,10 +142,9 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", text: str = "text"
     hits = written(index.compact().where("n > 1").select("digest", F.col("id").alias("keep"), "n"), "hits", small=True)
     for run in index.runs:
         drop_table(spark, run)
-    bits = max(8, min(SLOT_BITS, (hits.count() * 16).bit_length()))
-    slots = hits.select(slot(F.col("digest"), bits).alias("slot")).distinct()
+    slots, own = slots_of(hits, lambda bits: slot(F.col("digest"), bits))
     texts = docs.select(body.alias("body")).withColumn("digest", digest(F.col("body")))
-    maybe = texts.withColumn("slot", slot(F.col("digest"), bits)).join(F.broadcast(slots), "slot", "left_semi")
+    maybe = texts.withColumn("_slot", own).join(slots, "_slot", "left_semi")
     false_hits = written(maybe.groupBy("digest").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi").select("digest"), "false-hits", small=True)
     best = F.max if keep == "largest" else F.min
     by_digest = prints.select("id", "digest", "text_sha256")

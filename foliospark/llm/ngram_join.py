@@ -168,7 +168,7 @@ def _distinct_sets(prints: DataFrame) -> DataFrame:
     """node, rep (its least id), k1 and k2 of one of its rows, n, bins, and the least and greatest other hash, of each set."""
     row = F.min(F.struct("k1", "k2")).alias("row")
     sets = prints.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), row, F.first("n").alias("n"), F.first("bins").alias("bins"), F.min("other").alias("lo"), F.max("other").alias("hi"))
-    return written(sets.select("node", "rep", "row.k1", "row.k2", "n", "bins", "lo", "hi"), "sets", small=True)
+    return written(sets.select("node", "rep", "row.k1", "row.k2", "n", "bins", "lo", "hi"), "sets")
 
 
 def _told_apart(prints: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -185,7 +185,7 @@ def _candidates(prints: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: edges whose components hold every linked pair of sets. prints: node, n, tokens, for each row; sets: node, n, bins, for each set."""
     postings = prints.select("node", "n", F.explode("tokens").alias("t"))
     shared = written(postings.groupBy("t").agg(F.count("*").alias("m"), F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("t", "m", "lead"), "shared-ngrams", small=True)
-    met = postings.join(shared, "t")
+    met = written(postings.join(shared, "t"), "met")
     stars = met.where(F.col("m") > SHORT_LIST).select(F.col("lead").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     after = lambda x, i: F.filter(F.slice("s", i + 2, F.lit(SHORT_LIST)), lambda y: 100 * x["n"] >= percent * y["n"])
     both = lambda x, i: F.transform(after(x, i), lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")))
@@ -400,7 +400,7 @@ def near_duplicates(docs: DataFrame, words_per_gram: int = 5, percent: int = 80,
     named = written(linked.join(sets.select("node", "rep"), "node"), "linked", small=True)
     ids = written(named.groupBy("root").agg(F.min("rep").alias("component_id")), "component-ids", small=True)
     placed = named.select("node", "root").join(ids, "root").select("node", "component_id", "root")
-    all_ids = written(sets.select("node", "rep").join(placed, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("root", "node").alias("component")), "set-ids", small=True)
+    all_ids = written(sets.select("node", "rep").join(placed, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("root", "node").alias("component")), "set-ids")
     return prints.select("doc_id", "k1", "k2", "node", F.col("n").alias("n_shingles")).join(all_ids, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "k1", "k2", "component"
     )
