@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import line_dedup, mixing, ngram_join, quality_rules, sentencepiece_sampling
-from foliospark.llm.common import fresh, row_key, written
+from foliospark.llm.common import fresh, row_key, slots_of, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,18 +31,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null ids come last, equal ones go by their row key. A repeated row is one of the group; texts without words all stay.
     """
-    keys = fresh(docs, "_k1", "_k2")
-    own = [F.col(a).alias(b) for a, b in zip(("k1", "k2"), keys, strict=True)]
-    found = written(ngram_join.near_duplicates(docs).where("component IS NOT NULL").select("component", "doc_id", "k1", "k2"), "near-duplicates")
+    k1, k2, slot, gone, again = fresh(docs, "_k1", "_k2", "_slot", "_gone", "_again")
+    found = ngram_join.near_duplicates(docs).where("component IS NOT NULL").select("component", "doc_id", "k1", "k2")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
-    best = written(found.groupBy("component").agg(F.count("*").alias("n"), F.min(rank).alias("best")).where("n > 1").select("component", "best"), "groups", small=True)
+    best = found.groupBy("component").agg(F.count("*").alias("n"), F.min(rank).alias("best")).where("n > 1").select("component", "best")
     stays = (F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))
-    gone = written(found.join(best, "component").where(~stays).select(*own).distinct(), "gone", small=True)
-    again = written(found.groupBy("k1", "k2").count().where("count > 1").select(*own), "repeated", small=True)
-    left = docs.withColumns(dict(zip(keys, row_key(F.col("doc_id"), F.col("text")), strict=True))).join(gone, keys, "left_anti")
+    rows = found.groupBy("component", "k1", "k2").count().join(best, "component").select("k1", "k2", (~stays).alias("gone"), (F.col("count") > 1).alias("again"))
+    touched = written(rows.where("gone OR again").select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("gone").alias(gone), F.col("again").alias(again)), "touched", small=True)
+    slots, own = slots_of(touched, lambda bits: F.shiftrightunsigned(F.col(k1), 64 - bits))
+    keyed = docs.withColumns(dict(zip((k1, k2), row_key(F.col("doc_id"), F.col("text")), strict=True))).withColumn(slot, own)
+    filled = slots.withColumnRenamed("_slot", slot)
+    met = keyed.join(filled, slot, "left_semi").join(touched, [k1, k2], "left").where(f"NOT coalesce({gone}, false)")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = left.join(again, keys, "left_semi").groupBy(*keys).agg(F.first(whole).alias("row")).select("row.*")
-    return left.join(again, keys, "left_anti").drop(*keys).unionByName(once)
+    once = met.where(again).groupBy(k1, k2).agg(F.first(whole).alias("row")).select("row.*")
+    others = keyed.join(filled, slot, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return others.unionByName(met.where(f"{again} IS NULL").select(*[f"`{c}`" for c in docs.columns])).unionByName(once)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
