@@ -180,3 +180,11 @@ def safe_name(c: Column | str) -> Column:
 
 def highlighted(c: Column | str, term: str) -> Column:
     return F.regexp_replace(col(c), rf"(?iu)\Q{term}\E", f"**{term}**")
+
+
+SECRET = ("password", "token", "secret")
+
+
+def masked_keys(m: Column | str, secret: tuple[str, ...] = SECRET) -> Column:
+    """A map with *** for the values of secret keys, whatever their case."""
+    return F.transform_values(col(m), lambda k, v: F.when(F.lower(k).isin(*secret), "***").otherwise(v))

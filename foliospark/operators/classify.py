@@ -30,6 +30,15 @@ def name_fault(c: str, known: tuple[str, ...] = ()) -> Column:
     ])
 
 
+def officer_fault(c: str) -> Column:
+    """Why a value names nobody in charge; titles do not count as names."""
+    title = r"(?iu)^(?:lic\.|licenciad[oa]|agente|mtr[oa]\.)\s*"
+    rest = F.trim(F.regexp_replace(F.trim(F.col(c)), title, ""))
+    return first_reason([
+        ("empty", F.col(c).isNull() | (F.trim(c) == "")), ("title alone", rest == ""), ("short", F.length(rest) < 5), ("digits", rest.rlike(r"\d")), ("symbols", rest.rlike(r"[^\p{L}\s.'-]")),
+    ])
+
+
 def place_fault(c: str) -> Column:
     t = F.trim(F.col(c))
     return first_reason([("empty", F.col(c).isNull() | (t == "")), ("short", F.length(t) < 6), ("no letters", ~t.rlike(r"\p{L}{3,}")), ("symbols", T.char_share(t, r"\p{L}\p{N}\s") < 0.7), ("no name", t.rlike(r"^\d+$"))])

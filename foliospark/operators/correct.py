@@ -28,31 +28,102 @@ def field_corrected(c: Column | str, rules: list[tuple[str, str]], least: int =
     return T.rules(c, [(rf"(?iuU)\b\Q{w}\E\b", r) for w, r in rules if len(w) >= least])
 
 
+def _vocabulary(df: DataFrame, vocabulary: list[str]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(w.lower(),) for w in dict.fromkeys(vocabulary)], "word string")
+
+
+def scored(tokens: DataFrame, words: DataFrame, least: float, spread: int = 3) -> DataFrame:
+    """token, word, similarity of at least least, of words whose lengths differ by spread at most: they meet by equal lengths."""
+    near = words.select("word", F.explode(F.sequence(F.length("word") - spread, F.length("word") + spread)).alias("n"))
+    met = tokens.withColumn("n", F.length("token")).join(near, "n").where(F.col("token") != F.col("word"))
+    return met.select("token", "word", ratio(F.col("token"), F.col("word")).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def distinct_tokens(df: DataFrame, column: str, pattern: str = r"[^\p{L}\p{N}]+", least: int = 4) -> DataFrame:
+    return df.select(F.explode(T.tokens(F.lower(column), pattern)).alias("token")).where(F.length("token") >= least).distinct()
+
+
 def snapped(df: DataFrame, column: str, vocabulary: list[str], least: float = 0.82, spread: int = 3) -> DataFrame:
     """token, best, similarity: for each distinct token of the column the word it is most like, from least on.
 
     Tokens are scored once each however often they occur; only words of nearly their length are compared.
     """
-    words = df.sparkSession.createDataFrame([(w.lower(),) for w in vocabulary], "word string")
-    tokens = df.select(F.explode(T.tokens(F.lower(column), r"[^\p{L}\p{N}]+")).alias("token")).where(F.length("token") >= 4).distinct()
-    near = tokens.join(words, F.abs(F.length("token") - F.length("word")) <= spread).where(F.col("token") != F.col("word"))
-    scored = near.withColumn("similarity", ratio(F.col("token"), F.col("word"))).where(F.col("similarity") >= least)
-    return scored.groupBy("token").agg(F.max_by("word", F.struct("similarity", "word")).alias("best"), F.round(F.max("similarity"), 6).alias("similarity"))
+    found = scored(distinct_tokens(df, column), _vocabulary(df, vocabulary), least, spread)
+    return found.groupBy("token").agg(F.max_by("word", F.struct("similarity", "word")).alias("best"), F.round(F.max("similarity"), 6).alias("similarity"))
+
+
+def close_words(df: DataFrame, column: str, vocabulary: list[str], n: int = 3, least: float = 0.75, spread: int = 3) -> DataFrame:
+    """token, word, points, rank: the n best words from least on; the same start adds 0.1 and the same length 0.05."""
+    found = scored(distinct_tokens(df, column), _vocabulary(df, vocabulary), least, spread)
+    bonus = F.when(F.substring("token", 1, 2) == F.substring("word", 1, 2), 0.1).otherwise(0.0) + F.when(F.length("token") == F.length("word"), 0.05).otherwise(0.0)
+    rank = F.row_number().over(Window.partitionBy("token").orderBy(F.col("points").desc(), "word"))
+    return found.select("token", "word", F.round(F.col("similarity") + bonus, 6).alias("points")).withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def snapped_variants(df: DataFrame, column: str, variants: dict[str, str], least: float = 0.8, spread: int = 3) -> DataFrame:
+    """token, best, exact: a known variant's own word, else that of the variant it is most like (over least)."""
+    known = df.sparkSession.createDataFrame([(k.lower(), v) for k, v in variants.items()], "word string, best string")
+    tokens = distinct_tokens(df, column)
+    exact = tokens.join(known, tokens.token == known.word).select("token", "best", F.lit(True).alias("exact"))
+    found = scored(tokens.join(known, tokens.token == known.word, "left_anti"), known.select("word"), least, spread).where(F.col("similarity") > least)
+    best = found.groupBy("token").agg(F.max_by("word", F.struct("similarity", "word")).alias("word"))
+    return exact.unionByName(best.join(known, "word").select("token", "best", F.lit(False).alias("exact")))
 
 
 def completed(df: DataFrame, column: str, vocabulary: list[str], most: int = 4) -> DataFrame:
-    """token, word: the shortest word that a cut token begins."""
-    words = df.sparkSession.createDataFrame([(w.lower(),) for w in vocabulary], "word string")
-    tokens = df.select(F.explode(T.tokens(F.lower(column), r"[^\p{L}]+")).alias("token")).where(F.length("token") >= 4).distinct()
-    fits = words.join(tokens, F.col("word").startswith(F.col("token")) & (F.length("word") - F.length("token")).between(1, most))
-    return fits.groupBy("token").agg(F.min_by("word", F.struct(F.length("word"), "word")).alias("word"))
+    """token, word: the shortest word that a cut token begins. Words meet tokens by their prefixes."""
+    n = F.length("word")
+    starts = _vocabulary(df, vocabulary).select("word", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("cut")).where(n - F.col("cut") >= 4)
+    starts = starts.select("word", F.substring(F.col("word"), F.lit(1), n - F.col("cut")).alias("token"))
+    return distinct_tokens(df, column, r"[^\p{L}]+").join(starts, "token").groupBy("token").agg(F.min_by("word", F.struct(n, "word")).alias("word"))
+
+
+def words_corrected(df: DataFrame, key: str, column: str, vocabulary: list[str], least: float = 0.82) -> DataFrame:
+    """key, done: known words stay, others become the nearest word or the one they begin; case and punctuation stay."""
+    tokens = distinct_tokens(df, column, r"[^\p{L}]+").join(_vocabulary(df, vocabulary).withColumnRenamed("word", "token"), "token", "left_anti")
+    cut = completed(tokens, "token", vocabulary)
+    fixes = snapped(tokens, "token", vocabulary, least).join(cut, "token", "full").select("token", F.coalesce("best", "word").alias("put"))
+    shape = r"^(\P{L}*)(.*?)(\P{L}*)$"
+    words = df.select(key, F.posexplode(F.split(column, " ")).alias("place", "w")).withColumn("core", F.regexp_extract("w", shape, 2))
+    cased = F.when(F.substring("core", 1, 1).rlike(r"\p{Lu}"), F.initcap("put")).otherwise(F.col("put"))
+    put = F.concat(F.regexp_extract("w", shape, 1), F.coalesce(cased, "core"), F.regexp_extract("w", shape, 3))
+    met = words.join(fixes, F.lower("core") == F.col("token"), "left").select(key, F.struct("place", put.alias("w")).alias("s"))
+    return met.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["w"]), " ").alias("done"))
+
+
+def entities_fixed(c: Column | str) -> Column:
+    """By line: in lines of places a digit between or before letters becomes a letter; in dates letters become digits."""
+    def fix(line: Column) -> Column:
+        letters = F.regexp_replace(line, r"0(?=\p{L})", "o")
+        day = F.regexp_extract(line, r"^(\S+)( de \p{L}+ de )(\S+)$", 1)
+        digits = lambda x: F.translate(x, "OolI", "0011")
+        dated = F.concat(digits(day), F.regexp_extract(line, r"^(\S+)( de \p{L}+ de )(\S+)$", 2), digits(F.regexp_extract(line, r"^(\S+)( de \p{L}+ de )(\S+)$", 3)))
+        return F.when(line.rlike("(?iu)estado|municipio|colonia"), letters).when(day != "", dated).otherwise(line)
+
+    return F.array_join(F.transform(F.split(T.col(c), "\n", -1), fix), "\n")
+
+
+MOST_TERMS = 1000
 
 
 def contained(df: DataFrame, column: str, catalog: DataFrame, key: str) -> DataFrame:
-    """key, canonical: the first term of the catalog (term, canonical, priority) that the column contains."""
-    hit = df.select(key, F.upper(column).alias("_t")).join(F.broadcast(catalog), F.col("_t").contains(F.upper("term")))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("priority", F.length("term").desc(), "term"))
-    return hit.withColumn("_k", rank).where("_k = 1").select(key, "canonical")
+    """key, canonical: the first term of the catalog (term, canonical, priority) that the column contains.
+
+    Up to MOST_TERMS terms are an array that each row is held against, without a join. Larger catalogs meet rows by the
+    first three characters of their terms (shorter terms then fit nothing).
+    """
+    known = catalog.select(F.upper("term").alias("term"), "canonical", "priority")
+    few = known.limit(MOST_TERMS + 1).collect()
+    text = df.select(key, F.upper(column).alias("_t"))
+    order = lambda priority, term: F.struct(priority.alias("p"), (-F.length(term)).alias("n"), term.alias("t"))
+    if len(few) <= MOST_TERMS:
+        terms = F.array(*[F.struct(F.lit(r.term).alias("term"), F.lit(r.canonical).alias("canonical"), F.lit(r.priority).alias("priority")) for r in few])
+        hits = F.filter(terms, lambda x: F.contains(F.col("_t"), x["term"]))
+        best = F.array_min(F.transform(hits, lambda x: F.struct(order(x["priority"], x["term"]).alias("o"), x["canonical"].alias("c"))))
+        return text.select(key, best["c"].alias("canonical")).where("canonical IS NOT NULL") if few else text.select(key, F.lit(None).cast("string").alias("canonical")).limit(0)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - 2, F.lit(1))), lambda i: F.substring(F.col("_t"), i, F.lit(3))))
+    met = text.select(key, "_t", F.explode(grams).alias("g")).join(known.withColumn("g", F.substring("term", 1, 3)).where(F.length("g") == 3), "g")
+    return met.where(F.contains("_t", "term")).groupBy(key).agg(F.min_by("canonical", order(F.col("priority"), F.col("term"))).alias("canonical"))
 
 
 def canonical(df: DataFrame, column: str, variants: DataFrame) -> DataFrame:

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import dates as D
 from foliospark.functions import text as T
+from foliospark.operators import classify
 
 PHONES = (r"(?<!\d)\d{10}(?!\d)", r"(?<!\d)\d{2}[ -]\d{4}[ -]\d{4}(?!\d)", r"(?<!\d)\d{3}[ -]\d{3}[ -]\d{4}(?!\d)")
 LETTERS = (r"(?iu)\boficio\s+(?:n[uú]mero\s+|no\.?\s*)?([A-Z0-9][A-Z0-9/-]{2,})", r"\b([A-Z]{2,5}/\d{2,6}/\d{4})\b")
 NAME = r"\b\p{Lu}\p{Ll}+(?: (?:de |del |la )*\p{Lu}\p{Ll}+){1,4}\b"
-PLACES = {"street": r"(?iu)\b(?:calle|avenida|calzada)\s+[\p{L} ]{3,40}?\s+(?:n[uú]mero\s+)?\d+", "area": r"(?iu)\bcolonia\s+[\p{L} ]{3,30}"}
-DATES = {"numeric": r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b", "iso": r"\b\d{4}-\d{2}-\d{2}\b", "long": rf"(?iu)\b\d{{1,2}} de (?:{'|'.join(D.MONTHS)}) (?:de|del) \d{{4}}\b"}
+PLACES = {
+    "street": r"(?iu)\b(?:calle|avenida|calzada)\s+[\p{L} ]{3,40}?\s+(?:n[uú]mero\s+)?\d+", "area": r"(?iu)\bcolonia\s+[\p{L} ]{3,30}",
+    "crossing": r"\b[Ee]squina (?:con )?\p{Lu}\p{L}+", "postal": r"\bC\.?P\.? ?\d{5}\b",
+}
+DATES = {"numeric": r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b", "iso": r"\b\d{4}-\d{2}-\d{2}\b", "long": rf"(?iu)\b\d{{1,2}} de (?:{'|'.join(D.MONTHS)}) (?:de|del) \d{{4}}\b", "short": rf"(?iu)\b\d{{1,2}}[/-](?:{'|'.join(m[:3] for m in D.MONTHS)})\.?[/-]\d{{4}}\b", "month": rf"(?iu)(?<!\d de )\b(?:{'|'.join(D.MONTHS)}) (?:de|del) \d{{4}}\b"}
 PROCEEDINGS = {"interview": r"(?iu)\bentrevista\b", "inspection": r"(?iu)\binspecci[oó]n\b", "statement": r"(?iu)\bdeclaraci[oó]n\b", "letter": r"(?iu)\boficio\b", "hearing": r"(?iu)\baudiencia\b"}
 ROLES = (("victim", r"(?iu)v[ií]ctima"), ("accused", r"(?iu)imputad[oa]|acusad[oa]"), ("witness", r"(?iu)testigo"), ("officer", r"(?iu)agente|polic[ií]a"))
 
@@ -72,11 +76,47 @@ def dated(pages: DataFrame, now: str, **options) -> DataFrame:
     return found.withColumns({"day": day, "date_class": D.date_class("context")}).where(D.plausible("day", now))
 
 
+def places(pages: DataFrame, **options) -> DataFrame:
+    """spans of places, trimmed, without those that place_fault() rejects."""
+    found = spans(pages, PLACES, **options).withColumn("match", F.trim("match"))
+    return found.where(F.col("kind").isin("crossing", "postal") | classify.place_fault("match").isNull())
+
+
 def persons(pages: DataFrame, around: int = 100, **options) -> DataFrame:
-    """Names of two to five capitalised words, once per page: name, position, role, phone near them."""
-    found = spans(pages, {"person": NAME}, around, **options)
+    """Names of two to five capitalised words that name_fault() lets pass, once per page: name, position, and role, age,
+    phone and street near them."""
+    found = spans(pages, {"person": NAME}, around, **options).where(classify.name_fault("match").isNull())
     first = F.row_number().over(Window.partitionBy("page_id", T.name_key("match")).orderBy("position"))
-    return found.withColumn("k", first).where("k = 1").select("page_id", F.col("match").alias("name"), "position", first_fit(F.col("context"), ROLES, "mentioned").alias("role"), F.get(phones("context"), F.lit(0)).alias("phone"))
+    part = lambda p, g=0: F.nullif(F.regexp_extract("context", p, g), F.lit(""))
+    return found.withColumn("k", first).where("k = 1").select(
+        "page_id", F.col("match").alias("name"), "position", first_fit(F.col("context"), ROLES, "mentioned").alias("role"),
+        F.get(phones("context"), F.lit(0)).alias("phone"), part(PLACES["street"]).alias("street"), part(r"(?iu)\b(\d{1,2}) años\b", 1).cast("int").alias("age"),
+    )
+
+
+RESPONSIBLE = (r"\b(?:[Aa]gente|[Ll]icenciad[oa]|[Ll]ic\.) (\p{Lu}\p{Ll}+(?: (?:de |del |la )*\p{Lu}\p{Ll}+)*)", r"(?iu)\btitular (\p{L}+)", r"(?iu)\bante el (\p{L}+)")
+
+
+def responsible(text: str) -> Column:
+    """Who answers for a page: the first pattern that fits, without what follows a comma."""
+    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in RESPONSIBLE]
+    return F.trim(F.regexp_replace(F.coalesce(*found), ",.*$", ""))
+
+
+def candidates(pages: DataFrame) -> DataFrame:
+    """page_id, value: what may be a person or an area, each once a page."""
+    names = persons(pages).select("page_id", F.col("name").alias("value"))
+    areas = spans(pages, {"area": PLACES["area"]}).select("page_id", F.trim("match").alias("value"))
+    return names.unionByName(areas).distinct()
+
+
+def page_entities(pages: DataFrame) -> DataFrame:
+    """page_id, kind, match of the six categories of a page: date, proceeding, person, place, phone, letter."""
+    own = lambda df, kind: df.select("page_id", F.lit(kind).alias("kind"), "match")
+    lists = F.array(F.struct(F.lit("phone").alias("kind"), phones("text").alias("found")), F.struct(F.lit("letter").alias("kind"), letter_numbers("text").alias("found")))
+    out = own(spans(pages, DATES), "date").unionByName(own(spans(pages, PROCEEDINGS), "proceeding")).unionByName(own(places(pages), "place"))
+    out = out.unionByName(own(persons(pages).withColumnRenamed("name", "match"), "person"))
+    return out.unionByName(pages.select("page_id", F.inline(lists)).select("page_id", "kind", F.explode("found").alias("match")))
 
 
 ELEMENTS = {"officer": r"(?iu)\b(?:agente|licenciad[oa])\s+(\p{Lu}\p{Ll}+)", "holder": r"(?iu)\btitular\s+(\p{L}+)", "letter": LETTERS[1], "date": DATES["numeric"], "name": NAME, "proceeding": "|".join(PROCEEDINGS.values())}

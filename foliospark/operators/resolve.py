@@ -68,10 +68,25 @@ def seeds(pairs: DataFrame) -> DataFrame:
 
 
 def possible_duplicates(df: DataFrame) -> DataFrame:
-    """id, other: rows of a folder with the same kind and day, or the same place in the order."""
-    a, b = df.alias("a"), df.alias("b")
-    same = ((F.col("a.kind") == F.col("b.kind")) & (F.col("a.day") == F.col("b.day"))) | (F.col("a.place") == F.col("b.place"))
-    return a.join(b, (F.col("a.folder_id") == F.col("b.folder_id")) & (F.col("a.id") < F.col("b.id")) & same).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))
+    """id, other: rows of a folder with the same kind and day, or the same place in the order. Two joins by equality, without the pairs that both find."""
+    def met(*by: str) -> DataFrame:
+        a, b = df.select("folder_id", *by, "id"), df.select("folder_id", *by, F.col("id").alias("other"))
+        return a.join(b, ["folder_id", *by]).where("id < other").select("id", "other")
+
+    return met("kind", "day").unionByName(met("place")).distinct()
+
+
+def either_contains(a: DataFrame, b: DataFrame, x: str, y: str, or_equal: tuple[str, str]) -> DataFrame:
+    """Rows of a and b whose names contain each other, or whose keys are equal. b is a catalog that fits in an array (MOST_TERMS)."""
+    from foliospark.operators.correct import MOST_TERMS
+
+    rows = b.limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"the catalog has more than {MOST_TERMS} rows")
+    known = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in b.columns]) for r in rows])
+    own = F.lower(x)
+    fits = lambda r: F.contains(own, F.lower(r[y])) | F.contains(F.lower(r[y]), own) | (F.col(or_equal[0]) == r[or_equal[1]])
+    return a.withColumn("_known", F.filter(known, fits)).select("*", F.inline("_known")).drop("_known")
 
 
 def merged(df: DataFrame, key: str, into: DataFrame, columns: list[str]) -> DataFrame:

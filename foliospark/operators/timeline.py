@@ -58,3 +58,18 @@ def page_of(positions: DataFrame, pages: DataFrame, doc: str, at: str = "positio
     events = events.unionByName(positions.select(doc, F.col(at).alias("_p")).select(doc, F.col("_p").alias("at"), F.lit(1).alias("side"), F.lit(None).cast(pages.schema["page"].dataType).alias("page"), F.col("_p").alias(at)))
     known = F.last("page", ignorenulls=True).over(Window.partitionBy(doc).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
     return events.withColumn("page", known).where("side = 1").select(doc, at, "page")
+
+
+def last_mark(rows: DataFrame, doc: str, order: str, mark: str) -> DataFrame:
+    """rows with, in place of mark, the last one that is not null at or before each row of its document (as of it)."""
+    upto = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(mark, F.last(mark, ignorenulls=True).over(upto))
+
+
+def wide_gaps(df: DataFrame, now: str, least: int = 60, group: str = "folder_id", day: str = "day", order: str = "id") -> DataFrame:
+    """group, kind, from_day, to_day, days, priority: gaps over least days (medium over twice that, else low), and groups idle since."""
+    following = F.lead(day).over(Window.partitionBy(group).orderBy(day, order))
+    gap = df.where(F.col(day).isNotNull()).select(group, F.lit("gap").alias("kind"), F.col(day).alias("from_day"), following.alias("to_day"))
+    gap = gap.withColumn("days", F.datediff("to_day", "from_day")).where(F.col("days") > least).withColumn("priority", F.when(F.col("days") > 2 * least, "medium").otherwise("low"))
+    rest = idle(df, now, group=group, day=day).select(group, F.lit("idle").alias("kind"), F.col("last_day").alias("from_day"), F.lit(now).cast("date").alias("to_day"), "days", "priority")
+    return gap.unionByName(rest)

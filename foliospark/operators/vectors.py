@@ -67,3 +67,9 @@ def embedded(pages: DataFrame, embed: Callable[[list[str]], np.ndarray], key: st
 
 def missing_embeddings(pages: DataFrame, known: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.join(known.select(key), key, "left_anti")
+
+
+def with_fallback(near: DataFrame, pages: DataFrame, word: str, similarity: float = 0.8, key: str = "page_id") -> DataFrame:
+    """key, mode, similarity: near ones, and of the other pages those with the word."""
+    rest = pages.where(T.contains_ci("text", word)).join(near.select(key), key, "left_anti")
+    return near.select(key, F.lit("vector").alias("mode"), "similarity").unionByName(rest.select(key, F.lit("substring").alias("mode"), F.lit(similarity).alias("similarity")))

@@ -1,7 +1,7 @@
 """Queries for extraction, correction, validation and classification.
 
-The driver's texts have few dates, phones and letters, so some queries also read a small frame of Spanish
-pages of this library's own, which SQL sees as VALUES.
+The driver's texts have few dates, phones and letters, so many of these queries read the notes of plans.notes: a page of
+Spanish text for each order.
 """
 
 from __future__ import annotations
@@ -11,37 +11,29 @@ from pyspark.sql import functions as F
 from foliospark.functions import dates as D
 from foliospark.functions import text as T
 from foliospark.operators import classify, correct, extract, search
+from foliospark.plans.notes import DMY, LONG_DAY, NAME, SHORT_DAY, TEXT, N, notes, union
 from foliospark.plans.registry import register
 from foliospark.plans.relational import E, O, P
-from foliospark.plans.texts import _values
 from foliospark.sources.catalog import audit, load, pages, proceedings
 
 NOW = "2024-06-01"
-FX = [
-    (1, 1, "El 5 de mayo de 2020 la testigo Ana Ruiz Soto rindió declaración; tel. 55 1234 5678. Oficio FGJ/123/2020."),
-    (1, 2, "Audiencia del 12/06/2020 ante el juez. Calle Hidalgo número 12, colonia Centro 06000. El imputado Luis Mora Paz."),
-    (2, 1, "Inspección el 31/02/2021 en avenida Juárez 45. Contacto 5512345678 y 5512345678."),
-    (2, 2, ""),
-    (3, 1, "EXPEDIENTE 12 TOMO 3 CARPETA 9"),
-    (3, 2, "7"),
-]
-V = _values(FX, "folder, page_id, text")
 
 
-def fx(spark):
-    return spark.createDataFrame(FX, "folder int, page_id int, text string").select(F.concat_ws("/", F.col("folder").cast("string"), F.col("page_id").cast("string")).alias("page_id"), F.col("folder").cast("string").alias("folder"), "text")
+def _noted(key: str, sql: str | None, query) -> None:
+    """A query over the notes of all orders, with the answer from their columns."""
+    register(key, sql)(lambda spark, d: query(notes(spark, d)))
 
 
-FXV = f"(SELECT folder || '/' || page_id AS page_id, text FROM {V})"
+_DATES = [("k = 0", "page_id", "'date'", LONG_DAY), ("k = 1", "page_id", "'date'", DMY), ("k = 2", "page_id", "'date'", "day::VARCHAR"), ("k = 6", "page_id", "'date'", "'31/02/' || y"),
+          ("k = 6", "page_id", "'date'", "m || ' de ' || y"), ("k = 7", "page_id", "'date'", SHORT_DAY)]
+_ACTS = [("k = 0", "page_id", "'statement'", "'declaración'"), ("k = 0", "page_id", "'letter'", "'Oficio'"), ("k = 1", "page_id", "'hearing'", "'Audiencia'"), ("k = 2", "page_id", "'inspection'", "'Inspección'"), ("k = 6", "page_id", "'letter'", "'oficio'")]
+_PLACED = [("k = 1", "page_id", "'street'", "'Calle Hidalgo número ' || num"), ("k = 1", "page_id", "'area'", "'colonia Centro'"), ("k = 1", "page_id", "'postal'", "'C.P. ' || code"),
+           ("k = 2", "page_id", "'street'", "'avenida Juárez ' || num"), ("k = 2", "page_id", "'crossing'", "'esquina con Morelos'")]
+_MARIA = "'María Luisa de la Vega'"
+_NAMED = [("k IN (0, 1)", "page_id", "'person'", NAME), ("k = 8", "page_id", "'person'", _MARIA)]
+_kind = lambda rows, kind: [(w, i, kind, m) for w, i, _, m in rows]
 
-
-def _found(key: str, rows: list[tuple], names: str, query) -> None:
-    """A query over the small frame whose whole result is stated."""
-    register(key, f"SELECT * FROM {_values(rows, names)}")(lambda spark, d: query(fx(spark)))
-
-
-_found("EXT1", [("1/1", "date", "5 de mayo de 2020"), ("1/1", "proceeding", "declaración"), ("1/1", "proceeding", "Oficio"), ("1/2", "date", "12/06/2020"), ("1/2", "proceeding", "Audiencia"), ("2/1", "date", "31/02/2021"), ("2/1", "proceeding", "Inspección")], "page_id, kind, match",
-    lambda p: extract.spans(p, extract.DATES).select("page_id", F.lit("date").alias("kind"), "match").unionByName(extract.spans(p, extract.PROCEEDINGS).select("page_id", F.lit("proceeding").alias("kind"), "match")))
+_noted("EXT1", union(*_DATES, *_kind(_ACTS, "'proceeding'"), *_kind(_PLACED, "'place'"), *_NAMED, ("k IN (0, 2)", "page_id", "'phone'", "phone"), ("k = 0", "page_id", "'letter'", "'FGJ/' || num || '/' || y"), names="page_id, kind, match"), extract.page_entities)
 
 
 @register("EXT2", f"SELECT page_id, place - 1 AS place, p AS paragraph FROM (SELECT page_id, place, trim(regexp_replace(p, '\\s+', ' ', 'g')) AS p FROM (SELECT page_id, unnest(s) AS p, generate_subscripts(s, 1) AS place FROM (SELECT page_id, string_split_regex(text, '\\n\\s*\\n') AS s FROM {P}))) WHERE length(p) BETWEEN 100 AND 3000")
@@ -49,36 +41,32 @@ def ext2(spark, d):
     return extract.paragraphs(pages(spark, d)).withColumn("place", F.col("place").cast("long"))
 
 
-@register("EXT3")
+#: Notes of 100 characters or more: all of form 0 and 1, and those of form 2. Officer, holder, letter, date, name and proceeding weigh 2, 2, 1, 2, 1, 1.
+_LONG = f"(SELECT page_id, k, day, {{score}} AS relevance, text FROM (SELECT *, {TEXT} AS text FROM {N}) WHERE k IN (0, 1, 2) AND length(text) >= 100)"
+
+
+@register("EXT3", f"SELECT page_id, 0 AS place, text AS paragraph, relevance, least(1.0, relevance / 10)::DOUBLE AS confidence, CASE WHEN length(text) > 200 THEN rtrim(substr(text, 1, 197)) || '...' ELSE text END AS summary FROM {_LONG.format(score='CASE k WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 1 END')} WHERE relevance >= 2")
 def ext3(spark, d):
-    return extract.scored_paragraphs(fx(spark), ("testigo",), 2)
+    return extract.scored_paragraphs(notes(spark, d), ("testigo",), 2)
 
 
-@register("EXT4")
+@register("EXT4", f"SELECT page_id, CASE WHEN length(text) > 200 THEN rtrim(substr(text, 1, 197)) || '...' ELSE text END AS summary FROM {_LONG.format(score='0')}")
 def ext4(spark, d):
-    return extract.scored_paragraphs(fx(spark), (), 1).select("page_id", "summary")
+    return extract.scored_paragraphs(notes(spark, d), (), 1).select("page_id", "summary")
 
 
-@register("EXT5")
+@register("EXT5", f"SELECT page_id, CASE k WHEN 0 THEN 'statement' WHEN 1 THEN 'hearing' ELSE 'inspection' END AS kind, day, (relevance / 10)::DOUBLE AS confidence FROM {_LONG.format(score='CASE k WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 1 END')}")
 def ext5(spark, d):
-    p = extract.scored_paragraphs(fx(spark), (), 1)
+    p = extract.scored_paragraphs(notes(spark, d), (), 1)
     return p.select("page_id", extract.first_fit(F.col("paragraph"), tuple(extract.PROCEEDINGS.items()), "other").alias("kind"), D.parse_date("paragraph").alias("day"), "confidence")
 
 
-@register("EXT6", f"SELECT * FROM {_values([('1/1', 'Ana Ruiz Soto', 'witness', '5512345678'), ('1/2', 'Luis Mora Paz', 'accused', None)], 'page_id, name, role, phone')}")
-def ext6(spark, d):
-    return extract.persons(fx(spark)).where(F.size(T.tokens("name")) >= 3).select("page_id", "name", "role", "phone")
-
-
-_found("EXT7", [("1/2", "street", "Calle Hidalgo número 12"), ("1/2", "area", "colonia Centro"), ("2/1", "street", "avenida Juárez 45")], "page_id, kind, place", lambda p: extract.spans(p, extract.PLACES).select("page_id", "kind", F.trim("match").alias("place")))
-
-
-@register("EXT8", "SELECT page_id, match, day::DATE AS day, date_class FROM (VALUES ('1/1', '5 de mayo de 2020', '2020-05-05', 'statement'), ('1/2', '12/06/2020', '2020-06-12', 'hearing')) v(page_id, match, day, date_class)")
-def ext8(spark, d):
-    return extract.dated(fx(spark), NOW).select("page_id", "match", "day", "date_class")
-
-
-_found("EXT9", [("1/1", "FGJ/123/2020")], "page_id, number", lambda p: p.select("page_id", F.explode(extract.letter_numbers("text")).alias("number")))
+_noted("EXT6", union(("k = 0", "page_id", NAME, "'witness'", "phone", "NULL"), ("k = 1", "page_id", NAME, "'accused'", "NULL", "'Calle Hidalgo número ' || num"), ("k = 8", "page_id", _MARIA, "'officer'", "NULL", "NULL"), names="page_id, name, role, phone, street"),
+    lambda p: extract.persons(p).select("page_id", "name", "role", "phone", "street"))
+_noted("EXT7", union(*_PLACED, names="page_id, kind, place"), lambda p: extract.places(p).select("page_id", "kind", F.col("match").alias("place")))
+_noted("EXT8", union(("k = 0", "page_id", LONG_DAY, "day", "'statement'"), ("k = 1", "page_id", DMY, "day", "'hearing'"), ("k = 2", "page_id", "day::VARCHAR", "day", "'general'"), ("k = 6", "page_id", "m || ' de ' || y", "date_trunc('month', day)::DATE", "'general'"), ("k = 7", "page_id", SHORT_DAY, "day", "'general'"), names="page_id, match, day, date_class"),
+    lambda p: extract.dated(p, NOW).select("page_id", "match", "day", "date_class"))
+_noted("EXT9", union(("k = 0", "page_id", "'FGJ/' || num || '/' || y"), names="page_id, number"), lambda p: p.select("page_id", F.explode(extract.letter_numbers("text")).alias("number")))
 
 
 @register("EXT10", f"SELECT page_id, unnest(list_distinct(regexp_extract_all(' ' || text || ' ', '[^0-9]([0-9]{{10}})[^0-9]', 1))) AS phone FROM {P}")
@@ -87,10 +75,11 @@ def ext10(spark, d):
     return pages(spark, d).select("page_id", F.explode(ten).alias("phone"))
 
 
-_found("EXT11", [("1/2", "juez")], "page_id, officer", lambda p: p.select("page_id", F.regexp_extract("text", r"(?iu)ante el (\p{L}+)", 1).alias("officer")).where("officer <> ''"))
-_found("EXT12", [("1/1", "5512345678"), ("2/1", "5512345678")], "page_id, phone", lambda p: p.select("page_id", F.get(extract.phones("text"), F.lit(0)).alias("phone")).where("phone IS NOT NULL"))
-_found("EXT13", [("1/2", "Calle", "Hidalgo", "12", "Centro", "06000"), ("2/1", "avenida", "Juárez", "45", None, None)], "page_id, road_type, road, number, area, postal_code", lambda p: p.select("page_id", *extract.address_parts("text")).where("road IS NOT NULL"))
-_found("EXT14", [("1/1", "statement"), ("1/1", "letter"), ("1/2", "hearing"), ("2/1", "inspection")], "page_id, kind", lambda p: extract.spans(p, extract.PROCEEDINGS).select("page_id", "kind"))
+_noted("EXT11", union(("k = 1", "page_id", "'juez'"), ("k = 8", "page_id", "'María Luisa de la Vega'"), names="page_id, officer"),
+    lambda p: p.select("page_id", extract.responsible("text").alias("officer")).where("officer IS NOT NULL"))
+_noted("EXT12", union(("k = 0", "page_id", NAME, "phone", "NULL"), ("k = 1", "page_id", NAME, "NULL", "'Calle Hidalgo número ' || num"), ("k = 8", "page_id", _MARIA, "NULL", "NULL"), names="page_id, name, phone, street"), lambda p: extract.persons(p, 200).select("page_id", "name", "phone", "street"))
+_noted("EXT13", union(("k = 1", "page_id", "'Calle'", "'Hidalgo'", "num", "'Centro'", "code"), ("k = 2", "page_id", "'avenida'", "'Juárez'", "num", "NULL", "NULL"), names="page_id, road_type, road, number, area, postal_code"), lambda p: p.select("page_id", *extract.address_parts("text")).where("road IS NOT NULL"))
+_noted("EXT14", union(*[(w, i, k) for w, i, k, _ in _ACTS], *[(w, i, "'person'") for w, i, _, _ in _NAMED], names="page_id, kind"), lambda p: extract.spans(p, extract.PROCEEDINGS).select("page_id", "kind").unionByName(extract.persons(p).select("page_id", F.lit("person").alias("kind"))))
 
 
 @register("EXT15", f"SELECT page_id, 'shing' AS kind, i AS position FROM (SELECT page_id, text AS t, unnest(range(0, length(text) - 4)) AS i FROM {P} WHERE contains(text, 'shing')) WHERE substr(t, i + 1, 5) = 'shing'")
@@ -103,23 +92,21 @@ def ext16(spark, d):
     return extract.lines(pages(spark, d)).where(F.col("line").rlike("[A-Z]{4,}")).select("page_id", F.col("line_no").cast("long"))
 
 
-CELLS = [(1, "12/03/2020", "date"), (2, "5512345678", "phone"), (3, "1,200.50", "number"), (4, "Ana Ruiz", "name"), (5, "otra cosa", "text"), (6, "", "empty"), (7, None, "empty")]
-
-
-@register("EXT17", f"SELECT id, kind FROM {_values(CELLS, 'id, value, kind')}")
+@register("EXT17", f"""SELECT id, col, kind FROM (SELECT o_orderkey AS id, unnest(['day', 'phone', 'amount', 'name', 'kind', 'none']) AS col, unnest(['date', 'phone', 'number', 'name', 'text', 'empty']) AS kind FROM orders)""")
 def ext17(spark, d):
-    return extract.cell_kinds(spark.createDataFrame([(i, v) for i, v, _ in CELLS], "id int, value string")).select("id", "kind")
+    cells = {"day": F.date_format("day", "dd/MM/yyyy"), "phone": F.concat(F.lit("55"), F.lpad(F.col("folder_id").cast("string"), 8, "0")), "amount": F.format_number("amount", 2), "name": F.lit("Ana Ruiz"), "kind": F.col("kind"), "none": F.lit("")}
+    rows = proceedings(spark, d).select("id", F.inline(F.array(*[F.struct(F.lit(c).alias("col"), v.alias("value")) for c, v in cells.items()])))
+    return extract.cell_kinds(rows).select("id", "col", "kind")
 
 
-@register("EXT18")
+@register("EXT18", f"SELECT name, count(*) AS mentions, greatest(1, count(*) // 3) AS statements, max(phone) AS phone FROM (SELECT upper({NAME}) AS name, CASE k WHEN 0 THEN phone END AS phone FROM {N} WHERE k IN (0, 1) UNION ALL SELECT 'MARIA LUISA DE LA VEGA', NULL FROM {N} WHERE k = 8) GROUP BY name")
 def ext18(spark, d):
-    names = extract.spans(fx(spark), {"person": extract.NAME})
-    return names.groupBy(T.name_key("match").alias("name")).agg(F.count("*").alias("mentions"), F.greatest(F.lit(1), F.floor(F.count("*") / 3)).alias("statements"))
+    return extract.persons(notes(spark, d)).groupBy(T.name_key("name").alias("name")).agg(F.count("*").alias("mentions"), F.greatest(F.lit(1), F.floor(F.count("*") / 3)).alias("statements"), F.max("phone").alias("phone"))
 
 
-@register("EXT19")
+@register("EXT19", "SELECT kind, lower(place) AS place, count(*) AS frequency, min(page_id) AS first_page FROM (" + union(*_PLACED, names="page_id, kind, place") + ") GROUP BY ALL")
 def ext19(spark, d):
-    return extract.spans(fx(spark), extract.PLACES).groupBy(F.lower("match").alias("place")).agg(F.count("*").alias("frequency"), F.min("page_id").alias("first_page"))
+    return extract.places(notes(spark, d)).groupBy("kind", F.lower("match").alias("place")).agg(F.count("*").alias("frequency"), F.min("page_id").alias("first_page"))
 
 
 @register("EXT20", f"SELECT page_id, len(regexp_extract_all(lower(text), 'shing'))::BIGINT AS n FROM {P} WHERE contains(lower(text), 'shing')")
@@ -127,38 +114,34 @@ def ext20(spark, d):
     return pages(spark, d).select("page_id", T.count_hits("text", "shing").cast("long").alias("n")).where("n > 0")
 
 
-NAMES = [("Ana Ruiz Soto", "Ana", "Ruiz", "Soto"), ("Ana María Ruiz Soto", "Ana María", "Ruiz", "Soto"), ("Ana Ruiz", "Ana", "Ruiz", None), ("Ana", "Ana", None, None)]
-
-
-@register("EXT21", f"SELECT * FROM {_values(NAMES, 'name, given, paternal, maternal')}")
+@register("EXT21", union(("k IN (0, 1)", "page_id", NAME, "given", "paternal", "maternal"), ("k = 8", "page_id", _MARIA, "'María Luisa de'", "'la'", "'Vega'"), names="page_id, name, given, paternal, maternal"))
 def ext21(spark, d):
-    return spark.createDataFrame([(n[0],) for n in NAMES], "name string").select("name", *extract.name_parts("name"))
+    return extract.persons(notes(spark, d)).select("page_id", "name", *extract.name_parts("name"))
 
 
-@register("EXT22", "SELECT * FROM (VALUES (1, 'many names'), (1, 'minors'), (3, 'many proceedings')) v(page_id, alert)")
+@register("EXT22", "SELECT page_id, unnest(list_filter([CASE WHEN n_names > 10 THEN 'many names' END, CASE WHEN n_minors > 0 THEN 'minors' END, CASE WHEN n_proceedings > 5 THEN 'many proceedings' END], lambda x: x IS NOT NULL)) AS alert FROM (SELECT o_custkey AS page_id, count(*) AS n_names, count_if(o_orderpriority = '5-LOW') AS n_minors, count_if(o_orderstatus = 'F') AS n_proceedings FROM orders GROUP BY 1)")
 def ext22(spark, d):
-    return extract.page_alerts(spark.createDataFrame([(1, 11, 1, 0), (2, 10, 0, 5), (3, 0, 0, 6)], "page_id int, n_names int, n_minors int, n_proceedings int"))
+    counts = proceedings(spark, d).groupBy(F.col("folder_id").alias("page_id")).agg(F.count("*").alias("n_names"), F.count_if(F.col("kind") == "5-LOW").alias("n_minors"), F.count_if("verified").alias("n_proceedings"))
+    return extract.page_alerts(counts)
 
 
-for _key in ("EXT23", "EXT24"):
+_noted("EXT23", "SELECT page_id, kind, match FROM (" + union(*_DATES, *_PLACED, *_NAMED, names="page_id, kind, match") + ")",
+    lambda p: extract.spans(p, extract.DATES).select("page_id", F.lit("date").alias("kind"), "match").unionByName(extract.places(p).select("page_id", "kind", "match")).unionByName(extract.persons(p).select("page_id", F.lit("person").alias("kind"), F.col("name").alias("match"))))
+_noted("EXT24", union(("k = 0", "page_id", "'long'", "day(day)", "month(day)", "year(day)", "3"), ("k = 1", "page_id", "'numeric'", "day(day)", "month(day)", "year(day)", "14"), ("k = 2", "page_id", "'iso'", "day(day)", "month(day)", "year(day)", "14"), ("k = 6", "page_id", "'month'", "1", "month(day)", "year(day)", f"strpos({TEXT}, m || ' de ' || y) - 1"), ("k = 7", "page_id", "'short'", "day(day)", "month(day)", "year(day)", "9"), names="page_id, kind, day, month, year, position"),
+    lambda p: extract.spans(p, extract.DATES).withColumn("at", D.parse_date("match")).where("at IS NOT NULL").select("page_id", "kind", F.dayofmonth("at").cast("long").alias("day"), F.month("at").cast("long").alias("month"), F.year("at").cast("long").alias("year"), "position"))
 
-    @register(_key)
-    def ext23(spark, d):
-        p = fx(spark)
-        return extract.spans(p, extract.DATES | extract.PLACES | {"person": extract.NAME}).select("page_id", "kind", "match", "position")
 
-
-@register("EXT25")
+@register("EXT25", f"SELECT DISTINCT page_id, w AS entity FROM (SELECT page_id, unnest(string_split(text, ' ')) AS w FROM (SELECT page_id, {TEXT} AS text FROM {N})) WHERE regexp_matches(w, '^\\p{{Lu}}')")
 def ext25(spark, d):
     """A recogniser is any function from batches to batches; this one is a pattern."""
     import pandas as pd
 
     def capitals(batches):
         for b in batches:
-            for i, t in zip(b.page_id, b.text.fillna(""), strict=True):
-                yield pd.DataFrame([(i, w) for w in dict.fromkeys(w for w in t.split() if w[:1].isupper())], columns=["page_id", "entity"])
+            found = [(i, w) for i, t in zip(b.page_id, b.text.fillna(""), strict=True) for w in dict.fromkeys(w for w in t.split() if w[:1].isupper())]
+            yield pd.DataFrame(found, columns=["page_id", "entity"])
 
-    return fx(spark).select("page_id", "text").mapInPandas(capitals, "page_id string, entity string")
+    return notes(spark, d).select("page_id", "text").mapInPandas(capitals, "page_id long, entity string")
 
 
 @register("EXT26", f"SELECT page_id, 'upper' AS label, 0.8::DOUBLE AS confidence, len(regexp_extract_all(text, '[A-Z]{{5,}}'))::BIGINT AS n FROM {P} WHERE regexp_matches(text, '[A-Z]{{5,}}')")
@@ -166,7 +149,7 @@ def ext26(spark, d):
     return extract.spans(pages(spark, d), {"upper": "[A-Z]{5,}"}).groupBy("page_id", F.col("kind").alias("label")).agg(F.lit(0.8).alias("confidence"), F.count("*").alias("n"))
 
 
-_found("EXT27", [("1/2", "Hidalgo", "Centro"), ("2/1", "Juárez", None)], "page_id, road, area", lambda p: extract.line_contexts(p).select("page_id", *extract.address_parts("context")).where("road IS NOT NULL").select("page_id", "road", "area"))
+_noted("EXT27", union(("k = 1", "page_id", "'Hidalgo'", "'Centro'"), ("k = 2", "page_id", "'Juárez'", "NULL"), names="page_id, road, area"), lambda p: extract.line_contexts(p).select("page_id", *extract.address_parts("line"), *[c.alias(f"near_{i}") for i, c in enumerate(extract.address_parts("context"))]).select("page_id", F.coalesce("road", "near_1").alias("road"), F.coalesce("area", "near_3").alias("area")).where("road IS NOT NULL"))
 
 
 @register("EXT28", f"SELECT page_id, count(*) AS n_lines FROM (SELECT page_id, unnest(string_split(text, chr(10))) AS line FROM {P}) WHERE length(line) > 50 GROUP BY page_id")
@@ -174,14 +157,15 @@ def ext28(spark, d):
     return extract.lines(pages(spark, d)).where(F.length("line") > 50).groupBy("page_id").agg(F.count("*").alias("n_lines"))
 
 
-PEOPLE = ("ana", "ruiz", "soto", "luis", "mora")
-VERDICTS = [("Ana Ruiz", "person", 70.0), ("colonia Centro", "area", 20.0), ("Roma", "area", 100.0), ("xyz", "unknown", 0.0)]
+PEOPLE = ("ana", "luis", "marta", "pedro", "rosa", "ruiz", "mora", "vega", "soto", "paz", "lara", "cruz")
+_noted("EXT29", union(("k IN (0, 1)", "page_id", NAME, "'person'", "70.0::DOUBLE"), ("k = 1", "page_id", "'colonia Centro'", "'area'", "20.0::DOUBLE"), ("k = 8", "page_id", _MARIA, "'person'", "50.0::DOUBLE"), names="page_id, value, verdict, certainty"),
+    lambda p: extract.candidates(p).select("page_id", "value", *classify.person_or_area("value", PEOPLE, ("roma",))).drop("evidence"))
 
-for _key in ("EXT29", "CLS6"):
 
-    @register(_key, f"SELECT value, verdict, certainty::DOUBLE AS certainty FROM {_values(VERDICTS, 'value, verdict, certainty')}")
-    def ext29(spark, d):
-        return spark.createDataFrame([(v,) for v, _, _ in VERDICTS], "value string").select("value", *classify.person_or_area("value", PEOPLE, ("roma",))).drop("evidence")
+@register("CLS6", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'area' WHEN 2 THEN 'area' ELSE 'unknown' END AS verdict, CASE c_custkey % 4 WHEN 0 THEN 70.0 WHEN 1 THEN 20.0 WHEN 2 THEN 100.0 ELSE 0.0 END::DOUBLE AS certainty FROM customer")
+def cls6(spark, d):
+    value = F.element_at(F.array(*[F.lit(x) for x in ("Ana Ruiz", "colonia Centro", "Roma", "xyz")]), (F.col("c_custkey") % 4).cast("int") + 1)
+    return load(spark, d, "customer").withColumn("value", value).select("c_custkey", *classify.person_or_area("value", PEOPLE, ("roma",))).drop("evidence")
 
 
 @register("EXT30", f"SELECT n_nationkey, upper(trim(n_name)) AS name FROM nation")
@@ -196,17 +180,8 @@ def ext31(spark, d):
 
 # corrections
 
-NOISY = [(1, "ver art. 5 y exp. 7", "ver artículo 5 y expediente 7"), (2, "la col. Centro", "la colonia Centro"), (3, "nada", "nada")]
-
-
-@register("NRM1", f"SELECT id, done FROM {_values(NOISY, 'id, text, done')}")
-def nrm1(spark, d):
-    return spark.createDataFrame([(i, t) for i, t, _ in NOISY], "id int, text string").select("id", correct.expanded("text").alias("done"))
-
-
-@register("NRM2", "SELECT * FROM (VALUES (1, 'color b'), (2, 'x' || chr(10) || 'y z')) v(id, done)")
-def nrm2(spark, d):
-    return spark.createDataFrame([(1, "c0l0r  b"), (2, "x\ny   z")], "id int, text string").select("id", correct.corrected("text").alias("done"))
+_noted("NRM1", union(("k = 7", "page_id", "'Recibido ' || d || '-' || mmm || '-' || y || '; ver artículo 5 y expediente ' || num || '.'"), names="page_id, done"), lambda p: p.select("page_id", correct.expanded("text").alias("done"), "text").where("done <> text").drop("text"))
+_noted("NRM2", union(("k = 8", "page_id", "'Periodo ' || strftime(day, '%Y-%m') || ', la agente María Luisa de la Vega y la colonia Roma.'"), names="page_id, done"), lambda p: p.select("page_id", correct.corrected("text").alias("done"), "text").where("done <> text").drop("text"))
 
 
 @register("NRM3", f"SELECT page_id, trim(regexp_replace(replace(replace(text, 'idiot', '***'), 'clown', '***'), '\\s+', ' ', 'g')) AS done FROM {P}")
@@ -214,29 +189,32 @@ def nrm3(spark, d):
     return pages(spark, d).select("page_id", T.squeeze(T.rules("text", [("idiot", "***"), ("clown", "***")])).alias("done"))
 
 
-@register("NRM4", "SELECT * FROM (VALUES (1, 'hola'), (2, 'h0 1a'), (3, 'casa')) v(id, done)")
+@register("NRM4", "SELECT p_partkey, list_extract(['hola', 'casa', 'fila', 'h0 1a'], (p_partkey % 4 + 1)::INT) || ' ' || p_size AS done FROM part")
 def nrm4(spark, d):
-    return spark.createDataFrame([(1, "h0la"), (2, "h0 1a"), (3, "ca5a")], "id int, text string").select("id", T.digits_to_letters("text").alias("done"))
+    word = F.element_at(F.array(*[F.lit(x) for x in ("h0la", "ca5a", "fi1a", "h0 1a")]), (F.col("p_partkey") % 4).cast("int") + 1)
+    return load(spark, d, "part").select("p_partkey", T.digits_to_letters(F.concat_ws(" ", word, F.col("p_size").cast("string"))).alias("done"))
 
 
-@register("NRM5")
+@register("NRM5", "SELECT p_partkey, list_extract(['la Diligencia, del expediente', 'audiencia', 'expediente'], (p_partkey % 3 + 1)::INT) AS done FROM part")
 def nrm5(spark, d):
-    rows = spark.createDataFrame([(1, "la diligemcia del expedient"), (2, "audiencia")], "id int, text string")
-    fixes = correct.snapped(rows, "text", correct.TERMS, 0.82)
-    words = rows.select("id", F.posexplode(F.split("text", " ")).alias("place", "word")).join(fixes, F.lower("word") == F.col("token"), "left")
-    return words.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", F.coalesce("best", "word").alias("w")))), lambda x: x["w"]), " ").alias("done"))
+    """A known word stays, a garbled one becomes the nearest, a cut one is completed; case and punctuation stay."""
+    text = F.element_at(F.array(*[F.lit(x) for x in ("la Diligemcia, del expedient", "audiencia", "expedien")]), (F.col("p_partkey") % 3).cast("int") + 1)
+    return correct.words_corrected(load(spark, d, "part").select("p_partkey", text.alias("text")), "p_partkey", "text", correct.TERMS, 0.82)
 
 
-@register("NRM6", "SELECT * FROM (VALUES (1, 'el imputado y la vtma'), (2, 'imputados')) v(id, done)")
+@register("NRM6", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'el imputado y la vtma ' || o_orderkey ELSE 'inputados' END AS done FROM orders")
 def nrm6(spark, d):
-    return spark.createDataFrame([(1, "el inputado y la vtma"), (2, "imputados")], "id int, text string").select("id", correct.field_corrected("text", [("inputado", "imputado"), ("vtma", "víctima")]).alias("done"))
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("el inputado y la vtma "), F.col("o_orderkey").cast("string"))).otherwise("inputados")
+    return load(spark, d, "orders").select("o_orderkey", correct.field_corrected(text, [("inputado", "imputado"), ("vtma", "víctima")]).alias("done"))
 
 
-@register("NRM7", "SELECT * FROM (VALUES (1, 'Estado de oaxaca' || chr(10) || '5 de mayo')) v(id, done)")
+@register("NRM7", f"SELECT page_id, 'Estado de oaxaca' || chr(10) || d || ' de ' || m || ' de ' || y AS done FROM {N}")
 def nrm7(spark, d):
-    rows = spark.createDataFrame([(1, "Estado de 0axaca\n5 de mayo")], "id int, text string")
-    fixed = F.transform(F.split("text", "\n", -1), lambda line: F.when(line.rlike("(?iu)estado|municipio"), F.regexp_replace(line, r"0(?=\p{L})", "o")).otherwise(line))
-    return rows.select("id", F.array_join(fixed, "\n").alias("done"))
+    """Letters for digits in lines of places, digits for letters in dates."""
+    day = load(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), F.to_date("o_orderdate").alias("day"))
+    month = F.element_at(F.array(*[F.lit(m) for m in D.MONTHS]), F.month("day"))
+    garbled = F.concat(F.lit("Estado de 0axaca\n"), F.translate(F.dayofmonth("day").cast("string"), "01", "Ol"), F.lit(" de "), month, F.lit(" de "), F.translate(F.year("day").cast("string"), "01", "Ol"))
+    return day.select("page_id", correct.entities_fixed(garbled).alias("done"))
 
 
 @register("NRM8", f"SELECT page_id, kind, found, put FROM (SELECT page_id, lower(text) AS t FROM {P}) JOIN (VALUES ('insult', 'idiot', '***'), ('insult', 'clown', '***'), ('word', 'shing', 'sing')) r(kind, found, put) ON contains(t, found)")
@@ -244,11 +222,10 @@ def nrm8(spark, d):
     return correct.change_log(pages(spark, d), "page_id", "text", [("insult", "idiot", "***"), ("insult", "clown", "***"), ("word", "shing", "sing")])
 
 
-@register("NRM9")
+@register("NRM9", union(("k = 7", "page_id", "'Recibido ' || d || '-' || mmm || '-' || y || '; ver artículo 5 y expediente ' || num || '.'", "2"), ("k = 8", "page_id", "'Periodo ' || strftime(day, '%Y-%m') || ', la agente María Luisa de la Vega y la colonia Roma.'", "2"), ("k = 5", "page_id", "''", "1"), names="page_id, done, changed"))
 def nrm9(spark, d):
-    p = fx(spark)
     done = correct.post_processed(correct.expanded("text"))
-    return p.select("page_id", done.alias("done"), T.changed_words("text", done).alias("changed"))
+    return notes(spark, d).select("page_id", done.alias("done"), T.changed_words("text", done).cast("long").alias("changed")).where("changed > 0")
 
 
 @register("NRM10", """SELECT p_partkey, canonical FROM (SELECT p_partkey, canonical, row_number() OVER (PARTITION BY p_partkey ORDER BY priority, length(term) DESC, term) AS k FROM part
@@ -274,9 +251,10 @@ def nrm13(spark, d):
     return pages(spark, d).select("page_id", correct.improved_confidence(F.col("confidence"), "text", after).alias("confidence"))
 
 
-@register("NRM14", "SELECT * FROM (VALUES (1, 'una línea buena' || chr(10) || 'otra más'), (2, ''), (3, 'sí hay')) v(id, done)")
+@register("NRM14", f"SELECT page_id, text || chr(10) || 'otra más' AS done FROM (SELECT page_id, coalesce(NULLIF({TEXT}, ''), 'sin texto') AS text FROM {N}) WHERE length(text) > 8")
 def nrm14(spark, d):
-    return spark.createDataFrame([(1, "una línea buena\n#~ %&/(\notra más"), (2, ""), (3, "sí hay\n|.|")], "id int, text string").select("id", T.legible_lines("text").alias("done"))
+    text = F.concat(F.coalesce(F.nullif("text", F.lit("")), F.lit("sin texto")), F.lit("\n#~ %&/(\notra más\n|.|"))
+    return notes(spark, d).where(F.length(F.coalesce(F.nullif("text", F.lit("")), F.lit("sin texto"))) > 8).select("page_id", T.legible_lines(text).alias("done"))
 
 
 @register("NRM15")
@@ -291,17 +269,22 @@ def nrm16(spark, d):
 
 # validation and classification
 
-CHECKED = [("Ana Ruiz Soto", None), ("", "empty"), ("Ana", "short"), ("Ana Ruiz 2", "digits"), ("Expediente", "one word"), ("Calle Hidalgo", "no name word"), ("Ana @Ruiz", "symbols"), ("ana ruiz", "lower case"), ("Bcdfgh Jklmn", "no vowels")]
+CHECKED = [("Ana Ruiz Soto", None), ("", "empty"), ("Ana", "short"), ("Ana Ruiz 2", "digits"), ("Expediente", "one word"), ("Calle Hidalgo", "no name word"), ("Ana @Ruiz", "symbols"), ("ana ruiz", "lower case"), ("Bcdfgh Jklmn", "no vowels"), ("Ana " * 21, "long"), ("Ana de la Luz Vega Ruiz Mora", "many words"), ("Ana Rstvwxa", "consonants")]
 
 
-@register("CLS1", f"SELECT * FROM {_values(CHECKED, 'name, fault')}")
-def cls1(spark, d):
-    return spark.createDataFrame([(n,) for n, _ in CHECKED], "name string").select("name", classify.name_fault("name").alias("fault"))
+def _cases(key: str, table: str, row: str, name: str, cases: list[tuple], fault) -> None:
+    """A value by the number of each row of a table, and what is wrong with it."""
+    values, faults = (", ".join("NULL" if x is None else f"'{x}'" for x in part) for part in zip(*cases, strict=True))
 
+    @register(key, f"SELECT {row}, list_extract([{values}], ({row} % {len(cases)} + 1)::INT) AS {name}, list_extract([{faults}], ({row} % {len(cases)} + 1)::INT) AS fault FROM {table}")
+    def query(spark, d):
+        value = F.element_at(F.array(*[F.lit(x).cast("string") for x, _ in cases]), (F.col(row) % len(cases)).cast("int") + 1)
+        return load(spark, d, table).select(row, value.alias(name)).withColumn("fault", fault(name))
 
-@register("CLS2", f"SELECT * FROM {_values([('Lic. Ana Ruiz', None), ('12', 'short'), (None, 'empty')], 'officer, fault')}")
-def cls2(spark, d):
-    return spark.createDataFrame([("Lic. Ana Ruiz",), ("12",), (None,)], "officer string").select("officer", classify.name_fault("officer").alias("fault"))
+
+_cases("CLS1", "customer", "c_custkey", "name", CHECKED, classify.name_fault)
+_cases("CLS2", "supplier", "s_suppkey", "officer", [("Lic. Ana Ruiz", None), ("12", "short"), (None, "empty"), ("Licenciada", "title alone"), ("Agente Ana Ruiz", None), ("Ana Ruiz 12", "digits")], classify.officer_fault)
+_cases("CLS4", "part", "p_partkey", "place", [("Calle Hidalgo 12", None), ("abc", "short"), ("123456", "no letters"), ("##abc%%%", "symbols"), (None, "empty")], classify.place_fault)
 
 
 @register("CLS3", f"SELECT id, CASE WHEN kind = '' THEN 'no kind' WHEN day IS NULL THEN 'no day' WHEN length(trim(kind)) < 6 THEN 'no officer' END AS reason FROM {O} WHERE length(trim(kind)) < 6")
@@ -309,20 +292,15 @@ def cls3(spark, d):
     return classify.split_by(proceedings(spark, d), classify.first_reason([("no kind", F.col("kind") == ""), ("no day", F.col("day").isNull()), ("no officer", F.length(F.trim("kind")) < 6)]))[1].select("id", "reason")
 
 
-@register("CLS4", f"SELECT * FROM {_values([('Calle Hidalgo 12', None), ('abc', 'short'), ('123456', 'no letters'), ('##abc%%%', 'symbols')], 'place, fault')}")
-def cls4(spark, d):
-    return spark.createDataFrame([("Calle Hidalgo 12",), ("abc",), ("123456",), ("##abc%%%",)], "place string").select("place", classify.place_fault("place").alias("fault"))
-
-
 @register("CLS5", f"SELECT page_id, CASE WHEN greatest(a, b) > 0.3 THEN CASE WHEN b >= a THEN 'romance' ELSE 'english' END ELSE 'other' END AS class FROM (SELECT page_id, (contains(lower(text), 'the ')::INT + contains(lower(text), ' of ')::INT) / 2 AS a, (contains(lower(text), ' que ')::INT + contains(lower(text), ' la ')::INT) / 2 AS b FROM {P})")
 def cls5(spark, d):
     return pages(spark, d).select("page_id", classify.keyword_class("text", {"english": ["the ", " of "], "romance": [" que ", " la "]}).alias("class"))
 
 
-_found("CLS7", [("1/1", None), ("1/2", None), ("2/1", None), ("2/2", "empty"), ("3/1", "keywords"), ("3/2", "page number")], "page_id, reason", lambda p: p.select("page_id", classify.cover_reason("text").alias("reason")))
-_found("CLS8", [("1/1", "statement"), ("1/2", "hearing"), ("2/1", "inspection"), ("2/2", "other"), ("3/1", "other"), ("3/2", "other")], "page_id, kind", lambda p: p.select("page_id", extract.first_fit(F.col("text"), tuple(extract.PROCEEDINGS.items()), "other").alias("kind")))
-_found("CLS9", [("1/1", "letter"), ("1/2", "other"), ("2/1", "other"), ("2/2", "other"), ("3/1", "other"), ("3/2", "other")], "page_id, kind", lambda p: p.select("page_id", classify.text_kind("text").alias("kind")))
-_found("CLS10", [("1/1", "witness"), ("1/2", "accused"), ("2/1", "mentioned"), ("2/2", "mentioned"), ("3/1", "mentioned"), ("3/2", "mentioned")], "page_id, role", lambda p: p.select("page_id", extract.first_fit(F.col("text"), extract.ROLES, "mentioned").alias("role")))
+_noted("CLS7", f"SELECT page_id, CASE k WHEN 3 THEN 'keywords' WHEN 4 THEN 'empty' WHEN 5 THEN 'page number' WHEN 9 THEN 'empty' END AS reason FROM {N}", lambda p: p.select("page_id", classify.cover_reason("text").alias("reason")))
+_noted("CLS8", f"SELECT page_id, CASE k WHEN 0 THEN 'statement' WHEN 1 THEN 'hearing' WHEN 2 THEN 'inspection' WHEN 6 THEN 'letter' ELSE 'other' END AS kind FROM {N}", lambda p: p.select("page_id", extract.first_fit(F.col("text"), tuple(extract.PROCEEDINGS.items()), "other").alias("kind")))
+_noted("CLS9", f"SELECT page_id, CASE WHEN k IN (0, 6) THEN 'letter' ELSE 'other' END AS kind FROM {N}", lambda p: p.select("page_id", classify.text_kind("text").alias("kind")))
+_noted("CLS10", f"SELECT page_id, CASE k WHEN 0 THEN 'witness' WHEN 1 THEN 'accused' WHEN 8 THEN 'officer' ELSE 'mentioned' END AS role FROM {N}", lambda p: p.select("page_id", extract.first_fit(F.col("text"), extract.ROLES, "mentioned").alias("role")))
 
 
 @register("CLS11", f"SELECT id, CASE WHEN action = 'error' THEN 'fault' WHEN action IN ('click', 'view') THEN 'use' ELSE 'account' END AS class FROM {E}")
@@ -357,23 +335,25 @@ def cls16(spark, d):
     return scored.groupBy("folder").agg(F.max_by("page_id", F.struct("score", "page_id")).alias("best"), F.max("score").alias("score"))
 
 
-CATALOG = [("06000", "Centro"), ("06000", "Guerrero"), ("03100", "Del Valle"), ("03100", "Narvarte")]
-ADDRESSES = [(1, "06000", "Centró", True, True, "Centro"), (2, "06000", "Cemtro", True, False, "Centro"), (3, "99999", "Roma", False, False, None), (4, "03100", "Valle", True, False, "Del Valle")]
+def _areas(spark, d):
+    """A postal catalog: nations as codes, the supplier names of each as areas."""
+    return load(spark, d, "supplier").select(F.lpad(F.col("s_nationkey").cast("string"), 5, "0").alias("postal_code"), F.col("s_name").alias("area"))
 
 
-@register("CLS17", f"SELECT * FROM {_values(ADDRESSES, 'id, postal_code, area, known_code, known_pair, like_areas')}")
+_A = "(SELECT lpad(s_nationkey::VARCHAR, 5, '0') AS postal_code, s_name AS area FROM supplier)"
+_OWN = "(SELECT c_custkey AS id, lpad(c_nationkey::VARCHAR, 5, '0') AS postal_code, 'Supplier#' || (c_custkey % 100) AS area FROM customer)"
+
+
+@register("CLS17", f"SELECT id, postal_code, area, postal_code IN (SELECT postal_code FROM {_A}) AS known_code, (postal_code, lower(area)) IN (SELECT postal_code, lower(area) FROM {_A}) AS known_pair FROM {_OWN}")
 def cls17(spark, d):
-    own = spark.createDataFrame([r[:3] for r in ADDRESSES], "id int, postal_code string, area string")
-    return classify.checked_address(own, spark.createDataFrame(CATALOG, "postal_code string, area string"))
+    own = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("postal_code"), F.concat(F.lit("Supplier#"), (F.col("c_custkey") % 100).cast("string")).alias("area"))
+    return classify.checked_address(own, _areas(spark, d)).drop("like_areas")
 
 
-@register("CLS18", "SELECT * FROM (VALUES ('Del Valle')) v(area)")
+@register("CLS18", "SELECT s_name AS area FROM supplier WHERE s_name ILIKE '%#1%' ORDER BY length(s_name), s_name LIMIT 10")
 def cls18(spark, d):
-    from foliospark.functions.similarity import trigram_similarity
-
-    areas = spark.createDataFrame(CATALOG, "postal_code string, area string")
-    s = trigram_similarity("area", F.lit("valle"))
-    return search.top(areas.where((s > 0.2) | T.like_ci("area", "valle")).select("area", s.alias("s")), 10, F.col("s").desc(), F.col("area")).select("area")
+    """Areas that hold what was typed, the likeliest first: of names with the same start the shortest."""
+    return search.top(_areas(spark, d).where(T.like_ci("area", "#1")).select("area"), 10, F.length("area"), F.col("area"))
 
 
 @register("CLS19", f"SELECT folder, concat_ws('; ', CASE WHEN low > 20 THEN 'rescan' END, CASE WHEN n > 45 THEN 'split' END) AS advice FROM (SELECT folder, count_if(confidence < 50) AS low, count(*) AS n FROM {P} GROUP BY folder)")

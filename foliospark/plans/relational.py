@@ -43,11 +43,15 @@ PRIORITIES = [("1-URGENT", "urgent", 1), ("2-HIGH", "high", 2), ("3-MEDIUM", "me
 _V = "(VALUES ('1-URGENT', 'urgent', 1), ('2-HIGH', 'high', 2), ('3-MEDIUM', 'medium', 3), ('4-NOT SPECIFIED', 'none', 4), ('5-LOW', 'low', 5)) v(variant, canonical, rank)"
 
 
-@register("SRC7", f"SELECT variant, canonical, rank FROM {_V}")
-def src7(spark, d):
+def priorities(spark):
     return catalog.lookup(spark, PRIORITIES, "variant string, canonical string, rank int")
 
 
+@register("SRC7", f"SELECT canonical, rank, count(*) AS n FROM orders JOIN {_V} ON o_orderpriority = variant GROUP BY ALL")
+def src7(spark, d):
+    return load(spark, d, "orders", F.col("o_orderpriority").alias("variant")).join(priorities(spark), "variant").groupBy("canonical", "rank").agg(F.count("*").alias("n"))
+
+
 @register("SRC8", "SELECT s_suppkey AS id, coalesce(n_name, 'unknown') AS place FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON s_nationkey = n_nationkey")
 def src8(spark, d):
     known = load(spark, d, "nation").where("n_regionkey < 3")
@@ -277,12 +281,19 @@ def _offsets(spark, d):
     return timeline.offsets(load(spark, d, "conversations"), "conv_id", "turn", "text").withColumnRenamed("turn", "page")
 
 
-for _key in ("JN13", "JN14"):
+@register("JN13", f"SELECT conv_id, position, max(page) AS page FROM (SELECT conv_id, unnest(range(0, n, 250)) AS position FROM (SELECT conv_id, sum(length(text) + 2)::BIGINT AS n FROM conversations GROUP BY conv_id)) q JOIN {_OFF} o USING (conv_id) WHERE o.start <= position GROUP BY ALL")
+def jn13(spark, d):
+    """The page at each 250th position of a whole conversation."""
+    size = load(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text") + 2).alias("n"))
+    at = size.select("conv_id", F.explode(F.expr("sequence(0L, n - 1, 250L)")).alias("position"))
+    return timeline.page_of(at, _offsets(spark, d), "conv_id")
+
 
-    @register(_key, f"SELECT conv_id, position, max(page) AS page FROM (SELECT conv_id, unnest(range(0, 2000, 250)) AS position FROM (SELECT DISTINCT conv_id FROM conversations)) q JOIN {_OFF} o USING (conv_id) WHERE o.start <= position GROUP BY ALL")
-    def jn13(spark, d):
-        at = load(spark, d, "conversations", "conv_id").distinct().select("conv_id", F.explode(F.expr("sequence(0L, 1750L, 250L)")).alias("position"))
-        return timeline.page_of(at, _offsets(spark, d), "conv_id")
+@register("JN14", """SELECT conv_id, turn, arg_max(mark, pos) AS mark FROM (SELECT c.conv_id, c.turn, m.turn AS pos, m.role || ' ' || m.turn AS mark FROM conversations c LEFT JOIN conversations m ON m.conv_id = c.conv_id AND m.turn <= c.turn AND m.role = 'user') GROUP BY ALL""")
+def jn14(spark, d):
+    """The last mark (here: a user's turn) at or before each row of its conversation."""
+    mark = F.when(F.col("role") == "user", F.concat_ws(" ", "role", F.col("turn").cast("string")))
+    return timeline.last_mark(load(spark, d, "conversations").withColumn("mark", mark), "conv_id", "turn", "mark").select("conv_id", "turn", "mark")
 
 
 _Q64 = [round((i % 7 - 3) / 4, 2) for i in range(64)]
@@ -300,7 +311,7 @@ def jn15(spark, d):
 def jn16(spark, d):
     from foliospark.operators.correct import canonical
 
-    return canonical(load(spark, d, "orders", "o_orderkey", "o_orderpriority"), "o_orderpriority", src7(spark, d)).select("o_orderkey", "canonical")
+    return canonical(load(spark, d, "orders", "o_orderkey", "o_orderpriority"), "o_orderpriority", priorities(spark)).select("o_orderkey", "canonical")
 
 
 @register("JN17", """SELECT page_id, canonical FROM (SELECT page_id, canonical, row_number() OVER (PARTITION BY page_id ORDER BY priority, length(term) DESC, term) AS k

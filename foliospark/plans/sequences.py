@@ -63,9 +63,10 @@ def win3(spark, d):
     return timeline.gaps(proceedings(spark, d), 180, None, True)
 
 
-@register("WIN4", f"SELECT folder_id, last_day, DATE '2001-09-01' - last_day AS days, CASE WHEN DATE '2001-09-01' - last_day > 180 THEN 'high' ELSE 'medium' END AS priority FROM (SELECT folder_id, max(day) AS last_day FROM {O} GROUP BY 1) WHERE DATE '2001-09-01' - last_day > 90")
+@register("WIN4", f"""SELECT folder_id, 'gap' AS kind, from_day, to_day, days, CASE WHEN days > 120 THEN 'medium' ELSE 'low' END AS priority FROM (SELECT folder_id, day AS from_day, lead(day) OVER w AS to_day, lead(day) OVER w - day AS days FROM {O} WINDOW w AS (PARTITION BY folder_id ORDER BY day, id)) WHERE days > 60
+    UNION ALL SELECT folder_id, 'idle', last_day, DATE '2001-09-01', DATE '2001-09-01' - last_day, CASE WHEN DATE '2001-09-01' - last_day > 180 THEN 'high' ELSE 'medium' END FROM (SELECT folder_id, max(day) AS last_day FROM {O} GROUP BY 1) WHERE DATE '2001-09-01' - last_day > 90""")
 def win4(spark, d):
-    return timeline.idle(proceedings(spark, d), "2001-09-01")
+    return timeline.wide_gaps(proceedings(spark, d), "2001-09-01")
 
 
 @register("WIN5", "SELECT conv_id, turn, trim(coalesce(lag(right(text, 300)) OVER (PARTITION BY conv_id ORDER BY turn), '') || ' ' || text) AS joined FROM conversations")

@@ -143,3 +143,33 @@ def test_initials_of_whole_texts(spark, tmp_path):
 
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(1).withColumn("text", F.lit("ann " * 20 + "Zoe Yu")).write.parquet(f"{tmp_path}/documents.parquet")
     assert registry.queries()["STR20"](spark, str(tmp_path)).first().initials.endswith("Z.Y.")
+
+
+def test_written_dates(spark):
+    rows = [("cinco de mayo de dos mil veinte",), ("treinta y uno de febrero de dos mil uno",), ("uno de enero de mil novecientos noventa y nueve",), ("algo de enero de mil",), (None,)]
+    got = [r.d for r in spark.createDataFrame(rows, "t string").select(dates.written_date("t").alias("d")).collect()]
+    assert got == [dt.date(2020, 5, 5), None, dt.date(1999, 1, 1), None, None]
+
+
+def test_partial_dates(spark):
+    rows = [("5-may-2020", dt.date(2020, 5, 5)), ("2020-07", dt.date(2020, 7, 1)), ("2020-07-09", None), ("5 de mayo de 2020", None), ("en mayo de 2020", dt.date(2020, 5, 1))]
+    df = spark.createDataFrame([(t,) for t, _ in rows], "t string").select(dates.partial_date("t").alias("d"))
+    assert [r.d for r in df.collect()] == [d for _, d in rows]
+
+
+def test_token_counts(spark):
+    df = spark.createDataFrame([(1, "b a b, Á"), (2, ""), (3, None), (4, "casas casa")], "page_id int, text string")
+    assert values(search.token_index(df), "page_id", "token", "tf") == [(1, "a", 2), (1, "b", 2), (4, "casa", 1), (4, "casas", 1)]
+    assert values(search.token_index(df, stop=("b",), stem=True), "page_id", "token", "tf") == [(1, "a", 2), (4, "casa", 2)]
+
+
+def test_whole_words_and_case(fx):
+    assert values(search.advanced(fx, "abba", whole_word=True), "page_id", "position", "match") == [(1, 0, "Abba"), (1, 5, "abba"), (1, 10, "ABBA")]
+    assert values(search.advanced(fx, "abba", match_case=True, before=3, after=2), "page_id", "before", "after") == [(1, "ba ", " A")]
+    assert values(search.advanced(fx, "aa", whole_word=True), "page_id") == []
+
+
+def test_hits_of_whole_texts_are_shown(spark):
+    df = spark.createDataFrame([(1, "x" * 5000 + " needle end")], "page_id int, text string")
+    row = search.highlights(df, "needle", 5).first()
+    assert (row.position, row.shown) == (5001, "...xxxx **needle** end")
