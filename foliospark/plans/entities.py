@@ -319,6 +319,15 @@ def cls13(spark, d):
     return classify.problems(proceedings(spark, d), "id", {"early": F.col("day") < "1995-03-01", "small": F.col("amount") < 2000, "short": F.length("kind") < 6})
 
 
+@register("CLS13_pages", f"""SELECT page_id, unnest(list_filter([CASE WHEN confidence < 50 THEN 'low confidence' END, CASE WHEN regexp_matches(text, '[#%*$&|<>]{{3,}}') THEN 'corrupt' END, CASE WHEN length(trim(text)) < 50 THEN 'short' END,
+    CASE WHEN regexp_matches(text, '[0-9]{{12,}}') THEN 'long number' END, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' END, CASE WHEN regexp_full_match(text, '[0-9 ]+') THEN 'numeric' END], lambda x: x IS NOT NULL)) AS problem FROM {P}""")
+def cls13_pages(spark, d):
+    body = F.trim("text")
+    tests = {"low confidence": F.col("confidence") < 50, "corrupt": F.col("text").rlike(r"[#%*$&|<>]{3,}"), "short": F.length(body) < 50, "long number": F.col("text").rlike(r"[0-9]{12,}"),
+             "empty": F.col("text").isNull() | (body == ""), "numeric": F.col("text").rlike(r"^[0-9 ]+$")}
+    return classify.problems(pages(spark, d), "page_id", tests)
+
+
 @register("CLS14", f"SELECT page_id, concat_ws(',', CASE WHEN regexp_matches(text, '[0-9]{{6,}}') THEN 'long number' END, CASE WHEN regexp_matches(text, '[#%*]{{2,}}') THEN 'symbols' END) AS hints FROM {P}")
 def cls14(spark, d):
     return pages(spark, d).select("page_id", F.array_join(classify.suggestions("text", {"long number": "[0-9]{6,}", "symbols": "[#%*]{2,}"}), ",").alias("hints"))

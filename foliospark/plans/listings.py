@@ -10,6 +10,7 @@ from foliospark.plans import relational as R
 from foliospark.plans.registry import register
 from foliospark.plans.relational import E, GRANTS, NOW, O, P
 from foliospark.plans.sequences import gap_sql
+from foliospark.session import scratch
 from foliospark.sources.catalog import audit, load, pages, proceedings
 from foliospark.streaming import audit as stream
 
@@ -49,9 +50,10 @@ def qry6(spark, d):
     return timeline.gaps(proceedings(spark, d)).groupBy("priority").agg(F.count("*").alias("n"), F.max("days").alias("longest"))
 
 
-@register("QRY7", f"SELECT folder_id, count(*) AS n, count_if(verified)::BIGINT AS verified, count(DISTINCT kind) AS kinds FROM {O} GROUP BY folder_id")
+@register("QRY7", f"SELECT folder_id, count(*) AS n, count_if(verified)::BIGINT AS verified, count(DISTINCT kind) AS kinds, min(day) AS first_day, max(day) AS last_day, arg_max(kind, (day, id)) AS last_kind, arg_min(kind, (day, id)) AS first_kind FROM {O} GROUP BY folder_id")
 def qry7(spark, d):
-    return proceedings(spark, d).groupBy("folder_id").agg(F.count("*").alias("n"), F.count_if("verified").alias("verified"), F.countDistinct("kind").alias("kinds"))
+    at = F.struct("day", "id")
+    return proceedings(spark, d).groupBy("folder_id").agg(F.count("*").alias("n"), F.count_if("verified").alias("verified"), F.countDistinct("kind").alias("kinds"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.max_by("kind", at).alias("last_kind"), F.min_by("kind", at).alias("first_kind"))
 
 
 @register("QRY8", f"SELECT id, day, kind || ' (' || folder_id || ')' AS title FROM {O} WHERE day IS NOT NULL")
@@ -89,6 +91,17 @@ def qry13(spark, d):
     return recent.join(load(spark, d, "customer"), F.col("user_id") == F.col("c_custkey")).select("user_id", "c_name")
 
 
+@register("QRY13_kpis", f"SELECT count(*) AS total, count(DISTINCT user_id) AS users, count_if(action IN ('error', 'signup'))::BIGINT AS critical, count_if(ts >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY)::BIGINT AS last_day, count_if(ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY)::BIGINT AS last_week, arg_max(action, (n, action)) AS commonest FROM {E} JOIN (SELECT action, count(*) AS n FROM {E} GROUP BY 1) USING (action)")
+def qry13_kpis(spark, d):
+    since = lambda days: F.count_if(F.col("ts") >= F.lit(NOW).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
+    a = audit(spark, d)
+    most = a.groupBy("action").count().agg(F.max_by("action", F.struct("count", "action")))
+    return a.agg(
+        F.count("*").alias("total"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("action").isin("error", "signup")).alias("critical"), since(1).alias("last_day"),
+        since(7).alias("last_week"),
+    ).withColumn("commonest", most.scalar())
+
+
 @register("QRY14", f"SELECT user_id, count(*) AS n FROM {E} WHERE action IN ('error', 'signup') GROUP BY user_id")
 def qry14(spark, d):
     return audit(spark, d).where(F.col("action").isin("error", "signup")).groupBy("user_id").agg(F.count("*").alias("n"))
@@ -164,27 +177,38 @@ def dml2(spark, d):
     return resolve.deleted(load(spark, d, "orders", "o_orderkey", "o_custkey"), gone, "o_custkey").select("o_orderkey")
 
 
-# streams: the batch form of each plan, which the streaming form gives too
+# streams: STM1 to STM4 and STM6 run as such over the files of the log, and give what has landed; STM5 shows the batch form
+
+
+def _log(spark, d):
+    names = {"event_id": "id", "event_type": "action"}
+    log = stream.table_stream(spark, f"{d}/events.parquet").withColumnsRenamed(names)
+    return log.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark wants an instant
 
 
 @register("STM1", f"SELECT count(*) AS rows FROM {E}")
 def stm1(spark, d):
-    return audit(spark, d).agg(F.count("*").alias("rows"))
+    """How far a copy of the log has come: the rows that its batches have read."""
+    return stream.landed(_log(spark, d).groupBy().agg(F.count("*").alias("rows")), scratch(spark, "stm1"), "complete")
 
 
-@register("STM2", f"SELECT user_id, least(count(*), 3)::BIGINT AS tries FROM {E} WHERE action = 'error' GROUP BY user_id")
+@register("STM2", f"SELECT user_id, least(count(*), 3)::BIGINT AS tries, CASE WHEN count(*) >= 3 THEN 'failed' ELSE 'waiting' END AS state FROM {E} WHERE action = 'error' GROUP BY user_id")
 def stm2(spark, d):
-    return audit(spark, d).where("action = 'error'").groupBy("user_id").agg(F.least(F.count("*"), F.lit(3)).alias("tries"))
+    """A user's errors as attempts of one job, which fails at the third."""
+    tries = stream.retried(_log(spark, d).where("action = 'error'").select(F.col("user_id").alias("job"), F.lit(False).alias("ok")))
+    last = stream.landed(tries, scratch(spark, "stm2"), "update").groupBy("job").agg(F.max("tries").cast("long").alias("tries"), F.max_by("state", "batch").alias("state"))
+    return last.withColumnRenamed("job", "user_id")
 
 
 @register("STM3", f"SELECT DISTINCT user_id, action FROM {E}")
 def stm3(spark, d):
-    return audit(spark, d).select("user_id", "action").dropDuplicates()
+    once = stream.first_jobs(_log(spark, d).select("ts", "user_id", "action"), "user_id", "action", late="31 days").select("user_id", "action")
+    return stream.landed(once, scratch(spark, "stm3"))
 
 
 @register("STM4", f"SELECT date_trunc('hour', ts) AS start, count(*) AS n FROM {E} GROUP BY 1")
 def stm4(spark, d):
-    return audit(spark, d).groupBy(F.date_trunc("hour", "ts").alias("start")).agg(F.count("*").alias("n"))
+    return stream.landed(stream.windowed(_log(spark, d), by=None).drop("users"), scratch(spark, "stm4"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @register("STM5", f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, action, count(*) AS n FROM {E} GROUP BY ALL")
@@ -205,4 +229,5 @@ def stm5_bursts(spark, d):
 
 @register("STM6", f"SELECT user_id::VARCHAR AS source, max(ts) AS last FROM {E} GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-29'")
 def stm6(spark, d):
-    return stream.stale(audit(spark, d).select(F.col("user_id").cast("string").alias("source"), "ts"), "2024-01-29", 0)
+    beats = _log(spark, d).select(F.col("user_id").cast("string").alias("source"), "ts")
+    return stream.landed(stream.stale(beats, "2024-01-29", 0), scratch(spark, "stm6"), "complete").withColumn("last", F.col("last").cast("timestamp_ntz"))

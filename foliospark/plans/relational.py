@@ -8,6 +8,7 @@ from foliospark.functions import dates
 from foliospark.functions import text as T
 from foliospark.operators import access, resolve, search, timeline
 from foliospark.plans.registry import register
+from foliospark.session import scratch
 from foliospark.sources import catalog, sinks
 from foliospark.sources.catalog import audit, load, pages, proceedings
 
@@ -68,21 +69,33 @@ def src10(spark, d):
     return catalog.file_listing(spark, d, "*.parquet")
 
 
-# sinks: the frames that the writers get
+# sinks: written below the shared folder and read again
+
 
 @register("SNK1", f"SELECT coalesce(id::VARCHAR, '-') AS id, coalesce(action, '-') AS action, coalesce(props, '-') AS props FROM {E}")
 def snk1(spark, d):
-    return sinks.export_rows(audit(spark, d).select("id", "action", "props"))
+    return sinks.exported(sinks.export_rows(audit(spark, d).select("id", "action", "props")), scratch(spark, "export") + "/csv")
 
 
 @register("SNK2", f"SELECT page_id::VARCHAR AS page_id, folder FROM {P} WHERE contains(lower(text), 'an') ORDER BY p.page_id LIMIT 10000")
 def snk2(spark, d):
-    return sinks.export_rows(pages(spark, d).where(T.contains_ci("text", "an")).orderBy("page_id").limit(10_000).select("page_id", "folder"))
+    found = pages(spark, d).where(T.contains_ci("text", "an")).orderBy("page_id").limit(10_000).select("page_id", "folder")
+    return sinks.exported(sinks.export_rows(found), scratch(spark, "export") + "/csv")
 
 
-@register("SNK3", f"SELECT folder, page_id, substr(text, 1, 100) AS preview, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY page_id) AS k FROM {P}) WHERE k <= 10")
+@register("SNK3", f"""SELECT 'info' AS sheet, NULL AS folder, NULL AS page_id, count(DISTINCT folder)::VARCHAR AS preview, count(*) AS rank FROM {P}
+    UNION ALL SELECT 'volumes', folder, NULL, NULL, count(*) FROM {P} GROUP BY folder
+    UNION ALL SELECT 'pages', folder, page_id, substr(text, 1, 100), k FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY page_id) AS k FROM {P}) WHERE k <= 10""")
 def snk3(spark, d):
-    return search.first_per_group(pages(spark, d), 10, ["folder"], F.col("page_id")).select("folder", "page_id", F.substring("text", 1, 100).alias("preview"), "rank")
+    """Three sheets: the counts of volumes and pages, the pages of each volume, the start of each volume's first ten pages."""
+    p, no = pages(spark, d), lambda kind: F.lit(None).cast(kind)
+    info = p.agg(F.countDistinct("folder").cast("string").alias("preview"), F.count("*").alias("rank")).select(F.lit("info").alias("sheet"), no("string").alias("folder"), no("long").alias("page_id"), "preview", "rank")
+    volumes = p.groupBy("folder").agg(F.count("*").alias("rank")).select(F.lit("volumes").alias("sheet"), "folder", no("long").alias("page_id"), no("string").alias("preview"), "rank")
+    first = search.first_per_group(p, 10, ["folder"], F.col("page_id"))
+    first = first.select(F.lit("pages").alias("sheet"), "folder", "page_id", F.substring("text", 1, 100).alias("preview"), F.col("rank").cast("long"))
+    path = scratch(spark, "workbook") + "/sheets"
+    info.unionByName(volumes).unionByName(first).write.partitionBy("sheet").parquet(path)
+    return spark.read.parquet(path)
 
 
 @register("SNK4", f"SELECT kind, count(*) AS n FROM {O} GROUP BY kind")
@@ -116,9 +129,15 @@ def snk8(spark, d):
     return search.token_index(pages(spark, d))
 
 
-@register("SNK9", f"SELECT id, CASE WHEN action = 'signup' THEN '***' ELSE props END AS props FROM {E}")
+@register("SNK9", f"SELECT id, action, '***' AS password, (props->>'$.k') AS k FROM {E}")
 def snk9(spark, d):
-    return audit(spark, d).select("id", F.when(F.col("action") == "signup", "***").otherwise(F.col("props")).alias("props"))
+    """Sign-ups are appended to a log of the other actions; the values of secret keys are masked before they are written."""
+    given = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("password"), F.col("user_id").cast("string")))
+    masked = T.masked_keys(given)
+    rows = audit(spark, d).select("id", "action", masked["password"].alias("password"), F.try_element_at(masked, F.lit("k")).alias("k"))
+    path = scratch(spark, "log") + "/rows"
+    sinks.appended(rows.where("action <> 'signup'"), path)
+    return sinks.appended(rows.where("action = 'signup'"), path)
 
 
 @register("SNK10", """SELECT id, category, result FROM (SELECT o_orderkey AS id, unnest(['kind', 'state']) AS category,
@@ -408,9 +427,16 @@ def agg16(spark, d):
     return load(spark, d, "documents", "doc_id", "source").join(got, "doc_id", "left").groupBy(F.col("source").alias("folder")).agg(F.round(100.0 * F.count("y") / F.greatest(F.count("*"), F.lit(1)), 2).cast("double").alias("labelled_pct"))
 
 
-@register("AGG17", f"SELECT count_if(length(text) < 50)::BIGINT AS blank, count(*) AS pages, max(length(text)) AS longest FROM {P}")
+@register("AGG17", f"""SELECT count_if(length(trim(text)) < 50)::BIGINT AS blank, count(*) AS pages, max(length(text)) AS longest, sum(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')))::BIGINT AS words,
+    round(avg(seconds), 4) AS mean_seconds, round(60 / avg(seconds), 4) AS pages_per_minute, count_if(turned)::BIGINT AS turned FROM (SELECT *, 1 + page_id % 7 AS seconds, page_id % 11 = 0 AS turned FROM {P})""")
 def agg17(spark, d):
-    return pages(spark, d).agg(F.count_if(F.length("text") < 50).alias("blank"), F.count("*").alias("pages"), F.max(F.length("text")).cast("long").alias("longest"))
+    """A run over pages; its seconds and turned pages are made from the ids."""
+    run = pages(spark, d).withColumns({"seconds": 1 + F.col("page_id") % 7, "turned": F.col("page_id") % 11 == 0})
+    return run.agg(
+        F.count_if(F.length(F.trim("text")) < 50).alias("blank"), F.count("*").alias("pages"), F.max(F.length("text")).cast("long").alias("longest"),
+        F.sum(F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+"))).alias("words"), F.round(F.avg("seconds"), 4).alias("mean_seconds"),
+        F.round(60 / F.avg("seconds"), 4).alias("pages_per_minute"), F.count_if("turned").alias("turned"),
+    )
 
 
 @register("AGG18", f"SELECT count(*) AS total, count_if(action = 'signup')::BIGINT AS signups, count_if(action = 'error')::BIGINT AS errors, count(DISTINCT user_id) AS users FROM {E}")
@@ -439,10 +465,13 @@ def agg21(spark, d):
 _HEALTH = "100 - CASE WHEN errors > 100 THEN 30 ELSE 0 END - CASE WHEN users < 200 THEN 20 ELSE 0 END - CASE WHEN total = 0 THEN 50 ELSE 0 END"
 
 
-@register("AGG22", f"SELECT {_HEALTH} AS score, CASE WHEN {_HEALTH} >= 80 THEN 'healthy' WHEN {_HEALTH} >= 50 THEN 'degraded' ELSE 'critical' END AS status FROM (SELECT count(*) AS total, count_if(action = 'error') AS errors, count(DISTINCT user_id) AS users FROM {E})")
+@register("AGG22", f"""SELECT {_HEALTH} AS score, CASE WHEN {_HEALTH} >= 80 THEN 'healthy' WHEN {_HEALTH} >= 50 THEN 'degraded' ELSE 'critical' END AS status,
+    coalesce(nullif(concat_ws(',', CASE WHEN errors > 100 THEN 'read the errors' END, CASE WHEN users < 200 THEN 'few users' END, CASE WHEN total = 0 THEN 'no events' END), ''), 'none') AS advice FROM (SELECT count(*) AS total, count_if(action = 'error') AS errors, count(DISTINCT user_id) AS users FROM {E})""")
 def agg22(spark, d):
     score = F.expr(_HEALTH)
-    return agg18(spark, d).select(score.alias("score"), F.when(score >= 80, "healthy").when(score >= 50, "degraded").otherwise("critical").alias("status"))
+    advice = F.array_compact(F.array(F.when(F.col("errors") > 100, "read the errors"), F.when(F.col("users") < 200, "few users"), F.when(F.col("total") == 0, "no events")))
+    status = F.when(score >= 80, "healthy").when(score >= 50, "degraded").otherwise("critical")
+    return agg18(spark, d).select(score.alias("score"), status.alias("status"), F.coalesce(F.nullif(F.array_join(advice, ","), F.lit("")), F.lit("none")).alias("advice"))
 
 
 @register("AGG23", "SELECT lower(p_type) AS place, count(*) AS frequency, arg_min(p_name, p_partkey) AS first_name FROM part GROUP BY 1")

@@ -107,10 +107,15 @@ def win11(spark, d):
     return extract.matched_in_order(o.where("NOT verified").select("id", "folder_id"), spare, "folder_id", "id", "spare").select("id", "spare")
 
 
-@register("WIN12", f"SELECT action, round(count(*) / ((epoch(max(ts))::BIGINT - epoch(min(ts))::BIGINT) / 60.0), 4)::DOUBLE AS per_minute FROM {E} GROUP BY action")
+@register("WIN12", f"""SELECT action, round(n / minutes, 4)::DOUBLE AS per_minute, round(greatest(1000000 - n, 0) / (n / minutes), 2)::DOUBLE AS minutes_left
+    FROM (SELECT action, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6 AS minutes FROM {E} GROUP BY action)""")
 def win12(spark, d):
-    span = (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / 60
-    return audit(spark, d).groupBy("action").agg(F.round(F.count("*") / span, 4).alias("per_minute"))
+    """The rate of each action, and the minutes to a million of them at that rate."""
+    at = lambda t: F.unix_micros(t.cast("timestamp"))
+    minutes = (at(F.max("ts")) - at(F.min("ts"))) / 60e6
+    rate = F.col("n") / F.col("minutes")
+    left = F.greatest(1_000_000 - F.col("n"), F.lit(0)) / rate
+    return audit(spark, d).groupBy("action").agg(F.count("*").alias("n"), minutes.alias("minutes")).select("action", F.round(rate, 4).alias("per_minute"), F.round(left, 2).alias("minutes_left"))
 
 
 # order, limit, paging

@@ -24,6 +24,19 @@ def write_csv(df: DataFrame, path: str, **options: str) -> None:
     df.write.options(header="true", quoteAll="true", **options).csv(path)
 
 
+def exported(df: DataFrame, path: str) -> DataFrame:
+    """df written as quoted CSV below path and read again, as text. Cells of several lines stay whole; a null comes back empty."""
+    write_csv(df, path, escape='"')
+    schema = ", ".join(f"`{c}` string" for c in df.columns)
+    return df.sparkSession.read.schema(schema).options(header="true", escape='"', multiLine="true", nullValue="\x00").csv(path)
+
+
+def appended(df: DataFrame, path: str) -> DataFrame:
+    """The rows of path with those of df behind them."""
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old with the rows of new in place of those of the same keys."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)

@@ -7,19 +7,22 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
+def stream(spark: SparkSession, path: str, schema: str | StructType, files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files below path as they come."""
     reader = spark.readStream.schema(schema)
     reader = reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader
     return reader.parquet(path)
 
 
-def windowed(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes", by: str = "action") -> DataFrame:
-    """start, by, n, users (approximate) in tumbling or sliding windows; events over late are left out."""
+def windowed(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes", by: str | None = "action") -> DataFrame:
+    """start, by, n, users (approximate) in tumbling or sliding windows, of all events when by is None; events over late are left out."""
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
-    return events.withWatermark("ts", late).groupBy(w.alias("w"), by).agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users")).select(F.col("w.start").alias("start"), by, "n", "users")
+    keys = [by] if by else []
+    counts = events.withWatermark("ts", late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users"))
+    return counts.select(F.col("w.start").alias("start"), *keys, "n", "users")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -34,9 +37,9 @@ def bursts(events: DataFrame, action: str = "error", length: str = "1 hour", lea
     return found.where(F.col("n") >= least).select(F.col("w.start").alias("start"), "user_id", "n")
 
 
-def first_jobs(jobs: DataFrame, key: str = "id", late: str = "1 day") -> DataFrame:
-    """Each job once within the watermark."""
-    return jobs.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+def first_jobs(jobs: DataFrame, *keys: str, late: str = "1 day") -> DataFrame:
+    """Each job, by its keys (id when none are named), once within the watermark."""
+    return jobs.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys) or ["id"])
 
 
 def retried(jobs: DataFrame, most: int = 3) -> DataFrame:
@@ -72,6 +75,30 @@ def each_batch(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoin
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def table_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A Parquet table, a folder of files with those that come to it, or one file, which the source takes as a pattern only."""
+    return stream(spark, f"{path[:-1]}[{path[-1]}]", spark.read.parquet(path).schema, files_per_trigger)
+
+
+def landed(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """What the streaming plan gives for all that is there now, as a table below path; its checkpoint lies there too.
+
+    append: rows that are final. update: each batch's rows, with its number in batch. complete: the state after the last
+    batch. A batch that comes again after a failure overwrites what it wrote before.
+    """
+    rows, spark = f"{path}/rows", df.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(rows if mode == "complete" else f"{rows}/batch={number}")
+
+    query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not spark._jvm.org.apache.hadoop.fs.Path(rows).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(rows)):
+        return spark.createDataFrame([], df.schema)  # no batch came
+    out = spark.read.parquet(rows)
+    return out.drop("batch") if mode == "append" else out
+
+
 def progress(query) -> dict:
     """Rows, rate and batch of the last trigger."""
     last = query.lastProgress or {}

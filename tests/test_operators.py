@@ -173,3 +173,16 @@ def test_hits_of_whole_texts_are_shown(spark):
     df = spark.createDataFrame([(1, "x" * 5000 + " needle end")], "page_id int, text string")
     row = search.highlights(df, "needle", 5).first()
     assert (row.position, row.shown) == (5001, "...xxxx **needle** end")
+
+
+def test_exported_cells_come_back_whole(spark, tmp_path):
+    rows = [("a\n\"b\", c", "x"), (None, "y"), ("", "z"), ("\\", "é")]
+    df = spark.createDataFrame(rows, "t string, u string")
+    got = sinks.exported(sinks.export_rows(df), str(tmp_path / "csv")).collect()
+    assert {tuple(r) for r in got} == {('a "b", c', "x"), ("-", "y"), ("", "z"), ("\\", "é")}
+
+
+def test_appended_rows_stay_behind_the_old_ones(spark, tmp_path):
+    one = spark.createDataFrame([(1,)], "v int")
+    sinks.appended(one, str(tmp_path / "log"))
+    assert sinks.appended(one, str(tmp_path / "log")).count() == 2

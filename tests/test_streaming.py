@@ -49,3 +49,19 @@ def test_each_batch_and_progress(spark, tmp_path):
 def test_stale(spark):
     beats = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:02:00")], "source string, t string").select("source", F.col("t").cast("timestamp").alias("ts"))
     assert [r.source for r in audit.stale(beats, "2024-01-01 00:02:30").collect()] == ["a"]
+
+
+def test_landed_rows_over_several_batches(spark, tmp_path):
+    _events(spark, f"{tmp_path}/in")
+    spark.createDataFrame([(6, dt.datetime(2024, 1, 1, 1, 5), 1, "error")], SCHEMA).write.mode("append").parquet(f"{tmp_path}/in")
+    log = lambda: audit.table_stream(spark, f"{tmp_path}/in", 1)
+    assert audit.landed(log().groupBy().count(), f"{tmp_path}/a", "complete").collect()[0][0] == 7
+    assert sorted(r.id for r in audit.landed(log().select("id"), f"{tmp_path}/b").collect()) == [1, 2, 3, 4, 4, 5, 6]
+    tries = audit.landed(audit.retried(log().where("action = 'error'").select(F.col("user_id").alias("job"), F.lit(False).alias("ok"))), f"{tmp_path}/c", "update")
+    last = tries.groupBy("job").agg(F.max("tries").alias("tries"), F.max_by("state", "batch").alias("state"))
+    assert {tuple(r) for r in last.collect()} == {(1, 3, "failed"), (2, 2, "waiting")}
+
+
+def test_nothing_lands_from_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/in")
+    assert audit.landed(audit.table_stream(spark, f"{tmp_path}/in").select("id"), f"{tmp_path}/a").collect() == []
