@@ -14,6 +14,8 @@ from foliospark.operators import classify, correct, extract, search
 from foliospark.plans.notes import DMY, LONG_DAY, NAME, SHORT_DAY, TEXT, N, notes, union
 from foliospark.plans.registry import register
 from foliospark.plans.relational import E, O, P
+from foliospark.session import scratch
+from foliospark.sources import sinks
 from foliospark.sources.catalog import audit, load, pages, proceedings
 
 NOW = "2024-06-01"
@@ -328,6 +330,15 @@ def cls13_pages(spark, d):
     return classify.problems(pages(spark, d), "page_id", tests)
 
 
+@register("SNK5_persons", "SELECT name, count(*) AS mentions, count(DISTINCT folder) AS folders, min(page_id) AS first_page, max(page_id) AS last_page FROM (" + union(*[(w, i, "folder_id", n) for w, i, _, n in _NAMED], names="page_id, folder, name") + ") GROUP BY name")
+def snk5_persons(spark, d):
+    """The report's table of persons: the pages and folders that name them, and the first and last page, written and read again."""
+    n = notes(spark, d)
+    found = extract.persons(n).select("page_id", "name").join(n.select("page_id", "folder"), "page_id")
+    report = found.groupBy("name").agg(F.count("*").alias("mentions"), F.countDistinct("folder").alias("folders"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"))
+    return sinks.appended(report, scratch(spark, "report") + "/persons")
+
+
 @register("CLS14", f"SELECT page_id, concat_ws(',', CASE WHEN regexp_matches(text, '[0-9]{{6,}}') THEN 'long number' END, CASE WHEN regexp_matches(text, '[#%*]{{2,}}') THEN 'symbols' END) AS hints FROM {P}")
 def cls14(spark, d):
     return pages(spark, d).select("page_id", F.array_join(classify.suggestions("text", {"long number": "[0-9]{6,}", "symbols": "[#%*]{2,}"}), ",").alias("hints"))

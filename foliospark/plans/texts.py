@@ -12,6 +12,8 @@ from foliospark.plans import relational as R
 from foliospark.plans.notes import N, notes, union
 from foliospark.plans.registry import register
 from foliospark.plans.relational import E, GRANTS, O, P
+from foliospark.session import scratch
+from foliospark.sources import sinks
 from foliospark.sources.catalog import audit, load, pages, proceedings
 
 FOLDERS = "(SELECT n_nationkey AS folder_id, n_name AS name FROM nation) f"
@@ -54,6 +56,12 @@ def txt4(spark, d):
     return search.hits(pages(spark, d), "llll").select("page_id", "folder", "term", F.col("position").cast("long"))
 
 
+@register("SNK4_hits", f"SELECT page_id::VARCHAR AS page_id, folder, term, position::VARCHAR AS position FROM ({_hits('llll')})")
+def snk4_hits(spark, d):
+    """The hits of a search as a file."""
+    return sinks.exported(sinks.export_rows(txt4(spark, d)), scratch(spark, "export") + "/csv")
+
+
 @register("TXT5", _hits("tion", "folder = 'src3' AND confidence >= 50"))
 def txt5(spark, d):
     return search.hits(pages(spark, d).where("folder = 'src3' AND confidence >= 50"), "tion").select("page_id", "folder", "term", F.col("position").cast("long"))
