@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import chat_format, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, sentencepiece_sampling, toxicity, url_filter
+from foliospark.llm import chat_format, conversation_repair, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, sentencepiece_sampling, toxicity, url_filter, vector_codes, vector_graph
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_sentencepiece": sentencepiece_sampling.op10_sentencepiece,
+        "op11_vector_graph": vector_graph.op11_vector_graph,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_conversation_repair": conversation_repair.op13_conversation_repair,
     }
 
 
@@ -27,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_url_filter": url_filter.SQL,
         "op8_quality_rules": quality_rules.SQL,
         "op9_exact_dedup": exact_dedup.SQL,
+        "op12_vector_codes": vector_codes.SQL,
+        "op13_conversation_repair": conversation_repair.SQL,
     }
