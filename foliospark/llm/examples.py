@@ -37,7 +37,7 @@ def per_class(labelled: DataFrame, label: str, key: str, most: int, counts: dict
 
 def sampled(
     docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text",
-    most_classes: int = MOST_CLASSES, most_bytes: int = MOST_BYTES,
+    most_classes: int = MOST_CLASSES, most_bytes: int = MOST_BYTES, most_rows: int | None = None,
 ) -> tuple[pd.DataFrame, dict]:
     """Key as a string, label and whole text of a bounded sample, and the number of labelled rows of each class.
 
@@ -45,12 +45,13 @@ def sampled(
     that share a key one text stands for all (the least by hash, then by itself), so a key that repeats adds no rows.
     Null keys and null texts are left out. The driver gets at most 2 * most rows of each of most_classes classes and
     most_bytes of text: a text of over an eighth of that is left out, and where the rest is more, the rows of
-    the smallest hashes stay. No rows give an empty frame and no classes.
+    the smallest hashes stay. most_rows bounds most times the number of classes. No rows give an empty frame and no classes.
     """
     pairs = labels.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull())
     counts = class_counts(pairs, label, most_classes)
     if not counts:
         return pd.DataFrame({key: [], label: [], text: []}), {}
+    most = max(1, min(most, most_rows // len(counts))) if most_rows else most
     few = per_class(pairs, label, key, most, counts)
     met = docs.select(F.col(key), F.col(text).alias("_t")).where(F.col("_t").isNotNull()).join(F.broadcast(few), key)
     size = F.octet_length("_t")

@@ -22,7 +22,9 @@ BUCKET_BITS, SHARE_SCALE = 10, 1.0  # all terms, hashed; the weight of their sha
 _SYMBOL = np.array([33 <= c < 127 and not chr(c).isalnum() and chr(c) not in ".,'" for c in range(256)])
 #: Shares of the expected tokens by domain, as quality and toxicity; what labels lack gets nothing.
 TARGETS = {"q1t0": 0.85, "q0t0": 0.11, "q1t1": 0.03, "q0t1": 0.01}
-FOLDED = 16  # steps that one expression repeats before the rates are written
+MOST_ROWS = 1 << 16  # labelled rows of all domains together, of which each gets the same share
+MOST_RATE = 4.0  # no document is repeated more often: what a corpus gains from repeats wanes from there on
+PULL = 1e-6  # the weight of a rate's squared distance from 1, to that of the targets
 
 
 @dataclass
@@ -32,7 +34,7 @@ class DomainModel:
 
     domains: list[str]
     vocabulary: np.ndarray
-    w: np.ndarray  # buckets, then chosen terms, then shapes
+    w: np.ndarray  # buckets, then shapes, then chosen terms
     b: np.ndarray
 
     @staticmethod
@@ -50,45 +52,45 @@ class DomainModel:
         return (hashes >> U64(64 - BUCKET_BITS)).astype(np.int64)
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str], counts: dict[str, int], most_terms: int = 1024) -> DomainModel:
+    def fit(cls, texts: list[str], labels: list[str], counts: dict[str, int], most_terms: int = 256) -> DomainModel:
+        """most_terms: chosen terms of each domain. Memory grows with the texts and with 4 kB for each."""
         domains, many = sorted(set(labels)), 1 << BUCKET_BITS
         if not domains:
             return cls([], np.zeros(0, U64), np.zeros((many + SHAPES, 0), np.float32), np.zeros(0, np.float32))
         y = np.array([domains.index(x) for x in labels])
         size = np.bincount(y)
         hashes, at = terms_of(texts)
-        chosen = [choose_terms(hashes, at, (y == i).astype(float), most_terms // len(domains)) for i in range(len(domains)) if 0 < size[i] < len(y)]
+        chosen = [choose_terms(hashes, at, (y == i).astype(float), most_terms) for i in range(len(domains)) if 0 < size[i] < len(y)]
         vocabulary = np.unique(np.concatenate([np.zeros(0, U64), *chosen]))
-        x = np.zeros((len(y), many + len(vocabulary) + SHAPES), np.float32)
+        x = np.zeros((len(y), many + SHAPES), np.float32)
         for i, t in enumerate(texts):
             own = hashes[at[i] : at[i + 1]]
             data, offsets = packed([t])
             x[i, :many] = np.bincount(cls.buckets(own), minlength=many) * (SHARE_SCALE / max(1, len(own)))
-            x[i, many + len(vocabulary) :] = cls.shape(data, offsets, own, np.array([0, len(own)]))[0]
+            x[i, many:] = cls.shape(data, offsets, own, np.array([0, len(own)]))[0]
         row, term, _ = known_terms(hashes, at, vocabulary)
-        x[row, many + term] = 1
         share = np.array([counts[d] for d in domains], float)
-        w, b = logistic(x, np.eye(len(domains), dtype=np.float32)[y], (share / size)[y], steps=400)
+        w, b = logistic(x, np.eye(len(domains), dtype=np.float32)[y], (share / size)[y], steps=400, ones=(row, term, len(vocabulary)))
         return cls(domains, vocabulary, w, b)
 
     def posteriors(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         hashes, at = terms(data, offsets)
         row, term, _ = known_terms(hashes, at, self.vocabulary)
-        many, chosen = 1 << BUCKET_BITS, len(self.vocabulary)
+        many, chosen = 1 << BUCKET_BITS, (1 << BUCKET_BITS) + SHAPES
         scores = row_sums(self.w[self.buckets(hashes)], at) * (SHARE_SCALE / np.maximum(np.diff(at), 1)[:, None])
-        scores = scores + row_sums(self.w[many + term], np.searchsorted(row, np.arange(len(offsets))))
-        scores = scores + self.shape(data, offsets, hashes, at) @ self.w[many + chosen :] + self.b
+        scores = scores + row_sums(self.w[chosen + term], np.searchsorted(row, np.arange(len(offsets))))
+        scores = scores + self.shape(data, offsets, hashes, at) @ self.w[many:chosen] + self.b
         p = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
         return p / p.sum(1, keepdims=True)
 
 
 def train_domains(docs: DataFrame, labels: DataFrame, per_domain: int = 1000, key: str = "doc_id", text: str = "text", domain: str = "domain") -> DomainModel:
-    """A model of the domains of labels (key, domain), from about per_domain whole texts of each, at most twice that.
+    """A model of the domains of labels (key, domain), from about per_domain whole texts of each, at most twice that (and of MOST_ROWS in all).
 
     sampled() bounds what the driver gets; rows of labels with a null key or domain teach nothing. Without any
     labelled text there are no domains, and mixed() leaves all rates at 1.
     """
-    rows, counts = sampled(docs, labels, domain, per_domain, key, text)
+    rows, counts = sampled(docs, labels, domain, per_domain, key, text, most_rows=MOST_ROWS)
     return DomainModel.fit(rows[text].tolist(), rows[domain].tolist(), counts)
 
 
@@ -115,95 +117,118 @@ def _memberships(docs: DataFrame, model: DomainModel, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"{kinds}, n_tokens long, p array<double>").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(own)], "n_tokens", "p")
 
 
-def _stepped(rate: Column, steps: list[np.ndarray]) -> Column:
-    for step in steps:
-        move = sum((F.get("p", F.lit(d)) * float(x) for d, x in enumerate(step)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-    return rate
+def rate_of(p: str, y: np.ndarray, most_rate: float = MOST_RATE) -> Column:
+    """1 - p·y, held between 0 and most_rate."""
+    move = F.aggregate(F.zip_with(p, F.array(*[F.lit(float(v)) for v in y]).cast("array<double>"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return F.greatest(F.lit(0.0), F.least(F.lit(float(most_rate)), F.lit(1.0) - F.coalesce(move, F.lit(0.0))))
 
 
-def rate_of(p: str, steps: list[np.ndarray]) -> Column:
-    """The rate of 1 after all steps, at 0 or above after each."""
-    if not steps:
-        return F.lit(1.0)
-    all_ = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in steps])
-    move = lambda step: F.aggregate(F.zip_with(p, step, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(all_, F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), rate - move(step)))
+def _moments(members: DataFrame, y: np.ndarray, most_rate: float) -> np.ndarray:
+    """Sums over members at the rates of y, a row of d + 2 numbers each: n p pᵀ of the documents whose rate is not held at an
+    end (d rows); n rate p, then n (rate - 1)² / 2 and n; n rate p·y in the last.
 
+    Tasks add up their Arrow batches, and each row is then added over the tasks: d + 2 groups of d + 2 numbers a task.
+    """
+    d = len(y)
 
-def fit_steps(members: DataFrame, targets: np.ndarray, most_steps: int = 60, tolerance: float = 1e-6) -> tuple[list[np.ndarray], float]:
-    """Steps that take rates of 1 to rates with the targets' shares of the expected tokens, and how far these miss.
-
-    members: n_tokens and p. Minimises half the squared distance between the domains' expected tokens, sum of rate *
-    n_tokens * p, and targets times all tokens, by projected gradients over nonnegative rates: in the metric that weighs
-    a document by its tokens, preconditioned with the domains' Gram matrix over the documents whose rate is not
-    held at 0. A step is one aggregate over all documents, with as many sums as pairs of domains; documents redo the
-    steps so far from these few numbers, and their rates are written each FOLDED steps. It ends when no domain is
-    further than tolerance of all tokens from its target, or after most_steps: then no rates meet the
-    targets, and these are near the closest. The miss is that distance as a share of all tokens, 0 without any.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d + 2, d + 2))
+        for batch in batches:
+            n = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(n), d)
+            move = p @ y
+            rate = np.clip(1.0 - move, 0.0, most_rate)
+            free = n * ((rate > 0) & (rate < most_rate))
+            total[:d, :d] += (p * free[:, None]).T @ p
+            total[d, :d] += (n * rate) @ p
+            total[d, d:] += (n @ (rate - 1) ** 2) / 2, n.sum()
+            total[d + 1, d] += (n * rate) @ move
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + 2)), pa.array(list(total), pa.list_(pa.float64()))], names=["row", "sums"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        sums = table["sums"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d + 2).sum(0)
+        return pa.table({"row": table["row"].slice(0, 1), "sums": pa.array([sums], pa.list_(pa.float64()))})
+
+    each = members.select("n_tokens", "p").mapInArrow(run, "row long, sums array<double>")
+    out = np.zeros((d + 2, d + 2))
+    for r in each.groupBy("row").applyInArrow(add, "row long, sums array<double>").collect():
+        out[r["row"]] = r["sums"]
+    return out
+
+
+def fit_step(members: DataFrame, targets: np.ndarray, most_rate: float = MOST_RATE, pull: float = PULL, most_steps: int = 60, tolerance: float = 1e-9) -> tuple[np.ndarray, float]:
+    """y, of which rate_of() makes rates between 0 and most_rate, and how far these miss the targets.
+
+    members: n_tokens (n) and p. With all in shares of the tokens, minimises half the squared distance of the domains' expected tokens, sum of
+    n rate p, from targets, plus pull times the sum of n (rate - 1)² / 2, by projected gradients: a step goes along the gradient, preconditioned with the
+    second derivatives over the documents that no end holds, and projects each rate onto [0, most_rate]. After such a step
+    a rate is 1 - p·y for one y of all documents, so y is all that travels, and a step is one pass over n and p. A step that does not
+    raise the dual function (the least value that the rates of y prove) is halved, so the steps converge whether
+    or not rates can meet the targets. The miss is the largest distance from a target as a share of all tokens; 0 without any.
     """
-    d = len(targets)
-    p = [F.get("p", F.lit(i)) for i in range(d)]
-    n = F.col("n_tokens").cast("double")
-    rows = members.select("n_tokens", "p", F.lit(1.0).alias("rate"))
-    total = rows.agg(F.sum(n)).first()[0] or 0.0
+    d, y = len(targets), np.zeros(len(targets))
+    sums = _moments(members, y, most_rate) if d else np.zeros((2, 2))
+    total = sums[d, d + 1]
     if not total or not d:
-        return [], 0.0
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    free = F.when(F.col("rate") > 0, n).otherwise(F.lit(0.0))
-    done: list[np.ndarray] = []
-    steps: list[np.ndarray] = []
-    while True:
-        now = rows.select("n_tokens", "p", _stepped(F.col("rate"), steps).alias("rate"))
-        got = now.agg(*[F.sum(n * F.col("rate") * p[i]).alias(f"s{i}") for i in range(d)], *[F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
-        miss = np.array([got[f"s{i}"] for i in range(d)]) / total - targets
-        missed = float(np.abs(miss).max())
-        if missed <= tolerance or len(done) == most_steps:
-            return done, missed
-        gram = np.zeros((d, d))
-        for i, j in pairs:
-            gram[i, j] = gram[j, i] = got[f"g{i}_{j}"] / total
-        steps.append(np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ miss)
-        done.append(steps[-1])
-        if len(steps) == FOLDED:
-            rows = written(rows.withColumn("rate", _stepped(F.col("rate"), steps)), "rates")
-            steps = []
-
-
-def fit_rates(members: DataFrame, targets: np.ndarray, **options) -> DataFrame:
-    """members (with n_tokens and p), rate and missed of fit_steps(), missed the same in each row."""
-    steps, missed = fit_steps(members, targets, **options)
-    return members.withColumns({"rate": rate_of("p", steps), "missed": F.lit(missed)})
-
-
-def _rated(rows: DataFrame, model: DomainModel, targets: dict[str, float], text: str, seed: int, key: tuple[Column, Column], gone: tuple[str, ...] = ()) -> DataFrame:
+        return y, 0.0
+
+    def dual(y: np.ndarray, sums: np.ndarray) -> float:
+        return float(-pull * (y @ y) / 2 - y @ targets + (sums[d + 1, d] + sums[d, d]) / total)
+
+    for _ in range(most_steps):
+        miss = sums[d, :d] / total - targets
+        uphill = miss - pull * y
+        if np.abs(uphill).max() <= tolerance:
+            break
+        step = np.linalg.solve(sums[:d, :d] / total + pull * np.eye(d), uphill)
+        now, size = dual(y, sums), 1.0
+        while True:
+            tried = y + size * step
+            there = _moments(members, tried, most_rate)
+            if dual(tried, there) >= now + 1e-4 * size * float(step @ uphill) or size < 1e-3:
+                break
+            size /= 2
+        if dual(tried, there) <= now:
+            break  # no step shows above rounding
+        y, sums = tried, there
+    return y, float(np.abs(sums[d, :d] / total - targets).max())
+
+
+def fit_rates(members: DataFrame, targets: np.ndarray, most_rate: float = MOST_RATE, **options) -> DataFrame:
+    """members (with n_tokens and p), rate and missed of fit_step(), missed the same in each row."""
+    y, missed = fit_step(members, targets, most_rate, **options)
+    return members.withColumns({"rate": rate_of("p", y, most_rate), "missed": F.lit(missed)})
+
+
+def _rated(rows: DataFrame, model: DomainModel, targets: dict[str, float], text: str, seed: int, key: tuple[Column, Column], gone: tuple[str, ...] = (), pull: float = PULL) -> DataFrame:
     """rows without the gone columns, with n_tokens, p, rate, missed and copies, written once with their memberships: no row is shuffled."""
     goal = np.array([max(0.0, targets.get(x, 0.0)) for x in model.domains])
     members = written(_memberships(rows, model, text).drop(*gone), "memberships")
     u = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    return fit_rates(members, goal / goal.sum() if goal.sum() > 0 else goal).withColumn("copies", F.floor(F.col("rate") + u).cast("long"))
+    return fit_rates(members, goal / goal.sum() if goal.sum() > 0 else goal, pull=pull).withColumn("copies", F.floor(F.col("rate") + u).cast("long"))
 
 
-def mixed(docs: DataFrame, model: DomainModel, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
+def mixed(docs: DataFrame, model: DomainModel, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", seed: int = 0, pull: float = PULL) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, posteriors, rate, missed (as in fit_rates()), copies, and row_key(doc_id, text) as k1, k2.
 
     n_tokens counts the words of the whole text, none for a null one. targets are shares by domain, scaled to
     sum to 1; domains without a target get 0, targets without a domain are left out. A rate becomes a
-    number of copies at random by the row key and seed, with the rate as mean; repeated rows share theirs.
+    number of copies at random by the row key and seed, with the rate as mean; repeated rows share theirs. No rate is over
+    MOST_RATE: where that keeps a target from being met, missed says by how much.
     Empty texts have no tokens to mix; they keep the rate that their posteriors get.
     """
     a, b = row_key(F.col(doc_id), F.col(text))
     rows = docs.select(F.col(doc_id).alias("doc_id"), a.alias("k1"), b.alias("k2"), F.col(text).alias("text"))
-    rated = _rated(rows, model, targets, "text", seed, (F.col("k1"), F.col("k2")), ("text",))
+    rated = _rated(rows, model, targets, "text", seed, (F.col("k1"), F.col("k2")), ("text",), pull)
     return rated.select("doc_id", "n_tokens", F.col("p").alias("posteriors"), "rate", "missed", "copies", "k1", "k2")
 
 
-def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
-    """docs with each row as often as mixed() says, in any order."""
+def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", seed: int = 0, pull: float = PULL) -> DataFrame:
+    """docs with each row as often as mixed() says, in any order. A larger pull keeps rates nearer to 1, and misses targets by more."""
     own, k1, k2, body = fresh(docs, "_row", "_k1", "_k2", "_body")
     a, b = row_key(F.col(doc_id), F.col(text))
     rows = docs.select(F.struct(*[F.when(F.lit(c != text), F.col(f"`{c}`")).alias(c) for c in docs.columns]).alias(own), a.alias(k1), b.alias(k2), F.col(text).alias(body))
-    rated = _rated(rows, model, targets, body, seed, (F.col(k1), F.col(k2)))
+    rated = _rated(rows, model, targets, body, seed, (F.col(k1), F.col(k2)), pull=pull)
     again = rated.where("copies > 0").select(own, body, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
     return again.select(*[(F.col(body) if c == text else F.col(own)[c]).alias(c) for c in docs.columns])
 
