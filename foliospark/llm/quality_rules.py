@@ -1,4 +1,8 @@
-"""Quality rules: failures of a document's rules, pooled by host under an empirical beta prior."""
+"""Quality rules: failures of a document's rules, pooled by host under an empirical beta prior.
+
+Each host has a posterior of its own for each rule. Where it lies surely above the rule's prior mean, the host is over the
+rule; surely below, under it. What a failure means for a document depends on that verdict of its host.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +14,14 @@ from foliospark.llm.common import WS, WS_CLASS, fresh, row_key, written
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rules by name, over the counts. The first two are the base rules; each alone rejects a document.
 BASE = {"short": "n_words < 50", "repetitive": "100 * n_repeat_words > 50 * n_words"}
-RULES = BASE | {"symbols": "10 * n_symbols > word_chars", "dup_lines": "10 * n_dup_lines > 3 * n_lines"}
+#: A failure of a firm rule rejects the document, unless its host is under the rule; one of a soft rule only where its host is over it.
+FIRM = {"symbols": "10 * n_symbols > word_chars"}
+SOFT = {"dup_lines": "10 * n_dup_lines > 3 * n_lines"}
+RULES = BASE | FIRM | SOFT
+SURE = 1.6448536269514722  # deviations of a normal distribution that 95 % stay under
 BASE_FAILED = " OR ".join(f"({rule})" for rule in BASE.values())
-#: Over host_rates(): the document fails a rule that its host fails often.
-HOST_FAILED = " OR ".join(f"(({rule}) AND coalesce(often_{name}, false))" for name, rule in RULES.items() if name not in BASE)
+#: Over host_rates(): the document fails a rule of which its host's verdict makes that count.
+HOST_FAILED = " OR ".join(f"(({rule}) AND coalesce(counts_{name}, false))" for name, rule in (FIRM | SOFT).items())
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -59,12 +67,14 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_host_rate: float = 0.75, min_hosts: int = 2) -> DataFrame:
     """One row per row of docs: its id, the row key k1, k2, the counts, base_failed, host_rate, host_failed and kept.
 
-    A document that fails a base rule is rejected. The failures of each rule are summed by host, and the
-    rate of each host is shrunk towards the mean over hosts by a beta prior whose strength is fitted to the
-    spread between hosts (method of moments). Where the shrunk rate of some rule is over max_host_rate, the
-    host is rejected with all its documents. Where the shrunk rate of a rule is over the mean of the rules'
-    prior means, the host's documents that fail this rule are rejected (host_failed), and its others stay. A null host has no verdict of its own; with fewer than
-    min_hosts hosts there is no spread to fit, and rates stay raw. Repeated rows count each.
+    A document that fails a base rule is rejected. The failures of each rule are summed by host, and each host gets
+    a beta posterior of its rate, from a prior whose mean is the rule's rate over all hosts and whose strength is fitted to the
+    spread between hosts (method of moments). A posterior whose mean is SURE deviations above the prior mean makes the
+    host over the rule, as many below under it. host_failed: the document fails a firm rule and its host is not under it, or a soft
+    rule and its host is over it. A host one of whose posterior means is over max_host_rate is rejected with all its
+    documents. Where hosts differ by no more than chance, the prior is so strong that no host is over or under a rule.
+    A null host has no verdict, so that only base rules act; with fewer than min_hosts hosts there is no spread to
+    fit, rates stay raw, and none is over or under. Repeated rows count each.
     """
     k1, k2 = row_key(F.col(doc_id), F.col(text))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
@@ -73,14 +83,14 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     return (
         counted.join(host_rates(counted, min_hosts), F.col("host") == F.col("h"), "left")
         .withColumns({"base_failed": failed, "host_failed": F.expr(HOST_FAILED)})
-        .drop("h", *[f"often_{name}" for name in RULES])
+        .drop("h", *[f"counts_{name}" for name in FIRM | SOFT])
         .withColumn("kept", ~failed & ~F.col("host_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= max_host_rate))
     )
 
 
 def host_rates(counted: DataFrame, min_hosts: int = 2) -> DataFrame:
-    """h, host_rate: the largest of the shrunk failure rates of each host; often_ and each rule: its rate is over
-    the mean of the rules' prior means. counted: host and the counts."""
+    """h, host_rate: the largest of the posterior means of each host; counts_ and each firm or soft rule: a failure of it
+    rejects documents of this host. counted: host and the counts."""
     hosts = written(
         counted.where("host IS NOT NULL").groupBy("host").agg(
             F.count("*").alias("n"), *[F.sum(F.expr(rule).cast("long")).alias(f"f_{name}") for name, rule in RULES.items()]
@@ -92,15 +102,16 @@ def host_rates(counted: DataFrame, min_hosts: int = 2) -> DataFrame:
         *[F.expr(f"var_pop(f_{r} / n) AS v_{r}") for r in RULES],
     ).first()
 
-    def shrunk(rule: str) -> Column:
+    def posterior(rule: str) -> tuple[Column, Column]:
+        """The mean, and its distance from the prior mean in deviations of the posterior."""
         m, v = moments[f"m_{rule}"] or 0.0, moments[f"v_{rule}"] or 0.0
         spread = v - m * (1 - m) * (moments["inv"] or 0.0)  # what the binomial noise does not explain
         strength = 0.0 if moments["hosts"] < min_hosts else 1e6 if spread <= 0 else max(0.0, min(1e6, m * (1 - m) / spread - 1))
-        return (F.col(f"f_{rule}") + m * strength) / (F.col("n") + strength)
+        mean = (F.col(f"f_{rule}") + m * strength) / (F.col("n") + strength)
+        return mean, F.coalesce(F.try_divide(mean - m, F.sqrt(mean * (1 - mean) / (F.col("n") + strength + 1))), F.lit(0.0))
 
-    level = sum(moments[f"m_{r}"] or 0.0 for r in RULES) / len(RULES)
-    often = [(shrunk(r) > level).alias(f"often_{r}") for r in RULES]
-    return hosts.select(F.col("host").alias("h"), F.greatest(*[shrunk(r) for r in RULES]).alias("host_rate"), *often)
+    counts = [(posterior(r)[1] > -SURE if r in FIRM else posterior(r)[1] >= SURE).alias(f"counts_{r}") for r in FIRM | SOFT]
+    return hosts.select(F.col("host").alias("h"), F.greatest(*[posterior(r)[0] for r in RULES]).alias("host_rate"), *counts)
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = 0.75, min_hosts: int = 2) -> DataFrame:
@@ -147,11 +158,15 @@ WITH w AS (
   SELECT r, count(*) AS hosts, sum(f) / sum(n) AS m, var_pop(f / n) - (sum(f) / sum(n)) * (1 - sum(f) / sum(n)) * avg(1 / n) AS spread FROM h GROUP BY r
 ), s AS (
   SELECT r, m, CASE WHEN hosts < 2 THEN 0 WHEN spread <= 0 THEN 1e6 ELSE greatest(0, least(1e6, m * (1 - m) / spread - 1)) END AS k FROM m
+), z AS (
+  SELECT source, r, m, n + k + 1 AS size, (f + m * k) / (n + k) AS rate FROM h JOIN s USING (r)
 ), v AS (
-  SELECT source, max(rate) AS rate, bool_or(r = 3 AND rate > level) AS often_d, bool_or(r = 4 AND rate > level) AS often_e
-  FROM (SELECT source, r, (f + m * k) / (n + k) AS rate, (SELECT avg(m) FROM m) AS level FROM h JOIN s USING (r)) GROUP BY source
+  SELECT source, max(rate) AS rate,
+    bool_or(r = 3 AND coalesce((rate - m) / nullif(sqrt(rate * (1 - rate) / size), 0), 0) > -1.6448536269514722) AS counts_d,
+    bool_or(r = 4 AND coalesce((rate - m) / nullif(sqrt(rate * (1 - rate) / size), 0), 0) >= 1.6448536269514722) AS counts_e
+  FROM z GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (a + b > 0) AS base_failed,
-  a + b = 0 AND NOT (d = 1 AND coalesce(often_d, false)) AND NOT (e = 1 AND coalesce(often_e, false)) AND coalesce(rate, 0) <= 0.75 AS kept
+  a + b = 0 AND NOT (d = 1 AND coalesce(counts_d, false)) AND NOT (e = 1 AND coalesce(counts_e, false)) AND coalesce(rate, 0) <= 0.75 AS kept
 FROM f LEFT JOIN v USING (source)
 """

@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names, operator by operator."""
 
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +75,46 @@ def test_even_hosts_reject_failing_documents(spark):
     assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {i for i in range(600) if i % 15}
 
 
+def test_verdicts_follow_the_host(spark):
+    """Four kinds of hosts: junk, many symbols, many repeated lines, clean. The same document has another fate at each."""
+    good = " ".join(f"w{i}" for i in range(60))
+    junk, lines, bad = good + " " + "# " * 30, good + "\nab\nab\nab", "few words"
+    rows = [(10_000 + i, bad if i < 190 else good, "refuse") for i in range(200)]
+    rows += [(20_000 + i, junk if i < 60 else good, "symbols") for i in range(200)]
+    rows += [(30_000 + i, lines if i < 60 else junk if i < 75 else good, "lines") for i in range(200)]
+    rows += [(40_000 + 1000 * h + i, junk if i == 0 else lines if i == 1 else good, f"clean{h}") for h in range(6) for i in range(300)]
+    rows += [(50_000 + i, [junk, lines, good][i], None) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    n, fails = Counter(), Counter()
+    kinds = {good: (), junk: ("symbols",), lines: ("dup_lines",), bad: ("short",)}
+    for _, text, host in rows:
+        if host:
+            n[host] += 1
+            fails.update((host, r) for r in kinds[text])
+
+    def posterior(host, rule):
+        m = sum(fails[h, rule] for h in n) / sum(n.values())
+        rates = [fails[h, rule] / n[h] for h in n]
+        spread = np.var(rates) - m * (1 - m) * np.mean([1 / x for x in n.values()])
+        k = 1e6 if spread <= 0 else min(1e6, max(0.0, m * (1 - m) / spread - 1))
+        a, b = fails[host, rule] + m * k, n[host] - fails[host, rule] + (1 - m) * k
+        sd = (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+        return a / (a + b), (a / (a + b) - m) / sd if sd else 0.0
+
+    want = set()
+    for i, text, host in rows:
+        if text == bad or host == "refuse":
+            continue
+        if text == junk and host and posterior(host, "symbols")[1] > -1.645 or text == lines and host and posterior(host, "dup_lines")[1] >= 1.645:
+            continue
+        want.add(i)
+    assert posterior("refuse", "short")[0] > 0.75 and all(posterior(h, r)[0] < 0.75 for h in n if h != "refuse" for r in quality_rules.RULES)
+    assert {r.doc_id for r in quality_rules.judge(docs).where("kept").collect()} == want
+    assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == want
+    assert 10_199 not in want and 20_000 not in want and 30_000 not in want and 30_060 not in want  # good at a junk host; failures that count
+    assert {40_000, 40_001, 20_100, 30_100, 50_000} <= want  # a clean host's rare failures; good documents of poor hosts; no host
+
+
 def test_one_row_of_each_near_duplicate_group_stays(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
     rows = [(1, a), (1, a), (1, a + " tail"), (None, a), (2, a), (None, b), (None, b), (1, "other words"), (7, None), (7, None)]
