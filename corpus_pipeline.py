@@ -13,6 +13,9 @@ from foliospark.llm import line_dedup, mixing, ngram_join, quality_rules, senten
 from foliospark.llm.common import fresh, row_key, slots_of, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Shares of the tokens for what the stages before leave, nearly all of it good: toxic texts are halved, poor ones get nothing more.
+TARGETS = {"q1t0": 0.95, "q1t1": 0.05}
+PULL = 0.01  # few documents of a domain cannot be made to stand for many
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +52,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says, so that expected domain tokens meet the targets. Without labels all stay once."""
+    """Each document as often as its rate says, at most MOST_RATE times, so that expected domain tokens meet the targets. Without labels all stay once."""
     labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.mix(docs, mixing.train_domains(docs, labels), mixing.TARGETS)
+    return mixing.mix(docs, mixing.train_domains(docs, labels), TARGETS, pull=PULL)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
