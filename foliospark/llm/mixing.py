@@ -156,42 +156,54 @@ def _moments(members: DataFrame, y: np.ndarray, most_rate: float) -> np.ndarray:
     return out
 
 
-def fit_step(members: DataFrame, targets: np.ndarray, most_rate: float = MOST_RATE, pull: float = PULL, most_steps: int = 60, tolerance: float = 1e-9) -> tuple[np.ndarray, float]:
+def fit_step(members: DataFrame, targets: np.ndarray, most_rate: float = MOST_RATE, pull: float = PULL, most_passes: int = 60, gap: float = 1e-8) -> tuple[np.ndarray, float]:
     """y, of which rate_of() makes rates between 0 and most_rate, and how far these miss the targets.
 
     members: n_tokens (n) and p. With all in shares of the tokens, minimises half the squared distance of the domains' expected tokens, sum of
     n rate p, from targets, plus pull times the sum of n (rate - 1)² / 2, by projected gradients: a step goes along the gradient, preconditioned with the
     second derivatives over the documents that no end holds, and projects each rate onto [0, most_rate]. After such a step
     a rate is 1 - p·y for one y of all documents, so y is all that travels, and a step is one pass over n and p. A step that does not
-    raise the dual function (the least value that the rates of y prove) is halved, so the steps converge whether
-    or not rates can meet the targets. The miss is the largest distance from a target as a share of all tokens; 0 without any.
+    raise the dual function (the least value that the rates of y prove) is halved. The pull is lowered to its value in
+    powers of ten, as far targets under a small pull hold nearly all rates at their ends, where gradients tell little.
+    It ends when the objective is within gap (a share of it) of the least that is proven, or after most_passes. The miss is the
+    largest distance from a target as a share of all tokens; 0 without any.
     """
-    d, y = len(targets), np.zeros(len(targets))
-    sums = _moments(members, y, most_rate) if d else np.zeros((2, 2))
+    d, y, passes = len(targets), np.zeros(len(targets)), 0
+
+    def moments(y: np.ndarray) -> np.ndarray:
+        nonlocal passes
+        passes += 1
+        return _moments(members, y, most_rate)
+
+    sums = moments(y) if d else np.zeros((2, 2))
     total = sums[d, d + 1]
     if not total or not d:
         return y, 0.0
 
-    def dual(y: np.ndarray, sums: np.ndarray) -> float:
+    def dual(y: np.ndarray, sums: np.ndarray, pull: float) -> float:
         return float(-pull * (y @ y) / 2 - y @ targets + (sums[d + 1, d] + sums[d, d]) / total)
 
-    for _ in range(most_steps):
-        miss = sums[d, :d] / total - targets
-        uphill = miss - pull * y
-        if np.abs(uphill).max() <= tolerance:
-            break
-        step = np.linalg.solve(sums[:d, :d] / total + pull * np.eye(d), uphill)
-        now, size = dual(y, sums), 1.0
-        while True:
-            tried = y + size * step
-            there = _moments(members, tried, most_rate)
-            if dual(tried, there) >= now + 1e-4 * size * float(step @ uphill) or size < 1e-3:
+    weight = max(0.1, pull)
+    while True:
+        while passes < most_passes:
+            miss = sums[d, :d] / total - targets
+            uphill, now = miss - weight * y, dual(y, sums, weight)
+            if (miss @ miss) / 2 / weight + sums[d, d] / total - now <= gap * now + 1e-12:
                 break
-            size /= 2
-        if dual(tried, there) <= now:
-            break  # no step shows above rounding
-        y, sums = tried, there
-    return y, float(np.abs(sums[d, :d] / total - targets).max())
+            step = np.linalg.solve(sums[:d, :d] / total + weight * np.eye(d), uphill)
+            size, there = 1.0, moments(y + step)
+            while dual(y + size * step, there, weight) < now + 1e-4 * size * float(step @ uphill) and size > 1e-6 and passes < most_passes:
+                size /= 4
+                there = moments(y + size * step)
+            if dual(y + size * step, there, weight) <= now:
+                break  # no step shows above rounding
+            y, sums = y + size * step, there
+        if weight <= pull or passes >= most_passes:
+            return y, float(np.abs(sums[d, :d] / total - targets).max())
+        ratio, weight = weight / max(pull, weight / 10), max(pull, weight / 10)
+        far = moments(y * ratio)  # where the targets are out of reach, y grows as the pull falls
+        if dual(y * ratio, far, weight) > dual(y, sums, weight):
+            y, sums = y * ratio, far
 
 
 def fit_rates(members: DataFrame, targets: np.ndarray, most_rate: float = MOST_RATE, **options) -> DataFrame:

@@ -233,11 +233,11 @@ def test_rates_meet_targets(spark):
     p = rng.dirichlet([0.3, 0.3, 0.3], 400)
     n = rng.integers(1, 500, 400)
     members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>").repartition(3)
-    for goal in ([0.2, 0.3, 0.5], [0.05, 0.05, 0.9]):
-        rows = mixing.fit_rates(members, np.array(goal)).collect()
+    for goal, most in (([0.2, 0.3, 0.5], mixing.MOST_RATE), ([0.05, 0.05, 0.9], 100.0)):  # the second one is out of reach of smaller rates
+        rows = mixing.fit_rates(members, np.array(goal), most_rate=most).collect()
         m, q, rate = np.array([r.n_tokens for r in rows]), np.array([r.p for r in rows]), np.array([r.rate for r in rows])
         assert np.allclose((rate * m) @ q / n.sum(), goal, atol=1e-4) and rows[0].missed < 1e-4
-        assert_optimal(m, q, rate, goal)
+        assert_optimal(m, q, rate, goal, most)
     rows = mixing.fit_rates(members.where("p[0] < 0.1"), np.array([1.0, 0.0, 0.0]), most_rate=3.0).collect()  # out of reach
     m, q, rate = np.array([r.n_tokens for r in rows]), np.array([r.p for r in rows]), np.array([r.rate for r in rows])
     assert 0 <= rate.min() and rate.max() <= 3.0 and rows[0].missed > 0.5
