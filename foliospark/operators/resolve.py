@@ -1,15 +1,11 @@
-"""Duplicates and entities: exact and folded keys, greedy near duplicates, record clusters, golden records."""
+"""Duplicates and entities: exact and folded keys, record clusters, golden records. likeness has what is like."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.functions.similarity import jaro_winkler_of, ratio
 
 
 def first_by_key(df: DataFrame, key: Column, *order: Column, group: tuple[str, ...] = ()) -> DataFrame:
@@ -28,40 +24,6 @@ def repeated(df: DataFrame, by: list[str], least: int = 2) -> DataFrame:
     return df.groupBy(*by).count().where(F.col("count") >= least)
 
 
-def greedy(df: DataFrame, group: str, column: str, order: str, least: float, score: Callable[[str, str], float] = jaro_winkler_of, longest_first: bool = False) -> DataFrame:
-    """Within each group (a page, which bounds it) a value goes when it is like one kept before it.
-
-    longest_first keeps the longest of those alike, and drops what another value contains."""
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        rows = rows.iloc[rows[column].fillna("").str.len().argsort(kind="stable")[::-1]] if longest_first else rows
-        kept: list[str] = []
-        flags = []
-        for v in rows[column].fillna(""):
-            alike = any(score(v.lower(), k.lower()) >= least or (longest_first and v.lower() in k.lower()) for k in kept)
-            flags.append(not alike)
-            if not alike:
-                kept.append(v)
-        return rows[flags]
-
-    return df.groupBy(group).applyInPandas(keep, df.schema)
-
-
-def like_pairs(df: DataFrame, block: list[str], column: str, least: float, key: str = "id") -> DataFrame:
-    """a, b, similarity of rows in one block. Only distinct values are scored; lengths bound the ratio beforehand.
-
-    Blocks are to be narrow (a folder and a prefix, say): their rows meet each other once.
-    """
-    values = df.select(*block, F.lower(column).alias("v")).where("v IS NOT NULL").distinct()
-    other = values.withColumnRenamed("v", "w")
-    bound = least / (2 - least)
-    size = F.least(F.length("v"), F.length("w")) / F.greatest(F.length("v"), F.length("w"))
-    alike = values.join(other, block).where((F.col("v") < F.col("w")) & (size >= bound)).withColumn("similarity", ratio(F.col("v"), F.col("w"))).where(F.col("similarity") >= least)
-    rows = df.select(*block, F.col(key).alias("k"), F.lower(column).alias("x"))
-    a, b = rows.select(*block, F.col("k").alias("a"), F.col("x").alias("v")), rows.select(*block, F.col("k").alias("b"), F.col("x").alias("w"))
-    return alike.join(a, [*block, "v"]).join(b, [*block, "w"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("similarity", 4).alias("similarity"))
-
-
 def seeds(pairs: DataFrame) -> DataFrame:
     """member, seed: each row of a pair under the smallest row that it is directly like."""
     return pairs.groupBy(F.col("b").alias("member")).agg(F.min("a").alias("seed"))

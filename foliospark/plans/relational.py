@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import dates
 from foliospark.functions import text as T
-from foliospark.operators import access, resolve, search, timeline
+from foliospark.operators import access, likeness, resolve, search, timeline
 from foliospark.plans.registry import register
 from foliospark.session import scratch
 from foliospark.sources import catalog, sinks
@@ -284,7 +284,7 @@ def jn10(spark, d):
 @register("JN11")
 def jn11(spark, d):
     c = load(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_name")
-    return resolve.like_pairs(c, ["p_brand"], "p_name", 0.85)
+    return likeness.like_pairs(c, ["p_brand"], "p_name", 0.85)
 
 
 @register("JN12", "SELECT n_nationkey, n_name, coalesce(n, 0) AS n_customers FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON c_nationkey = n_nationkey")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.operators import extract, resolve, search, timeline, vectors
+from foliospark.operators import extract, likeness, resolve, search, timeline, vectors
 from foliospark.plans import relational as R
 from foliospark.plans.registry import register
 from foliospark.plans.relational import E, GRANTS, O, P
@@ -200,12 +198,12 @@ _keyed("DED5", "trim(regexp_replace(upper(p_type), '[^A-Z ]', '', 'g'))", "folde
 
 @register("DED6")
 def ded6(spark, d):
-    return resolve.greedy(load(spark, d, "part", "p_partkey", "p_brand", "p_name"), "p_brand", "p_name", "p_partkey", 0.88)
+    return likeness.greedy(load(spark, d, "part", "p_partkey", "p_brand", "p_name"), "p_brand", "p_name", "p_partkey", likeness.winkler(0.88))
 
 
 @register("DED7")
 def ded7(spark, d):
-    return resolve.greedy(load(spark, d, "part", "p_partkey", "p_brand", "p_name"), "p_brand", "p_name", "p_partkey", 0.78, lambda a, b: SequenceMatcher(None, a, b).ratio(), True)
+    return likeness.greedy(load(spark, d, "part", "p_partkey", "p_brand", "p_name"), "p_brand", "p_name", "p_partkey", likeness.ratcliff(0.78), longest_first=True)
 
 
 @register("DED8")

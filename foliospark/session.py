@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | None = None, app: str = "foliospark", **conf: str) -> SparkSession:
@@ -54,3 +54,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     files.mkdirs(target)  # what is not there cannot be marked to go
     files.deleteOnExit(target)
     return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read again: it cuts the lineage, survives lost executors and has a known size."""
+    path = scratch(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import dates, similarity, text
-from foliospark.operators import access, classify, correct, extract, resolve, search, timeline, vectors
+from foliospark.operators import access, classify, correct, extract, likeness, resolve, search, timeline, vectors
 from foliospark.sources import catalog, sinks
 
 
@@ -89,7 +89,7 @@ def test_similarities(spark):
 def test_near_names_are_greedy(spark):
     rows = [(1, 1, "Ana Ruiz Soto"), (2, 1, "Ana Ruiz Sotto"), (3, 1, "Luis Mora"), (4, 2, "Ana Ruiz Sotto"), (5, 1, None)]
     df = spark.createDataFrame(rows, "id int, page int, name string")
-    assert values(resolve.greedy(df, "page", "name", "id", 0.88), "id") == [(1,), (3,), (4,), (5,)]
+    assert values(likeness.greedy(df, "page", "name", "id", likeness.winkler(0.88)), "id") == [(1,), (3,), (4,), (5,)]
 
 
 def test_merge_edit_delete(spark):
