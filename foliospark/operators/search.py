@@ -103,39 +103,6 @@ def advanced(pages: DataFrame, term: str, whole_word: bool = False, match_case:
     return found.select("page_id", "position", F.substring(t, lo + 1, at - lo).alias("before"), "match", F.substring(t, end + 1, F.lit(after)).alias("after"))
 
 
-def analysed(c: Column | str, stop: tuple[str, ...] = (), stem: bool = False) -> Column:
-    """array<string>: lower-cased, folded words without stop words; stem takes the plural's ending off words of five letters or more."""
-    words = T.tokens(F.lower(T.fold(c)), r"[^\p{L}\p{N}]+")
-    words = F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
-    return F.transform(words, lambda w: F.when(F.length(w) > 4, F.regexp_replace(w, "(es|s)$", "")).otherwise(w)) if stem else words
-
-
-def token_index(pages: DataFrame, text: str = "text", stop: tuple[str, ...] = (), stem: bool = False) -> DataFrame:
-    """token, page_id, tf over analysed words, a row for each page's distinct ones, counted by the runs of its sorted words: no
-    shuffle. Written partitioned or bucketed by token, it answers searches by equality; its size follows the text."""
-    w, starts = F.col("_w"), F.col("_s")
-    first = lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1))
-    runs = F.transform(starts, lambda i, j: F.struct(F.get(w, i).alias("token"), (F.coalesce(F.get(starts, j + 1), F.size(w)) - i).cast("long").alias("tf")))
-    sorted_ = pages.select("page_id", F.array_sort(analysed(text, stop, stem)).alias("_w")).where(F.size("_w") > 0)
-    return sorted_.withColumn("_s", F.filter(F.sequence(F.lit(0), F.size("_w") - 1), first)).select("page_id", F.inline(runs)).select("token", "page_id", "tf")
-
-
-def ranked(pages: DataFrame, terms: list[str], n: int = 20, text: str = "text") -> DataFrame:
-    """Pages by the sum of tf times the inverse frequency of the query's tokens, OR between them.
-
-    Only pages that contain a term are split into words, and only the terms are counted.
-    """
-    wanted = [t.lower() for t in dict.fromkeys(terms)]
-    folded = F.lower(T.fold(text))
-    likely = pages.where(T.any_of([F.contains(folded, F.lit(t)) for t in wanted])).select("page_id", analysed(text).alias("_w"))
-    often = lambda t: F.size(F.filter("_w", lambda w: w == t))
-    each = F.array(*[F.struct(F.lit(t).alias("token"), often(t).alias("tf")) for t in wanted])
-    few = likely.select("page_id", F.inline(each)).where("tf > 0")
-    df = few.groupBy("token").agg(F.count("*").alias("df"))
-    score = F.sum(F.col("tf") * F.log((pages.agg(F.count("*")).scalar() + 1) / (F.col("df") + 1)))
-    return top(few.join(df, "token").groupBy("page_id").agg(F.round(score, 6).alias("score"), F.count("*").alias("matched")), n, F.col("score").desc(), F.col("page_id"))
-
-
 def completions(pages: DataFrame, prefix: str, n: int = 10, least: int = 3, text: str = "text") -> DataFrame:
     word = F.explode(T.tokens(F.lower(text), r"[^\p{L}]+"))
     words = pages.where(T.contains_ci(text, prefix)).select(word.alias("word")).where(F.col("word").startswith(prefix.lower()) & (F.length("word") >= least))

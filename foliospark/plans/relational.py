@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import dates
 from foliospark.functions import text as T
-from foliospark.operators import access, likeness, resolve, search, timeline
+from foliospark.operators import access, fulltext, likeness, resolve, search, timeline
 from foliospark.plans.registry import register
 from foliospark.session import scratch
 from foliospark.sources import catalog, sinks
@@ -126,7 +126,7 @@ _TOK = "(SELECT page_id, unnest(string_split_regex(translate(lower(text), 'áé
 
 @register("SNK8", f"SELECT token, page_id, count(*) AS tf FROM {_TOK} WHERE token <> '' GROUP BY ALL")
 def snk8(spark, d):
-    return search.token_index(pages(spark, d))
+    return fulltext.postings(pages(spark, d)).select("token", "page_id", "tf")
 
 
 @register("SNK9", f"SELECT id, action, '***' AS password, (props->>'$.k') AS k FROM {E}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import dates as D
 from foliospark.functions import similarity as S
 from foliospark.functions import text as T
-from foliospark.operators import access, correct, resolve, search, vectors
+from foliospark.operators import access, correct, fulltext, resolve, search, vectors
 from foliospark.plans import relational as R
 from foliospark.plans.notes import N, notes, union
 from foliospark.plans.registry import register
@@ -119,19 +119,52 @@ def txt13(spark, d):
     return search.top(pages(spark, d).where(T.any_of([T.like_ci(c, "une") for c in ("text", "folder")])).select("page_id"), 50, F.col("page_id").desc())
 
 
+_INDEXES: dict[tuple, fulltext.Index] = {}
+
+
+def page_index(spark, d: str, analyser: fulltext.Analyser = fulltext.Analyser(), fuzzy: bool = False) -> fulltext.Index:
+    """The index of the pages of d, built when it is first asked for in a session."""
+    at = (spark.sparkContext.applicationId, d, analyser, fuzzy)
+    if at not in _INDEXES:
+        _INDEXES[at] = fulltext.build(pages(spark, d), analyser, fuzzy=fuzzy)
+    return _INDEXES[at]
+
+
 @register("TXT14", f"""WITH i AS (SELECT token, page_id, count(*) AS tf FROM {R._TOK} WHERE token IN ('shing', 'onthe', 'que') GROUP BY ALL), f AS (SELECT token, count(*) AS df FROM i GROUP BY token)
     SELECT page_id, round(sum(tf * ln(((SELECT count(*) FROM documents) + 1) / (df + 1))), 6) AS score, count(*) AS matched FROM i JOIN f USING (token) GROUP BY page_id ORDER BY score DESC, page_id LIMIT 20""")
 def txt14(spark, d):
-    return search.ranked(pages(spark, d), ["shing", "onthe", "que"])
+    return fulltext.search(page_index(spark, d), "shing onthe que").select("page_id", "score", "matched")
+
+
+_NEAR = """(SELECT token, max(1 - levenshtein(term, token) / length(term)) AS weight FROM (SELECT DISTINCT token FROM {tokens}), (VALUES ('lucense'), ('idoit'), ('of')) q(term)
+    WHERE length(token) BETWEEN 2 AND 24 AND levenshtein(term, token) <= CASE WHEN length(term) < 3 THEN 0 WHEN length(term) < 6 THEN 1 ELSE 2 END GROUP BY token)"""
+
+
+@register("TXT14_fuzzy", f"""WITH t AS (SELECT token, page_id, count(*) AS tf FROM {R._TOK} WHERE token <> '' GROUP BY ALL), i AS (SELECT * FROM t JOIN {_NEAR.format(tokens='t')} USING (token)), f AS (SELECT token, count(*) AS df FROM i GROUP BY token)
+    SELECT page_id, round(sum(tf * ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) * weight), 6) AS score, count(*) AS matched FROM i JOIN f USING (token) GROUP BY page_id ORDER BY score DESC, page_id LIMIT 20""")
+def txt14_fuzzy(spark, d):
+    """Words within the edits that their length allows; TXT14_highlights shows where."""
+    return fulltext.search(page_index(spark, d, fuzzy=True), "lucense idoit of", fuzzy=True).select("page_id", "score", "matched")
+
+
+@register("TXT14_highlights", f"""WITH i AS (SELECT token, page_id, count(*) AS tf FROM {R._TOK} WHERE token IN ('idiot', 'clown') GROUP BY ALL), f AS (SELECT token, count(*) AS df FROM i GROUP BY token),
+    b AS (SELECT page_id, round(sum(tf * ln(((SELECT count(*) FROM documents) + 1) / (df + 1))), 6) AS score FROM i JOIN f USING (token) GROUP BY page_id ORDER BY score DESC, page_id LIMIT 20),
+    m AS (SELECT page_id, score, text, ' ' || translate(lower(text), 'áéíóúàèìòùäëïöüâêîôûñç', 'aeiouaeiouaeiouaeiounc') || ' ' AS t FROM b JOIN {P} USING (page_id))
+    SELECT page_id, score, substr(text, greatest(length(regexp_extract(t, '(?s)^(.*?[^\\p{{L}}\\p{{N}}])(?:idiot|clown)[^\\p{{L}}\\p{{N}}]', 1)) - 76, 0) + 1, 150) AS highlight FROM m""")
+def txt14_highlights(spark, d):
+    """The first highlight of each of the best pages."""
+    found = fulltext.search(page_index(spark, d), "Idiot, clown!")
+    shown = fulltext.highlighted(found, pages(spark, d))
+    return shown.select("page_id", "score", F.get("highlights", F.lit(0)).alias("highlight"))
 
 
 STOP = ("the", "and", "of", "to", "que", "de", "la", "der", "die", "und")
 
 
-@register("TXT15", f"SELECT token, count(*) AS df FROM (SELECT DISTINCT CASE WHEN length(token) > 4 THEN regexp_replace(token, '(es|s)$', '') ELSE token END AS token, page_id FROM {R._TOK} WHERE token <> '' AND token NOT IN {STOP}) GROUP BY token")
+@register("TXT15", f"SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT regexp_replace(token, '{fulltext.STEM}', '\\1') AS token, page_id, count(*) AS tf FROM {R._TOK} WHERE token <> '' AND token NOT IN {STOP} GROUP BY ALL) GROUP BY token")
 def txt15(spark, d):
-    """Page counts of analysed tokens: lower-cased, folded, without stop words, without endings of plurals."""
-    return search.token_index(pages(spark, d), stop=STOP, stem=True).groupBy("token").agg(F.count("*").alias("df"))
+    """The terms of the index of analysed words: lower-cased, folded, stemmed, without stop words."""
+    return page_index(spark, d, fulltext.Analyser(STOP, True)).table("terms").select("token", "df", "cf")
 
 
 @register("TXT16", f"SELECT word, count(*) AS count FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{{L}}]+')) AS word FROM {P}) WHERE starts_with(word, 'sh') AND length(word) >= 3 GROUP BY word ORDER BY 2 DESC, 1 LIMIT 10")
@@ -146,7 +179,7 @@ def txt17(spark, d):
 
 @register("TXT18", f"SELECT token, sum(n)::BIGINT AS n FROM (SELECT token, count(*) AS n FROM {R._TOK} WHERE length(token) >= 4 GROUP BY token) GROUP BY token ORDER BY 2 DESC, 1 LIMIT 25")
 def txt18(spark, d):
-    words = search.token_index(pages(spark, d)).where(F.length("token") >= 4).groupBy("token").agg(F.sum("tf").alias("n"))
+    words = fulltext.postings(pages(spark, d)).where(F.length("token") >= 4).groupBy("token").agg(F.sum("tf").alias("n"))
     return search.top(words, 25, F.col("n").desc(), F.col("token"))
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import dates, similarity, text
-from foliospark.operators import access, classify, correct, extract, likeness, resolve, search, timeline, vectors
+from foliospark.operators import access, classify, correct, extract, fulltext, likeness, resolve, search, timeline, vectors
 from foliospark.sources import catalog, sinks
 
 
@@ -159,8 +159,8 @@ def test_partial_dates(spark):
 
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "b a b, Á"), (2, ""), (3, None), (4, "casas casa")], "page_id int, text string")
-    assert values(search.token_index(df), "page_id", "token", "tf") == [(1, "a", 2), (1, "b", 2), (4, "casa", 1), (4, "casas", 1)]
-    assert values(search.token_index(df, stop=("b",), stem=True), "page_id", "token", "tf") == [(1, "a", 2), (4, "casa", 2)]
+    assert values(fulltext.postings(df), "page_id", "token", "tf") == [(1, "a", 2), (1, "b", 2), (4, "casa", 1), (4, "casas", 1)]
+    assert values(fulltext.postings(df, fulltext.Analyser(("b",), True)), "page_id", "token", "tf") == [(1, "a", 2), (4, "casa", 2)]
 
 
 def test_whole_words_and_case(fx):
