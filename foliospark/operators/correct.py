@@ -103,29 +103,6 @@ def entities_fixed(c: Column | str) -> Column:
     return F.array_join(F.transform(F.split(T.col(c), "\n", -1), fix), "\n")
 
 
-MOST_TERMS = 1000
-
-
-def contained(df: DataFrame, column: str, catalog: DataFrame, key: str) -> DataFrame:
-    """key, canonical: the first term of the catalog (term, canonical, priority) that the column contains.
-
-    Up to MOST_TERMS terms are an array that each row is held against, without a join. Larger catalogs meet rows by the
-    first three characters of their terms (shorter terms then fit nothing).
-    """
-    known = catalog.select(F.upper("term").alias("term"), "canonical", "priority")
-    few = known.limit(MOST_TERMS + 1).collect()
-    text = df.select(key, F.upper(column).alias("_t"))
-    order = lambda priority, term: F.struct(priority.alias("p"), (-F.length(term)).alias("n"), term.alias("t"))
-    if len(few) <= MOST_TERMS:
-        terms = F.array(*[F.struct(F.lit(r.term).alias("term"), F.lit(r.canonical).alias("canonical"), F.lit(r.priority).alias("priority")) for r in few])
-        hits = F.filter(terms, lambda x: F.contains(F.col("_t"), x["term"]))
-        best = F.array_min(F.transform(hits, lambda x: F.struct(order(x["priority"], x["term"]).alias("o"), x["canonical"].alias("c"))))
-        return text.select(key, best["c"].alias("canonical")).where("canonical IS NOT NULL") if few else text.select(key, F.lit(None).cast("string").alias("canonical")).limit(0)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - 2, F.lit(1))), lambda i: F.substring(F.col("_t"), i, F.lit(3))))
-    met = text.select(key, "_t", F.explode(grams).alias("g")).join(known.withColumn("g", F.substring("term", 1, 3)).where(F.length("g") == 3), "g")
-    return met.where(F.contains("_t", "term")).groupBy(key).agg(F.min_by("canonical", order(F.col("priority"), F.col("term"))).alias("canonical"))
-
-
 def canonical(df: DataFrame, column: str, variants: DataFrame) -> DataFrame:
     """df with canonical: of variants (variant, canonical) the value's own, else the value."""
     v = variants.select(F.lower(F.trim("variant")).alias("_v"), "canonical")

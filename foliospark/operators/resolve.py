@@ -38,19 +38,6 @@ def possible_duplicates(df: DataFrame) -> DataFrame:
     return met("kind", "day").unionByName(met("place")).distinct()
 
 
-def either_contains(a: DataFrame, b: DataFrame, x: str, y: str, or_equal: tuple[str, str]) -> DataFrame:
-    """Rows of a and b whose names contain each other, or whose keys are equal. b is a catalog that fits in an array (MOST_TERMS)."""
-    from foliospark.operators.correct import MOST_TERMS
-
-    rows = b.limit(MOST_TERMS + 1).collect()
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"the catalog has more than {MOST_TERMS} rows")
-    known = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in b.columns]) for r in rows])
-    own = F.lower(x)
-    fits = lambda r: F.contains(own, F.lower(r[y])) | F.contains(F.lower(r[y]), own) | (F.col(or_equal[0]) == r[or_equal[1]])
-    return a.withColumn("_known", F.filter(known, fits)).select("*", F.inline("_known")).drop("_known")
-
-
 def merged(df: DataFrame, key: str, into: DataFrame, columns: list[str]) -> DataFrame:
     """Golden records: into has key and keep; rows that give way go, and what the kept row lacks comes from them."""
     lost = df.join(into, key).groupBy("keep").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(key))).alias(f"_{c}") for c in columns]).withColumnRenamed("keep", key)

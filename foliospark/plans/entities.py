@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import dates as D
 from foliospark.functions import text as T
-from foliospark.operators import classify, correct, extract, search
+from foliospark.operators import automaton, classify, correct, extract, search
 from foliospark.plans.notes import DMY, LONG_DAY, NAME, SHORT_DAY, TEXT, N, notes, union
 from foliospark.plans.registry import register
 from foliospark.plans.relational import E, O, P
@@ -230,11 +230,13 @@ def nrm9(spark, d):
     return notes(spark, d).select("page_id", done.alias("done"), T.changed_words("text", done).cast("long").alias("changed")).where("changed > 0")
 
 
-@register("NRM10", """SELECT p_partkey, canonical FROM (SELECT p_partkey, canonical, row_number() OVER (PARTITION BY p_partkey ORDER BY priority, length(term) DESC, term) AS k FROM part
-    JOIN (VALUES ('ECONOMY', 'cheap', 1), ('PROMO', 'offer', 2), ('STANDARD', 'usual', 3)) c(term, canonical, priority) ON contains(upper(p_type), term)) WHERE k = 1""")
+@register("NRM10", """SELECT p_partkey, canonical, 'part' AS how FROM (SELECT p_partkey, canonical, row_number() OVER (PARTITION BY p_partkey ORDER BY priority, length(term) DESC, term) AS k FROM part
+    JOIN (SELECT 'ECONOMY' AS term, 'cheap' AS canonical, 1 AS priority UNION ALL SELECT upper(n_name), n_name, 9 FROM nation UNION ALL SELECT 'O AN', 'anodized', 2 UNION ALL SELECT 'STANDARD', 'usual', 3) c ON contains(upper(p_type), term)) WHERE k = 1""")
 def nrm10(spark, d):
-    terms = spark.createDataFrame([("ECONOMY", "cheap", 1), ("PROMO", "offer", 2), ("STANDARD", "usual", 3)], "term string, canonical string, priority int")
-    return correct.contained(load(spark, d, "part"), "p_type", terms, "p_partkey")
+    """Types by a catalog: what they contain, else what they are like (no type is as like a term of this catalog; tests have such)."""
+    few = spark.createDataFrame([("Economy", "cheap", 1), ("o an", "anodized", 2), ("STANDARD", "usual", 3)], "term string, canonical string, priority int")
+    terms = few.unionByName(load(spark, d, "nation").select(F.col("n_name").alias("term"), F.col("n_name").alias("canonical"), F.lit(9).alias("priority")))
+    return automaton.normalised(load(spark, d, "part"), "p_type", terms, "p_partkey")
 
 
 @register("NRM11", "SELECT c_custkey, 'segment' AS field, c_mktsegment AS before, lower(c_mktsegment) AS after FROM customer WHERE lower(c_mktsegment) <> c_mktsegment UNION ALL SELECT c_custkey, 'name', c_name, replace(c_name, '#', ' ') FROM customer WHERE contains(c_name, '#')")

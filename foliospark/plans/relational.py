@@ -336,7 +336,7 @@ def jn16(spark, d):
 @register("JN17", """SELECT page_id, canonical FROM (SELECT page_id, canonical, row_number() OVER (PARTITION BY page_id ORDER BY priority, length(term) DESC, term) AS k
     FROM (SELECT doc_id AS page_id, upper(text) AS t FROM documents) JOIN (VALUES ('IDIOT', 'insult', 1), ('CLOWN', 'insult', 2), ('LICENSE', 'legal', 3)) c(term, canonical, priority) ON contains(t, term)) WHERE k = 1""")
 def jn17(spark, d):
-    from foliospark.operators.correct import contained
+    from foliospark.operators.automaton import contained
 
     terms = catalog.lookup(spark, [("IDIOT", "insult", 1), ("CLOWN", "insult", 2), ("LICENSE", "legal", 3)], "term string, canonical string, priority int")
     return contained(pages(spark, d), "text", terms, "page_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import dates as D
 from foliospark.functions import similarity as S
 from foliospark.functions import text as T
-from foliospark.operators import access, correct, fulltext, resolve, search, vectors
+from foliospark.operators import access, automaton, correct, fulltext, search, vectors
 from foliospark.plans import relational as R
 from foliospark.plans.notes import N, notes, union
 from foliospark.plans.registry import register
@@ -476,4 +476,4 @@ def sim7(spark, d):
 
 @register("SIM9", "SELECT n_name, r_name FROM nation JOIN region ON contains(lower(n_name), lower(r_name)) OR contains(lower(r_name), lower(n_name)) OR n_regionkey = r_regionkey")
 def sim9(spark, d):
-    return resolve.either_contains(load(spark, d, "nation"), load(spark, d, "region"), "n_name", "r_name", ("n_regionkey", "r_regionkey")).select("n_name", "r_name")
+    return automaton.either_contains(load(spark, d, "nation"), load(spark, d, "region"), "n_name", "r_name", ("n_regionkey", "r_regionkey")).select("n_name", "r_name")

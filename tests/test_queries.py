@@ -58,13 +58,3 @@ def test_close_words_against_difflib(spark):
     for r in correct.close_words(df, "t", words).orderBy("token", "rank").collect():
         got.setdefault(r.token, []).append(r.word)
     assert got == want
-
-
-def test_large_catalogs_meet_by_their_first_letters(spark, monkeypatch):
-    from foliospark.operators import correct
-
-    df = spark.createDataFrame([(1, "an economy class"), (2, "promo and economy"), (3, None), (4, "")], "id int, t string")
-    catalog = spark.createDataFrame([("ECONOMY", "cheap", 2), ("PROMO", "offer", 1), ("clas", "kind", 2)], "term string, canonical string, priority int")
-    small = correct.contained(df, "t", catalog, "id").collect()
-    monkeypatch.setattr(correct, "MOST_TERMS", 1)
-    assert sorted(map(tuple, small)) == sorted(map(tuple, correct.contained(df, "t", catalog, "id").collect())) == [(1, "cheap"), (2, "offer")]
