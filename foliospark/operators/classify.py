@@ -17,13 +17,14 @@ def first_reason(rules: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*[F.when(c, n) for n, c in rules])
 
 
-def name_fault(c: str, known: tuple[str, ...] = ()) -> Column:
+def name_fault(c: Column | str, known: tuple[str, ...] = ()) -> Column:
     """Why a value is no name of a person; null for a name. Words in known vouch for a value."""
-    t = F.trim(F.col(c))
+    c = T.col(c)
+    t = F.trim(c)
     words = T.tokens(t)
     vouched = F.exists(words, lambda w: F.lower(w).isin(*known)) if known else F.lit(False)
     return first_reason([
-        ("empty", F.col(c).isNull() | (t == "")), ("short", F.length(t) < 5), ("long", F.length(t) > 80), ("digits", t.rlike(r"\d")),
+        ("empty", c.isNull() | (t == "")), ("short", F.length(t) < 5), ("long", F.length(t) > 80), ("digits", t.rlike(r"\d")),
         ("one word", F.size(words) < 2), ("many words", F.size(words) > 6), ("no name word", F.exists(words, lambda w: F.lower(w).isin(*STOP_NAMES))),
         ("symbols", t.rlike(r"[^\p{L}\s.'-]")), ("no vowels", ~vouched & ~F.lower(T.fold(t)).rlike("[aeiou]")),
         ("consonants", ~vouched & F.lower(T.fold(t)).rlike("[bcdfghjklmnpqrstvwxyz]{5,}")), ("lower case", ~vouched & ~t.rlike(r"^\p{Lu}")),

@@ -94,13 +94,18 @@ def persons(pages: DataFrame, around: int = 100, **options) -> DataFrame:
     )
 
 
-RESPONSIBLE = (r"\b(?:[Aa]gente|[Ll]icenciad[oa]|[Ll]ic\.) (\p{Lu}\p{Ll}+(?: (?:de |del |la )*\p{Lu}\p{Ll}+)*)", r"(?iu)\btitular (\p{L}+)", r"(?iu)\bante el (\p{L}+)")
+_PERSON = r"(\p{Lu}\p{Ll}+(?: (?:de |del |la |las |los )*\p{Lu}\p{Ll}+)+)"
+#: Titles are told in either case of their first letter, names by their capitals.
+RESPONSIBLE = (
+    rf"\b(?:[Aa]gente|[Ll]icenciad[oa]|[Ll]ic\.) {_PERSON}", rf"\b[Tt]itular,? (?:[Ll]icenciad[oa] |[Ll]ic\. )?{_PERSON}",
+    rf"\b[Aa]nte (?:el|la) (?:[Jj]ueza?|[Ff]iscal|[Ss]ecretari[oa]) {_PERSON}",
+)
 
 
 def responsible(text: str) -> Column:
-    """Who answers for a page: the first pattern that fits, without what follows a comma."""
-    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in RESPONSIBLE]
-    return F.trim(F.regexp_replace(F.coalesce(*found), ",.*$", ""))
+    """Who answers for a page: of the patterns' first finds the first that is the name of a person; null without one."""
+    found = F.array(*[F.regexp_extract(text, p, 1) for p in RESPONSIBLE])
+    return F.get(F.filter(found, lambda x: (x != "") & classify.name_fault(x).isNull()), F.lit(0))
 
 
 def candidates(pages: DataFrame) -> DataFrame:
@@ -119,7 +124,7 @@ def page_entities(pages: DataFrame) -> DataFrame:
     return out.unionByName(pages.select("page_id", F.inline(lists)).select("page_id", "kind", F.explode("found").alias("match")))
 
 
-ELEMENTS = {"officer": r"(?iu)\b(?:agente|licenciad[oa])\s+(\p{Lu}\p{Ll}+)", "holder": r"(?iu)\btitular\s+(\p{L}+)", "letter": LETTERS[1], "date": DATES["numeric"], "name": NAME, "proceeding": "|".join(PROCEEDINGS.values())}
+ELEMENTS = {"officer": r"\b(?:[Aa]gente|[Ll]icenciad[oa])\s+(\p{Lu}\p{Ll}+)", "holder": r"(?iu)\btitular\s+(\p{L}+)", "letter": LETTERS[1], "date": DATES["numeric"], "name": NAME, "proceeding": "|".join(PROCEEDINGS.values())}
 WEIGHTS = {"officer": 2.0, "holder": 2.0, "letter": 1.0, "date": 2.0, "name": 1.0, "proceeding": 1.0}
 
 
@@ -158,15 +163,24 @@ def cell_kinds(cells: DataFrame, value: str = "value") -> DataFrame:
     return cells.withColumn("kind", kind)
 
 
+#: Names that are given besides a first one, in lower case and without marks.
+GIVEN = ("maria", "luisa", "luis", "jose", "juan", "carlos", "ana", "antonio", "manuel", "guadalupe", "teresa", "isabel", "elena", "alberto", "angel", "jesus", "miguel", "fernanda")
+
+
 def name_parts(name: str) -> list[Column]:
-    """First names, and the last two words as paternal and maternal name."""
-    w = T.tokens(name)
+    """First names, and paternal and maternal name. Particles (de, del, la, las, los) belong to the word after them.
+
+    Of four words or more the last two are family names. Of three the second is one too, unless GIVEN has it; so of two.
+    """
+    joined = F.regexp_replace(F.col(name), r"(?iu)\b(de|del|la|las|los)\s+(?=\S)", "$1\u0001")
+    w = T.tokens(joined)
     n = F.size(w)
+    second = F.coalesce(F.lower(T.fold(F.get(w, F.lit(1)))).isin(*GIVEN), F.lit(False))
+    given = F.when(n >= 4, n - 2).when((n == 3) & second, 2).otherwise(F.least(n, F.lit(1)))
+    spaced = lambda c: F.replace(c, F.lit("\u0001"), F.lit(" "))
     return [
-        F.array_join(F.slice(w, 1, F.when(n >= 4, n - 2).when(n >= 2, F.lit(1)).otherwise(n)), " ").alias("given"),
-        F.when(n >= 4, F.get(w, n - 2)).when(n >= 2, F.get(w, F.lit(1))).alias("paternal"),
-        F.when(n >= 3, F.get(w, n - 1)).alias("maternal"),
-    ]
+        spaced(F.array_join(F.slice(w, F.lit(1), given), " ")).alias("given"), spaced(F.get(w, given)).alias("paternal"), spaced(F.get(w, given + 1)).alias("maternal"),
+    ]
 
 
 def address_parts(c: str) -> list[Column]:

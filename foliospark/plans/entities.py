@@ -77,7 +77,7 @@ def ext10(spark, d):
     return pages(spark, d).select("page_id", F.explode(ten).alias("phone"))
 
 
-_noted("EXT11", union(("k = 1", "page_id", "'juez'"), ("k = 8", "page_id", "'María Luisa de la Vega'"), names="page_id, officer"),
+_noted("EXT11", union(("k = 8", "page_id", _MARIA), names="page_id, officer"),
     lambda p: p.select("page_id", extract.responsible("text").alias("officer")).where("officer IS NOT NULL"))
 _noted("EXT12", union(("k = 0", "page_id", NAME, "phone", "NULL"), ("k = 1", "page_id", NAME, "NULL", "'Calle Hidalgo número ' || num"), ("k = 8", "page_id", _MARIA, "NULL", "NULL"), names="page_id, name, phone, street"), lambda p: extract.persons(p, 200).select("page_id", "name", "phone", "street"))
 _noted("EXT13", union(("k = 1", "page_id", "'Calle'", "'Hidalgo'", "num", "'Centro'", "code"), ("k = 2", "page_id", "'avenida'", "'Juárez'", "num", "NULL", "NULL"), names="page_id, road_type, road, number, area, postal_code"), lambda p: p.select("page_id", *extract.address_parts("text")).where("road IS NOT NULL"))
@@ -116,7 +116,7 @@ def ext20(spark, d):
     return pages(spark, d).select("page_id", T.count_hits("text", "shing").cast("long").alias("n")).where("n > 0")
 
 
-@register("EXT21", union(("k IN (0, 1)", "page_id", NAME, "given", "paternal", "maternal"), ("k = 8", "page_id", _MARIA, "'María Luisa de'", "'la'", "'Vega'"), names="page_id, name, given, paternal, maternal"))
+@register("EXT21", union(("k IN (0, 1)", "page_id", NAME, "given", "paternal", "maternal"), ("k = 8", "page_id", _MARIA, "'María Luisa'", "'de la Vega'", "NULL"), names="page_id, name, given, paternal, maternal"))
 def ext21(spark, d):
     return extract.persons(notes(spark, d)).select("page_id", "name", *extract.name_parts("name"))
 

@@ -186,3 +186,28 @@ def test_appended_rows_stay_behind_the_old_ones(spark, tmp_path):
     one = spark.createDataFrame([(1,)], "v int")
     sinks.appended(one, str(tmp_path / "log"))
     assert sinks.appended(one, str(tmp_path / "log")).count() == 2
+
+
+def test_names_are_split_before_their_particles(spark):
+    want = {
+        "María Luisa de la Vega": ("María Luisa", "de la Vega", None), "Ana Ruiz Paz": ("Ana", "Ruiz", "Paz"), "Ana Ruiz de la Vega": ("Ana", "Ruiz", "de la Vega"), "Pedro del Río Mora": ("Pedro", "del Río", "Mora"),
+        "Juan Carlos de los Santos y Cruz": ("Juan Carlos de los Santos", "y", "Cruz"), "Rosa": ("Rosa", None, None), "Rosa Mora": ("Rosa", "Mora", None), "": ("", None, None), "José Luis": ("José", "Luis", None),
+    }
+    df = spark.createDataFrame([(n,) for n in want], "name string").select("name", *extract.name_parts("name"))
+    assert {r.name: (r.given, r.paternal, r.maternal) for r in df.collect()} == want
+
+
+def test_only_names_answer_for_a_page(spark):
+    want = {
+        "compareció ante el juez. Calle Hidalgo": None, "la agente María Luisa de la Vega y otros": "María Luisa de la Vega", "agente de turno": None, "Titular Lic. Pedro Mora, presente": "Pedro Mora",
+        "ante la jueza Ana Ruiz Paz rindió": "Ana Ruiz Paz", "el titular de la unidad": None, "Agente Público": None, "AGENTE PEDRO MORA": None, "ante el fiscal Luis Soto": "Luis Soto", "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in [*want, None]], "text string").select("text", extract.responsible("text").alias("officer"))
+    assert {r.text: r.officer for r in df.collect()} == want | {None: None}
+
+
+def test_an_officer_is_told_by_a_capital(spark):
+    filler = " palabras sin más elementos que se repiten hasta llenar las cien letras que un párrafo necesita para contar"
+    rows = [(1, "la agente de turno" + filler), (2, "la agente Rosa llega" + filler)]
+    got = {r.page_id: r.relevance for r in extract.scored_paragraphs(spark.createDataFrame(rows, "page_id int, text string"), (), 0).collect()}
+    assert got == {1: 0, 2: 2}
