@@ -111,17 +111,3 @@ def suggestions(text: str, rules: dict[str, str]) -> Column:
 
 def grade(pct: Column) -> Column:
     return F.when(pct >= 80, "excellent").when(pct >= 60, "good").when(pct >= 40, "fair").otherwise("poor")
-
-
-def checked_address(addresses: DataFrame, catalog: DataFrame, n: int = 5, least: float = 0.3) -> DataFrame:
-    """addresses (id, postal_code, area) with known_code, known_pair and up to n areas like theirs of the same code."""
-    from foliospark.functions.similarity import trigram_similarity
-
-    codes = catalog.select("postal_code").distinct().withColumn("known_code", F.lit(True))
-    pairs = catalog.select("postal_code", F.lower(T.fold("area")).alias("_a")).distinct().withColumn("known_pair", F.lit(True))
-    own = addresses.withColumn("_a", F.lower(T.fold("area")))
-    near = own.join(catalog.select("postal_code", F.col("area").alias("other")), "postal_code").withColumn("s", trigram_similarity("area", "other")).where(F.col("s") > least)
-    best = near.groupBy("id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "other"))), 1, n), lambda x: x["other"]), ", ").alias("like_areas"))
-    return own.join(codes, "postal_code", "left").join(pairs, ["postal_code", "_a"], "left").join(best, "id", "left").select(
-        "id", "postal_code", "area", F.coalesce("known_code", F.lit(False)).alias("known_code"), F.coalesce("known_pair", F.lit(False)).alias("known_pair"), "like_areas"
-    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import dates as D
 from foliospark.functions import text as T
-from foliospark.operators import automaton, classify, correct, extract, search
+from foliospark.operators import automaton, classify, correct, extract, search, trigrams
 from foliospark.plans.notes import DMY, LONG_DAY, NAME, SHORT_DAY, TEXT, N, notes, union
 from foliospark.plans.registry import register
 from foliospark.plans.relational import E, O, P
@@ -363,19 +363,38 @@ def _areas(spark, d):
 
 
 _A = "(SELECT lpad(s_nationkey::VARCHAR, 5, '0') AS postal_code, s_name AS area FROM supplier)"
-_OWN = "(SELECT c_custkey AS id, lpad(c_nationkey::VARCHAR, 5, '0') AS postal_code, 'Supplier#' || (c_custkey % 100) AS area FROM customer)"
-
-
-@register("CLS17", f"SELECT id, postal_code, area, postal_code IN (SELECT postal_code FROM {_A}) AS known_code, (postal_code, lower(area)) IN (SELECT postal_code, lower(area) FROM {_A}) AS known_pair FROM {_OWN}")
+_OWN = """(SELECT c_custkey AS id, CASE WHEN c_acctbal < -500 THEN '' ELSE lpad(c_nationkey::VARCHAR, 5, '0') END AS postal_code, replace(c_name, 'Customer', 'Supplier') AS area,
+    nullif(c_mktsegment, 'MACHINERY') AS road, CASE WHEN c_acctbal > 9000 THEN '' ELSE c_custkey::VARCHAR END AS number FROM customer)"""
+#: The set of trigrams of a text: words with two blanks before and one after.
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_ALIKE = "len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1})))"
+
+
+@register("CLS17", f"""WITH a AS (SELECT DISTINCT postal_code, area, {_GRAMS.format('area')} AS g FROM {_A}), o AS (SELECT *, {_GRAMS.format('area')} AS g FROM {_OWN}),
+    k AS (SELECT *, postal_code IN (SELECT postal_code FROM a) AS known_code, (postal_code, lower(area)) IN (SELECT postal_code, lower(area) FROM a) AS known_pair FROM o),
+    s AS (SELECT id, string_agg(area, ', ' ORDER BY n) AS suggestions FROM (SELECT k.id, a.area, row_number() OVER (PARTITION BY k.id ORDER BY {_ALIKE.format('k.g', 'a.g')} DESC, a.area) AS n
+      FROM k JOIN a USING (postal_code) WHERE NOT known_pair AND {_ALIKE.format('k.g', 'a.g')} > 0.3) WHERE n <= 5 GROUP BY id)
+    SELECT id, postal_code, area, known_code, known_pair, coalesce(suggestions, '') AS suggestions, concat_ws(', ', CASE WHEN postal_code = '' THEN 'no code' WHEN NOT known_code THEN 'unknown code' END,
+      CASE WHEN known_code AND NOT known_pair THEN 'area of another code' END, CASE WHEN road IS NULL THEN 'no road' END, CASE WHEN number = '' THEN 'no number' END) AS faults FROM k LEFT JOIN s USING (id)""")
 def cls17(spark, d):
-    own = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("postal_code"), F.concat(F.lit("Supplier#"), (F.col("c_custkey") % 100).cast("string")).alias("area"))
-    return classify.checked_address(own, _areas(spark, d)).drop("like_areas")
-
-
-@register("CLS18", "SELECT s_name AS area FROM supplier WHERE s_name ILIKE '%#1%' ORDER BY length(s_name), s_name LIMIT 10")
+    """Customers' parts as addresses: some codes, roads and numbers lack, and areas are of other codes."""
+    c = load(spark, d, "customer")
+    code = F.when(F.col("c_acctbal") < -500, "").otherwise(F.lpad(F.col("c_nationkey").cast("string"), 5, "0"))
+    number = F.when(F.col("c_acctbal") > 9000, "").otherwise(F.col("c_custkey").cast("string"))
+    own = c.select(F.col("c_custkey").alias("id"), code.alias("postal_code"), F.replace(F.col("c_name"), F.lit("Customer"), F.lit("Supplier")).alias("area"), F.nullif("c_mktsegment", F.lit("MACHINERY")).alias("road"), number.alias("number"))
+    return trigrams.checked_address(own, _areas(spark, d)).withColumns({x: F.array_join(x, ", ") for x in ("suggestions", "faults")})
+
+
+@register("CLS18", f"""WITH v AS (SELECT DISTINCT s_name AS value, {_GRAMS.format('s_name')} AS g FROM supplier), q AS (SELECT query, {_GRAMS.format('query')} AS h FROM (SELECT replace(c_name, 'Customer#0000', 'suplier ') AS query FROM customer WHERE c_acctbal > 9500
+      UNION SELECT substr(c_name, 16) FROM customer WHERE c_acctbal < -900)),
+    s AS (SELECT query, value, {_ALIKE.format('g', 'h')} AS s FROM v, q WHERE {_ALIKE.format('g', 'h')} > 0.2 OR contains(lower(value), lower(query)))
+    SELECT query, value, round(s, 6) AS similarity, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, value) AS n FROM s) WHERE n <= 10""")
 def cls18(spark, d):
-    """Areas that hold what was typed, the likeliest first: of names with the same start the shortest."""
-    return search.top(_areas(spark, d).where(T.like_ci("area", "#1")).select("area"), 10, F.length("area"), F.col("area"))
+    """What customers may have typed: their numbers after a misspelt word, or the last digits."""
+    c = load(spark, d, "customer")
+    words = c.where("c_acctbal > 9500").select(F.replace(F.col("c_name"), F.lit("Customer#0000"), F.lit("suplier ")).alias("typed"))
+    typed = words.unionByName(c.where("c_acctbal < -900").select(F.substring("c_name", 16, 99).alias("typed")))
+    return trigrams.autocompleted(typed, _areas(spark, d), "area")
 
 
 @register("CLS19", f"SELECT folder, concat_ws('; ', CASE WHEN low > 20 THEN 'rescan' END, CASE WHEN n > 45 THEN 'split' END) AS advice FROM (SELECT folder, count_if(confidence < 50) AS low, count(*) AS n FROM {P} GROUP BY folder)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.operators import access, resolve, search, timeline
+from foliospark.operators import access, cascade, resolve, search, timeline
 from foliospark.plans import relational as R
 from foliospark.plans.registry import register
 from foliospark.plans.relational import E, GRANTS, NOW, O, P
@@ -171,10 +171,38 @@ def dml1(spark, d):
     return resolve.edited(c, c.where("c_custkey % 100 = 0").select("c_custkey", F.lit("EDITED").alias("c_name")), "c_custkey", ["c_name"])
 
 
-@register("DML2", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+_TREE = """(SELECT 'region ' || r_regionkey AS node, NULL AS parent FROM region UNION ALL SELECT 'nation ' || n_nationkey, 'region ' || n_regionkey FROM nation
+    UNION ALL SELECT 'customer ' || c_custkey, 'nation ' || c_nationkey FROM customer UNION ALL SELECT 'order ' || o_orderkey, 'customer ' || o_custkey FROM orders)"""
+#: A region, and customers that owe much.
+_GONE = f"""WITH RECURSIVE t AS {_TREE}, gone(node, depth) AS (SELECT node, 0 FROM t WHERE node = 'region 1' OR node IN (SELECT 'customer ' || c_custkey FROM customer WHERE c_acctbal < -900)
+    UNION SELECT t.node, depth + 1 FROM gone JOIN t ON t.parent = gone.node)"""
+
+
+def _tree(spark, d):
+    """Regions, nations, customers and orders as folders, volumes, pages and entities of one tree."""
+    kinds = (("region", "r_regionkey", None, None), ("nation", "n_nationkey", "region", "n_regionkey"), ("customer", "c_custkey", "nation", "c_nationkey"), ("orders", "o_orderkey", "customer", "o_custkey"))
+    name = lambda kind, c: F.concat(F.lit(f"{kind.removesuffix('s')} "), F.col(c).cast("string"))
+    each = [load(spark, d, t).select(name(t, k).alias("node"), (name(p, pk) if p else F.lit(None).cast("string")).alias("parent")) for t, k, p, pk in kinds]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
+def _gone(spark, d):
+    poor = load(spark, d, "customer").where("c_acctbal < -900").select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("node"))
+    return cascade.below(poor.unionByName(spark.range(1).select(F.lit("region 1").alias("node"))), _tree(spark, d))
+
+
+@register("DML2", f"{_GONE} SELECT node, parent FROM t WHERE node NOT IN (SELECT node FROM gone)")
 def dml2(spark, d):
-    gone = load(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return resolve.deleted(load(spark, d, "orders", "o_orderkey", "o_custkey"), gone, "o_custkey").select("o_orderkey")
+    """What stays when a delete goes down to all levels."""
+    return cascade.deleted(_tree(spark, d), _gone(spark, d), "node")
+
+
+@register("DML2_soft", f"{_GONE} SELECT node, min(depth)::INT AS depth, TIMESTAMP '2024-06-01' AS deleted_at FROM gone GROUP BY node")
+def dml2_soft(spark, d):
+    """What a soft delete marks, and how far below the row that was deleted it is."""
+    gone = _gone(spark, d)
+    rows = cascade.marked(_tree(spark, d), gone, "node", F.lit("2024-06-01").cast("timestamp"))
+    return rows.where("deleted_at IS NOT NULL").join(gone, "node").select("node", "depth", "deleted_at")
 
 
 # streams: STM1 to STM4 and STM6 run as such over the files of the log, and give what has landed; STM5 shows the batch form

@@ -211,3 +211,48 @@ def test_an_officer_is_told_by_a_capital(spark):
     rows = [(1, "la agente de turno" + filler), (2, "la agente Rosa llega" + filler)]
     got = {r.page_id: r.relevance for r in extract.scored_paragraphs(spark.createDataFrame(rows, "page_id int, text string"), (), 0).collect()}
     assert got == {1: 0, 2: 2}
+
+
+def test_deletes_go_down_trees_and_cycles(spark):
+    from foliospark.operators import cascade
+
+    links = [("a", None), ("b", "a"), ("c", "b"), ("c", "a"), ("d", "c"), ("x", "y"), ("y", "x"), (None, "a"), ("lone", None), ("b", "a")] + [(f"n{i}", f"n{i - 1}" if i else "d") for i in range(12)]
+    tree = spark.createDataFrame(links, "node string, parent string")
+    roots = lambda *n: spark.createDataFrame([(x,) for x in n], "node string")
+    got = {r.node: r.depth for r in cascade.below(roots("b", "x", "not there", "x"), tree).collect()}
+    assert got == {"b": 0, "c": 1, "d": 2, "x": 0, "y": 1} | {f"n{i}": i + 3 for i in range(12)}
+    gone = cascade.below(roots("d"), tree)
+    rows = spark.createDataFrame([("d", 1), ("n11", 2), ("a", 3), (None, 4)], "node string, v int")
+    assert values(cascade.deleted(rows, gone, "node"), "v") == [(3,), (4,)]
+    marked = cascade.marked(rows, gone, "node", F.lit("2024-01-02").cast("timestamp"))
+    again = cascade.marked(marked, cascade.below(roots("a"), tree), "node", F.lit("2025-01-01").cast("timestamp"))
+    assert {(r.v, r.deleted_at and r.deleted_at.year) for r in again.collect()} == {(1, 2024), (2, 2024), (3, 2025), (4, None)}
+    assert values(cascade.visible(cascade.restored(again, roots("a"), "node")), "v") == [(3,), (4,)]
+    assert cascade.below(roots("a"), tree.limit(0)).count() == 0
+
+
+def test_similar_values_of_a_catalog(spark):
+    from foliospark.operators import trigrams
+
+    names = ["Centro", "Centro Histórico", "Roma Norte", "roma sur", "Condesa", "", None, "X", "Del Valle Centro"]
+    catalog = spark.createDataFrame([(n, i % 2) for i, n in enumerate(names)] + [("Centro", 0)], "area string, rank int")
+    typed = spark.createDataFrame([("centor",), ("oma",), ("x",), ("",), (None,), ("zzz",), ("centor",), ("centr",)], "typed string")
+    got = trigrams.autocompleted(typed, catalog, "area", n=3).collect()
+
+    def grams(t):
+        words = "".join(c if c.isalnum() else " " for c in t.lower()).split()
+        return {f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)}
+
+    want = set()
+    for q in ("centor", "oma", "x", "zzz", "centr"):
+        score = {n: len(grams(n) & grams(q)) / len(grams(n) | grams(q)) for n in names if n}
+        best = sorted((n for n in score if score[n] > 0.2 or q in n.lower()), key=lambda n: (-score[n], n))[:3]
+        want |= {(q, n, round(score[n], 6), i + 1) for i, n in enumerate(best)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want) >= 5
+    own = [(1, "06000", "Centro", "Calle", "1"), (2, "06000", "Cntro", "", None), (3, "99999", "Centro", "C", "1"), (4, None, None, "C", "1"), (5, "06000", "", "C", "1")]
+    postal = spark.createDataFrame([("06000", "Centro"), ("06000", "Centro"), ("06000", "Roma"), (None, "x"), ("07000", "Cntra")], "postal_code string, area string")
+    out = {r.id: (r.known_code, r.known_pair, r.suggestions, r.faults) for r in trigrams.checked_address(spark.createDataFrame(own, "id int, postal_code string, area string, road string, number string"), postal).collect()}
+    assert out == {
+        1: (True, True, [], []), 2: (True, False, ["Centro"], ["area of another code", "no road", "no number"]), 3: (False, False, [], ["unknown code"]),
+        4: (False, False, [], ["no code", "no area"]), 5: (True, False, [], ["no area"]),
+    }
