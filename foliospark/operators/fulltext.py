@@ -1,7 +1,7 @@
 """A persisted inverted index of analysed words, and searches that read one bucket for each term.
 
-The index is four Parquet tables below one path: postings (token, page_id, tf, offsets) and terms (token, df, cf) by bucket of the token,
-deletes (key, token) by bucket of the key, and pages (page_id). A token's bucket is a partition of the files, so that a search opens
+The index is four Parquet tables below one path: lists (token, pages, tfs: a row for each token of a block of pages) and terms (token, df, cf) by
+bucket of the token, deletes (key, token) by bucket of the key, and pages (page_id). A token's bucket is a partition of the files, so that a search opens
 those of its terms only; within a bucket rows are sorted by token, so that the statistics of the row groups prune most of the rest.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from foliospark.functions import text as T
 from foliospark.session import scratch
 
-BUCKETS, SPREAD = 32, 4  # by token; parts of each bucket by page, so that no word is one task's alone
+BUCKETS, SPREAD = 32, 4  # by token; parts of each bucket, so that no word is one task's alone
+BLOCK = 1 << 20
 WORD = re.compile(r"[^\W_]+")
 #: Endings that the stemmer takes off words, the longest one that leaves four letters. They are folded, as the words are.
 ENDINGS = (
@@ -45,38 +47,55 @@ class Analyser:
         return list(dict.fromkeys(self.word(w) for w in WORD.findall(plain) if w not in self.stop))
 
 
-def postings(pages: DataFrame, analyser: Analyser = Analyser(), text: str = "text", key: str = "page_id") -> DataFrame:
-    """token, page_id, tf, offsets (of the words' first characters, from 0) of each page's distinct tokens; no shuffle.
+def lists(pages: DataFrame, analyser: Analyser = Analyser(), text: str = "text", key: str = "page_id") -> DataFrame:
+    """token, pages, tfs: for each token of a block of pages these pages and how often each has it; no shuffle.
 
-    Pages without words have none. Folding and lower-casing are done by Spark, words are found and gathered in Arrow batches.
+    A block is what follows in the input, with about BLOCK characters of text, or one longer page. Pages without words are in no list. Folding and lower-casing are
+    done by Spark, words are found and gathered in Arrow batches.
     """
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str | None] = {}
+
+        def token(w: str) -> str | None:
+            if w not in known:
+                if len(known) > 1 << 17:
+                    known.clear()
+                known[w] = None if w in analyser.stop else analyser.word(w)
+            return known[w]
+
         for batch in batches:
-            rows, tokens, offsets, ends = [], [], [], [0]
-            for i, body in enumerate(batch.column(1).to_pylist()):
-                found: dict[str, list[int]] = {}
-                for m in WORD.finditer(body or ""):
-                    w = m[0]
-                    if w not in known:
-                        if len(known) > 1 << 18:
-                            known.clear()
-                        known[w] = None if w in analyser.stop else analyser.word(w)
-                    if (t := known[w]) is not None:
-                        found.setdefault(t, []).append(m.start())
-                for t, at in found.items():
-                    rows.append(i)
-                    tokens.append(t)
-                    offsets += at
-                    ends.append(len(offsets))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(offsets, pa.int32()))
-            counts = [b - a for a, b in itertools.pairwise(ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(counts, pa.int64()), lists], names=["token", "page_id", "tf", "offsets"])
+            found: dict[str, tuple[list[int], list[int]]] = {}
+            size = 0
+            for i in range(batch.num_rows):
+                body = batch.column(1)[i].as_py() or ""
+                size += len(body)
+                counts = Counter(filter(None, map(token, WORD.findall(body))))
+                for t, n in counts.items():
+                    at, tfs = found.setdefault(t, ([], []))
+                    at.append(i)
+                    tfs.append(n)
+                if found and (size > BLOCK or i == batch.num_rows - 1):
+                    ends = pa.array(list(itertools.accumulate((len(at) for at, _ in found.values()), initial=0)), pa.int32())
+                    rows = pa.array([i for at, _ in found.values() for i in at], pa.int64())
+                    tfs = pa.array([n for _, ns in found.values() for n in ns], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.ListArray.from_arrays(ends, batch.column(0).take(rows)), pa.ListArray.from_arrays(ends, tfs)], names=["token", "pages", "tfs"])
+                    found, size = {}, 0
 
     folded = F.lower(T.fold(text))
-    return pages.select(F.col(key).alias("page_id"), folded.alias("body")).mapInArrow(run, f"token string, page_id {kind}, tf long, offsets array<int>")
+    return pages.select(F.col(key).alias("page_id"), folded.alias("body")).mapInArrow(run, f"token string, pages array<{kind}>, tfs array<long>")
+
+
+def unlisted(rows: DataFrame, *others: str) -> DataFrame:
+    """token, page_id, tf of lists(), and other columns of theirs."""
+    each = rows.select("token", *others, F.inline(F.arrays_zip(F.col("pages").alias("page_id"), F.col("tfs").alias("tf"))))
+    return each.select("token", F.col("pages").alias("page_id"), F.col("tfs").alias("tf"), *others) if "pages" in each.columns else each
+
+
+def postings(pages: DataFrame, analyser: Analyser = Analyser(), text: str = "text", key: str = "page_id") -> DataFrame:
+    """token, page_id, tf of each page's distinct tokens; no shuffle."""
+    return unlisted(lists(pages, analyser, text, key))
 
 
 def bucket(token: Column | str) -> Column:
@@ -118,7 +137,7 @@ class Index:
 
     def table(self, name: str) -> DataFrame:
         columns = {
-            "postings": f"token string, page_id {self.kind}, tf long, offsets array<int>, bucket int", "terms": "token string, df long, cf long, bucket int",
+            "lists": f"token string, pages array<{self.kind}>, tfs array<long>, bucket int", "terms": "token string, df long, cf long, bucket int",
             "deletes": "token string, key string, bucket int", "pages": f"page_id {self.kind}",
         }
         return self.spark.read.schema(columns[name]).parquet(f"{self.path}/{name}")
@@ -127,15 +146,16 @@ class Index:
 def build(pages: DataFrame, analyser: Analyser = Analyser(), path: str | None = None, text: str = "text", key: str = "page_id", fuzzy: bool = False) -> Index:
     """Writes the index of all pages and their whole texts to path, by default to one in the shared folder that goes with the session.
 
-    The words are found once; terms are counted from the written postings, with partial sums.
+    The words are found once; terms are counted from the written lists, with partial sums.
     """
     spark = pages.sparkSession
     path = path or scratch(spark, "index")
-    found = postings(pages, analyser, text, key).withColumn("bucket", bucket("token"))
-    dealt = found.repartition("bucket", F.pmod(F.xxhash64("page_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "token")
-    dealt.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    found = lists(pages, analyser, text, key).withColumn("bucket", bucket("token"))
+    dealt = found.repartition("bucket", F.pmod(F.xxhash64("pages"), F.lit(SPREAD))).sortWithinPartitions("bucket", "token")
+    dealt.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/lists")
     made = Index(spark, path, analyser, pages.schema[key].dataType.simpleString())
-    terms = made.table("postings").groupBy("bucket", "token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    sizes = made.table("lists").select("bucket", "token", F.size("pages").cast("long").alias("n"), F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x).alias("m"))
+    terms = sizes.groupBy("bucket", "token").agg(F.sum("n").alias("df"), F.sum("m").alias("cf"))
     terms.repartition("bucket").sortWithinPartitions("token").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/terms")
     if fuzzy:
         _deletes(made.table("terms").select("token")).repartition("bucket").sortWithinPartitions("key").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/deletes")
@@ -175,7 +195,7 @@ def expanded(index: Index, query: str, fuzzy: bool = False) -> DataFrame:
 
 
 def search(index: Index, query: str, n: int = 20, fuzzy: bool = False) -> DataFrame:
-    """page_id, score, matched, hits (offset and token of each hit): the n pages of the largest score, ties to smaller ids.
+    """page_id, score, matched, tokens: the n pages of the largest score, ties to smaller ids.
 
     A token adds its tf times the logarithm of (pages + 1) / (df + 1), times its weight; matched counts the tokens. The words' buckets alone are read: those of
     an exact query are literals, those of a fuzzy one are pruned when its tokens are known.
@@ -184,18 +204,28 @@ def search(index: Index, query: str, n: int = 20, fuzzy: bool = False) -> DataFr
     tokens = expanded(index, query, fuzzy).withColumn("idf", F.log((total + 1) / (F.col("df") + 1)) * F.col("weight"))
     best = tokens.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy(F.col("weight").desc(), "term"))).where("k = 1")
     words = index.analyser.words(query)
-    rows = index.table("postings") if fuzzy else index.table("postings").where(_within(_buckets(index.spark, words), "token", words) if words else F.lit(False))
-    met = rows.join(best.withColumn("bucket", bucket("token")).select("bucket", "token", "idf"), ["bucket", "token"])
-    hits = F.flatten(F.collect_list(F.transform("offsets", lambda o: F.struct(o.alias("offset"), F.col("token")))))
-    scored = met.groupBy("page_id").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"), F.count("*").alias("matched"), F.sort_array(hits).alias("hits"))
+    rows = index.table("lists") if fuzzy else index.table("lists").where(_within(_buckets(index.spark, words), "token", words) if words else F.lit(False))
+    met = unlisted(rows.join(best.withColumn("bucket", bucket("token")).select("bucket", "token", "idf"), ["bucket", "token"]), "idf")
+    scored = met.groupBy("page_id").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"), F.count("*").alias("matched"), F.sort_array(F.collect_list("token")).alias("tokens"))
     return scored.orderBy(F.col("score").desc(), "page_id").limit(n)
 
 
-def highlighted(found: DataFrame, pages: DataFrame, fragments: int = 3, size: int = 150, text: str = "text") -> DataFrame:
-    """found (page_id, hits) with highlights: up to that many fragments of size characters around hits in order, none overlapping another."""
-    begin = lambda o: F.greatest(o["offset"] - size // 2, F.lit(0))
-    zero = F.array().cast("array<int>")
-    free = lambda all_, o: (F.size(all_) == 0) | (begin(o) >= F.element_at(all_, -1) + size)
-    starts = F.aggregate("hits", zero, lambda all_, o: F.when((F.size(all_) < fragments) & free(all_, o), F.concat(all_, F.array(begin(o)))).otherwise(all_))
-    met = pages.select("page_id", F.col(text).alias("_body")).join(found, "page_id")
-    return met.withColumn("highlights", F.transform(starts, lambda at: F.substring(F.col("_body"), at + 1, F.lit(size)))).drop("_body", "hits")
+def highlighted(found: DataFrame, pages: DataFrame, analyser: Analyser = Analyser(), fragments: int = 3, size: int = 150, text: str = "text") -> DataFrame:
+    """found (page_id, tokens; few, as search() gives them) with highlights: up to that many fragments of size characters around the tokens in order, none
+    overlapping another. Only the texts of these pages are read into words again."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = []
+            for body, tokens in zip(batch.column("_folded").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                own: list[int] = []
+                for m in WORD.finditer(body or ""):
+                    at = max(m.start() - size // 2, 0)
+                    if len(own) < fragments and (not own or at >= own[-1] + size) and m[0] not in analyser.stop and analyser.word(m[0]) in tokens:
+                        own.append(at)
+                starts.append(own)
+            yield batch.append_column("_starts", pa.array(starts, pa.list_(pa.int32())))
+
+    met = pages.select("page_id", F.col(text).alias("_body"), F.lower(T.fold(text)).alias("_folded")).join(found, "page_id")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in met.schema)
+    shown = met.mapInArrow(run, f"{kinds}, _starts array<int>")
+    return shown.withColumn("highlights", F.transform("_starts", lambda at: F.substring(F.col("_body"), at + 1, F.lit(size)))).drop("_body", "_folded", "_starts")

@@ -13,6 +13,7 @@ from foliospark.plans.sequences import gap_sql
 from foliospark.session import scratch
 from foliospark.sources.catalog import audit, load, pages, proceedings
 from foliospark.streaming import audit as stream
+from foliospark.streaming import cache
 
 
 @register("QRY1", f"SELECT id, kind, day, c_name AS folder FROM {O} JOIN customer ON folder_id = c_custkey WHERE kind ILIKE '%urgent%' AND day BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' ORDER BY day, id LIMIT 50 OFFSET 50")
@@ -259,3 +260,20 @@ def stm5_bursts(spark, d):
 def stm6(spark, d):
     beats = _log(spark, d).select(F.col("user_id").cast("string").alias("source"), "ts")
     return stream.landed(stream.stale(beats, "2024-01-29", 0), scratch(spark, "stm6"), "complete").withColumn("last", F.col("last").cast("timestamp_ntz"))
+
+
+@register("STM7", f"""SELECT id, CASE WHEN action = 'signup' THEN 'stored' WHEN epoch_ms(ts) - epoch_ms(put) < 604800000 THEN 'hit' ELSE 'miss' END AS outcome,
+    CASE WHEN action = 'signup' OR epoch_ms(ts) - epoch_ms(put) < 604800000 THEN held END AS value FROM (SELECT id, ts, action, last_value(CASE WHEN action = 'signup' THEN ts END IGNORE NULLS) OVER w AS put,
+    last_value(CASE WHEN action = 'signup' THEN id::VARCHAR END IGNORE NULLS) OVER w AS held FROM {E} WINDOW w AS (PARTITION BY user_id ORDER BY epoch_ms(ts), id))""")
+def stm7(spark, d):
+    """A user's sign-ups are kept for a week, and other events ask for the last one."""
+    asked = _log(spark, d).select(F.col("user_id").cast("string").alias("key"), "id", "ts", F.when(F.col("action") == "signup", F.col("id").cast("string")).alias("value"))
+    return stream.landed(cache.cached(asked, 604_800), scratch(spark, "stm7")).where("outcome <> 'expired'").select("id", "outcome", "value")
+
+
+@register("STM8", f"SELECT id, action FROM {E}")
+def stm8(spark, d):
+    """The log is copied, stopped as soon as may be, and taken up again until all has come: each row is there once."""
+    rows, path = _log(spark, d).select("id", "action"), scratch(spark, "stm8")
+    stream.landed_while(rows, path, lambda done: False)
+    return stream.landed(rows, path)

@@ -126,7 +126,7 @@ _TOK = "(SELECT page_id, unnest(string_split_regex(translate(lower(text), 'áé
 
 @register("SNK8", f"SELECT token, page_id, count(*) AS tf FROM {_TOK} WHERE token <> '' GROUP BY ALL")
 def snk8(spark, d):
-    return fulltext.postings(pages(spark, d)).select("token", "page_id", "tf")
+    return fulltext.postings(pages(spark, d))
 
 
 @register("SNK9", f"SELECT id, action, '***' AS password, (props->>'$.k') AS k FROM {E}")

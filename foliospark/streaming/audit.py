@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -80,23 +81,62 @@ def table_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return stream(spark, f"{path[:-1]}[{path[-1]}]", spark.read.parquet(path).schema, files_per_trigger)
 
 
+def _landing(df: DataFrame, path: str, mode: str):
+    """A started query that writes each batch below path, with its number; what comes again after a failure overwrites what came before."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={number}")
+
+    return df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+
+
+def _rows(df: DataFrame, path: str, mode: str) -> DataFrame:
+    spark, rows = df.sparkSession, f"{path}/rows"
+    at = spark._jvm.org.apache.hadoop.fs.Path(rows)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], df.schema)  # no batch came
+    out = spark.read.parquet(rows)
+    return out.drop("batch") if mode == "append" else out
+
+
 def landed(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """What the streaming plan gives for all that is there now, as a table below path; its checkpoint lies there too.
 
     append: rows that are final. update: each batch's rows, with its number in batch. complete: the state after the last
     batch. A batch that comes again after a failure overwrites what it wrote before.
     """
-    rows, spark = f"{path}/rows", df.sparkSession
+    _landing(df, path, mode).awaitTermination()
+    return _rows(df, path, mode)
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(rows if mode == "complete" else f"{rows}/batch={number}")
 
-    query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    if not spark._jvm.org.apache.hadoop.fs.Path(rows).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(rows)):
-        return spark.createDataFrame([], df.schema)  # no batch came
-    out = spark.read.parquet(rows)
-    return out.drop("batch") if mode == "append" else out
+def landed_while(df: DataFrame, path: str, go: Callable[[int], bool], mode: str = "append", poll: float = 0.2) -> bool:
+    """landed() that can be stopped: go gets the number of batches that are done, and ends the query when it says no. True when all that was there has come.
+
+    The query stops between batches or within one, whose jobs are cancelled. The next call with the same path goes on from the checkpoint: the batch that was cut short
+    comes again under its number, so that no row is lost and none comes twice.
+    """
+    query = _landing(df, path, mode)
+    while not query.awaitTermination(poll):
+        last = query.lastProgress
+        if not go(0 if last is None else last["batchId"] + 1):
+            query.stop()
+            query.awaitTermination()
+            return False
+    return True
+
+
+@contextmanager
+def tagged(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs that the block starts in this thread bear the tag, by which cancel() finds them from any other."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Ends the running jobs that bear the tag; their blocks get an error. What they had not committed is gone, other work goes on."""
+    spark.sparkContext.cancelJobsWithTag(tag)
 
 
 def progress(query) -> dict:

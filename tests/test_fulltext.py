@@ -15,9 +15,8 @@ def frame(spark):
 
 
 def test_postings(spark):
-    got = {(r.page_id, r.token): (r.tf, r.offsets) for r in fulltext.postings(frame(spark)).collect() if r.page_id in (1, 4, 5, 6)}
-    assert got[1, "declaracion"] == (1, [3]) and got[1, "2020"][0] == 1 and got[6, "la"] == (3, [0, 3, 6])
-    assert got[4, "testigo"] == (1, [9]) and got[5, "testigo"] == (1, [30_000]) and got[5, "nada"][0] == 3000
+    got = {(r.page_id, r.token): r.tf for r in fulltext.postings(frame(spark)).collect() if r.page_id in (1, 4, 5, 6)}
+    assert got[1, "declaracion"] == 1 and got[1, "2020"] == 1 and got[6, "la"] == 3 and got[4, "testigo"] == 1 and got[5, "testigo"] == 1 and got[5, "nada"] == 3000
     stemmed = {(r.page_id, r.token): r.tf for r in fulltext.postings(frame(spark), fulltext.Analyser(("la", "del"), True)).collect() if r.page_id in (1, 4, 6)}
     assert stemmed[1, "declar"] == 2 and stemmed[4, "testig"] == 2 and (6, "la") not in stemmed
 
@@ -70,6 +69,5 @@ def test_highlights(spark):
     index = fulltext.build(pages)
     got = {r.page_id: r.highlights for r in fulltext.highlighted(fulltext.search(index, "nada testigo"), pages).collect()}
     text = PAGES[4][1]
-    assert got[4] == [PAGES[3][1]] and got[5] == [text[:150], text[155:305], text[305:455]] or len(got[5]) == 3
-    assert all(len(h) == 150 for h in got[5])
+    assert got[4] == [PAGES[3][1]] and got[5] == [text[:150], text[155:305], text[305:455]]
     assert fulltext.build(pages.limit(0)).table("terms").agg(F.count("*")).first()[0] == 0
