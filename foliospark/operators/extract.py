@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import dates as D
 from foliospark.functions import text as T
-from foliospark.operators import classify
+from foliospark.operators import classify, likeness
 
 PHONES = (r"(?<!\d)\d{10}(?!\d)", r"(?<!\d)\d{2}[ -]\d{4}[ -]\d{4}(?!\d)", r"(?<!\d)\d{3}[ -]\d{3}[ -]\d{4}(?!\d)")
 LETTERS = (r"(?iu)\boficio\s+(?:n[uú]mero\s+|no\.?\s*)?([A-Z0-9][A-Z0-9/-]{2,})", r"\b([A-Z]{2,5}/\d{2,6}/\d{4})\b")
@@ -115,6 +115,27 @@ def candidates(pages: DataFrame) -> DataFrame:
     return names.unionByName(areas).distinct()
 
 
+def entities(pages: DataFrame) -> DataFrame:
+    """page_id, kind, match, position of dates, places and persons, each find once."""
+    own = lambda df, kind: df.select("page_id", F.lit(kind).alias("kind"), "match", "position")
+    names = persons(pages).withColumnRenamed("name", "match")
+    found = own(spans(pages, DATES), "date").unionByName(places(pages).select("page_id", "kind", "match", "position")).unionByName(own(names, "person"))
+    return found.distinct()
+
+
+def distinct_entities(found: DataFrame, least: float = 0.78) -> DataFrame:
+    """found (page_id, kind, match, position) without those of a page and kind that are like a longer one, with a ratio of least, or a part of it."""
+    placed = found.withColumns({"_of": F.to_json(F.struct("page_id", "kind")), "_at": F.col("position").cast("long") * (1 << 20) + F.length("match")})
+    return likeness.greedy(placed, "_of", "match", "_at", likeness.ratcliff(least), longest_first=True).drop("_of", "_at")
+
+
+def entity_summary(found: DataFrame) -> DataFrame:
+    """page_id, n, summary of a page's entities: kinds in order of the alphabet, each with its finds in order of the text."""
+    each = found.groupBy("page_id", "kind").agg(F.sort_array(F.collect_list(F.struct("position", "match")))["match"].alias("found"))
+    line = F.struct("kind", F.concat_ws(": ", "kind", F.array_join("found", ", ")).alias("line"))
+    return each.groupBy("page_id").agg(F.sum(F.size("found")).alias("n"), F.array_join(F.sort_array(F.collect_list(line))["line"], "; ").alias("summary"))
+
+
 def page_entities(pages: DataFrame) -> DataFrame:
     """page_id, kind, match of the six categories of a page: date, proceeding, person, place, phone, letter."""
     own = lambda df, kind: df.select("page_id", F.lit(kind).alias("kind"), "match")

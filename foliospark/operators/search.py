@@ -22,7 +22,8 @@ def require_share(value: float) -> float:
 
 
 def context(text: Column, at: Column, size: int | Column, around: int = 150) -> tuple[Column, Column, Column]:
-    """Start and end (from 0) of the hit's context, widened to word ends, and the trimmed context with dots where cut."""
+    """Start and end (from 0) of the hit's context, widened to the ends of the words there by up to 40 characters (a longer word is cut), and the trimmed
+    context with dots where cut."""
     lo, hi = F.greatest(at - around, F.lit(0)), F.least(at + size + around, F.length(text))
     left = F.length(F.regexp_extract(F.substring(text, F.greatest(lo - 40, F.lit(0)) + 1, F.least(lo, F.lit(40))), r"\S*$", 0))
     right = F.length(F.regexp_extract(F.substring(text, hi + 1, F.lit(40)), r"^\S*", 0))

@@ -127,8 +127,10 @@ def ext22(spark, d):
     return extract.page_alerts(counts)
 
 
-_noted("EXT23", "SELECT page_id, kind, match FROM (" + union(*_DATES, *_PLACED, *_NAMED, names="page_id, kind, match") + ")",
-    lambda p: extract.spans(p, extract.DATES).select("page_id", F.lit("date").alias("kind"), "match").unionByName(extract.places(p).select("page_id", "kind", "match")).unionByName(extract.persons(p).select("page_id", F.lit("person").alias("kind"), F.col("name").alias("match"))))
+_FOUND = "(SELECT page_id, kind, match FROM (" + union(*_DATES, *_PLACED, *_NAMED, names="page_id, kind, match") + "))"
+_noted("EXT23", f"SELECT page_id, kind, match FROM {_FOUND}", lambda p: extract.distinct_entities(extract.entities(p)).select("page_id", "kind", "match"))
+_noted("EXT23_summary", f"""SELECT page_id, sum(n)::BIGINT AS n, string_agg(kind || ': ' || found, '; ' ORDER BY kind) AS summary FROM (SELECT page_id, kind, count(*) AS n, string_agg(match, ', ' ORDER BY strpos(text, match)) AS found
+    FROM {_FOUND} JOIN (SELECT page_id, {TEXT} AS text FROM {N}) USING (page_id) GROUP BY page_id, kind) GROUP BY page_id""", lambda p: extract.entity_summary(extract.distinct_entities(extract.entities(p))))
 _noted("EXT24", union(("k = 0", "page_id", "'long'", "day(day)", "month(day)", "year(day)", "3"), ("k = 1", "page_id", "'numeric'", "day(day)", "month(day)", "year(day)", "14"), ("k = 2", "page_id", "'iso'", "day(day)", "month(day)", "year(day)", "14"), ("k = 6", "page_id", "'month'", "1", "month(day)", "year(day)", f"strpos({TEXT}, m || ' de ' || y) - 1"), ("k = 7", "page_id", "'short'", "day(day)", "month(day)", "year(day)", "9"), names="page_id, kind, day, month, year, position"),
     lambda p: extract.spans(p, extract.DATES).withColumn("at", D.parse_date("match")).where("at IS NOT NULL").select("page_id", "kind", F.dayofmonth("at").cast("long").alias("day"), F.month("at").cast("long").alias("month"), F.year("at").cast("long").alias("year"), "position"))
 

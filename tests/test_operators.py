@@ -256,3 +256,11 @@ def test_similar_values_of_a_catalog(spark):
         1: (True, True, [], []), 2: (True, False, ["Centro"], ["area of another code", "no road", "no number"]), 3: (False, False, [], ["unknown code"]),
         4: (False, False, [], ["no code", "no area"]), 5: (True, False, [], ["no area"]),
     }
+
+
+def test_entities_like_longer_ones_go(spark):
+    rows = [(1, "person", "Ana Ruiz Paz", 3), (1, "person", "Ana Ruiz", 40), (1, "person", "Ana Ruiz Pas", 60), (1, "date", "Ana Ruiz", 5), (2, "person", "Ana Ruiz", 1), (1, "person", "Luis Mora", 70), (1, "person", "LUIS MORA", 90)]
+    found = spark.createDataFrame(rows, "page_id int, kind string, match string, position int").repartition(3)
+    kept = extract.distinct_entities(found)
+    assert values(kept, "page_id", "kind", "position") == [(1, "date", 5), (1, "person", 60), (1, "person", 90), (2, "person", 1)]
+    assert values(extract.entity_summary(kept), "page_id", "n", "summary") == [(1, 3, "date: Ana Ruiz; person: Ana Ruiz Pas, LUIS MORA"), (2, 1, "person: Ana Ruiz")]
