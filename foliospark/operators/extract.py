@@ -69,6 +69,53 @@ def _placed(body: Column, kind: str, pattern: str) -> Column:
     return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), zero, place, lambda a: a["all"])
 
 
+#: Kinds of proceedings, and of what a reader is to look after, by words that name them.
+ACTS = {
+    "interview": r"entrevistas?", "inspection": r"inspecci(?:[oó]n|ones)", "statement": r"declaraci(?:[oó]n|ones)", "letter": r"oficios?", "hearing": r"audiencias?", "report": r"informes?|dict[aá]men(?:es)?",
+    "summons": r"citatorios?|citaci(?:[oó]n|ones)", "notification": r"notificaci(?:[oó]n|ones)", "search": r"cateos?", "arrest": r"detenci(?:[oó]n|ones)|aprehensi(?:[oó]n|ones)", "complaint": r"denuncias?|querellas?",
+    "appearance": r"comparecencias?", "certificate": r"constancias?|certificaci(?:[oó]n|ones)", "custody": r"cadenas? de custodia", "agreement": r"acuerdos?",
+}
+ALERTS = {
+    "pending": r"pendientes?|por desahogar|falta(?:n)? recabar", "unserved": r"no (?:se )?(?:pudo|fue posible) notificar|sin notificar", "overdue": r"fuera de plazo|plazo vencido|vencid[oa]s?",
+    "missing": r"no constan?|sin (?:oficio|firma|sello|respuesta)",
+}
+
+
+def worded(pages: DataFrame, kinds: dict[str, str], around: int = 100, keep: tuple[str, ...] = ("page_id",), text: str = "text") -> DataFrame:
+    """spans() of whole words in any case, with one pass for all kinds: where two begin at one place the first kind has it, and none lie within another."""
+    both = rf"(?iu)\b(?:{'|'.join(kinds.values())})\b"
+    found = spans(pages, {"word": both}, around, keep, text)
+    exact = tuple((k, rf"(?iu)^(?:{p})$") for k, p in kinds.items())
+    return found.withColumn("kind", first_fit(F.col("match"), exact))
+
+
+def alerts_in_text(pages: DataFrame, kinds: dict[str, str] = ALERTS, text: str = "text") -> DataFrame:
+    """page_id, alert, n, first: how often a page's text gives reason for an alert, and the words of the first one."""
+    found = worded(pages, kinds, 0, text=text)
+    return found.groupBy("page_id", F.col("kind").alias("alert")).agg(F.count("*").alias("n"), F.min_by("match", "position").alias("first"))
+
+
+def scanned_lines(books: DataFrame, kinds: dict[str, str] = ACTS, marker: str = r"(?iu)^\W*p[aá]g(?:ina|\.)?\s+(\d+)", around: int = 5, text: str = "text") -> DataFrame:
+    """book, page, line_no, kind, line, context: the first line of each kind on each page of a book (book, text), in one pass over its lines.
+
+    A line that the marker fits says which page the lines from there on are of; null before the first. A line is of the first kind whose word it has. context
+    are the lines up to around before and after it. A book is one row, as its text is.
+    """
+    any_ = rf"(?iu)\b(?:{'|'.join(kinds.values())})\b"
+    whole = tuple((k, rf"(?iu)\b(?:{p})\b") for k, p in kinds.items())
+    lines_ = books.select("book", F.split(text, "\n", -1).alias("ls"))
+    page = lambda x: F.nullif(F.regexp_extract(x, marker, 1), F.lit(""))
+    marks = F.transform("ls", lambda x, i: F.struct(i.alias("i"), page(x).alias("page"), x.rlike(any_).alias("hit")))
+    told = lines_.select("book", "ls", F.inline(F.filter(marks, lambda m: m["hit"] | m["page"].isNotNull())))
+    last = F.last("page", True).over(Window.partitionBy("book").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    low = F.greatest(F.col("i") - around, F.lit(0))
+    near = F.array_join(F.slice("ls", low + 1, F.least(F.col("i") + around + 1, F.size("ls")) - low), "\n")
+    rows = told.select("book", "i", "page", "hit", F.when(F.col("hit"), F.get("ls", F.col("i"))).alias("line"), F.when(F.col("hit"), near).alias("context"))
+    found = rows.withColumn("page", last.cast("long")).where("hit").withColumn("kind", first_fit(F.col("line"), whole))
+    first = F.row_number().over(Window.partitionBy("book", "page", "kind").orderBy("i"))
+    return found.withColumn("k", first).where("k = 1").select("book", "page", F.col("i").alias("line_no"), "kind", "line", "context")
+
+
 def dated(pages: DataFrame, now: str, **options) -> DataFrame:
     """spans of dates with day and class, where the day is plausible."""
     found = spans(pages, DATES, **options)

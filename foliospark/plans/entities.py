@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import dates as D
 from foliospark.functions import text as T
 from foliospark.operators import automaton, classify, correct, extract, search, trigrams
-from foliospark.plans.notes import DMY, LONG_DAY, NAME, SHORT_DAY, TEXT, N, notes, union
+from foliospark.plans.notes import DMY, LONG_DAY, NAME, SHORT_DAY, TEXT, N, books, notes, union
 from foliospark.plans.registry import register
 from foliospark.plans.relational import E, O, P
 from foliospark.session import scratch
@@ -84,14 +84,18 @@ _noted("EXT13", union(("k = 1", "page_id", "'Calle'", "'Hidalgo'", "num", "'Cent
 _noted("EXT14", union(*[(w, i, k) for w, i, k, _ in _ACTS], *[(w, i, "'person'") for w, i, _, _ in _NAMED], names="page_id, kind"), lambda p: extract.spans(p, extract.PROCEEDINGS).select("page_id", "kind").unionByName(extract.persons(p).select("page_id", F.lit("person").alias("kind"))))
 
 
-@register("EXT15", f"SELECT page_id, 'shing' AS kind, i AS position FROM (SELECT page_id, text AS t, unnest(range(0, length(text) - 4)) AS i FROM {P} WHERE contains(text, 'shing')) WHERE substr(t, i + 1, 5) = 'shing'")
-def ext15(spark, d):
-    return extract.spans(pages(spark, d), {"shing": "shing"}).select("page_id", "kind", F.col("position").cast("long"))
+_noted("EXT15", f"SELECT page_id, kind, match, position, substr(text, greatest(position - 100, 0) + 1, position + length(match) + 100 - greatest(position - 100, 0)) AS context FROM (SELECT page_id, kind, match, strpos(text, match) - 1 AS position, text FROM ("
+    + union(*_ACTS, ("k = 6", "page_id", "'missing'", "'no consta'"), ("k = 6", "page_id", "'missing'", "'sin oficio'"), names="page_id, kind, match") + f") JOIN (SELECT page_id, {TEXT} AS text FROM {N}) USING (page_id))",
+    lambda p: extract.worded(p, extract.ACTS).unionByName(extract.worded(p, extract.ALERTS)).select("page_id", "kind", "match", F.col("position").cast("long"), "context"))
 
 
-@register("EXT16", f"SELECT page_id, line_no - 1 AS line_no FROM (SELECT page_id, unnest(s) AS line, generate_subscripts(s, 1) AS line_no FROM (SELECT page_id, string_split(text, chr(10)) AS s FROM {P})) WHERE regexp_matches(line, '[A-Z]{{4,}}')")
+@register("EXT16", f"""WITH b AS (SELECT page_id, folder_id AS book, k, {TEXT} AS line, row_number() OVER (PARTITION BY folder_id ORDER BY page_id) AS page, count(*) OVER (PARTITION BY folder_id) AS pages FROM {N})
+    SELECT book, page, 2 * page - 1 AS line_no, CASE k WHEN 0 THEN 'statement' WHEN 1 THEN 'hearing' WHEN 2 THEN 'inspection' ELSE 'letter' END AS kind, line,
+      least(2 * page + 5, 2 * pages) - greatest(2 * page - 6, 0) AS n_context FROM b WHERE k IN (0, 1, 2, 6)""")
 def ext16(spark, d):
-    return extract.lines(pages(spark, d)).where(F.col("line").rlike("[A-Z]{4,}")).select("page_id", F.col("line_no").cast("long"))
+    """Of a line with two kinds (a statement and its letter) the first in the table of kinds counts."""
+    found = extract.scanned_lines(books(spark, d))
+    return found.select("book", "page", F.col("line_no").cast("long"), "kind", "line", F.size(F.split("context", "\n")).cast("long").alias("n_context"))
 
 
 @register("EXT17", f"""SELECT id, col, kind FROM (SELECT o_orderkey AS id, unnest(['day', 'phone', 'amount', 'name', 'kind', 'none']) AS col, unnest(['date', 'phone', 'number', 'name', 'text', 'empty']) AS kind FROM orders)""")
@@ -111,9 +115,7 @@ def ext19(spark, d):
     return extract.places(notes(spark, d)).groupBy("kind", F.lower("match").alias("place")).agg(F.count("*").alias("frequency"), F.min("page_id").alias("first_page"))
 
 
-@register("EXT20", f"SELECT page_id, len(regexp_extract_all(lower(text), 'shing'))::BIGINT AS n FROM {P} WHERE contains(lower(text), 'shing')")
-def ext20(spark, d):
-    return pages(spark, d).select("page_id", T.count_hits("text", "shing").cast("long").alias("n")).where("n > 0")
+_noted("EXT20", union(("k = 6", "page_id", "'missing'", "2", "'no consta'"), names="page_id, alert, n, first"), extract.alerts_in_text)
 
 
 @register("EXT21", union(("k IN (0, 1)", "page_id", NAME, "given", "paternal", "maternal"), ("k = 8", "page_id", _MARIA, "'María Luisa'", "'de la Vega'", "NULL"), names="page_id, name, given, paternal, maternal"))

@@ -5,7 +5,7 @@ Extraction reads the texts; SQL states the answers from the columns, without pat
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.dates import MONTHS
@@ -47,6 +47,14 @@ def notes(spark, root: str) -> DataFrame:
     return o.select("page_id", f.cast("string").alias("folder"), text.alias("text"))
 
 
+def books(spark, root: str) -> DataFrame:
+    """book, text: the notes of each folder, a line that numbers the page before each."""
+    rows = notes(spark, root).withColumn("n", F.row_number().over(Window.partitionBy("folder").orderBy("page_id")))
+    page = F.concat(F.lit("-- Página "), F.col("n").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")))
+    parts = F.sort_array(F.collect_list(F.struct("n", page.alias("page"))))["page"]
+    return rows.groupBy(F.col("folder").cast("long").alias("book")).agg(F.array_join(parts, "\n").alias("text"))
+
+
 def _list(words: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 

@@ -264,3 +264,20 @@ def test_entities_like_longer_ones_go(spark):
     kept = extract.distinct_entities(found)
     assert values(kept, "page_id", "kind", "position") == [(1, "date", 5), (1, "person", 60), (1, "person", 90), (2, "person", 1)]
     assert values(extract.entity_summary(kept), "page_id", "n", "summary") == [(1, 3, "date: Ana Ruiz; person: Ana Ruiz Pas, LUIS MORA"), (2, 1, "person: Ana Ruiz")]
+
+
+def test_proceedings_and_alerts_by_their_words(spark):
+    texts = {1: "La ENTREVISTA y dos inspecciones; desinspección no. Oficio pendiente", 2: "no se pudo notificar, sin firma; sin firmas", 3: None, 4: "", 5: "cadena de custodia vencida. Cadenas de custodia"}
+    df = spark.createDataFrame(list(texts.items()), "page_id int, text string")
+    assert values(extract.worded(df, extract.ACTS), "page_id", "kind", "match") == [(1, "inspection", "inspecciones"), (1, "interview", "ENTREVISTA"), (1, "letter", "Oficio"), (5, "custody", "Cadenas de custodia"), (5, "custody", "cadena de custodia")]
+    assert values(extract.alerts_in_text(df), "page_id", "alert", "n", "first") == [(1, "pending", 1, "pendiente"), (2, "missing", 1, "sin firma"), (2, "unserved", 1, "no se pudo notificar"), (5, "overdue", 1, "vencida")]
+
+
+def test_lines_know_their_page(spark):
+    text = "oficio antes\n** PÁGINA 3 **\nnada\nla audiencia\notra audiencia y oficio\npág. 4 oficio\n" + "x\n" * 9 + "Página: no\ninforme"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "book int, text string")
+    got = extract.scanned_lines(df, around=1)
+    assert values(got, "page", "line_no", "kind", "context") == [
+        (None, 0, "letter", "oficio antes\n** PÁGINA 3 **"), (3, 3, "hearing", "nada\nla audiencia\notra audiencia y oficio"), (3, 4, "letter", "la audiencia\notra audiencia y oficio\npág. 4 oficio"),
+        (4, 5, "letter", "otra audiencia y oficio\npág. 4 oficio\nx"), (4, 16, "report", "Página: no\ninforme"),
+    ]
