@@ -1,7 +1,7 @@
 """A persisted inverted index of analysed words, and searches that read one bucket for each term.
 
-The index is four Parquet tables below one path: lists (token, pages, tfs: a row for each token of a block of pages) and terms (token, df, cf) by
-bucket of the token, deletes (key, token) by bucket of the key, and pages (page_id). A token's bucket is a partition of the files, so that a search opens
+The index is three Parquet tables below one path: lists (token, pages, tfs: a row for each token of a block of pages) and terms (token, df, cf) by
+bucket of the token, and pages (page_id). A token's bucket is a partition of the files, so that a search opens
 those of its terms only; within a bucket rows are sorted by token, so that the statistics of the row groups prune most of the rest.
 """
 
@@ -102,32 +102,11 @@ def bucket(token: Column | str) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
 
 
-def deletions(word: str, k: int) -> list[str]:
-    """The word without up to k of its letters. Two words within k edits share one of these."""
-    out = {word}
-    for _ in range(k):
-        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
-    return sorted(out)
-
-
 def fuzziness(word: str) -> int:
     """Edits allowed by length: none up to two letters, one up to five, then two."""
     return 0 if len(word) < 3 else 1 if len(word) < 6 else 2
 
 
-def _deletes(terms: DataFrame) -> DataFrame:
-    """key, token, bucket: the deletions of each distinct term, as far as fuzziness() of a query of its length may need: letters that are dropped are told by
-    their places, so that no row meets another."""
-    drop = lambda w, i: F.concat(F.substring(w, F.lit(1), i), F.substring(w, i + 2, F.length(w)))
-    once = lambda w: F.transform(F.sequence(F.lit(0), F.length(w) - 1), lambda i: drop(w, i))
-    t = F.col("token")
-    one = F.when(F.length(t) > 1, once(t)).otherwise(F.array().cast("array<string>"))
-    two = F.when(F.length(t) > 3, F.flatten(F.transform(one, once))).otherwise(F.array().cast("array<string>"))
-    keys = F.array_distinct(F.concat(F.array(t), one, two))
-    few = terms.where(F.length("token").between(2, 24)).select("token", F.explode(keys).alias("key"))
-    return few.withColumn("bucket", bucket("key"))
-
-
 @dataclass(frozen=True)
 class Index:
     spark: SparkSession
@@ -138,12 +117,12 @@ class Index:
     def table(self, name: str) -> DataFrame:
         columns = {
             "lists": f"token string, pages array<{self.kind}>, tfs array<long>, bucket int", "terms": "token string, df long, cf long, bucket int",
-            "deletes": "token string, key string, bucket int", "pages": f"page_id {self.kind}",
+            "pages": f"page_id {self.kind}",
         }
         return self.spark.read.schema(columns[name]).parquet(f"{self.path}/{name}")
 
 
-def build(pages: DataFrame, analyser: Analyser = Analyser(), path: str | None = None, text: str = "text", key: str = "page_id", fuzzy: bool = False) -> Index:
+def build(pages: DataFrame, analyser: Analyser = Analyser(), path: str | None = None, text: str = "text", key: str = "page_id") -> Index:
     """Writes the index of all pages and their whole texts to path, by default to one in the shared folder that goes with the session.
 
     The words are found once; terms are counted from the written lists, with partial sums.
@@ -157,8 +136,6 @@ def build(pages: DataFrame, analyser: Analyser = Analyser(), path: str | None =
     sizes = made.table("lists").select("bucket", "token", F.size("pages").cast("long").alias("n"), F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x).alias("m"))
     terms = sizes.groupBy("bucket", "token").agg(F.sum("n").alias("df"), F.sum("m").alias("cf"))
     terms.repartition("bucket").sortWithinPartitions("token").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/terms")
-    if fuzzy:
-        _deletes(made.table("terms").select("token")).repartition("bucket").sortWithinPartitions("key").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/deletes")
     pages.select(F.col(key).alias("page_id")).write.mode("overwrite").parquet(f"{path}/pages")
     return made
 
@@ -176,22 +153,16 @@ def _buckets(spark: SparkSession, words: list[str]) -> list[int]:
 
 def expanded(index: Index, query: str, fuzzy: bool = False) -> DataFrame:
     """term, token, df, weight of the index's tokens for each word of the query: the word itself, with fuzzy those within fuzziness() edits too, which
-    weigh less by their share of edited letters."""
+    weigh less by their share of edited letters: the term table is read once for these, and only tokens of about a word's length are compared."""
     words = index.analyser.words(query)
     if not fuzzy:
         exact = index.table("terms").where(_within(_buckets(index.spark, words), "token", words) if words else F.lit(False))
         return exact.select(F.col("token").alias("term"), "token", "df", F.lit(1.0).alias("weight"))
-    keys = {d: [] for w in words for d in deletions(w, fuzziness(w))}
-    for w in words:
-        for d in deletions(w, fuzziness(w)):
-            keys[d].append(w)
-    asked = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(y) for y in x]) for d, ws in keys.items() for x in (d, ws)]) if keys else F.lit(None).cast("map<string,array<string>>")
-    met = index.table("deletes").where(_within(_buckets(index.spark, list(keys)), "key", list(keys)) if keys else F.lit(False))
-    near = met.select("token", F.explode(F.try_element_at(asked, F.col("key"))).alias("term")).distinct()
-    most = F.when(F.length("term") < 3, 0).when(F.length("term") < 6, 1).otherwise(2)
-    close = near.withColumn("edits", F.levenshtein("term", "token")).where(F.col("edits") <= most)
-    both = close.withColumn("bucket", bucket("token")).join(index.table("terms"), ["bucket", "token"])
-    return both.select("term", "token", "df", (F.lit(1.0) - F.col("edits") / F.length("term")).alias("weight"))
+    asked = F.array(*[F.struct(F.lit(w).alias("term"), F.lit(fuzziness(w)).alias("most")) for w in words]).cast("array<struct<term:string,most:int>>")
+    edits = lambda q: F.levenshtein(q["term"], F.col("token"))
+    near = lambda q: (F.abs(F.length(q["term"]) - F.length("token")) <= q["most"]) & (edits(q) <= q["most"])
+    met = index.table("terms").withColumn("q", F.explode(F.filter(asked, near)))
+    return met.select("q.term", "token", "df", (F.lit(1.0) - edits(F.col("q")) / F.length("q.term")).alias("weight"))
 
 
 def search(index: Index, query: str, n: int = 20, fuzzy: bool = False) -> DataFrame:

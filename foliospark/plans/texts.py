@@ -122,11 +122,11 @@ def txt13(spark, d):
 _INDEXES: dict[tuple, fulltext.Index] = {}
 
 
-def page_index(spark, d: str, analyser: fulltext.Analyser = fulltext.Analyser(), fuzzy: bool = False) -> fulltext.Index:
+def page_index(spark, d: str, analyser: fulltext.Analyser = fulltext.Analyser()) -> fulltext.Index:
     """The index of the pages of d, built when it is first asked for in a session."""
-    at = (spark.sparkContext.applicationId, d, analyser, fuzzy)
+    at = (spark.sparkContext.applicationId, d, analyser)
     if at not in _INDEXES:
-        _INDEXES[at] = fulltext.build(pages(spark, d), analyser, fuzzy=fuzzy)
+        _INDEXES[at] = fulltext.build(pages(spark, d), analyser)
     return _INDEXES[at]
 
 
@@ -137,14 +137,14 @@ def txt14(spark, d):
 
 
 _NEAR = """(SELECT token, max(1 - levenshtein(term, token) / length(term)) AS weight FROM (SELECT DISTINCT token FROM {tokens}), (VALUES ('lucense'), ('idoit'), ('of')) q(term)
-    WHERE length(token) BETWEEN 2 AND 24 AND levenshtein(term, token) <= CASE WHEN length(term) < 3 THEN 0 WHEN length(term) < 6 THEN 1 ELSE 2 END GROUP BY token)"""
+    WHERE levenshtein(term, token) <= CASE WHEN length(term) < 3 THEN 0 WHEN length(term) < 6 THEN 1 ELSE 2 END GROUP BY token)"""
 
 
 @register("TXT14_fuzzy", f"""WITH t AS (SELECT token, page_id, count(*) AS tf FROM {R._TOK} WHERE token <> '' GROUP BY ALL), i AS (SELECT * FROM t JOIN {_NEAR.format(tokens='t')} USING (token)), f AS (SELECT token, count(*) AS df FROM i GROUP BY token)
     SELECT page_id, round(sum(tf * ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) * weight), 6) AS score, count(*) AS matched FROM i JOIN f USING (token) GROUP BY page_id ORDER BY score DESC, page_id LIMIT 20""")
 def txt14_fuzzy(spark, d):
     """Words within the edits that their length allows; TXT14_highlights shows where."""
-    return fulltext.search(page_index(spark, d, fuzzy=True), "lucense idoit of", fuzzy=True).select("page_id", "score", "matched")
+    return fulltext.search(page_index(spark, d), "lucense idoit of", fuzzy=True).select("page_id", "score", "matched")
 
 
 @register("TXT14_highlights", f"""WITH i AS (SELECT token, page_id, count(*) AS tf FROM {R._TOK} WHERE token IN ('idiot', 'clown') GROUP BY ALL), f AS (SELECT token, count(*) AS df FROM i GROUP BY token),
