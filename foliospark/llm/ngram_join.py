@@ -24,7 +24,7 @@ from foliospark.llm.textkernel import U64, lowered, mix, sliced, span_hashes, wo
 
 #: Counters of n-grams and of words. Their number is fixed, as each task sends its own: 9 MB for any share of a corpus.
 GRAM_BITS, WORD_BITS, SEGMENT = 21, 18, 1 << 14
-SHORT_LIST = 64  # postings up to here make pairs; longer ones a star, whose pairs are multiplied in blocks
+SHORT_LIST = 32  # postings up to here make pairs; longer ones a forest of what the bins' counts let link
 BLOCK_ROWS, BLOCK_GRAMS, BLOCK_COLUMNS = 256, 1 << 19, 4096
 FEW_BINS, MANY_BINS, LONG_SET = 64, 1024, 800  # a set of more than LONG_SET n-grams has MANY_BINS
 FILTER_BITS = (16, 28)  # the least and most bits of a filter of row keys, of which there are 16 for a key: up to 32 MB
@@ -152,7 +152,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
                 node.append(set_hash(distinct) >> shift if size else None)
                 other.append(set_hash(distinct, 0x2545F4914F6CDD1D) if size else None)
                 top, number = (10, MANY_BINS) if size > LONG_SET else (6, FEW_BINS)
-                bins.append(np.minimum(np.bincount((distinct >> U64(64 - top)).astype(np.int64), minlength=number), 255).astype(np.uint8).tobytes())
+                bins.append(np.bincount((distinct >> U64(64 - top)).astype(np.int64), minlength=number).astype(np.uint8).tobytes())  # modulo 256
                 take = size + (percent * size) // -100 + 1 if size else 0
                 tokens.append(distinct[np.lexsort((distinct, key))[:take]].view(np.int64))
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
@@ -181,12 +181,53 @@ def _told_apart(prints: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFram
     return prints, _distinct_sets(prints)
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row how many n-grams two sets differ in at least, by the counts of their bins modulo 256."""
+    off = x - y
+    return np.minimum(off, -off).sum(1, dtype=np.int64)
+
+
+def _most(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """In how many n-grams linked sets of these sizes differ at most."""
+    return n + m + 2 * ((-percent * (n + m)) // (100 + percent))
+
+
+def _few(bins: np.ndarray) -> np.ndarray:
+    return bins.reshape(len(bins), FEW_BINS, bins.shape[1] // FEW_BINS).sum(2, dtype=np.uint8)
+
+
+def _forest(n: np.ndarray, raw: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Edges between sets, in order of their sizes n, that join all those whose sizes and bins let them link: less than there are sets.
+
+    A set is held against the larger ones that nothing joins it to yet, so that a cluster of near copies takes one pass.
+    """
+    long = int(np.searchsorted(n, LONG_SET, "right"))
+    wide = np.frombuffer(b"".join(raw[long:]), np.uint8).reshape(len(n) - long, MANY_BINS)
+    few = np.concatenate([np.frombuffer(b"".join(raw[:long]), np.uint8).reshape(long, FEW_BINS), _few(wide)])
+    label, edges = np.arange(len(n)), []
+    upto = np.searchsorted(n, 100 * n // percent, "right") if percent else np.full(len(n), len(n))
+    for i in range(len(n) - 1):
+        j = i + 1 + np.flatnonzero(label[i + 1 : upto[i]] != label[i])
+        most = _most(n[i], n[j], percent)
+        near = _apart(few[j], few[i]) <= most
+        j, most = j[near], most[near]
+        if i >= long:
+            j = j[_apart(wide[j - long], wide[i - long]) <= most]
+        if len(j):
+            other, first = np.unique(label[j], return_index=True)
+            edges += [(i, int(x)) for x in j[first]]
+            label[np.isin(label, other)] = label[i]
+    return edges
+
+
 def _candidates(prints: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: edges whose components hold every linked pair of sets. prints: node, n, tokens, for each row; sets: node, n, bins, for each set."""
+    """a, b: edges whose components hold every linked pair of sets. prints: node, n, tokens, for each row; sets: node, n, bins, for each set.
+
+    No edge joins sets that their bins tell apart: n-grams that many sets share would else join all of a large corpus.
+    """
     postings = prints.select("node", "n", F.explode("tokens").alias("t"))
-    shared = written(postings.groupBy("t").agg(F.count("*").alias("m"), F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("t", "m", "lead"), "shared-ngrams", small=True)
+    shared = written(postings.groupBy("t").agg(F.count("*").alias("m"), F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("t", "m"), "shared-ngrams", small=True)
     met = written(postings.join(shared, "t"), "met")
-    stars = met.where(F.col("m") > SHORT_LIST).select(F.col("lead").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     after = lambda x, i: F.filter(F.slice("s", i + 2, F.lit(SHORT_LIST)), lambda y: 100 * x["n"] >= percent * y["n"])
     both = lambda x, i: F.transform(after(x, i), lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")))
     pairs = (
@@ -195,28 +236,48 @@ def _candidates(prints: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sets differ in as many n-grams as the counts of their bins do, or more."""
         for batch in batches:
             n, m = (batch.column(i).to_numpy() for i in (2, 3))
-            most = n + m + 2 * ((-percent * (n + m)) // (100 + percent))
             raw = [batch.column(i).to_pylist() for i in (4, 5)]
             wide = [np.array([len(x) == MANY_BINS for x in r], bool) for r in raw]
             near = np.zeros(len(n), bool)
             for both in ((False, False), (False, True), (True, False), (True, True)):
                 k = np.flatnonzero((wide[0] == both[0]) & (wide[1] == both[1]))
                 if len(k):
-                    x, y = (np.frombuffer(b"".join([r[i] for i in k]), np.uint8).reshape(len(k), -1).astype(np.int32) for r in raw)
-                    full = (x.max(1) == 255) | (y.max(1) == 255)
+                    x, y = (np.frombuffer(b"".join([r[i] for i in k]), np.uint8).reshape(len(k), -1) for r in raw)
                     if x.shape != y.shape:
-                        x, y = (v.reshape(len(k), FEW_BINS, -1).sum(2) for v in (x, y))
-                    near[k] = full | (np.abs(x - y).sum(1) <= most[k])
+                        x, y = _few(x), _few(y)
+                    near[k] = _apart(x, y) <= _most(n[k], m[k], percent)
             yield batch.filter(pa.array(near)).select([0, 1])
 
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of an n-gram follow each other, in order of size."""
+        key, nodes, sizes, raw = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            edges = _forest(np.array(sizes, np.int64), raw, percent)
+            ends = [pa.array([nodes[e[i]] for e in edges], pa.int64()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+        for batch in batches:
+            for t, node, n, bins in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if t != key:
+                    if len(nodes) > 1:
+                        yield done()
+                    key, nodes, sizes, raw = t, [], [], []
+                nodes.append(node)
+                sizes.append(n)
+                raw.append(bins)
+        if len(nodes) > 1:
+            yield done()
+
     few = sets.select("node", "n", "bins")
     a = few.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("bins").alias("x"))
     b = few.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bins").alias("y"))
     known = pairs.join(a, "a").join(b, "b").select("a", "b", "n", "m", "x", "y")
-    return known.mapInArrow(close, "a long, b long").unionByName(stars)
+    listed = met.where(F.col("m") > SHORT_LIST).select("t", "node").distinct().join(few, "node").select("t", "node", "n", "bins")
+    joined = listed.repartition("t").sortWithinPartitions("t", "n").mapInArrow(join, "a long, b long")
+    return known.mapInArrow(close, "a long, b long").unionByName(joined.distinct())
 
 
 def _spanning(link: np.ndarray) -> np.ndarray:

@@ -66,6 +66,30 @@ def test_components_of_near_copies(spark, k, percent, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, k, percent)
 
 
+def test_a_frequent_ngram_joins_only_sets_whose_bins_are_close(spark):
+    """300 sets share one n-gram; edges join those of a kind, and none of different kinds or sizes: neither short nor long sets."""
+    rng, rows, kind = np.random.default_rng(4), [], {}
+    for size, width, kinds in ((300, ngram_join.FEW_BINS, 40), (2000, ngram_join.MANY_BINS, 20)):
+        for c in range(kinds):
+            base = rng.multinomial(size - 1, [1 / width] * width)
+            for i in range(5):
+                bins = base.copy()
+                bins[i] += 1
+                rows.append((len(rows), size, bytearray(bins.astype(np.uint8).tobytes()), [7]))
+                kind[len(rows) - 1] = (size, c)
+    sets = spark.createDataFrame(rows, "node long, n long, bins binary, tokens array<long>")
+    edges = ngram_join._candidates(sets, sets, 90).collect()
+    assert all(kind[r.a] == kind[r.b] for r in edges)
+    joined = {r.a for r in edges} | {r.b for r in edges}
+    assert joined == set(kind) and len(edges) == 60 * 4
+
+
+def test_counts_of_bins_over_a_byte_stay_a_lower_bound():
+    x, y = np.array([[250, 3], [255, 0]]), np.array([[260, 3], [256, 700]])
+    assert (ngram_join._apart(x.astype(np.uint8), y.astype(np.uint8)) <= np.abs(x - y).sum(1)).all()
+    assert ngram_join._apart(x.astype(np.uint8), y.astype(np.uint8)).tolist()[0] == 10
+
+
 def test_sets_that_share_a_hash_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "NODE_BITS", 5)
     rows = near_copies(20) + [(9000, None), (9001, "a b")]
