@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from foliospark.functions import text as T
 from foliospark.functions.similarity import trigram_similarity, trigrams
 from foliospark.operators.automaton import occurrences
 
+QUERIES, VALUES = 8192, 16384  # of a block that meet in one task
+STEP, COLUMNS = 512, 1024  # queries and trigrams that are multiplied at once
+
 
 def gram_index(values: DataFrame, block: list[str], value: str) -> DataFrame:
     """block, value, gram, size: a row for each trigram of each distinct value of a block, and how many the value has.
@@ -22,16 +27,72 @@ def gram_index(values: DataFrame, block: list[str], value: str) -> DataFrame:
 def nearest_values(queries: DataFrame, index: DataFrame, block: list[str], query: str, least: float, n: int) -> DataFrame:
     """block, query, value, similarity, rank: of each distinct query of a block the n values of the index most like it, with a similarity over least.
 
-    The similarity is that of the sets of trigrams. Values and queries meet by equal trigrams; how often a pair meets is the size of what they share, so
-    that nothing is compared in whole. Of sizes a and b at least least * max(a, b) must be shared, which drops most pairs by their sizes
-    before they are counted. Ties go by the value.
+    The similarity is that of the sets of trigrams. What they share is counted by products of incidence matrices, of a slice of the queries and one of the
+    values of a block in one task, which keeps the n best of its values for each query: trigrams that all values have cost no more than others, and
+    no pair leaves its task unless it is one of these. Ties go by the value.
     """
-    asked = gram_index(queries.select(*block, F.col(query).alias("q")), block, "q").select(*block, F.col("value").alias("query"), F.col("size").alias("asked"), "gram")
-    sized = (F.col("asked") >= least * F.col("size")) & (F.col("size") >= least * F.col("asked"))
-    shared = asked.join(index, [*block, "gram"]).where(sized).groupBy(*block, "query", "value", "asked", "size").agg(F.count("*").alias("both"))
-    scored = shared.withColumn("similarity", F.col("both") / (F.col("asked") + F.col("size") - F.col("both"))).where(F.col("similarity") > least)
+    asked = queries.select(*block, F.col(query).alias("query")).where("query IS NOT NULL").distinct().withColumn("grams", F.array_join(trigrams("query"), "")).where("grams <> ''")
+    known = index.groupBy(*block, "value").agg(F.array_join(F.collect_list("gram"), "").alias("grams"))
+    count = lambda df, name, most: df.groupBy(*block).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    cuts = count(asked, "_q", QUERIES).join(count(known, "_v", VALUES), block) if block else count(asked, "_q", QUERIES).crossJoin(count(known, "_v", VALUES))
+    deal = lambda df, c, own, other: (df.join(cuts, block) if block else df.crossJoin(cuts)).select(
+        *block, c, "grams", F.pmod(F.xxhash64(c), own).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
+    )
+    kinds = ", ".join(f"{b} {asked.schema[b].dataType.simpleString()}" for b in block)
+
+    def meet(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        words = sorted(zip(right["value"].to_pylist(), right["grams"].to_pylist(), strict=True))
+        texts = left["query"].to_pylist()
+        at, which, score = _best([w for _, w in words], left["grams"].to_pylist(), least, n)
+        own = {b: pa.array([k.as_py()] * len(at), left.schema.field(b).type) for b, k in zip(block, key, strict=False)}
+        return pa.table(own | {"query": pa.array([texts[i] for i in at], pa.string()), "value": pa.array([words[i][0] for i in which], pa.string()), "similarity": pa.array(score, pa.float64())})
+
+    keys = [*block, "_q", "_v"]
+    met = deal(asked, "query", "_q", "_v").groupBy(*keys).cogroup(deal(known, "value", "_v", "_q").groupBy(*keys)).applyInArrow(meet, f"{kinds + ', ' if block else ''}query string, value string, similarity double")
     rank = F.row_number().over(Window.partitionBy(*block, "query").orderBy(F.col("similarity").desc(), "value"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= n).select(*block, "query", "value", "similarity", "rank")
+    return met.withColumn("rank", rank).where(F.col("rank") <= n).select(*block, "query", "value", "similarity", "rank")
+
+
+def _best(values: list[str], queries: list[str], least: float, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the n values with the largest similarity over least, ties to the earlier value: places in queries and values, similarities.
+
+    Both are sets of trigrams, written after each other.
+    """
+    none = np.zeros(0, np.int64)
+    if not values or not queries:
+        return none, none, np.zeros(0)
+    sizes = np.array([len(g) // 3 for g in [*values, *queries]])
+    flat = np.frombuffer("".join([*values, *queries]).encode("utf-32-le"), "<U3")
+    _, column = np.unique(flat, return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    v = len(values)
+    both = np.intersect1d(column[row < v], column[row >= v])
+    place = np.full(column.max() + 1, -1)
+    place[both] = np.arange(len(both))
+    column = place[column]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    found = []
+    for q in range(0, len(queries), STEP):
+        asked = sizes[v + q : v + q + STEP]
+        shared = np.zeros((len(asked), v), np.float32)
+        for c in range(0, len(both), COLUMNS):
+            r, k = (x[slice(*np.searchsorted(column, (c, c + COLUMNS)))] for x in (row, column))
+            a, b = (r >= v + q) & (r < v + q + STEP), r < v
+            x, y = (np.zeros((size, min(COLUMNS, len(both) - c)), np.float32) for size in (len(asked), v))
+            x[r[a] - v - q, k[a] - c] = 1
+            y[r[b], k[b] - c] = 1
+            shared += x @ y.T
+        alike = shared / (asked[:, None] + sizes[:v] - shared.astype(np.float64))
+        floor = np.partition(alike, v - n, axis=1)[:, v - n] if v > n else np.zeros(len(asked))
+        i, j = np.nonzero((alike >= floor[:, None]) & (alike > least))
+        s = alike[i, j]
+        by = np.lexsort((j, -s, i))
+        i, j, s = i[by], j[by], s[by]
+        top = np.arange(len(i)) - np.searchsorted(i, i) < n
+        found.append((i[top] + q, j[top], s[top]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def autocompleted(typed: DataFrame, catalog: DataFrame, value: str, query: str = "typed", least: float = 0.2, n: int = 10) -> DataFrame:

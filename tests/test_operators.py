@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -281,3 +282,26 @@ def test_lines_know_their_page(spark):
         (None, 0, "letter", "oficio antes\n** PÁGINA 3 **"), (3, 3, "hearing", "nada\nla audiencia\notra audiencia y oficio"), (3, 4, "letter", "la audiencia\notra audiencia y oficio\npág. 4 oficio"),
         (4, 5, "letter", "otra audiencia y oficio\npág. 4 oficio\nx"), (4, 16, "report", "Página: no\ninforme"),
     ]
+
+
+def test_nearest_values_in_slices_against_all_pairs(spark, monkeypatch):
+    """Slices of a few queries and values give what holding each query against each value of its block gives, ties and values that share all but a trigram included."""
+    from foliospark.operators import trigrams
+
+    monkeypatch.setattr(trigrams, "QUERIES", 7)
+    monkeypatch.setattr(trigrams, "VALUES", 5)
+    monkeypatch.setattr(trigrams, "STEP", 2)
+    monkeypatch.setattr(trigrams, "COLUMNS", 9)
+
+    def grams(v):
+        return {f"  {w} "[i : i + 3] for w in re.findall(r"\w+", v.lower()) for i in range(len(w) + 1)}
+
+    values = [(i % 2, f"Supplier#{i * 37 % 1000:06d}") for i in range(60)] + [(0, "Ñandú \U0001f600 x"), (1, ""), (1, None), (2, "alone")]
+    queries = [(i % 3, f"suplier {i * 53 % 1000:05d}") for i in range(40)] + [(0, "ñandú"), (1, ""), (0, None), (3, "no block")]
+    index = trigrams.gram_index(spark.createDataFrame(values, "k int, v string"), ["k"], "v")
+    got = trigrams.nearest_values(spark.createDataFrame(queries, "k int, q string"), index, ["k"], "q", 0.2, 4).collect()
+    want = set()
+    for k, q in set(queries):
+        scored = [(-len(grams(q) & grams(v)) / len(grams(q) | grams(v)), v) for b, v in set(values) if q and b == k and v]
+        want |= {(k, q, v, -s, i + 1) for i, (s, v) in enumerate(sorted(x for x in scored if -x[0] > 0.2)[:4])}
+    assert {(r.k, r.query, r.value, r.similarity, r.rank) for r in got} == want and len(got) == len(want) > 100
