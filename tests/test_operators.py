@@ -305,3 +305,16 @@ def test_nearest_values_in_slices_against_all_pairs(spark, monkeypatch):
         scored = [(-len(grams(q) & grams(v)) / len(grams(q) | grams(v)), v) for b, v in set(values) if q and b == k and v]
         want |= {(k, q, v, -s, i + 1) for i, (s, v) in enumerate(sorted(x for x in scored if -x[0] > 0.2)[:4])}
     assert {(r.k, r.query, r.value, r.similarity, r.rank) for r in got} == want and len(got) == len(want) > 100
+
+
+def test_two_numbers_that_one_character_parts_are_read_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = ["5512345678 5598765432", "5512345678  5598765432", "x5512345678", "5512345678\n5598765432-5500000000", "55123456789", "", None, "5511111111,5511111111 5522222222"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "0L AS n_chars").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(entry.oracle_sql()["EXT10"]).fetchall()
+    assert sorted(map(tuple, entry.queries()["EXT10"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) > 5
