@@ -81,3 +81,19 @@ def test_few_of_all_pairs_meet(spark):
     met = {(r.v, r.w) for r in likeness._candidates(spark.createDataFrame([(v,) for v in values], "v string"), [], measure, measure.bands[-1]).collect()}
     assert measure.bands[-1].q == 3 and len(met) < 3200
     assert all((min(v, w), max(v, w)) in met for v, w in zip(values[:400], values[400:], strict=True))
+
+
+@pytest.mark.parametrize("longest", [False, True])
+def test_small_groups_need_no_search_by_q_grams(spark, longest, monkeypatch):
+    """Groups of one value and of a few: the rows that one after the other leaves, without a plan for large groups."""
+
+    def unasked(*_):
+        raise AssertionError("a search by q-grams for groups of a few values")
+
+    monkeypatch.setattr(likeness, "likely", unasked)
+    monkeypatch.setattr(likeness, "containing", unasked)
+    rng, measure = random.Random(5), likeness.ratcliff(0.78)
+    groups = {g: [(100 * g + i, v) for i, v in enumerate(rng.sample(names(g, 40), g % 13 + 1) + [None] * (g % 2))] for g in range(40)}
+    df = spark.createDataFrame([(g, i, v) for g, rows in groups.items() for i, v in rows], "folder int, id int, name string")
+    got = sorted(r.id for r in likeness.greedy(df, "folder", "name", "id", measure, longest).collect())
+    assert got == sorted(i for rows in groups.values() for i in brute_greedy(rows, 0.78, difflib_ratio, longest)) and len(got) < df.count()
