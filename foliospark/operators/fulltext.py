@@ -1,6 +1,6 @@
 """A persisted inverted index of analysed words, and searches that read one bucket for each term.
 
-The index is three Parquet tables below one path: lists (token, pages, tfs: a row for each token of a block of pages) and terms (token, df, cf) by
+The index is three Parquet tables below one path: lists (token, df, cf, pages, tfs: a row for each token of a block of pages) and terms (token, df, cf) by
 bucket of the token, and pages (page_id). A token's bucket is a partition of the files, so that a search opens
 those of its terms only; within a bucket rows are sorted by token, so that the statistics of the row groups prune most of the rest.
 """
@@ -9,26 +9,28 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.session import scratch
+from foliospark.session import scratch, stored
 
-BUCKETS, SPREAD = 32, 4  # by token; parts of each bucket, so that no word is one task's alone
-BLOCK = 1 << 20
-WORD = re.compile(r"[^\W_]+")
+BUCKETS, SPREAD = 32, 16  # by token; parts of each bucket, so that no word is one task's alone
+BLOCK = 1 << 24
+WORD, BETWEEN = re.compile(r"[^\W_]+"), r"[^\p{L}\p{N}]+"
 #: Endings that the stemmer takes off words, the longest one that leaves four letters. They are folded, as the words are.
 ENDINGS = (
     "amientos", "imientos", "amiento", "imiento", "aciones", "iciones", "mente", "acion", "icion", "iendo", "adores", "ador", "ando",
     "adas", "ados", "idas", "idos", "ada", "ado", "ida", "ido", "ings", "ing", "edly", "ies", "ed", "es", "as", "os", "s", "a", "e", "o",
 )
 STEM = rf"^(.{{4,}}?)(?:{'|'.join(ENDINGS)})$"
+FOLDED = str.maketrans(T.MARKED, T.PLAIN)
 
 
 @dataclass(frozen=True)
@@ -43,54 +45,55 @@ class Analyser:
 
     def words(self, query: str) -> list[str]:
         """The distinct analysed words of a query."""
-        plain = query.translate(str.maketrans(T.MARKED, T.PLAIN)).lower()
+        plain = query.translate(FOLDED).lower()
         return list(dict.fromkeys(self.word(w) for w in WORD.findall(plain) if w not in self.stop))
 
+    def terms(self, words: pa.Array) -> pa.Array:
+        """The analysed form of each lower-cased word; null for stop words and for none."""
+        plain = pa.array([w if w.isascii() else w.translate(FOLDED) for w in words.to_pylist()], pa.string())
+        kept = pc.if_else(pc.is_in(plain, pa.array(["", *self.stop])), pa.scalar(None, pa.string()), plain)
+        return pc.replace_substring_regex(kept, STEM, r"\1") if self.stem else kept
+
 
 def lists(pages: DataFrame, analyser: Analyser = Analyser(), text: str = "text", key: str = "page_id") -> DataFrame:
-    """token, pages, tfs: for each token of a block of pages these pages and how often each has it; no shuffle.
+    """token, df, cf, pages, tfs: for each token of a block of pages their number, how often they have it, these pages and how often each has it; no shuffle.
 
-    A block is what follows in the input, with about BLOCK characters of text, or one longer page. Pages without words are in no list. Folding and lower-casing are
-    done by Spark, words are found and gathered in Arrow batches.
+    A block is what follows in the input, with about BLOCK bytes of text, or one longer page. Pages without words are in no list. Lower-casing is
+    done by Spark, words are found and counted in Arrow batches: only the distinct words of a block are analysed.
     """
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str | None] = {}
-
-        def token(w: str) -> str | None:
-            if w not in known:
-                if len(known) > 1 << 17:
-                    known.clear()
-                known[w] = None if w in analyser.stop else analyser.word(w)
-            return known[w]
-
         for batch in batches:
-            found: dict[str, tuple[list[int], list[int]]] = {}
-            size = 0
-            for i in range(batch.num_rows):
-                body = batch.column(1)[i].as_py() or ""
-                size += len(body)
-                counts = Counter(filter(None, map(token, WORD.findall(body))))
-                for t, n in counts.items():
-                    at, tfs = found.setdefault(t, ([], []))
-                    at.append(i)
-                    tfs.append(n)
-                if found and (size > BLOCK or i == batch.num_rows - 1):
-                    ends = pa.array(list(itertools.accumulate((len(at) for at, _ in found.values()), initial=0)), pa.int32())
-                    rows = pa.array([i for at, _ in found.values() for i in at], pa.int64())
-                    tfs = pa.array([n for _, ns in found.values() for n in ns], pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.ListArray.from_arrays(ends, batch.column(0).take(rows)), pa.ListArray.from_arrays(ends, tfs)], names=["token", "pages", "tfs"])
-                    found, size = {}, 0
-
-    folded = F.lower(T.fold(text))
-    return pages.select(F.col(key).alias("page_id"), folded.alias("body")).mapInArrow(run, f"token string, pages array<{kind}>, tfs array<long>")
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+            blocks = np.cumsum(sizes) // BLOCK
+            starts = [*np.flatnonzero(np.diff(blocks, prepend=-1)), batch.num_rows]
+            for lo, hi in itertools.pairwise(starts):
+                yield _listed(batch.column(0)[lo:hi], batch.column(1)[lo:hi], analyser)
+
+    return pages.select(F.col(key).alias("page_id"), F.lower(text).alias("body")).mapInArrow(run, f"token string, df long, cf long, pages array<{kind}>, tfs array<int>")
+
+
+def _listed(keys: pa.Array, bodies: pa.Array, analyser: Analyser) -> pa.RecordBatch:
+    """lists() of one block of lower-cased texts."""
+    pieces = pc.split_pattern_regex(pc.fill_null(bodies, ""), BETWEEN)
+    words = pieces.flatten().dictionary_encode()
+    tokens = analyser.terms(words.dictionary).dictionary_encode()
+    ids, rows = tokens.indices.take(words.indices), pc.list_parent_indices(pieces)
+    kept = pc.is_valid(ids)
+    codes = ids.filter(kept).to_numpy().astype(np.int64) * len(keys) + rows.filter(kept).to_numpy()
+    codes, tfs = np.unique(codes, return_counts=True)
+    of, at = np.divmod(codes, len(keys))
+    df, cf = (np.bincount(of, weights, len(tokens.dictionary)).astype(np.int64) for weights in (None, tfs))
+    ends = pa.array(np.concatenate([[0], np.cumsum(df)]), pa.int32())
+    columns = [tokens.dictionary, pa.array(df), pa.array(cf), pa.ListArray.from_arrays(ends, keys.take(pa.array(at))), pa.ListArray.from_arrays(ends, pa.array(tfs, pa.int32()))]
+    return pa.RecordBatch.from_arrays(columns, names=["token", "df", "cf", "pages", "tfs"])
 
 
 def unlisted(rows: DataFrame, *others: str) -> DataFrame:
     """token, page_id, tf of lists(), and other columns of theirs."""
-    each = rows.select("token", *others, F.inline(F.arrays_zip(F.col("pages").alias("page_id"), F.col("tfs").alias("tf"))))
-    return each.select("token", F.col("pages").alias("page_id"), F.col("tfs").alias("tf"), *others) if "pages" in each.columns else each
+    each = rows.select("token", *others, F.inline(F.arrays_zip("pages", "tfs")))
+    return each.select("token", F.col("pages").alias("page_id"), F.col("tfs").cast("long").alias("tf"), *others)
 
 
 def postings(pages: DataFrame, analyser: Analyser = Analyser(), text: str = "text", key: str = "page_id") -> DataFrame:
@@ -116,7 +119,7 @@ class Index:
 
     def table(self, name: str) -> DataFrame:
         columns = {
-            "lists": f"token string, pages array<{self.kind}>, tfs array<long>, bucket int", "terms": "token string, df long, cf long, bucket int",
+            "lists": f"token string, df long, cf long, pages array<{self.kind}>, tfs array<int>, bucket int", "terms": "token string, df long, cf long, bucket int",
             "pages": f"page_id {self.kind}",
         }
         return self.spark.read.schema(columns[name]).parquet(f"{self.path}/{name}")
@@ -133,8 +136,7 @@ def build(pages: DataFrame, analyser: Analyser = Analyser(), path: str | None =
     dealt = found.repartition("bucket", F.pmod(F.xxhash64("pages"), F.lit(SPREAD))).sortWithinPartitions("bucket", "token")
     dealt.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/lists")
     made = Index(spark, path, analyser, pages.schema[key].dataType.simpleString())
-    sizes = made.table("lists").select("bucket", "token", F.size("pages").cast("long").alias("n"), F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x).alias("m"))
-    terms = sizes.groupBy("bucket", "token").agg(F.sum("n").alias("df"), F.sum("m").alias("cf"))
+    terms = made.table("lists").groupBy("bucket", "token").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     terms.repartition("bucket").sortWithinPartitions("token").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/terms")
     pages.select(F.col(key).alias("page_id")).write.mode("overwrite").parquet(f"{path}/pages")
     return made
@@ -158,25 +160,29 @@ def expanded(index: Index, query: str, fuzzy: bool = False) -> DataFrame:
     if not fuzzy:
         exact = index.table("terms").where(_within(_buckets(index.spark, words), "token", words) if words else F.lit(False))
         return exact.select(F.col("token").alias("term"), "token", "df", F.lit(1.0).alias("weight"))
-    asked = F.array(*[F.struct(F.lit(w).alias("term"), F.lit(fuzziness(w)).alias("most")) for w in words]).cast("array<struct<term:string,most:int>>")
-    edits = lambda q: F.levenshtein(q["term"], F.col("token"))
-    near = lambda q: (F.abs(F.length(q["term"]) - F.length("token")) <= q["most"]) & (edits(q) <= q["most"])
-    met = index.table("terms").withColumn("q", F.explode(F.filter(asked, near)))
-    return met.select("q.term", "token", "df", (F.lit(1.0) - edits(F.col("q")) / F.length("q.term")).alias("weight"))
+
+    def near(w: str) -> Column:
+        edits = F.levenshtein(F.lit(w), F.col("token"), fuzziness(w))  # -1 beyond
+        return F.when((F.abs(F.length("token") - len(w)) <= fuzziness(w)) & (edits >= 0), F.struct(F.lit(w).alias("term"), edits.alias("edits")))
+
+    each = F.array_compact(F.array(*map(near, words))).cast("array<struct<term:string,edits:int>>")
+    met = index.table("terms").select("token", "df", F.explode(each).alias("q"))
+    return met.select("q.term", "token", "df", (F.lit(1.0) - F.col("q.edits") / F.length("q.term")).alias("weight"))
 
 
 def search(index: Index, query: str, n: int = 20, fuzzy: bool = False) -> DataFrame:
     """page_id, score, matched, tokens: the n pages of the largest score, ties to smaller ids.
 
     A token adds its tf times the logarithm of (pages + 1) / (df + 1), times its weight; matched counts the tokens. The words' buckets alone are read: those of
-    an exact query are literals, those of a fuzzy one are pruned when its tokens are known.
+    an exact query are literals, the tokens of a fuzzy one are found first, as a table whose size is known, so that few of them do not move the lists.
     """
     total = index.table("pages").agg(F.count("*").alias("n")).scalar()
     tokens = expanded(index, query, fuzzy).withColumn("idf", F.log((total + 1) / (F.col("df") + 1)) * F.col("weight"))
-    best = tokens.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy(F.col("weight").desc(), "term"))).where("k = 1")
+    best = tokens.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy(F.col("weight").desc(), "term"))).where("k = 1").withColumn("bucket", bucket("token")).select("bucket", "token", "idf")
+    best = stored(best, "tokens") if fuzzy else best
     words = index.analyser.words(query)
     rows = index.table("lists") if fuzzy else index.table("lists").where(_within(_buckets(index.spark, words), "token", words) if words else F.lit(False))
-    met = unlisted(rows.join(best.withColumn("bucket", bucket("token")).select("bucket", "token", "idf"), ["bucket", "token"]), "idf")
+    met = unlisted(rows.join(best, ["bucket", "token"]), "idf")
     scored = met.groupBy("page_id").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"), F.count("*").alias("matched"), F.sort_array(F.collect_list("token")).alias("tokens"))
     return scored.orderBy(F.col("score").desc(), "page_id").limit(n)
 

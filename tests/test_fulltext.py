@@ -61,3 +61,24 @@ def test_highlights(spark):
     text = PAGES[4][1]
     assert got[4] == [PAGES[3][1]] and got[5] == [text[:150], text[155:305], text[305:455]]
     assert fulltext.build(pages.limit(0)).table("terms").agg(F.count("*")).first()[0] == 0
+
+
+def test_distinct_words_are_analysed_once_in_a_block(spark):
+    """A list for each token of a block of many pages, not one for each megabyte of text, with its counts beside it."""
+    pages = spark.createDataFrame([(i, f"Año uno_dos ano w{i} " + "relleno " * 2000) for i in range(200)], "page_id long, text string").coalesce(1)
+    got = {r.token: r for r in fulltext.lists(pages).where("token NOT LIKE 'w%'").collect()}
+    assert fulltext.lists(pages).where("token = 'relleno'").count() == 1 and set(got) == {"ano", "uno", "dos", "relleno"}
+    assert got["ano"].df == 200 and got["ano"].cf == 400 and got["relleno"].cf == 400_000 and sorted(got["dos"].pages) == list(range(200)) and set(got["ano"].tfs) == {2}
+
+
+def test_a_fuzzy_search_does_not_move_the_lists(spark):
+    """Also where the term table is over the size that is broadcast."""
+    index = fulltext.build(spark.createDataFrame([(i, f"testigo w{i} v{i}") for i in range(3000)], "page_id long, text string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10KB")
+    try:
+        found = fulltext.search(index, "testgos declaracion", fuzzy=True)
+        assert found.count() == 20
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(bucket" not in plan, plan
