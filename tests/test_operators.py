@@ -318,3 +318,16 @@ def test_two_numbers_that_one_character_parts_are_read_as_in_sql(spark, tmp_path
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = db.execute(entry.oracle_sql()["EXT10"]).fetchall()
     assert sorted(map(tuple, entry.queries()["EXT10"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) > 5
+
+
+def test_spans_mark_a_text_once_for_each_pattern(spark):
+    """Functions of lambdas share no subexpressions, so what is named thrice there is done thrice."""
+    from foliospark.operators import extract
+
+    pages = spark.createDataFrame([(1, "a\x01b 12 und 345"), (2, None), (3, ""), (4, "7")], "page_id long, text string")
+    found = extract.spans(pages, {"n": r"\d+", "w": r"[a-z]+"}, 2)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
+    got = sorted((r.page_id, r.kind, r.match, r.position, r.context) for r in found.collect())
+    assert got == [
+        (1, "n", "12", 4, "b 12 u"), (1, "n", "345", 11, "d 345"), (1, "w", "a", 0, "a\x01b"), (1, "w", "b", 2, "a\x01b 1"), (1, "w", "und", 7, "2 und 3"), (4, "n", "7", 0, "7"),
+    ]
