@@ -28,19 +28,24 @@ class TimedCache(StatefulProcessor):
             self.handle.deleteTimer(timer)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["at", "id"], kind="stable").itertuples():
-            held = self.entry.get() if self.entry.exists() else None
-            if not pd.isna(r.value):
-                self._forget()
-                self.entry.update((r.value, int(r.at) + self.ttl_ms))
-                self.handle.registerTimer(int(r.at) + self.ttl_ms)
-                out.append((key[0], r.id, r.at, "stored", r.value))
-            elif held is not None and r.at < held[1]:
-                out.append((key[0], r.id, r.at, "hit", held[0]))
+        """The state is read before a batch's rows and written after them: each call of it goes to the JVM and back."""
+        asked = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
+        held = self.entry.get() if self.entry.exists() else None
+        found, last = [], None
+        for at, value in zip(asked["at"].tolist(), asked["value"].tolist(), strict=True):
+            if not pd.isna(value):
+                held = last = (value, at + self.ttl_ms)
+                found.append(("stored", value))
+            elif held is not None and at < held[1]:
+                found.append(("hit", held[0]))
             else:
-                out.append((key[0], r.id, r.at, "miss", None))
-        yield pd.DataFrame(out, columns=["key", "id", "at", "outcome", "value"])
+                found.append(("miss", None))
+        if last is not None:
+            self._forget()
+            self.entry.update(last)
+            self.handle.registerTimer(last[1])
+        outcomes, values = zip(*found, strict=True)
+        yield pd.DataFrame({"key": key[0], "id": asked["id"].to_numpy(), "at": asked["at"].to_numpy(), "outcome": outcomes, "value": values})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if self.entry.exists():

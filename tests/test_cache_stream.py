@@ -70,3 +70,45 @@ def test_tagged_jobs_are_cancelled_and_others_are_not(spark):
     thread.join(10)
     assert len(ended) == 1 and "slow" in ended[0] and not thread.is_alive()
     assert spark.range(10).count() == 10
+
+
+def test_state_is_asked_once_a_batch():
+    """Not once a row: with a state store each call goes to the JVM and back."""
+    import pandas as pd
+
+    class Entry:
+        value, calls = ("old", 5), 0
+
+        def exists(self):
+            self.calls += 1
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def clear(self):
+            self.calls, self.value = self.calls + 1, None
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+    class Handle:
+        timers: list = [5]  # noqa: RUF012
+
+        def listTimers(self):  # noqa: N802
+            return iter(self.timers)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.timers = [t for t in self.timers if t != at]
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers = [*self.timers, at]
+
+    it = cache.TimedCache(10)
+    it.entry, it.handle = Entry(), Handle()
+    rows = pd.DataFrame({"key": "k", "id": range(100), "at": range(100), "value": ["v" if i % 20 == 6 else None for i in range(100)]})
+    got = pd.concat(it.handleInputRows(("k",), iter([rows[50:], rows[:50]]), None))
+    want = ["hit" if i < 5 else "stored" if i % 20 == 6 else "hit" if i > 5 and (i - 6) % 20 < 10 else "miss" for i in range(100)]
+    assert got["id"].tolist() == list(range(100)) and got["outcome"].tolist() == want and got["value"][0] == "old"
+    assert it.entry.value == ("v", 96) and it.handle.timers == [96] and it.entry.calls <= 4
