@@ -111,16 +111,18 @@ def completions(pages: DataFrame, prefix: str, n: int = 10, least: int = 3, text
 
 
 def fuzzy_tokens(pages: DataFrame, word: str, least: float = 0.8, text: str = "text") -> DataFrame:
-    """page_id, token, n, similarity of tokens like the word but not the word. Each distinct token of nearly its
-    length is scored once; a ratio of r needs lengths within a factor of r / (2 - r)."""
+    """page_id, token, n, similarity of tokens like the word but not the word, in one pass over the texts. A ratio of r
+    needs lengths within a factor of r / (2 - r), and no more edits than 1 - r of both lengths: each edit leaves a letter of one of them without its like."""
     from foliospark.functions.similarity import ratio
 
     require_share(least)
-    bound = least / (2 - least)
-    tokens = pages.select("page_id", F.explode(T.tokens(F.lower(text), r"[^\p{L}\p{N}]+")).alias("token")).where(F.length("token").between(max(3, int(len(word) * bound)), int(len(word) / bound) + 1))
-    counted = tokens.groupBy("page_id", "token").count()
-    scored = counted.select("token").distinct().withColumn("similarity", ratio(F.col("token"), F.lit(word.lower()))).where((F.col("similarity") >= least) & (F.col("similarity") < 1))
-    return counted.join(scored, "token").select("page_id", "token", F.col("count").alias("n"), "similarity")
+    bound, asked = least / (2 - least), word.lower()
+    longest = int(len(word) / bound) + 1 if bound else 1 << 30
+    tokens = pages.select("page_id", F.explode(T.tokens(F.lower(text), r"[^\p{L}\p{N}]+")).alias("token")).where(F.length("token").between(max(3, int(len(word) * bound)), longest))
+    most = (F.length("token") + len(asked)) * (1 - least) + 1e-6
+    near = tokens.where((F.col("token") != asked) & (F.levenshtein("token", F.lit(asked)) <= most))
+    counted = near.groupBy("page_id", "token").agg(F.count("*").alias("n"))
+    return counted.withColumn("similarity", ratio(F.col("token"), F.lit(asked))).where((F.col("similarity") >= least) & (F.col("similarity") < 1))
 
 
 def categorised(pages: DataFrame, patterns: dict[str, str], n: int = 3, text: str = "text") -> DataFrame:

@@ -331,3 +331,17 @@ def test_spans_mark_a_text_once_for_each_pattern(spark):
     assert got == [
         (1, "n", "12", 4, "b 12 u"), (1, "n", "345", 11, "d 345"), (1, "w", "a", 0, "a\x01b"), (1, "w", "b", 2, "a\x01b 1"), (1, "w", "und", 7, "2 und 3"), (4, "n", "7", 0, "7"),
     ]
+
+
+def test_fuzzy_tokens_read_the_texts_once(spark):
+    import random
+    from collections import Counter
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("heon", k=rng.randint(3, 9))) for _ in range(400)) + " heheon HEHEONS" for _ in range(5)]
+    found = search.fuzzy_tokens(spark.createDataFrame(list(enumerate(texts)), "page_id long, text string"), "Heheon", 0.7)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    like = lambda t: SequenceMatcher(None, t, "heheon").ratio()
+    want = {(i, t, n, like(t)) for i, x in enumerate(texts) for t, n in Counter(x.lower().split()).items() if 0.7 <= like(t) < 1}
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 50
