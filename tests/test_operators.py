@@ -345,3 +345,9 @@ def test_fuzzy_tokens_read_the_texts_once(spark):
     like = lambda t: SequenceMatcher(None, t, "heheon").ratio()
     want = {(i, t, n, like(t)) for i, x in enumerate(texts) for t, n in Counter(x.lower().split()).items() if 0.7 <= like(t) < 1}
     assert {tuple(r) for r in found.collect()} == want and len(want) > 50
+
+
+def test_a_catalog_in_code_does_not_move_the_rows(spark):
+    few = catalog.lookup(spark, [("1-URGENT", "urgent")], "variant string, canonical string")
+    joined = spark.range(1 << 20).selectExpr("id", "'1-URGENT' AS variant").join(few, "variant")
+    assert joined.count() == 1 << 20 and "SortMergeJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
