@@ -351,3 +351,10 @@ def test_a_catalog_in_code_does_not_move_the_rows(spark):
     few = catalog.lookup(spark, [("1-URGENT", "urgent")], "variant string, canonical string")
     joined = spark.range(1 << 20).selectExpr("id", "'1-URGENT' AS variant").join(few, "variant")
     assert joined.count() == 1 << 20 and "SortMergeJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_words_are_counted_where_their_document_is(spark):
+    from foliospark.plans import registry
+
+    plan = registry.queries()["ARR2"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "w#" not in plan.split("hashpartitioning(")[1].split(")")[0]
