@@ -320,6 +320,29 @@ def test_two_numbers_that_one_character_parts_are_read_as_in_sql(spark, tmp_path
     assert sorted(map(tuple, entry.queries()["EXT10"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) > 5
 
 
+def test_phones_in_all_written_forms_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = {
+        "Tel. 555-123-4567, cel. 555 1234568 y 555123 4569": {"5551234567", "5551234568", "5551234569"},
+        "55-1234-5670 55 12345671 551234 5672": {"5512345670", "5512345671", "5512345672"},
+        "+1 (838) 555-7235 (838)5557236 tel(838)-555 7237": {"8385557235", "8385557236", "8385557237"},
+        "5512345678 5598765432;5512345678 55-1234-5678": {"5512345678", "5598765432"},
+        "(55) 1234-5678 (838) 555-72356 5551234-567 555--123-4567 1555-123-4567 12345678 521234567890 555.123.4567": set(),
+        "<555>-<123>-<4567> <5512345679> \n555\n1234567": {"5512345679"},
+        "": set(),
+        None: set(),
+    }
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "0L AS n_chars").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, entry.queries()["EXT10"](spark, str(tmp_path)).collect()))
+    assert got == sorted((i, x) for i, t in rows for x in texts[t]) == sorted(db.execute(entry.oracle_sql()["EXT10"]).fetchall())
+
+
 def test_spans_mark_a_text_once_for_each_pattern(spark):
     """Functions of lambdas share no subexpressions, so what is named thrice there is done thrice."""
     from foliospark.operators import extract
